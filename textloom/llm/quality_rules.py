@@ -102,7 +102,7 @@ rep as (select r, i from (select r, i, count(*) over (partition by r, t) as c fr
 cov as (select r, count(*) as n from (select distinct r, i + unnest([0, 1, 2]) as j from rep) group by r),
 m as (select w.r, doc_id, text, len(w)::bigint as n_words, len(regexp_replace(text, '[\x20\x09-\x0D]', '', 'g'))::bigint as word_chars,
   (len(text) - len(regexp_replace(text, '[#*$%&|<>]', '', 'g')))::bigint as n_symbols,
-  list_filter(string_split(text, chr(10)), x -> regexp_matches(x, '[^\x20\x09-\x0D]')) as l, coalesce(cov.n, 0)::bigint as n_repeat_words,
+  [x for x in string_split(text, chr(10)) if regexp_matches(x, '[^\x20\x09-\x0D]')] as l, coalesce(cov.n, 0)::bigint as n_repeat_words,
   len(list_distinct(w))::bigint as n_distinct from w left join cov on w.r = cov.r),
 f as (select *, (len(l) - len(list_distinct(l)))::bigint as n_dup_lines, len(l)::bigint as n_lines,
   n_words < 50 or 100 * n_repeat_words > 50 * n_words as base_failed from m)

@@ -27,9 +27,13 @@ from .common import binary_text, fold, materialise, slices, table
 #: Labelled documents that are sampled at most, by label.
 SAMPLE_TOXIC, SAMPLE_CLEAN = 4000, 8000
 #: Candidate terms that are looked at, least documents and contexts of a candidate, and its largest share of clean documents.
-CANDIDATES, LEAST_DOCS, LEAST_CONTEXTS, MOST_CLEAN = 4000, 4, 4, 0.05
-#: Prefix lengths that may become stems, shortest prefix of a longer word that is tried.
-STEMS = range(4, 8)
+CANDIDATES, LEAST_DOCS, LEAST_CONTEXTS, MOST_CLEAN = 4000, 2, 5, 0.05
+#: A term of no clean document that stands between so many different neighbours (of 64 hashed ones) is an insult without further proof.
+SURE_CONTEXTS = 48
+#: One that explains a single document more must at least stand between so many.
+LONE_CONTEXTS = 8
+#: Lengths of the prefixes of longer words that may become stems.
+STEMS = range(4, 9)
 MEMO = 1 << 18
 HELD_OUT_PARTS, HELD_OUT = 4, 2
 
@@ -179,23 +183,25 @@ def _terms(tokens: list[str]) -> Iterator[tuple[str, int]]:
                 yield t[:n] + "*", bit
 
 
-_TERM = pa.schema([("term", pa.string()), ("pos", pa.int64()), ("neg", pa.int64()), ("bits", pa.int64())])
+_TERM = pa.schema([("term", pa.string()), ("pos", pa.int64()), ("neg", pa.int64()), ("pos_times", pa.int64()), ("neg_times", pa.int64()), ("bits", pa.int64())])
 
 
 def _term_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in slices(batches, 0):
         n: tuple[Counter, Counter] = (Counter(), Counter())
+        times: tuple[Counter, Counter] = (Counter(), Counter())
         bits: dict[str, int] = {}
         for raw, label in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
             own: set[str] = set()
             for t, bit in _terms(_TOKEN.findall(raw.decode("utf-8", "replace").lower())):
                 own.add(t)
+                times[label][t] += 1
                 if label:
                     bits[t] = bits.get(t, 0) | 1 << bit
             n[label].update(own)
         terms = list(bits)  # a term without a toxic document is no candidate
         signed = [x - (1 << 64) if (x := bits[t]) >> 63 else x for t in terms]
-        yield table(_TERM, [terms, [n[1][t] for t in terms], [n[0][t] for t in terms], signed])
+        yield table(_TERM, [terms, [n[1][t] for t in terms], [n[0][t] for t in terms], [times[1][t] for t in terms], [times[0][t] for t in terms], signed])
 
 
 _HITS = pa.schema([("hits", pa.list_(pa.int32()))])
@@ -216,17 +222,31 @@ def _feature_batches(terms: dict[str, float], batches: Iterator[pa.RecordBatch])
         yield table(_FEATURED, [b.column(1), [features(raw.decode("utf-8", "replace"), lexicon) for raw in b.column(0).to_pylist()]])
 
 
-def cover(candidates: list[tuple[str, int, int]], hits: list[list[int]], least_gain: int = 2) -> list[int]:
-    """Greedy cover of toxic documents by candidate terms (term, toxic documents, clean documents): the fewest terms that explain the
-    labels. A rare word of a copied toxic text is not chosen, for a true insult in the same text explains it already."""
+def cover(candidates: list[tuple[str, int, int, int]], hits: list[list[int]], share: float, least_gain: int = 2) -> list[int]:
+    """Greedy cover of toxic documents by candidate terms (term, toxic documents, clean documents, contexts): the fewest terms that
+    explain the labels, less twice those that clean documents would give by chance
+    (``share``: toxic documents for each clean one). A rare word of a copied toxic text is not chosen, for a true insult in the same
+    text explains it already."""
     owners: list[set[int]] = [set() for _ in candidates]
     for d, own in enumerate(hits):
         for c in own:
             owners[c].add(d)
-    chosen, open_ = [], set(range(len(hits)))
-    while open_:
-        best = max(range(len(candidates)), key=lambda c: (len(owners[c] & open_) - 2 * candidates[c][2], candidates[c][1], len(candidates[c][0]), candidates[c][0]), default=None)
-        if best is None or len(owners[best] & open_) - 2 * candidates[best][2] < least_gain:
+    sure = sorted((c for c, (_, _, clean, contexts) in enumerate(candidates) if not clean and contexts >= SURE_CONTEXTS), key=lambda c: -len(candidates[c][0]))
+    chosen: list[int] = []
+    for c in sure:  # a stem that is no more common than a longer term says no more than that
+        stem = candidates[c][0].rstrip("*")
+        if not any(candidates[x][0].startswith(stem) and candidates[x][1] >= 0.9 * candidates[c][1] for x in chosen):
+            chosen.append(c)
+    open_ = set(range(len(hits))).difference(*(owners[c] for c in chosen))
+
+    def worth(c: int) -> tuple:
+        term, toxic, clean, contexts = candidates[c]
+        return len(owners[c] & open_) - 2 * share * clean, contexts, toxic, len(term), term
+
+    while open_ and candidates:
+        best = max(range(len(candidates)), key=worth)
+        gain, contexts = worth(best)[:2]
+        if gain < (1 if contexts >= LONE_CONTEXTS else least_gain):
             break
         chosen.append(best)
         open_ -= owners[best]
@@ -266,13 +286,15 @@ def train(docs: DataFrame, labels: DataFrame) -> tuple[dict[str, float], list[fl
     n = dict(sample.groupBy("label").count().collect())
     if not n.get(1) or not n.get(0):
         return {}, PRIOR
-    terms = sample.mapInArrow(_term_batches, "term string, pos long, neg long, bits long").groupBy("term").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"), F.expr("bit_count(bit_or(bits))").alias("contexts"))
-    terms = terms.where((F.col("pos") >= LEAST_DOCS) & (F.col("contexts") >= LEAST_CONTEXTS) & (F.col("neg") * n[1] <= MOST_CLEAN * F.col("pos") * n[0]))
-    found = [(r["term"], r["pos"], r["neg"]) for r in terms.orderBy(F.desc("pos"), "term").limit(CANDIDATES).collect()]
-    index = {t: i for i, (t, _, _) in enumerate(found)}
+    terms = sample.mapInArrow(_term_batches, "term string, pos long, neg long, pos_times long, neg_times long, bits long").groupBy("term")
+    terms = terms.agg(*[F.sum(c).alias(c) for c in ("pos", "neg", "pos_times", "neg_times")], F.expr("bit_count(bit_or(bits))").alias("contexts"))
+    terms = terms.where((F.col("pos") >= LEAST_DOCS) & (F.col("contexts") >= LEAST_CONTEXTS) & (F.col("neg_times") * n[1] <= MOST_CLEAN * F.col("pos_times") * n[0]))
+    rows = terms.orderBy(F.desc("contexts"), F.desc("pos"), "term").limit(CANDIDATES).collect()
+    found = [(r["term"], r["pos"], r["neg"], r["contexts"]) for r in rows]
+    odds = {r["term"]: math.log((r["pos_times"] + 0.5) / (n[1] + 1) * (n[0] + 1) / (r["neg_times"] + 0.5)) for r in rows}
+    index = {c[0]: i for i, c in enumerate(found)}
     hits = [r["hits"] for r in sample.where("label = 1").mapInArrow(partial(_hit_batches, index), "hits array<int>").collect()]
-    chosen = [found[c] for c in cover(found, hits)]
-    weights = {t: max(0.5, math.log((pos + 0.5) / (n[1] + 1) * (n[0] + 1) / (neg + 0.5))) for t, pos, neg in chosen}
+    weights = {found[c][0]: max(0.5, odds[found[c][0]]) for c in cover(found, hits, n[1] / n[0])}
     rows = sample.mapInArrow(partial(_feature_batches, weights), "label int, f array<double>").collect()
     x, y = np.array([r["f"] for r in rows]), np.array([r["label"] for r in rows], float)
     return weights, logistic(x, y).tolist()
