@@ -53,7 +53,7 @@ def measured(docs: DataFrame) -> DataFrame:
         "doc_id",
         "text",
         F.expr(_MEASURE).alias("m"),
-        F.expr(r"cast(char_length(translate(text, ' \t\n\u000b\f\r', '')) as bigint)").alias("word_chars"),
+        F.expr(r"cast(char_length(translate(text, ' \t\n\u000b\u000c\r', '')) as bigint)").alias("word_chars"),
         F.expr("cast(char_length(text) - char_length(translate(text, '#*$%&|<>', '')) as bigint)").alias("n_symbols"),
         F.expr(r"transform(array(filter(split(text, '\n', -1), l -> l rlike '[^\\x20\\x09-\\x0D]')), x -> struct(cast(size(x) as bigint) as n, cast(size(x) - size(array_distinct(x)) as bigint) as dup))[0]").alias("l"),
     )
