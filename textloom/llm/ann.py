@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialise, table
+from .common import materialise, small_batches, table
 
 #: Codebooks, codewords in each, hypotheses of the beam.
 BOOKS, WORDS, BEAM = 8, 256, 4
@@ -186,6 +186,7 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20) -> DataFrame:
     candidates give fewer rows, an empty table none. Other columns are ignored.
     """
     spark = vectors.sparkSession
+    small_batches(spark)
     rows = materialise(usable(vectors), "vectors")
     asked = materialise(rows.join(queries.select(F.col("vec_id").cast("long").alias("vec_id")).distinct(), "vec_id", "left_semi"), "queries")
     n, n_queries = rows.count(), asked.count()

@@ -19,9 +19,8 @@ import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
-from .common import SPACE, binary_text, slices, table
+from .common import SPACE, slices, table, texts_of
 
 #: The published pattern of this tokenizer family (a fixed value).
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -204,6 +203,6 @@ def encode(docs: DataFrame, path: str, digests: bool = False) -> DataFrame:
     A null text is empty: no tokens, empty text. Repeated rows each come back, a null doc_id stays null, other columns are ignored,
     and an empty table gives no rows.
     """
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), binary_text())
+    texts = texts_of(docs)
     kinds = "ids_sha256 string, decoded_sha256 string" if digests else "ids binary, decoded string"
     return texts.mapInArrow(partial(_encode_batches, path, digests), f"doc_id long, n_tokens long, {kinds}")

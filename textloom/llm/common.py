@@ -56,6 +56,23 @@ def binary_text(column: str = "text") -> F.Column:
     return F.coalesce(F.col(column).cast("binary"), F.lit(b"")).alias("text")
 
 
+#: Rows of the Arrow batches that Python workers get; whole texts make rows large.
+BATCH_ROWS = 500
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Bound the Arrow batches of this session, on both sides of the worker's socket."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key, "10000")) <= BATCH_ROWS:
+        spark.conf.set(key, str(BATCH_ROWS))
+
+
+def texts_of(docs: DataFrame) -> DataFrame:
+    """(doc_id, text as UTF-8 bytes) of documents, in small batches for Python."""
+    small_batches(docs.sparkSession)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), binary_text())
+
+
 def slices(batches: Iterator[pa.RecordBatch], column: int, limit: int = 8 << 20) -> Iterator[pa.RecordBatch]:
     """Cut Arrow batches so that the bytes of one binary column stay near ``limit`` in each (a longer single value stays whole)."""
     for batch in batches:

@@ -18,9 +18,8 @@ from functools import partial
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
-from .common import SPACE, binary_text, slices, table
+from .common import SPACE, slices, table, texts_of
 
 CAPACITY = 4096
 END = 2
@@ -136,6 +135,6 @@ def pack(docs: DataFrame, path: str, capacity: int = CAPACITY, block_tokens: int
     Every document ends with token 2, so a null or empty text is one piece of one token. Rows are packed one by one: repeated rows
     each take their place, a null doc_id stays null. Other columns are ignored; an empty table gives no rows.
     """
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), binary_text())
+    texts = texts_of(docs)
     out = texts.mapInArrow(partial(_pack_batches, path, capacity, block_tokens, with_ids), PIECES)
     return out if with_ids else out.drop("ids")

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import binary_text, fold, slices, table
+from .common import fold, slices, table, texts_of
 
 #: Sampled documents at most: trusted positives, unlabelled ones.
 SAMPLE_POSITIVE, SAMPLE_UNLABELLED = 8000, 16000
@@ -147,7 +147,7 @@ def train(docs: DataFrame, labels: DataFrame) -> dict | None:
     ids = docs.select(F.col("doc_id").cast("long").alias("doc_id")).where("doc_id is not null")
     # Another order than that of the positives, so that the sample doesn't follow theirs.
     others = ids.where(usable).orderBy(F.xxhash64("doc_id", F.lit(7)), "doc_id").limit(SAMPLE_UNLABELLED).distinct().select("doc_id", F.lit(0).alias("group"))
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), binary_text())
+    texts = texts_of(docs)
     rows = texts.join(F.broadcast(trusted.unionByName(others)), "doc_id").select("group", "text").mapInArrow(_stat_batches, "group int, f array<double>").collect()
     x, group = np.array([r["f"] for r in rows]).reshape(-1, N_STATISTICS), np.array([r["group"] for r in rows])
     if not (group == 1).any() or not (group == 0).any():
@@ -174,6 +174,6 @@ def score(docs: DataFrame, labels: DataFrame) -> DataFrame:
     Null and empty texts are scored like others, on all-zero statistics. A null doc_id stays null, as does its held_out. Repeated rows
     each come back; other columns are ignored; an empty table gives no rows. Without positives every score is 0.5.
     """
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), binary_text())
+    texts = texts_of(docs)
     out = texts.mapInArrow(partial(_score_batches, train(docs, labels)), "doc_id long, score double")
     return out.select("doc_id", (fold("doc_id", HELD_OUT_PARTS) == HELD_OUT).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import binary_text, slices, table
+from .common import slices, table, texts_of
 
 #: Base patterns (fixed values), in the order in which kinds are listed.
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.IGNORECASE | re.ASCII)
@@ -122,7 +122,7 @@ def log_ratios(ordinary: Counter, secret: Counter) -> np.ndarray:
 def train(docs: DataFrame, sample_rows: int = SAMPLE_ROWS) -> np.ndarray:
     """Log-ratio table from a sample of ``sample_rows`` documents (those of the smallest id hashes) and drawn strings."""
     chosen = docs.select(F.col("doc_id").cast("long").alias("doc_id")).where("doc_id is not null").orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_rows)
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), binary_text()).join(F.broadcast(chosen.distinct()), "doc_id")
+    texts = texts_of(docs).join(F.broadcast(chosen.distinct()), "doc_id")
     rows = texts.mapInArrow(_count_batches, "label int, a int, b int, c int, n long").groupBy("label", "a", "b", "c").agg(F.sum("n").alias("n")).collect()
     counts = (Counter(), transitions(drawn_strings()))
     for r in rows:  # at most 2 * STATES ** 3
@@ -193,6 +193,6 @@ def scan(docs: DataFrame, ratios: np.ndarray | None = None, with_text: bool = Fa
     empty table gives no rows. ``ratios`` is a trained table; without it one is trained on a bounded sample of ``docs``.
     """
     ratios = train(docs) if ratios is None else ratios
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), binary_text())
+    texts = texts_of(docs)
     out = texts.mapInArrow(partial(_scan_batches, ratios, with_text), "doc_id long, n_assign long, n_access long, n_hex long, n_random long, base_sha256 string, spans string, redacted string")
     return out if with_text else out.drop("redacted")

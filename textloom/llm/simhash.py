@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import binary_text, materialise, slices, table, words_of
+from .common import materialise, slices, table, texts_of, words_of
 from .components import connected_components
 
 SHINGLE = 4
@@ -61,7 +61,7 @@ def _fingerprint_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Recor
 
 def fingerprints(docs: DataFrame) -> DataFrame:
     """(doc_id, fp) of documents with columns doc_id and text. A null text is empty; its fingerprint is 0."""
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), binary_text()).mapInArrow(_fingerprint_batches, "doc_id long, fp long")
+    return texts_of(docs).mapInArrow(_fingerprint_batches, "doc_id long, fp long")
 
 
 def segment_bounds(segments: int = SEGMENTS) -> list[tuple[int, int]]:

@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import binary_text, materialise, slices, table, words_of
+from .common import materialise, slices, table, texts_of, words_of
 
 WINDOW = 50
 GRAM = 8
@@ -176,7 +176,7 @@ def _bucket_batches(window: int, batches: Iterator[pa.RecordBatch]) -> Iterator[
 
 def repeated_windows(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, bucket: int = BUCKET) -> DataFrame:
     """Runs (doc_id, start, windows) of windows whose words also start a window of a document with a smaller doc_id."""
-    texts = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), binary_text())
+    texts = texts_of(docs.where("doc_id is not null"))
     numbers = materialise(texts.mapInArrow(partial(_number_batches, window, gram), "mini long, doc_id long, start int, windows int"), "superkmers")
     shared = numbers.groupBy("mini").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most"), F.sum("windows").alias("n")).where("least < most")
     shared = materialise(shared.select("mini", (F.col("n") > bucket).alias("hot")), "shared")
@@ -242,6 +242,6 @@ def dedup_substrings(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, bu
     them only if its text has those windows, so ids should be unique. An empty table gives no rows; other columns are ignored.
     """
     runs = repeated_windows(docs, window, gram, bucket).groupBy("doc_id").agg(F.collect_list(F.struct("start", "windows")).alias("runs"))
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), binary_text())
+    texts = texts_of(docs)
     out = texts.join(runs, "doc_id", "left").select("doc_id", "text", "runs").mapInArrow(partial(_cut_batches, window, with_text), "doc_id long, n_words long, n_removed long, kept_sha256 string, text binary")
     return out if with_text else out.drop("text")

@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import binary_text, fold, materialise, slices, table
+from .common import fold, materialise, slices, table, texts_of
 
 #: Labelled documents that are sampled at most, by label.
 SAMPLE_TOXIC, SAMPLE_CLEAN = 4000, 8000
@@ -275,7 +275,7 @@ def sampled(docs: DataFrame, labels: DataFrame, column: str, usable: F.Column, c
     chosen = picked[0]
     for p in picked[1:]:
         chosen = chosen.unionByName(p)
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), binary_text())
+    texts = texts_of(docs)
     return texts.join(F.broadcast(chosen), "doc_id").groupBy(F.sha2("text", 256).alias("digest")).agg(F.first("text").alias("text"), F.max("label").alias("label")).select("text", "label")
 
 
@@ -317,6 +317,6 @@ def score(docs: DataFrame, labels: DataFrame) -> DataFrame:
     come back; other columns are ignored; an empty table gives no rows. Without labels of both kinds a fixed lexicon and weights serve.
     """
     terms, weights = train(docs, labels)
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), binary_text())
+    texts = texts_of(docs)
     out = texts.mapInArrow(partial(_score_batches, terms, weights), "doc_id long, score double, matches long")
     return out.select("doc_id", (fold("doc_id", HELD_OUT_PARTS) == HELD_OUT).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"), "matches")
