@@ -27,7 +27,7 @@ PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\
 #: A run of white space with the text after it; the pattern never joins text to white space that follows it.
 _CHUNK = regex.compile(f"[{SPACE}]*[^{SPACE}]+|[{SPACE}]+")
 #: Chunks whose ids a worker remembers.
-MEMO = 1 << 18
+MEMO = 1 << 17
 NEVER = 1 << 60
 
 

@@ -73,7 +73,7 @@ def texts_of(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), binary_text())
 
 
-def slices(batches: Iterator[pa.RecordBatch], column: int, limit: int = 8 << 20) -> Iterator[pa.RecordBatch]:
+def slices(batches: Iterator[pa.RecordBatch], column: int, limit: int = 2 << 20) -> Iterator[pa.RecordBatch]:
     """Cut Arrow batches so that the bytes of one binary column stay near ``limit`` in each (a longer single value stays whole)."""
     for batch in batches:
         n, lo, size = batch.num_rows, 0, 0

@@ -26,7 +26,7 @@ END = 2
 #: Tokens of a block, which a task holds at once (4 bytes each); a longer document is a block of its own.
 BLOCK_TOKENS = 2_000_000
 #: Chunks between white space whose ids a worker remembers.
-MEMO = 1 << 18
+MEMO = 1 << 17
 #: Cost of a piece of n tokens: LINEAR * n + QUADRATIC * n * n.
 LINEAR, QUADRATIC = 1.0, 1.0 / 1024
 

@@ -27,7 +27,7 @@ ROUNDS, RATE, RIDGE = 600, 0.05, 1e-3
 _WORD = re.compile("[^ \t-\r]+")
 _SYMBOL = re.compile(r"[#*$%&|<>{}\[\]\\^~@=+_`]")
 _UPPER = re.compile(r"[^\W\d_a-zà-öø-ÿ]")
-MEMO = 1 << 18
+MEMO = 1 << 17
 
 
 class _Ids(dict):

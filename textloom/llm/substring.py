@@ -33,7 +33,7 @@ BUCKET = 50_000
 #: Windows of one super-k-mer; a longer run (repetitive text) is cut.
 LONGEST = 256
 #: Distinct words whose hashes a worker remembers.
-MEMO = 1 << 18
+MEMO = 1 << 17
 
 _MIX = 0x9E3779B97F4A7C15
 

@@ -34,7 +34,7 @@ SURE_CONTEXTS = 48
 LONE_CONTEXTS = 8
 #: Lengths of the prefixes of longer words that may become stems.
 STEMS = range(4, 9)
-MEMO = 1 << 18
+MEMO = 1 << 17
 HELD_OUT_PARTS, HELD_OUT = 4, 2
 
 # Function words of the grammar in English, German, French and Spanish.
