@@ -65,8 +65,9 @@ BASE_FAILED = f"n_words < {LEAST_WORDS} or 100 * n_repeat_words > 50 * n_words"
 
 def ordered(docs: DataFrame, rules: tuple = RULES, sample_rows: int = SAMPLE_ROWS) -> list[tuple[str, str]]:
     """Rules by estimated rejections per cost, best first. Ties and an empty sample keep the given order."""
-    sample = docs.orderBy(F.xxhash64("doc_id")).limit(sample_rows) if "doc_id" in docs.columns else docs.limit(sample_rows)
-    table = materialise(measured(sample), "rules").where(f"not ({BASE_FAILED})")
+    chosen = docs.select("doc_id").where("doc_id is not null").orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_rows).distinct()
+    # At most ``sample_rows`` ids are broadcast, so no text is shuffled.
+    table = materialise(measured(docs.join(F.broadcast(chosen), "doc_id", "left_semi")), "rules").where(f"not ({BASE_FAILED})")
 
     def seconds(condition: str) -> tuple[float, int]:
         began = time.perf_counter()
