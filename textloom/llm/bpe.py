@@ -12,6 +12,8 @@ from __future__ import annotations
 
 import hashlib
 import json
+import re
+from array import array
 from collections.abc import Iterator
 from functools import partial
 
@@ -20,14 +22,14 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from .common import SPACE, slices, table, texts_of
+from .common import LATIN, MARKS, SPACE, Memo, slices, table, texts_of
 
 #: The published pattern of this tokenizer family (a fixed value).
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: A run of white space with the text after it; the pattern never joins text to white space that follows it.
-_CHUNK = regex.compile(f"[{SPACE}]*[^{SPACE}]+|[{SPACE}]+")
-#: Chunks whose ids a worker remembers.
-MEMO = 1 << 17
+_CHUNK = re.compile(f"[{SPACE}]*[^{SPACE}]+|[{SPACE}]+")
+#: A word and its punctuation, which the pattern always parts.
+_PLAIN = re.compile(f"( ?[{LATIN}]+)([{MARKS}]*)")
 NEVER = 1 << 60
 
 
@@ -68,8 +70,8 @@ class ByteBpe:
                 self.automaton.add_word(content.decode("latin-1"), (i, len(content)))
         self.automaton.make_automaton()
         self.pattern = regex.compile(PATTERN)
-        self.pieces: dict[str, list[int]] = {}
-        self.chunks: dict[str, bytes] = {}
+        self.pieces = Memo(lambda piece: array("I", self.piece_ids(piece.encode())).tobytes())
+        self.chunks = Memo(self.chunk, 1 << 17)
 
     def edge(self, token: int, right: bool) -> list[tuple[int, int]]:
         """(token, rank at which it is used up) down one edge of a token's merge tree; the token itself lasts."""
@@ -134,24 +136,10 @@ class ByteBpe:
 
     def chunk(self, text: str) -> bytes:
         """Ids of a chunk as little-endian 32-bit bytes."""
-        known = self.chunks.get(text)
-        if known is None:
-            ids: list[int] = []
-            for piece in self.pattern.findall(text):
-                own = self.pieces.get(piece)
-                if own is None:
-                    own = self.piece_ids(piece.encode())
-                    if len(piece) <= 64:
-                        if len(self.pieces) >= MEMO:
-                            self.pieces.clear()
-                        self.pieces[piece] = own
-                ids += own
-            known = np.array(ids, "<u4").tobytes()
-            if len(text) <= 64:
-                if len(self.chunks) >= MEMO:
-                    self.chunks.clear()
-                self.chunks[text] = known
-        return known
+        if (m := _PLAIN.fullmatch(text)) is None:
+            return b"".join(map(self.pieces.__getitem__, self.pattern.findall(text)))
+        word, marks = m.groups()
+        return self.pieces[word] + self.pieces[marks] if marks else self.pieces[word]
 
     def encode(self, text: str) -> bytes:
         """Ids of a whole text as little-endian 32-bit bytes; strings of special tokens become those tokens."""
@@ -161,8 +149,7 @@ class ByteBpe:
         return self._encode(text)
 
     def _encode(self, text: str) -> bytes:
-        known, chunk = self.chunks.get, self.chunk
-        return b"".join([known(c) or chunk(c) for c in _CHUNK.findall(text)])
+        return b"".join(map(self.chunks.__getitem__, _CHUNK.findall(text)))
 
     def decode(self, ids: bytes) -> str:
         """Text of ids; bytes that aren't UTF-8 become U+FFFD."""

@@ -5,7 +5,7 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 import pyarrow.compute  # noqa: F401  (pa.compute)
@@ -16,6 +16,8 @@ from pyspark.sql import functions as F
 WORD = r"[^\x20\x09-\x0D]+"
 
 
+#: Latin letters, of which each is a letter to every tokenizer and stays itself under NFC; marks that may follow them.
+LATIN, MARKS = "A-Za-zÀ-ÖØ-öø-ÿ", ".,!?;:"
 #: Unicode White_Space, as characters of a class.
 SPACE = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
 
@@ -56,6 +58,25 @@ def binary_text(column: str = "text") -> F.Column:
     return F.coalesce(F.col(column).cast("binary"), F.lit(b"")).alias("text")
 
 
+class Memo(dict):
+    """Remembers what ``compute`` gave for recent keys: two generations of ``size`` keys, so that common ones stay and memory is bounded."""
+
+    def __init__(self, compute: Callable, size: int = 1 << 18, longest: int = 64) -> None:
+        self.compute, self.size, self.longest = compute, size, longest
+        self.old: dict = {}
+
+    def __missing__(self, key):
+        value = self.old.get(key)
+        if value is None:
+            value = self.compute(key)
+        if len(key) <= self.longest:
+            if len(self) >= self.size:
+                self.old = self.copy()
+                self.clear()
+            self[key] = value
+        return value
+
+
 #: Rows of the Arrow batches that Python workers get; whole texts make rows large.
 BATCH_ROWS = 500
 
