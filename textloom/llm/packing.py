@@ -12,6 +12,7 @@ from __future__ import annotations
 import heapq
 import re
 import zlib
+from array import array
 from collections.abc import Iterator
 from functools import partial
 
@@ -19,25 +20,27 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import SPACE, slices, table, texts_of
+from .bpe import byte_characters
+from .common import LATIN, MARKS, SPACE, Memo, slices, table, texts_of
 
 CAPACITY = 4096
 END = 2
 #: Tokens of a block, which a task holds at once (4 bytes each); a longer document is a block of its own.
 BLOCK_TOKENS = 2_000_000
-#: Chunks between white space whose ids a worker remembers.
-MEMO = 1 << 17
 #: Cost of a piece of n tokens: LINEAR * n + QUADRATIC * n * n.
 LINEAR, QUADRATIC = 1.0, 1.0 / 1024
 
 #: Text between white space, where the tokenizer's pattern always cuts.
 _CHUNK = re.compile(f"[^{SPACE}]+")
-#: Within ASCII the only characters at which ``str.split`` cuts and the pattern doesn't.
-_ODD = re.compile("[^\x00-\x1b -\x7f]|[\x1c-\x1f]")
+#: A word, which the pattern always parts from the punctuation after it.
+_LATIN = re.compile(f"[{LATIN}]+")
+#: The only characters at which ``str.split`` cuts and the pattern doesn't.
+_ODD = "\x1c\x1d\x1e\x1f"
 
 
-class WordTokens(dict):
-    """Chunk of text without white space -> its ids as little-endian 32-bit bytes. The tokenizer never joins text across white space."""
+class WordTokens:
+    """Encoder of text to ids as little-endian 32-bit bytes. The tokenizer never joins text across white space, so chunks between it
+    are encoded once and remembered; so are the words of chunks that are a word and its punctuation."""
 
     def __init__(self, path: str) -> None:
         from tokenizers import Tokenizer
@@ -45,17 +48,28 @@ class WordTokens(dict):
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
+        self.byte_text = {b: c for c, b in byte_characters().items()}
+        self.words = Memo(self.word, 1 << 19)
+        self.chunks = Memo(self.chunk, 1 << 18)
 
-    def __missing__(self, chunk: str) -> bytes:
-        if len(self) >= MEMO:
-            self.clear()
-        ids = np.array(self.tokenizer.encode(chunk, add_special_tokens=False).ids, "<u4").tobytes()
-        if len(chunk) <= 64:
-            self[chunk] = ids
-        return ids
+    def whole(self, text: str) -> bytes:
+        return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
+
+    def word(self, word: str) -> bytes:
+        """Ids of a normalised piece straight from the tokenizer's model, which takes each UTF-8 byte as its character."""
+        spelt = word if word.isascii() else word.encode().decode("latin-1").translate(self.byte_text)
+        return array("I", [t.id for t in self.tokenizer.model.tokenize(spelt)]).tobytes()
+
+    def chunk(self, chunk: str) -> bytes:
+        word = chunk.rstrip(MARKS)
+        if not (word.isalpha() if word.isascii() else _LATIN.fullmatch(word)):
+            return self.whole(chunk)
+        ids = self.words[word.lower()]
+        return ids if len(word) == len(chunk) else ids + self.words[chunk[len(word) :]]
 
     def encode(self, text: str) -> bytes:
-        return b"".join(map(self.__getitem__, text.split() if _ODD.search(text) is None else _CHUNK.findall(text)))
+        chunks = _CHUNK.findall(text) if any(c in text for c in _ODD) else text.split()
+        return b"".join(map(self.chunks.__getitem__, chunks))
 
 
 _tokens: dict[str, WordTokens] = {}
