@@ -1,10 +1,347 @@
-"""Queries over the driver's tables and the DuckDB SQL that checks them."""
+"""Queries over the driver's tables and the DuckDB SQL that checks them.
+
+``documents`` stand for files: their path is made of source, id and language. ``conversations`` are ledgers, ``events`` timed
+artifacts. Where a rule needs text that the tables lack (fences, style words, packs), both sides build it from the same rows.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions import cost, paths, text
+from ..operators import chunks, corpus, ledger, validate, writing
+from ..sources import packed
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
+PRICE_IN, PRICE_OUT = paths.PROVIDERS["anthropic"][1:3]
+CHUNKS = chunks.ChunkConfig(1000, 100)
+
+
+def query(sql: str | None):
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql is not None:
+            ORACLE_SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+def _table(spark: SparkSession, sf: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf}/{name}.parquet")
+
+
+def _files(spark: SparkSession, sf: str) -> DataFrame:
+    """Documents as files."""
+    ext = F.when(F.col("lang") == "en", ".py").when(F.col("lang") == "fr", ".ts").when(F.col("lang") == "de", ".rs").otherwise(".txt")
+    path = F.concat("source", F.lit("/doc"), F.col("doc_id").cast("string"), ext)
+    docs = _table(spark, sf, "documents").select(F.col("doc_id").alias("ord"), path.alias("path"), "source", F.coalesce("text", F.lit("")).alias("original_content"))
+    return corpus.compressed(docs.withColumn("language", paths.language(F.col("path"))))
+
+
+_F = """f as (select *, strlen(original_content)::bigint as original_size, strlen(compressed_content)::bigint as compressed_size,
+  case when path like '%.py' then 'python' when path like '%.ts' then 'typescript' when path like '%.rs' then 'rust' end as language from (
+  select *, case when len(ls) > 0 then array_to_string(ls, chr(10)) || chr(10) else '' end as compressed_content from (
+  select *, [y for y in [trim(regexp_replace(x, '[ \\t\\r]+', ' ', 'g')) for x in string_split(original_content, chr(10))] if y <> ''] as ls from (
+  select doc_id as ord, source, source || '/doc' || doc_id || case lang when 'en' then '.py' when 'fr' then '.ts' when 'de' then '.rs' else '.txt' end as path,
+  coalesce(text, '') as original_content from documents))))"""
+_TOK = "((strlen(compressed_content) + 3) // 4)"
+
+
+@query(f"with {_F} select ord, path, compressed_content, compressed_size from f")
+def whitespace_compress(spark, sf):
+    return _files(spark, sf).select("ord", "path", "compressed_content", "compressed_size")
+
+
+@query("select doc_id, ((strlen(text) + 3) // 4)::bigint as tokens_up, (strlen(text) // 4)::bigint as tokens_down, len([w for w in regexp_split_to_array(text, '\\s+') if w <> ''])::bigint as words from documents")
+def token_estimates(spark, sf):
+    c = F.col("text")
+    return _table(spark, sf, "documents").select("doc_id", text.tokens_up(c).alias("tokens_up"), text.tokens_down(text.byte_size(c)).alias("tokens_down"), text.word_count(c).alias("words"))
+
+
+@query(f"with {_F} select coalesce(language, 'unknown') as language, count(*) as files, sum(original_size)::bigint as original_size, sum(compressed_size)::bigint as compressed_size, sum{_TOK}::bigint as tokens, case when sum(compressed_size) < sum(original_size) and sum(compressed_size) > 0 then trunc((1.0::double - sum(compressed_size)::double / sum(original_size)::double) * 100)::int end as reduction_percent, sum{_TOK}::double / 1000.0::double * 0.003::double + (4096 + 500 * 3)::double / 1000.0::double * 0.015::double as estimated_cost from f group by 1")
+def dry_run_report(spark, sf):
+    return corpus.dry_run(_files(spark, sf), 3, PRICE_IN, PRICE_OUT)
+
+
+@query(f"with {_F} select count(*) as total_files, sum(original_size)::bigint as total_original_size, sum(compressed_size)::bigint as total_compressed_size, sum(compressed_size)::double / sum(original_size)::double as compression_ratio from f")
+def corpus_metadata(spark, sf):
+    return corpus.metadata(_files(spark, sf))
+
+
+@query(f"with {_F} select language, count(*) as files from f where language is not null group by 1")
+def language_histogram(spark, sf):
+    return corpus.language_histogram(_files(spark, sf))
+
+
+@query(f"with {_F} select 'whitespace' as compression_method, count(*) as files, sum(original_size)::bigint as original_size, sum(compressed_size)::bigint as compressed_size from f")
+def method_breakdown(spark, sf):
+    return corpus.method_breakdown(_files(spark, sf))
+
+
+@query(f"with {_F}, t as (select coalesce(language, 'unknown') as language, path, {_TOK}::bigint as tokens, row_number() over (partition by coalesce(language, 'unknown') order by {_TOK} desc, path) as rank from f) select language, count(*) as files, sum(tokens)::bigint as tokens, string_agg(path || ':' || tokens, ',' order by rank) filter (where rank <= 3) as top_files, greatest(count(*) - 3, 0)::bigint as more from t group by 1")
+def tokens_by_language(spark, sf):
+    return corpus.by_language(_files(spark, sf))
+
+
+@query("with h as (select source as language, count(*) as files from documents group by 1), r as (select *, row_number() over (order by files desc, language) as k from h) select case when k <= 3 then language else 'other' end as language, sum(files)::bigint as files from r group by 1")
+def language_top3_other(spark, sf):
+    return corpus.top_languages(_table(spark, sf, "documents").groupBy(F.col("source").alias("language")).agg(F.count("*").alias("files")))
+
+
+@query(f"with {_F} select source, sha256(string_agg('--- ' || path || ' ---' || chr(10) || compressed_content || chr(10) || chr(10), '' order by ord)) as sha256 from f group by 1")
+def formatted_corpus(spark, sf):
+    return corpus.formatted_corpus(_files(spark, sf), "source").select("source", F.sha2(F.col("corpus").cast("binary"), 256).alias("sha256"))
+
+
+_LEDGER = "l as (select conv_id, turn, len(text)::bigint as input_tokens, (strlen(text) // 4)::bigint as output_tokens from conversations)"
+
+
+def _ledger(spark, sf):
+    return _table(spark, sf, "conversations").select("conv_id", "turn", F.char_length("text").cast("long").alias("input_tokens"), text.tokens_down(text.byte_size(F.col("text"))).alias("output_tokens"))
+
+
+@query(f"with {_LEDGER}, r as (select *, sum(input_tokens) over w as running_in, sum(output_tokens) over w as running_out, row_number() over (partition by conv_id order by turn) as k, count(*) over (partition by conv_id) as m from l window w as (partition by conv_id order by turn rows unbounded preceding)) select conv_id, turn, running_in::bigint as running_in, running_out::bigint as running_out, running_in::double / 1000.0::double * 0.003::double + running_out::double / 1000.0::double * 0.015::double as running_cost, (running_in::double / 1000.0::double * 0.003::double + running_out::double / 1000.0::double * 0.015::double) - ((running_in - input_tokens)::double / 1000.0::double * 0.003::double + (running_out - output_tokens)::double / 1000.0::double * 0.015::double) as cost_delta, k || ' of ' || m as place from r")
+def running_cost(spark, sf):
+    return ledger.running_cost(_ledger(spark, sf), "conv_id", "turn", PRICE_IN, PRICE_OUT)
+
+
+@query(f"with {_LEDGER}, s as (select conv_id, sum(input_tokens)::bigint as input_tokens, sum(output_tokens)::bigint as output_tokens, count(*) as operations from l group by 1), t as (select *, input_tokens + output_tokens as total_tokens, input_tokens::double / 1000.0::double * 0.003::double + output_tokens::double / 1000.0::double * 0.015::double as total_cost from s) select *, total_cost / operations as average_cost from t")
+def ledger_summary(spark, sf):
+    return ledger.summary(_ledger(spark, sf), PRICE_IN, PRICE_OUT, "conv_id")
+
+
+_CHUNKS = """n as (select doc_id, text, len(text)::bigint as n, case when len(text) <= 1000 then 1 else ceil(len(text) / 900.0)::bigint end as k from documents),
+w as (select doc_id, text, n, i::int as chunk_id, case when i = 0 then 0 else i * 900 - 100 end::bigint as start, case when i = 0 then least(n, 1000) else least(n, (i + 1) * 900) end::bigint as "end" from (select *, unnest(range(k)) as i from n))"""
+
+
+@query(f"""with {_CHUNKS} select doc_id, chunk_id, start, "end", substr(text, start + 1, "end" - start) as content, "end" - start as token_count, case when chunk_id = 0 then 0 else least(100, "end" - start) end::bigint as overlap_token_count from w""")
+def chunk_text(spark, sf):
+    return chunks.chunked(_table(spark, sf, "documents"), "doc_id", "text", CHUNKS)
+
+
+@query(f"""with {_CHUNKS}, g as (select doc_id, count(*) as chunks, sum("end" - start)::bigint as chunk_tokens from w group by 1), h as (select *, (chunk_tokens + case when chunks > 1 then 10000 else 0 end + 1000)::bigint as input_tokens, (chunks * 4096 + case when chunks > 1 then 4096 else 0 end + 1000)::bigint as output_tokens from g) select *, input_tokens::double / 1000.0::double * 0.003::double + output_tokens::double / 1000.0::double * 0.015::double as estimated_cost from h""")
+def pre_run_breakdown(spark, sf):
+    return ledger.pre_run(chunks.chunked(_table(spark, sf, "documents"), "doc_id", "text", CHUNKS), "doc_id", 2, PRICE_IN, PRICE_OUT)
+
+
+@query("with p(provider, context_limit, i, o) as (values ('anthropic', 200000, 0.003::double, 0.015::double), ('openai', 128000, 0.0025::double, 0.010::double), ('ollama', 100000, 0.0::double, 0.0::double), ('openrouter', 128000, 0.0::double, 0.0::double)), t as (select source, (sum(strlen(text)) // 4)::bigint as tokens from documents group by 1) select source, provider, tokens, tokens > context_limit as needs_chunks, tokens::double / 1000.0::double * i + 4096.0::double / 1000.0::double * o as cost from t, p")
+def provider_cost_matrix(spark, sf):
+    totals = _table(spark, sf, "documents").groupBy("source").agg(text.tokens_down(F.sum(text.byte_size(F.col("text")))).alias("tokens"))
+    prices = F.explode(F.array(*[F.struct(F.lit(k).alias("provider"), F.lit(v[0]).alias("limit"), F.lit(v[1]).alias("i"), F.lit(v[2]).alias("o")) for k, v in paths.PROVIDERS.items()]))
+    out = totals.select("source", "tokens", prices.alias("p"))
+    return out.select("source", "p.provider", "tokens", (F.col("tokens") > F.col("p.limit")).alias("needs_chunks"), cost.cost(F.col("tokens"), cost.ANALYSIS_TOKENS, F.col("p.i"), F.col("p.o")).alias("cost"))
+
+
+@query(r"""with t as (select doc_id, text || ' Api_key apikey=abcdefgh12 bearer ABCDEFGHIJ sk-' || doc_id || '-abcdefgh' as t from documents) select doc_id, regexp_replace(regexp_replace(regexp_replace(regexp_replace(t, '(api[_-]?key\s*[:=]\s*)["'']?[A-Za-z0-9_\-]{8,}["'']?', '\1[REDACTED]', 'g'), '(token\s*[:=]\s*)["'']?[A-Za-z0-9_\-\.]{8,}["'']?', '\1[REDACTED]', 'g'), '(?i)(bearer\s+)[A-Za-z0-9_\-\.]{8,}', '\1[REDACTED]', 'g'), 'sk-[A-Za-z0-9_\-]{8,}', '[REDACTED]', 'g') as redacted from t""")
+def redact_secrets(spark, sf):
+    t = F.concat("text", F.lit(" Api_key apikey=abcdefgh12 bearer ABCDEFGHIJ sk-"), F.col("doc_id").cast("string"), F.lit("-abcdefgh"))
+    return _table(spark, sf, "documents").select("doc_id", text.redacted(t).alias("redacted"))
+
+
+_RAGGED = "replace(text, chr(10), case doc_id % 3 when 0 then '  ' || chr(13) || chr(10) when 1 then chr(9) || chr(13) else ' ' || chr(10) end) || repeat(chr(10), (doc_id % 4)::int)"
+
+
+@query(f"with t as (select doc_id, regexp_replace(regexp_replace({_RAGGED}, '\\r\\n?', chr(10), 'g'), '[ \\t]+(\\n|$)', '\\1', 'g') as t from documents) select doc_id, case when t = '' then t when t like '%' || chr(10) || chr(10) then left(t, len(t) - 1) when t like '%' || chr(10) then t else t || chr(10) end as normalised from t")
+def normalize_content(spark, sf):
+    ending = F.when(F.col("doc_id") % 3 == 0, "  \r\n").when(F.col("doc_id") % 3 == 1, "\t\r").otherwise(" \n")
+    ragged = F.concat(F.replace("text", F.lit("\n"), ending), F.repeat(F.lit("\n"), (F.col("doc_id") % 4).cast("int")))
+    return _table(spark, sf, "documents").select("doc_id", text.normalised(ragged).alias("normalised"))
+
+
+_PATHS = "p as (select page_id, regexp_replace(url, '^[a-z]+://', '') || (['.ts', '.py', '/.env', '.tar.gz', '', '.RS', '.hpp', '/x.go'])[(page_id % 8 + 1)::int] as path from pages)"
+
+
+def _paths(spark, sf):
+    tail = F.element_at(F.array(*map(F.lit, (".ts", ".py", "/.env", ".tar.gz", "", ".RS", ".hpp", "/x.go"))), (F.col("page_id") % 8 + 1).cast("int"))
+    return _table(spark, sf, "pages").select("page_id", F.concat(F.regexp_replace("url", "^[a-z]+://", ""), tail).alias("path"))
+
+
+@query(f"with {_PATHS}, e as (select page_id, path, nullif(regexp_extract(path, '[^/]\\.([^./]+)$', 1), '') as ext from p) select page_id, path, ext as extension, case when ext in ('ts','tsx') then 'typescript' when ext in ('js','jsx') then 'javascript' when ext = 'py' then 'python' when ext = 'rs' then 'rust' when ext = 'go' then 'go' when ext = 'java' then 'java' when ext in ('c','h') then 'c' when ext in ('cpp','hpp','cc','cxx') then 'cpp' when ext = 'rb' then 'ruby' when ext = 'php' then 'php' end as language from e")
+def extension_language(spark, sf):
+    c = F.col("path")
+    return _paths(spark, sf).select("page_id", "path", paths.extension(c).alias("extension"), paths.language(c).alias("language"))
+
+
+@query(f"with {_PATHS} select page_id, path from p where (regexp_matches(path, '\\.(ts|py|go)$') or path like '%.hpp') and not (path like '%1._%' or path like '%3.__')")
+def include_exclude(spark, sf):
+    return _paths(spark, sf).where(paths.kept_path(F.col("path"), ["**/*.{ts,py,go}", "*.hpp"], ["*1.?*", "**/*3.??"]))
+
+
+_RENDERED = """r as (select doc_id, (['cursor','claude','copilot','windsurf','aider','generic'])[(doc_id % 6 + 1)::int] || ':' || doc_id as format,
+  case doc_id % 7 when 0 then '---' || chr(10) || 'description: x' || chr(10) || '---' || chr(10) when 1 then '---' || chr(10) else '' end
+  || case doc_id % 5 when 0 then '# Title' || chr(10) when 1 then '```' || chr(10) when 2 then 'Use tabs. ' else '' end
+  || case doc_id % 4 when 0 then 'use spaces, 4 space indent, single quotes ' when 1 then 'line length: 100 and snake_case, double quotes; omit semicolons. ' when 2 then 'always use semicolons, camelCase ' else '' end
+  || case when doc_id % 11 = 0 then ' ' else left(text, 80) end
+  || case when doc_id % 3 = 0 then ' see `src0/doc' || (doc_id % 40) || '.py` or lib/none' || doc_id || '.rs, http://a/b.c and v1.2/x.y Kotlin kotlin KOTLIN' else '' end as content from documents)"""
+
+
+def _rendered(spark, sf):
+    d = F.col("doc_id")
+    kinds = F.element_at(F.array(*map(F.lit, ("cursor", "claude", "copilot", "windsurf", "aider", "generic"))), (d % 6 + 1).cast("int"))
+    content = F.concat(
+        F.when(d % 7 == 0, "---\ndescription: x\n---\n").when(d % 7 == 1, "---\n").otherwise(""),
+        F.when(d % 5 == 0, "# Title\n").when(d % 5 == 1, "```\n").when(d % 5 == 2, "Use tabs. ").otherwise(""),
+        F.when(d % 4 == 0, "use spaces, 4 space indent, single quotes ").when(d % 4 == 1, "line length: 100 and snake_case, double quotes; omit semicolons. ").when(d % 4 == 2, "always use semicolons, camelCase ").otherwise(""),
+        F.when(d % 11 == 0, " ").otherwise(F.left("text", F.lit(80))),
+        F.when(d % 3 == 0, F.concat(F.lit(" see `src0/doc"), (d % 40).cast("string"), F.lit(".py` or lib/none"), d.cast("string"), F.lit(".rs, http://a/b.c and v1.2/x.y Kotlin kotlin KOTLIN"))).otherwise(""),
+    )
+    return _table(spark, sf, "documents").select("doc_id", F.concat(kinds, F.lit(":"), d.cast("string")).alias("format"), content.alias("content"))
+
+
+@query(f"with {_RENDERED} select format, ((len(content) - len(replace(content, '```', ''))) // 3) % 2 = 1 as fence_open, trim(regexp_replace(content, '\\s+', ' ', 'g')) = '' as is_empty, contains(content, '# ') as has_heading, regexp_matches(content, '(?i)\\buse\\s+tabs\\b') and regexp_matches(content, '(?i)\\buse\\s+spaces\\b') as contradiction from r")
+def content_rules(spark, sf):
+    c = F.col("content")
+    return _rendered(spark, sf).select("format", text.fence_unbalanced(c).alias("fence_open"), validate.empty(c).alias("is_empty"), c.contains("# ").alias("has_heading"), validate.contradiction(c).alias("contradiction"))
+
+
+_KIND = "split_part(format, ':', 1)"
+
+
+@query(f"""with {_RENDERED}, k as (select {_KIND} as format, content, trim(regexp_replace(content, '\\s+', ' ', 'g')) = '' as e, ((len(content) - len(replace(content, '```', ''))) // 3) % 2 = 1 as o, case when starts_with(content, '---') then substr(content, 4) end as b from r),
+f as (select format, 'error' as severity, 'syntax' as layer, 'content is empty' as message from k where e union all select format, 'error', 'syntax', 'code fence is not closed' from k where not e and o
+union all select format, 'error', 'schema', 'frontmatter is not closed' from k where format = 'cursor' and b is not null and instr(b, '---') = 0
+union all select format, 'warning', 'schema', 'frontmatter has no description' from k where format = 'cursor' and instr(b, '---') > 0 and not contains(substr(b, 1, instr(b, '---') - 1), 'description:')
+union all select format, 'error', 'schema', 'no heading' from k where format = 'claude' and not contains(content, '# ') union all select format, 'error', 'schema', 'content is empty' from k where e and format in ('copilot', 'windsurf', 'aider', 'generic'))
+select format, severity, layer, message, count(*) as n from f group by all""")
+def syntax_findings(spark, sf):
+    rows = _rendered(spark, sf).select(F.split_part("format", F.lit(":"), F.lit(1)).alias("format"), "content")
+    return validate.syntax(rows).groupBy("format", "severity", "layer", "message").agg(F.count("*").alias("n"))
+
+
+_REFS = f"""{_RENDERED}, x as (select distinct format, unnest(regexp_extract_all(content, '(?:^|[\\s`"''])([A-Za-z0-9_./-]+\\.[A-Za-z0-9]+)(?:[\\s`"'',;:)]|$)', 1)) as ref from r),
+refs as (select * from x where not (starts_with(ref, 'http') or starts_with(ref, 'ftp') or contains(ref, '://') or regexp_matches(ref, '^v[012]\\.') or regexp_matches(ref, '\\.(com|org|io|dev)$')) and contains(ref, '/'))"""
+
+
+@query(f"with {_REFS} select format, ref from refs")
+def path_refs(spark, sf):
+    return validate.path_references(_rendered(spark, sf))
+
+
+@query(f"with {_REFS}, files as (select distinct source || '/doc' || doc_id || '.py' as path from documents where lang = 'en') select format, ref from refs where not exists (select 1 from files where path = ref or ends_with(ref, path) or ends_with(path, ref))")
+def dangling_refs(spark, sf):
+    files = _files(spark, sf).where("language = 'python'")
+    return validate.dangling(validate.path_references(_rendered(spark, sf)), files)
+
+
+_CONV = """c as (select format, case when regexp_matches(content, '(?i)\\buse\\s+tabs\\b') then 'tabs' when regexp_matches(content, '(?i)\\buse\\s+spaces\\b') then 'spaces' end as indentation_style, try_cast(nullif(regexp_extract(content, '(?i)\\b(\\d+)[ -]*(?:space|indent)', 1), '') as int) as indent_width,
+case when regexp_matches(content, '(?i)camel[ _]?case') then 'camelCase' when regexp_matches(content, '(?i)snake[ _]?case') then 'snake_case' end as naming, try_cast(nullif(regexp_extract(content, '(?i)\\b(?:max|maximum|line)\\s+(?:line\\s+)?(?:length|width|chars?)\\s*(?:of|:|=)?\\s*(\\d+)', 1), '') as int) as ll,
+case when regexp_matches(content, '(?i)\\b(?:always use|require|use)\\s+semicolons?\\b') then 'always' when regexp_matches(content, '(?i)\\b(?:no|omit|avoid|don''t use)\\s+semicolons?\\b') then 'never' end as semicolons, case when regexp_matches(content, '(?i)single\\s+quotes?') then 'single' when regexp_matches(content, '(?i)double\\s+quotes?') then 'double' end as quote_style from r),
+s as (select * exclude (ll), case when ll between 40 and 500 then ll end as line_length from c)"""
+
+
+@query(f"with {_RENDERED}, {_CONV} select format, indentation_style, indent_width, naming, line_length, semicolons, quote_style from s")
+def convention_extraction(spark, sf):
+    return validate.conventions(_rendered(spark, sf))
+
+
+@query(f"with {_RENDERED}, {_CONV}, l as (" + " union all ".join(f"select format, '{n}' as name, {n}::varchar as value from s" for n in validate.CONFLICTING) + ") select name, sha256(string_agg(format || '=' || value, ', ' order by encode(format || '=' || value))) as stated from l where value is not null group by name having count(distinct value) > 1")
+def cross_format_conflicts(spark, sf):
+    out = validate.conflicts(validate.conventions(_rendered(spark, sf)))
+    return out.select("name", F.sha2(F.col("stated").cast("binary"), 256).alias("stated"))
+
+
+@query(f"with {_RENDERED}, {_CONV}, q as (select * from s where split_part(format, ':', 2)::bigint % 4 <= 1 or split_part(format, ':', 2)::bigint % 20 = 3), l as (" + " union all ".join(f"select format, '{n}' as name, {n}::varchar as value from q" for n in validate.REQUIRED) + ") select name, sha256(string_agg(format, ', ' order by encode(format)) filter (where value is null)) as without from l group by name having count(*) >= 2 and count(value) > count(*) // 2 and count(value) < count(*)")
+def cross_format_missing(spark, sf):
+    n = F.split_part("format", F.lit(":"), F.lit(2)).cast("long")
+    out = validate.missing(validate.conventions(_rendered(spark, sf)).where((n % 4 <= 1) | (n % 20 == 3)))
+    return out.select("name", F.sha2(F.col("without").cast("binary"), 256).alias("without"))
+
+
+@query(f"with {_RENDERED} select format, 'kotlin' as language, ((len(content) - len(regexp_replace(lower(content), '\\bkotlin\\b', '', 'g'))) // 6)::bigint as mentions from r where regexp_matches(lower(content), '\\bkotlin\\b.*\\bkotlin\\b.*\\bkotlin\\b')")
+def language_reality(spark, sf):
+    return validate.language_mentions(_rendered(spark, sf), _files(spark, sf))
+
+
+@query("""with j as (select event_id, case event_id % 6 when 0 then props when 1 then props || ' x' when 2 then '{}' when 3 then 'null' when 4 then '[' || props || ']' else '{"a": ' end as c from events)
+select event_id, case when not json_valid(c) then 'syntax' when json_type(c) = 'NULL' or c = '{}' then 'schema' end as problem from j""")
+def json_validity(spark, sf):
+    e, p = F.col("event_id"), F.col("props")
+    content = F.when(e % 6 == 0, p).when(e % 6 == 1, F.concat(p, F.lit(" x"))).when(e % 6 == 2, "{}").when(e % 6 == 3, "null").when(e % 6 == 4, F.concat(F.lit("["), p, F.lit("]"))).otherwise('{"a": ')
+    rows = _table(spark, sf, "events").select("event_id", content.alias("content"))
+    return rows.select("event_id", validate.json_problem(F.col("content")).alias("problem"))
+
+
+@query("select event_id, user_id, row_number() over (partition by user_id order by ts desc, event_id desc)::int as age_rank from events qualify age_rank > 5")
+def retention_newest5(spark, sf):
+    return writing.expired_backups(_table(spark, sf, "events"), "user_id", "ts", "event_id").select("event_id", "user_id", "age_rank")
+
+
+@query("with n as (select max(ts) - interval 1 hour as t from events) select count_if(t - ts > interval 24 hours)::bigint as deleted, count_if(t - ts <= interval 24 hours and ts <= t)::bigint as kept, count_if(ts > t)::bigint as skipped from events, n")
+def age_cleanup(spark, sf):
+    events = _table(spark, sf, "events")
+    now = events.agg(F.max("ts")).first()[0]  # one value
+    return writing.cleanup_counts(events, F.col("ts"), F.lit(now) - F.expr("interval 1 hour"))
+
+
+@query("select user_id, max(event_id) as event_id, arg_max(event_type, event_id) as event_type, arg_max(value, event_id) as value from events group by 1")
+def last_write_wins(spark, sf):
+    return writing.last_write(_table(spark, sf, "events"), "user_id", "event_id", "event_type", "value")
+
+
+_REQ = "(select * from (values ('cursor', '.cursor/rules/project.mdc'), ('claude', 'CLAUDE.md'), ('copilot', '.github/copilot-instructions.md'), ('windsurf', '.windsurfrules'), ('aider', '.aider.conf.yml'), ('generic', 'AI_RULES.md'), ('json', 'AI_RULES.json')) f(format, p), (values ('prompt'), ('overwrite'), ('skip'), ('smart-merge'), ('whatever')) s(strategy), (values (true), (false)) i(interactive))"
+
+
+@query(f"""select format, path, e as exists, strategy, interactive, case when not e then 'create' when strategy in ('overwrite', 'skip') then strategy when not interactive then 'error' when strategy = 'smart-merge' then 'merge' else 'ask' end as action
+from (select *, case when format = 'claude' then 'docs/CLAUDE.md' else p end as path, format in ('cursor', 'claude', 'json') as e from {_REQ})""")
+def conflict_actions(spark, sf):
+    rows = [(f, s, i) for f in paths.FORMATS for s in (*writing.STRATEGIES, "whatever") for i in (True, False)]
+    requests = spark.createDataFrame(rows, "format string, strategy string, interactive boolean")
+    overrides = spark.createDataFrame([("claude", "docs/CLAUDE.md")], "format string, override string")
+    existing = spark.createDataFrame([(paths.FORMATS["cursor"],), ("docs/CLAUDE.md",), (paths.FORMATS["json"],), ("CLAUDE.md",)], "path string")
+    return writing.planned_writes(requests, overrides, existing)
+
+
+@query("select range::int as attempt, least(1000 * pow(2, least(range, 10)), 60000)::bigint as delay_ms, least(round(0.7::double + 0.1::double * (range - 1), 6), 0.9::double) as temperature from range(13)")
+def retry_schedule(spark, sf):
+    a = F.col("id").cast("int")
+    return spark.range(13).select(a.alias("attempt"), cost.backoff_ms(a).alias("delay_ms"), cost.fix_temperature(a).alias("temperature"))
+
+
+@query("select page_id, case when page_id % 5 = 0 then 'xml' when page_id % 5 = 1 then 'json' when page_id % 5 = 2 then 'xml' when page_id % 5 = 3 then 'json' else 'markdown' end as kind from pages")
+def format_detect(spark, sf):
+    i = F.col("page_id") % 5
+    path = F.when(i == 0, "a/pack.xml").when(i == 1, "pack.JSON").otherwise("pack")
+    content = F.when(i == 2, '<file path="x">').when(i == 3, ' {"files": {}}').otherwise("text\n## File: x")
+    return _table(spark, sf, "pages").select("page_id", paths.packed_format(path, content).alias("kind"))
+
+
+_PACK = """select pack, ord::int as ord, source || '/' || k || '.txt' as path, t as content from (select source, doc_id % 3 as pack_kind, source || '-' || (doc_id % 3) || (['.md','.json','.xml'])[(doc_id % 3 + 1)::int] as pack, doc_id as k, regexp_replace(left(text, 200), '[^A-Za-z ]', '.', 'g') || '.' as t, row_number() over (partition by source, doc_id % 3 order by doc_id) - 1 as ord from documents)"""
+
+
+@query(_PACK)
+def packed_files(spark, sf):
+    d = F.col("doc_id")
+    t = F.concat(F.regexp_replace(F.left("text", F.lit(200)), "[^A-Za-z ]", "."), F.lit("."))
+    kind = (d % 3).alias("kind")
+    docs = _table(spark, sf, "documents").select("source", kind, d, F.concat("source", F.lit("/"), d.cast("string"), F.lit(".txt")).alias("path"), t.alias("t"))
+    part = F.when(F.col("kind") == 0, F.concat(F.lit("## File: "), "path", F.lit("\n\n```text\n"), "t", F.lit("```\n\n"))).when(F.col("kind") == 1, F.to_json(F.struct("path", F.col("t").alias("content")))).otherwise(F.concat(F.lit('<file path="'), "path", F.lit('">'), "t", F.lit("</file>")))
+    parts = F.transform(F.array_sort(F.collect_list(F.struct("doc_id", part.alias("p")))), lambda r: r["p"])
+    packs = docs.groupBy("source", "kind").agg(parts.alias("parts"))
+    name = F.concat("source", F.lit("-"), F.col("kind").cast("string"), F.element_at(F.array(F.lit(".md"), F.lit(".json"), F.lit(".xml")), (F.col("kind") + 1).cast("int")))
+    content = F.when(F.col("kind") == 0, F.array_join("parts", "")).when(F.col("kind") == 1, F.concat(F.lit("["), F.array_join("parts", ","), F.lit("]"))).otherwise(F.concat(F.lit("<files>"), F.array_join("parts", ""), F.lit("</files>")))
+    return packed.parsed(packs.select(name.alias("path"), content.alias("content")))
+
+
+@query("select doc_id, case when doc_id % 6 in (0, 1, 2, 4) then true else false end as retry from documents")
+def retryable_errors(spark, sf):
+    messages = ("Rate limit reached", "network unreachable", "HTTP 503", "HTTP 404 not found", "Server Error in model", "invalid key")
+    m = F.element_at(F.array(*map(F.lit, messages)), (F.col("doc_id") % 6 + 1).cast("int"))
+    return _table(spark, sf, "documents").select("doc_id", paths.retryable(m).alias("retry"))
+
+
+@query("""select doc_id, case when regexp_matches(lower(t), '\\brust\\b') then 'rust' when regexp_matches(lower(t), '\\btypescript\\b') then 'typescript' when regexp_matches(lower(t), '\\bpython\\b') then 'python' when regexp_matches(lower(t), '\\bc\\+\\+') then 'cpp' else 'text' end as primary_language, case when regexp_matches(lower(t), 'gpt-4o') then 'o200k' when regexp_matches(lower(t), 'claude') then 'anthropic' else 'cl100k' end as tokenizer
+from (select doc_id, left(text, 20) || (['Python and Rust', 'TypeScript', 'C++ code', 'gpt-4o', 'claude python', 'trusty'])[(doc_id % 6 + 1)::int] as t from (select doc_id, '' as text from documents))""")
+def primary_language(spark, sf):
+    t = F.element_at(F.array(*map(F.lit, ("Python and Rust", "TypeScript", "C++ code", "gpt-4o", "claude python", "trusty"))), (F.col("doc_id") % 6 + 1).cast("int"))
+    return _table(spark, sf, "documents").select("doc_id", paths.primary_language(t).alias("primary_language"), paths.tokenizer_family(t).alias("tokenizer"))
+
+
+@query("select doc_id, case when s >= 1048576 then printf('%.1f MB', s / 1048576.0) when s >= 1024 then printf('%.1f KB', s / 1024.0) else s || ' B' end as size, case when s >= 60000 then printf('%dm %.1fs', s // 60000, s / 1000.0 - 60 * (s // 60000)) else printf('%.1fs', s / 1000.0) end as duration from (select doc_id, (strlen(text) * 7)::bigint as s from documents)")
+def size_texts(spark, sf):
+    s = text.byte_size(F.col("text")) * 7
+    return _table(spark, sf, "documents").select("doc_id", text.size_text(s).alias("size"), text.duration_text(s).alias("duration"))
