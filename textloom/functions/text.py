@@ -66,9 +66,10 @@ def size_text(size: Column) -> Column:
 
 
 def duration_text(milliseconds: Column) -> Column:
-    """Seconds with one decimal, with minutes before them from a minute on."""
-    seconds = milliseconds / 1000.0
-    return F.when(milliseconds >= 60_000, F.format_string("%dm %.1fs", F.floor(seconds / 60).cast("long"), F.bround(seconds - 60 * F.floor(seconds / 60), 1))).otherwise(F.format_string("%.1fs", F.bround(seconds, 1)))
+    """Seconds with one decimal (half a tenth counts up), with minutes before them from a minute on."""
+    tenths = F.floor((milliseconds + 50) / 100).cast("long")
+    seconds = lambda t: F.concat(F.floor(t / 10).cast("string"), F.lit("."), (t % 10).cast("string"), F.lit("s"))
+    return F.when(tenths >= 600, F.concat(F.floor(tenths / 600).cast("string"), F.lit("m "), seconds(tenths % 600))).otherwise(seconds(tenths))
 
 
 def fence_unbalanced(text: Column) -> Column:

@@ -341,7 +341,7 @@ def primary_language(spark, sf):
     return _table(spark, sf, "documents").select("doc_id", paths.primary_language(t).alias("primary_language"), paths.tokenizer_family(t).alias("tokenizer"))
 
 
-@query("select doc_id, case when s >= 1048576 then printf('%.1f MB', s / 1048576.0) when s >= 1024 then printf('%.1f KB', s / 1024.0) else s || ' B' end as size, case when s >= 60000 then printf('%dm %.1fs', s // 60000, s / 1000.0 - 60 * (s // 60000)) else printf('%.1fs', s / 1000.0) end as duration from (select doc_id, (strlen(text) * 7)::bigint as s from documents)")
+@query("select doc_id, case when s >= 1048576 then printf('%.1f MB', s / 1048576.0) when s >= 1024 then printf('%.1f KB', s / 1024.0) else s || ' B' end as size, case when t >= 600 then t // 600 || 'm ' || (t % 600) // 10 || '.' || t % 10 || 's' else t // 10 || '.' || t % 10 || 's' end as duration from (select doc_id, (strlen(text) * 7)::bigint as s, (strlen(text) * 7 + 50)::bigint // 100 as t from documents)")
 def size_texts(spark, sf):
     s = text.byte_size(F.col("text")) * 7
     return _table(spark, sf, "documents").select("doc_id", text.size_text(s).alias("size"), text.duration_text(s).alias("duration"))
