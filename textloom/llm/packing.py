@@ -40,7 +40,7 @@ _ODD = "\x1c\x1d\x1e\x1f"
 
 class WordTokens:
     """Encoder of text to ids as little-endian 32-bit bytes. The tokenizer never joins text across white space, so chunks between it
-    are encoded once and remembered; so are the words of chunks that are a word and its punctuation."""
+    are encoded once and remembered; a word with punctuation or capitals is put together from its plain word and its marks."""
 
     def __init__(self, path: str) -> None:
         from tokenizers import Tokenizer
@@ -49,8 +49,7 @@ class WordTokens:
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
         self.byte_text = {b: c for c, b in byte_characters().items()}
-        self.words = Memo(self.word, 1 << 19)
-        self.chunks = Memo(self.chunk, 1 << 18)
+        self.chunks = Memo(self.chunk, 1 << 19)
 
     def whole(self, text: str) -> bytes:
         return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
@@ -63,9 +62,12 @@ class WordTokens:
     def chunk(self, chunk: str) -> bytes:
         word = chunk.rstrip(MARKS)
         if not (word.isalpha() if word.isascii() else _LATIN.fullmatch(word)):
-            return self.whole(chunk)
-        ids = self.words[word.lower()]
-        return ids if len(word) == len(chunk) else ids + self.words[chunk[len(word) :]]
+            return self.whole(chunk) if word else self.word(chunk)
+        low = word.lower()
+        if low == chunk:
+            return self.word(chunk)
+        ids = self.chunks[low]
+        return ids if len(word) == len(chunk) else ids + self.chunks[chunk[len(word) :]]
 
     def encode(self, text: str) -> bytes:
         chunks = _CHUNK.findall(text) if any(c in text for c in _ODD) else text.split()
