@@ -13,12 +13,17 @@ from textloom.llm.common import documents, shared_dir
 from textloom.llm.queries import tokenizer_path
 
 
+#: A column name that no input has.
+_CHANGE = "_textloom_change"
+
+
 def _retext(docs: DataFrame, changed: DataFrame) -> DataFrame:
     """``docs`` with the texts of ``changed`` (doc_id, new_text, emptied). Rows without a new text stay as they are, emptied ones go."""
-    out = docs.join(changed.dropDuplicates(["doc_id"]), "doc_id", "left").where("not coalesce(emptied, false)")
-    text = F.coalesce("new_text", "text")
-    count = F.when(F.col("new_text").isNull(), F.col("n_chars")).otherwise(F.char_length("new_text").cast("long"))
-    return out.select(*[text.alias("text") if c == "text" else count.alias("n_chars") if c == "n_chars" else F.col(c) for c in docs.columns])
+    changed = changed.dropDuplicates(["doc_id"]).select("doc_id", F.struct("new_text", "emptied").alias(_CHANGE))
+    out = docs.join(changed, "doc_id", "left").where(~F.coalesce(F.col(_CHANGE)["emptied"], F.lit(False)))
+    new = F.col(_CHANGE)["new_text"]
+    count = F.when(new.isNull(), F.col("n_chars")).otherwise(F.char_length(new).cast("long"))
+    return out.select(*[F.coalesce(new, "text").alias("text") if c == "text" else count.alias("n_chars") if c == "n_chars" else F.col(c) for c in docs.columns])
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
