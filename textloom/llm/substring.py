@@ -30,6 +30,8 @@ WINDOW = 50
 GRAM = 8
 #: Windows that one bucket may gather in a task.
 BUCKET = 50_000
+#: Windows that a super-k-mer counts for at least, so that a bucket's rows are bounded too (by BUCKET / TYPICAL).
+TYPICAL = 50
 #: Windows of one super-k-mer; a longer run (repetitive text) is cut.
 LONGEST = 256
 #: Distinct words whose hashes a worker remembers.
@@ -178,7 +180,7 @@ def repeated_windows(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, bu
     """Runs (doc_id, start, windows) of windows whose words also start a window of a document with a smaller doc_id."""
     texts = texts_of(docs.where("doc_id is not null"))
     numbers = materialise(texts.mapInArrow(partial(_number_batches, window, gram), "mini long, doc_id long, start int, windows int"), "superkmers")
-    shared = numbers.groupBy("mini").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most"), F.sum("windows").alias("n")).where("least < most")
+    shared = numbers.groupBy("mini").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most"), F.greatest(F.sum("windows"), F.count("*") * TYPICAL).alias("n")).where("least < most")
     shared = materialise(shared.select("mini", (F.col("n") > bucket).alias("hot")), "shared")
     kept = numbers.join(shared, "mini").groupBy("doc_id").agg(F.collect_list(F.struct("mini", "start", "windows", "hot")).alias("kept"))
     packed = texts.join(kept, "doc_id").select("doc_id", "text", "kept").mapInArrow(partial(_packed_batches, window), "mini long, doc_id long, start int, packed binary, w1 long, w2 long")
