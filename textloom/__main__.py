@@ -1,4 +1,4 @@
-"""Command line: ``python -m textloom PATH [options]``. Without a model provider of one's own, analyses are those of the echo provider."""
+"""Command line: ``python -m textloom PATH [options]``. ``--echo`` answers from the prompt itself instead of calling a model."""
 
 from __future__ import annotations
 
@@ -7,6 +7,9 @@ import logging
 import sys
 
 from . import config as settings
+from . import errors
+from .operators.analysis import EchoProvider
+from .operators.providers import HttpProvider
 from .plans import run as plan
 
 
@@ -20,6 +23,7 @@ def parser() -> argparse.ArgumentParser:
     for name in ("include", "exclude"):
         p.add_argument(f"--{name}", action="append")
     p.add_argument("--chunk-size", type=int)
+    p.add_argument("--echo", action="store_true")
     for name in ("compress", "no-confirm", "dry-run", "retry-on-validation-failure"):
         p.add_argument(f"--{name}", action="store_true")
     p.add_argument("--no-deconflict", dest="deconflict", action="store_false")
@@ -29,27 +33,39 @@ def parser() -> argparse.ArgumentParser:
     return p
 
 
+def confirmed(cost: float) -> bool:
+    """Asks at the terminal; an empty answer is a yes. Without a terminal nothing is asked."""
+    return input(f"Expected cost ${cost:.4f}. Go on? [Y/n] ").strip().lower() in ("", "y", "yes")
+
+
+def failed(error: Exception) -> int:
+    about = errors.explain(error)
+    for line in (about.title, *(f"  {m}" for m in errors.chain(error)), *(f"  help: {h}" for h in about.help)):
+        print(line, file=sys.stderr)
+    return 1
+
+
 def main(argv: list[str] | None = None) -> int:
     flags = vars(parser().parse_args(argv))
-    path, explicit = flags.pop("path"), flags.pop("config", None)
-    config = settings.load(flags, explicit=explicit, cwd=path)
+    path, explicit, echo = flags.pop("path"), flags.pop("config", None), flags.pop("echo", False)
+    try:
+        config = settings.load(flags, explicit=explicit, cwd=path)
+        provider = EchoProvider if echo or config.dry_run else HttpProvider.from_env(config.provider, config.model)
+    except (ValueError, OSError) as e:
+        return failed(e)
     logging.basicConfig(level=logging.ERROR if config.quiet else logging.DEBUG if config.verbose > 1 else logging.INFO if config.verbose else logging.WARNING)
     from pyspark.sql import SparkSession
 
     spark = SparkSession.builder.appName("textloom").getOrCreate()
     try:
-        result = plan.run(spark, path, config)
+        result = plan.run(spark, path, config, provider, confirm=confirmed if sys.stdin.isatty() and not config.quiet else None)
         if not config.quiet:
             result.report.orderBy("language").show(100, False)
             for w in result.written:
                 print(f"{w.status:10} {w.path}" + (f" (backup {w.backup})" if w.backup else ""))
         return 0
     except Exception as e:
-        cause: BaseException | None = e
-        while cause:
-            print(f"error: {cause}", file=sys.stderr)
-            cause = cause.__cause__
-        return 1
+        return failed(e)
     finally:
         spark.stop()
 

@@ -20,6 +20,18 @@ def cost(tokens_in, tokens_out, price_in: Column, price_out: Column) -> Column:
     return _long(tokens_in) / F.lit(1000.0) * price_in + _long(tokens_out) / F.lit(1000.0) * price_out
 
 
+def estimate(tokens_in: Column, tokens_out: Column, price_in: Column, price_out: Column) -> Column:
+    """Struct of the input's, the output's and the whole cost."""
+    parts = cost(tokens_in, 0, price_in, price_out), cost(0, tokens_out, price_in, price_out)
+    return F.struct(parts[0].alias("input_cost"), parts[1].alias("output_cost"), cost(tokens_in, tokens_out, price_in, price_out).alias("total_cost"))
+
+
+def merge_estimate(existing_bytes: Column, new_bytes: Column, price_in: Column, price_out: Column) -> Column:
+    """Expected cost of merging new rules with existing ones: both are read, and about as much as the longer one is written."""
+    down = lambda b: F.floor(b / 4).cast("long")
+    return estimate(down(existing_bytes) + down(new_bytes), F.greatest(down(existing_bytes), down(new_bytes)), price_in, price_out)
+
+
 def dry_run_cost(tokens: Column, formats, price_in: Column, price_out: Column) -> Column:
     """Cost of an analysis and of each format, before any call."""
     return tokens / F.lit(1000.0) * price_in + (F.lit(ANALYSIS_TOKENS) + F.lit(FORMAT_TOKENS) * _long(formats)) / F.lit(1000.0) * price_out

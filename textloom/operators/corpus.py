@@ -58,6 +58,12 @@ def top_languages(histogram: DataFrame, top: int = 3) -> DataFrame:
     return ranked.groupBy(name.alias("language")).agg(F.sum("files").cast("long").alias("files"))
 
 
+def language_list(histogram: DataFrame, *keys: str) -> DataFrame:
+    """For each value of ``keys`` the text "a (2), b (1)" of its languages (language, files), sorted as text. One entry for each language."""
+    entry = F.concat("language", F.lit(" ("), F.col("files").cast("string"), F.lit(")"))
+    return histogram.groupBy(*keys).agg(F.array_join(F.array_sort(F.collect_list(entry)), ", ").alias("languages"))
+
+
 def dry_run(files: DataFrame, formats: int, price_in: float, price_out: float) -> DataFrame:
     """The dry-run report: for each language files, bytes, tokens and the estimated cost of analysing it alone."""
     out = files.groupBy(F.coalesce("language", F.lit("unknown")).alias("language")).agg(

@@ -141,6 +141,11 @@ def semantic(rendered: DataFrame, files: DataFrame) -> DataFrame:
     return loose.unionByName(both).unionByName(unreal)
 
 
+def smoke(rules: DataFrame, files: DataFrame) -> DataFrame:
+    """The check after finalising: missing paths and contradictions only, all as warnings."""
+    return semantic(rules, files).where("message <> 'language has no file'").withColumn("severity", F.lit("warning"))
+
+
 def cross_format(rendered: DataFrame) -> DataFrame:
     """Findings over all formats together. Both kinds are errors."""
     stated = conventions(rendered)

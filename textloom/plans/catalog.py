@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions import cost, paths, text
 from ..operators import chunks, corpus, ledger, validate, writing
-from ..sources import packed
+from ..sources import models, packed
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -345,3 +345,101 @@ def primary_language(spark, sf):
 def size_texts(spark, sf):
     s = text.byte_size(F.col("text")) * 7
     return _table(spark, sf, "documents").select("doc_id", text.size_text(s).alias("size"), text.duration_text(s).alias("duration"))
+
+
+_HIST = "h as (select source, lang as language, count(*) as files from documents where lang is not null group by all)"
+
+
+@query(f"with {_HIST} select source, string_agg(language || ' (' || files || ')', ', ' order by encode(language || ' (' || files || ')')) as languages from h group by 1")
+def language_list(spark, sf):
+    histogram = _table(spark, sf, "documents").where("lang is not null").groupBy("source", F.col("lang").alias("language")).agg(F.count("*").alias("files"))
+    return corpus.language_list(histogram, "source")
+
+
+@query(f"with {_F} select ord, '--- ' || path || ' ---' || chr(10) || compressed_content || chr(10) || chr(10) as entry from f")
+def corpus_entries(spark, sf):
+    return _files(spark, sf).select("ord", text.corpus_entry(F.col("path"), F.col("compressed_content")).alias("entry"))
+
+
+@query(f"with {_PATHS} select page_id, path as normalised from p")
+def path_normalize(spark, sf):
+    return _paths(spark, sf).select("page_id", paths.normalised_path(F.translate("path", "/", "\\")).alias("normalised"))
+
+
+@query("""select page_id, (['always','auto','files','manual','auto',null])[(page_id % 6 + 1)::int] as rule_type, case when page_id % 2 = 0 then 'always' else 'auto' end as default_rule_type,
+  (['anthropic','openai','ollama','other'])[(page_id % 4 + 1)::int] as provider, ([200000, 128000, 100000, 100000])[(page_id % 4 + 1)::int]::bigint as context_limit from pages""")
+def rule_types(spark, sf):
+    i = F.col("page_id")
+    pick = lambda n, *xs: F.element_at(F.array(*map(F.lit, xs)), (i % n + 1).cast("int"))
+    kinds = paths.rule_type(pick(6, "ALWAYS", "Auto Attached", "specific-files", "manual", "intelligent", "none"))
+    provider = pick(4, "anthropic", "openai", "ollama", "other")
+    default = paths.default_rule_type(F.when(i % 2 == 0, "claude").otherwise("cursor"))
+    return _table(spark, sf, "pages").select("page_id", kinds.alias("rule_type"), default.alias("default_rule_type"), provider.alias("provider"), paths.context_limit(provider).alias("context_limit"))
+
+
+@query("with t as (select conv_id, turn, len(text)::bigint as i, (strlen(text) // 4)::bigint as o from conversations) select conv_id, turn, i::double / 1000.0::double * 0.003::double as input_cost, o::double / 1000.0::double * 0.015::double as output_cost, i::double / 1000.0::double * 0.003::double + o::double / 1000.0::double * 0.015::double as total_cost from t")
+def cost_split(spark, sf):
+    e = cost.estimate(F.col("input_tokens"), F.col("output_tokens"), F.lit(PRICE_IN), F.lit(PRICE_OUT))
+    return _ledger(spark, sf).select("conv_id", "turn", e.alias("e")).select("conv_id", "turn", "e.*")
+
+
+@query("with t as (select doc_id, strlen(text) // 4 as n, (doc_id * 37 % 9001) // 4 as x from documents) select doc_id, (n + x)::double / 1000.0::double * 0.003::double + greatest(n, x)::double / 1000.0::double * 0.015::double as total_cost from t")
+def merge_cost(spark, sf):
+    e = cost.merge_estimate(F.col("doc_id") * 37 % 9001, text.byte_size(F.col("text")), F.lit(PRICE_IN), F.lit(PRICE_OUT))
+    return _table(spark, sf, "documents").select("doc_id", e["total_cost"].alias("total_cost"))
+
+
+@query("select event_id, value / 100.0::double between 0 and 1 and value - 50 >= 0 as valid from events where value is not null")
+def state_checks(spark, sf):
+    return _table(spark, sf, "events").where("value is not null").select("event_id", cost.state_valid(F.col("value") / 100.0, F.col("value") - 50).alias("valid"))
+
+
+@query("select event_id, case when event_id % 2 = 0 then 'skipped' when event_id % 3 = 0 then 'merged' when event_id % 5 = 0 then 'new' when event_id % 7 = 0 then 'backup' else 'overwritten' end as status from events")
+def write_statuses(spark, sf):
+    n = F.col("event_id")
+    return _table(spark, sf, "events").select("event_id", writing.write_status(n % 2 == 0, n % 3 == 0, n % 5 == 0, n % 7 == 0).alias("status"))
+
+
+@query(f"with {_RENDERED} select r.doc_id, split_part(format, ':', 1) as format from r where split_part(format, ':', 1) not in ('claude', 'cursor')")
+def existing_not_generated(spark, sf):
+    rows = _rendered(spark, sf).select("doc_id", F.split_part("format", F.lit(":"), F.lit(1)).alias("format"))
+    return writing.not_generated(rows, spark.createDataFrame([("claude",), ("cursor",)], "format string"))
+
+
+@query(f"""with {_RENDERED}, k as (select format, (trim(regexp_replace(content, '\\s+', ' ', 'g')) = '')::bigint as e, (((len(content) - len(replace(content, '```', ''))) // 3) % 2 = 1)::bigint as o from r)
+select format, e + (1 - e) * o = 0 as passed, e + (1 - e) * o as errors, 0::bigint as warnings from k""")
+def validation_results(spark, sf):
+    rows = _rendered(spark, sf)
+    return validate.results(rows, validate.syntax(rows))
+
+
+@query(f"with {_REFS}, files as (select distinct source || '/doc' || doc_id || '.py' as path from documents where lang = 'en') select format, 'warning' as severity, 'path is not in the corpus' as message, ref as location from refs where not exists (select 1 from files where path = ref or ends_with(ref, path) or ends_with(path, ref)) union all select format, 'warning', 'tabs and spaces are both prescribed', null from r where regexp_matches(content, '(?i)\\buse\\s+tabs\\b') and regexp_matches(content, '(?i)\\buse\\s+spaces\\b')")
+def smoke_findings(spark, sf):
+    files = _files(spark, sf).where("language = 'python'")
+    return validate.smoke(_rendered(spark, sf), files).select("format", "severity", "message", "location")
+
+
+_LISTED = "select page_id, 'm' || page_id as model, case page_id % 4 when 0 then '0.000003' when 1 then '0.5' when 2 then 'free' end as i, case page_id % 3 when 0 then '0.25' when 1 then '' end as o from pages"
+
+
+@query(f"select model, coalesce(try_cast(i as double) * 1000, 0.0::double) as price_in, coalesce(try_cast(o as double) * 1000, 0.0::double) as price_out from ({_LISTED}) union all select 'unlisted', 0.0::double, 0.0::double")
+def model_prices(spark, sf):
+    n = F.col("page_id")
+    i = F.when(n % 4 == 0, "0.000003").when(n % 4 == 1, "0.5").when(n % 4 == 2, "free")
+    o = F.when(n % 3 == 0, "0.25").when(n % 3 == 1, "")
+    name = F.concat(F.lit("m"), n.cast("string"))
+    pages = _table(spark, sf, "pages")
+    entry = F.struct(name.alias("id"), F.struct(i.alias("prompt"), o.alias("completion")).alias("pricing"))
+    listing = pages.select(F.to_json(F.struct(F.array(entry).alias("data"))).alias("body"))
+    wanted = pages.select(name.alias("model")).union(spark.createDataFrame([("unlisted",)], "model string"))
+    return models.priced(wanted, listing)
+
+
+@query("select 'm' || page_id as model, page_id % 3 < 2 as found from pages")
+def models_installed(spark, sf):
+    n = F.col("page_id")
+    name = F.concat(F.lit("m"), n.cast("string"))
+    tag = F.when(n % 3 == 0, "").when(n % 3 == 1, ":latest").otherwise(":7b")
+    pages = _table(spark, sf, "pages")
+    listing = pages.select(F.to_json(F.struct(F.array(F.struct(F.concat(name, tag).alias("name"))).alias("models"))).alias("body"))
+    return models.installed(pages.select(name.alias("model")), listing)

@@ -13,7 +13,9 @@ from ..config import Config
 from ..functions import paths
 from ..functions.cost import pricing
 from ..operators import analysis, chunks, corpus, finalise, ledger, structure, validate, writer, writing
-from ..sources import packed, tree
+from ..sources import outputs, packed, tree
+from ..state import State
+from ..workspace import Workspace
 
 
 @dataclass
@@ -21,6 +23,13 @@ class Result:
     report: DataFrame
     written: list[writer.Written]
     results: DataFrame | None = None
+    #: Warnings of the check after finalising; they never stop a run.
+    smoke: DataFrame | None = None
+    cost: float = 0.0
+
+
+class Declined(Exception):
+    """The run was called off, by its cost or by formats that failed validation."""
 
 
 def files_of(spark: SparkSession, root: str, config: Config) -> DataFrame:
@@ -38,8 +47,11 @@ def compressed(spark: SparkSession, root: str, config: Config) -> DataFrame:
     return corpus.compressed(files, structure.structural(F.col("original_content"), F.col("language")) if config.compress else None)
 
 
-def run(spark: SparkSession, root: str, config: Config, provider: Callable[[], analysis.Provider] = analysis.EchoProvider, work: str | None = None, timestamp: str = "") -> Result:
-    """``work`` is a folder that all executors share; model answers are kept there and not paid for twice."""
+def run(spark: SparkSession, root: str, config: Config, provider: Callable[[], analysis.Provider] = analysis.EchoProvider, work: str | None = None, timestamp: str = "", confirm: Callable[[float], bool] | None = None, on_failure: str = "write", home: str | None = None) -> Result:
+    """``work`` is a folder that all executors share; model answers are kept there and not paid for twice. ``home`` (``work`` by
+    default) is the driver's folder for the state. ``confirm`` is asked with the expected cost unless the configuration says not to.
+    ``on_failure``: whether formats that still fail validation are written ("write") or end the run ("cancel").
+    """
     work = work or os.path.join(root, ".textloom")
     price = {r["provider"]: r for r in pricing(spark).collect()}[config.provider]
     files = compressed(spark, root, config)
@@ -49,6 +61,10 @@ def run(spark: SparkSession, root: str, config: Config, provider: Callable[[], a
     facts = corpus.metadata(files).crossJoin(files.agg(F.array_join(F.array_sort(F.collect_set("language")), ", ").alias("languages"))).select(F.lit("corpus").alias("key"), F.col("total_files").alias("file_count"), "languages", "compression_ratio")
     entry = corpus.formatted_corpus(files.withColumn("key", F.lit("corpus")), "key")
     parts = chunks.chunked(entry, "key", "corpus", config.chunks, newline_within=min(100, config.chunks.shared)).select("key", "chunk_id", "content")
+    if confirm and not config.no_confirm:
+        expected = ledger.pre_run(chunks.chunked(entry, "key", "corpus", config.chunks), "key", len(config.formats), price["price_in"], price["price_out"]).first()
+        if not confirm(expected["estimated_cost"]):
+            raise Declined("the run was not confirmed")
     answers = analysis.analysed(parts, "key", facts, provider, f"{work}/answers", config.description or "")
     whole = analysis.merged(answers, "key", provider, f"{work}/answers")
     formats = spark.createDataFrame([(f, "always" if f == "claude" else config.rule_type) for f in config.formats], "format string, rule_type string")
@@ -58,11 +74,20 @@ def run(spark: SparkSession, root: str, config: Config, provider: Callable[[], a
     if config.retry_on_validation_failure:
         rules, _, _ = analysis.fixed(rules, find, provider, f"{work}/answers", config.max_retries)
     results = validate.results(rules, find(rules))
+    if on_failure == "cancel" and not results.where("not passed").isEmpty():
+        raise Declined("formats failed validation: " + ", ".join(sorted(r["format"] for r in results.where("not passed").collect())))
+    if config.deconflict:
+        rules = analysis.deconflicted(rules, outputs.of_other_tools(spark, root, formats), provider, f"{work}/answers")
     spent = ledger.summary(whole, price["price_in"], price["price_out"]).first()
     rules = finalise.finalised(rules, config.provider, config.model or "default", timestamp, spent["input_tokens"], spent["output_tokens"], spent["total_cost"])
+    smoke = validate.smoke(rules, files)
     overrides = dict(config.output_paths) | ({config.formats[0]: config.output} if config.output else {})
     override_rows = spark.createDataFrame(list(overrides.items()), "format string, override string")
     known = [p for p in {*paths.FORMATS.values(), *overrides.values()} if os.path.exists(os.path.join(root, p))]
     requests = formats.select("format", F.lit(config.on_conflict).alias("strategy"), F.lit(False).alias("interactive"))
     planned = writing.planned_writes(requests, override_rows, spark.createDataFrame([(p,) for p in known], "path string")).join(rules, "format")
-    return Result(report, writer.write(planned, root), results)
+    written = writer.write(planned, root)
+    sizes = corpus.metadata(files).first()
+    state = State(last_run=timestamp, file_conflict_action=config.on_conflict, output_files=tuple(w.path for w in written), cost_spent=spent["total_cost"], original_bytes=sizes["total_original_size"], compression_ratio=min(1.0, sizes["compression_ratio"]))
+    Workspace(home or work).save_state(state)
+    return Result(report, written, results, smoke, spent["total_cost"])
