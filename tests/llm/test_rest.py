@@ -174,3 +174,10 @@ def test_nearest(spark, sf):
     few = df.where("vec_id in (0, 1, 2)")
     assert ann.nearest(few, few.where("vec_id % 20 = 0")).count() == 2
     assert ann.nearest(df.limit(0), df.limit(0)).count() == 0
+
+
+def test_double_vectors_keep_their_digits(spark):
+    x = np.random.default_rng(2).normal(size=(200, 8))
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    got = ann.nearest(df, df.where("vec_id % 20 = 0")).collect()
+    assert len(got) == 10 * 20 and all(r["score"] == ann.exact(x[r["vec_id"]][None], x[r["query_id"]])[0] for r in got)

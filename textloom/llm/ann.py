@@ -18,6 +18,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import FloatType
 
 from .common import materialise, small_batches, table
 
@@ -95,7 +96,8 @@ def _matrix(column: pa.Array, d: int) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).reshape(-1, d)
 
 
-_CODED = pa.schema([("vec_id", pa.int64()), ("embedding", pa.list_(pa.float32())), ("code", pa.binary()), ("norm", pa.float32()), ("miss", pa.float32())])
+def _coded_schema(number: pa.DataType) -> pa.Schema:
+    return pa.schema([("vec_id", pa.int64()), ("embedding", pa.list_(number)), ("code", pa.binary()), ("norm", pa.float32()), ("miss", pa.float32())])
 
 
 def _code_batches(books: np.ndarray, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -105,7 +107,7 @@ def _code_batches(books: np.ndarray, batches: Iterator[pa.RecordBatch]) -> Itera
             x = _matrix(part.column(1), books.shape[2])
             norm = np.sqrt((x.astype(np.float64) ** 2).sum(1))
             codes, miss = encode(x / norm[:, None], books)
-            yield table(_CODED, [part.column(0), part.column(1), [c.tobytes() for c in codes], norm.astype(np.float32), miss.astype(np.float32)])
+            yield table(_coded_schema(part.column(1).type.value_type), [part.column(0), part.column(1), [c.tobytes() for c in codes], norm.astype(np.float32), miss.astype(np.float32)])
 
 
 _FOUND = pa.schema([("rep", pa.int64()), ("vec_id", pa.int64()), ("score", pa.float64())])
@@ -169,11 +171,20 @@ def _search_batches(books: np.ndarray, top: int, batches: Iterator[pa.RecordBatc
         yield from run(pa.Table.from_batches(held))
 
 
+def number_type(vectors: DataFrame) -> str:
+    """float for vectors of floats, else double, which holds every other number that vectors are made of."""
+    element = vectors.schema["embedding"].dataType.elementType
+    return "float" if isinstance(element, FloatType) else "double"
+
+
 def usable(vectors: DataFrame) -> DataFrame:
-    """Distinct (vec_id, embedding) that take part: not null or zero, all components finite, of the commonest dimension."""
+    """Distinct (vec_id, embedding) that take part: not null or zero, all components finite, of the commonest dimension.
+
+    Floats stay floats; vectors of any other numbers are doubles, so that exact scores are those of the original vectors.
+    """
     v = F.col("embedding")
     good = v.isNotNull() & F.col("vec_id").isNotNull() & F.exists(v, lambda x: x != 0) & ~F.exists(v, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
-    rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), v.cast("array<float>").alias("embedding")).where(good)
+    rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), v.cast(f"array<{number_type(vectors)}>").alias("embedding")).where(good)
     size = rows.groupBy(F.size("embedding").alias("d")).count().orderBy(F.desc("count"), "d").first()
     return rows.where(F.size("embedding") == (size["d"] if size else 0)).dropDuplicates()
 
@@ -199,7 +210,7 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20) -> DataFrame:
     # Of equal vectors, k + 1 with the smallest ids can be in a result (one may be the query's own).
     same = Window.partitionBy("embedding").orderBy("vec_id")
     kept = rows.withColumn("place", F.row_number().over(same)).where(F.col("place") <= k + 1).drop("place")
-    coded = kept.mapInArrow(partial(_code_batches, books), "vec_id long, embedding array<float>, code binary, norm float, miss float")
+    coded = kept.mapInArrow(partial(_code_batches, books), f"vec_id long, embedding array<{number_type(vectors)}>, code binary, norm float, miss float")
     distinct = materialise(asked.groupBy("embedding").agg(F.min("vec_id").alias("rep")), "distinct-queries")
     blocks = -(-n // CANDIDATE_BLOCK)
     query_blocks = max(-(-n_queries // QUERY_BLOCK), min(4, -(-n_queries // 128)))
