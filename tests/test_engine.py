@@ -34,6 +34,7 @@ def project(tmp_path):
         "drop.log": "dropped\n",
         ".gitignore": "build/\n*.log\n!keep.log\n",
         ".git/config": "no\n",
+        ".textloom/state.json": "{}",
     }.items():
         (root / name).parent.mkdir(parents=True, exist_ok=True)
         (root / name).write_text(body)

@@ -5,6 +5,7 @@ from __future__ import annotations
 import argparse
 import logging
 import sys
+from datetime import UTC, datetime
 
 from . import config as settings
 from . import errors
@@ -58,7 +59,7 @@ def main(argv: list[str] | None = None) -> int:
 
     spark = SparkSession.builder.appName("textloom").getOrCreate()
     try:
-        result = plan.run(spark, path, config, provider, confirm=confirmed if sys.stdin.isatty() and not config.quiet else None)
+        result = plan.run(spark, path, config, provider, timestamp=f"{datetime.now(UTC):%Y-%m-%dT%H:%M:%SZ}", confirm=confirmed if sys.stdin.isatty() and not config.quiet else None)
         if not config.quiet:
             result.report.orderBy("language").show(100, False)
             for w in result.written:

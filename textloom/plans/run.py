@@ -13,6 +13,7 @@ from ..config import Config
 from ..functions import paths
 from ..functions.cost import pricing
 from ..operators import analysis, chunks, corpus, finalise, ledger, structure, validate, writer, writing
+from ..operators.providers import SERVICES
 from ..sources import outputs, packed, tree
 from ..state import State
 from ..workspace import Workspace
@@ -79,7 +80,8 @@ def run(spark: SparkSession, root: str, config: Config, provider: Callable[[], a
     if config.deconflict:
         rules = analysis.deconflicted(rules, outputs.of_other_tools(spark, root, formats), provider, f"{work}/answers")
     spent = ledger.summary(whole, price["price_in"], price["price_out"]).first()
-    rules = finalise.finalised(rules, config.provider, config.model or "default", timestamp, spent["input_tokens"], spent["output_tokens"], spent["total_cost"])
+    author = ("echo", "without a model") if provider is analysis.EchoProvider else (config.provider, config.model or SERVICES[config.provider].model)
+    rules = finalise.finalised(rules, *author, timestamp, spent["input_tokens"], spent["output_tokens"], spent["total_cost"])
     smoke = validate.smoke(rules, files)
     overrides = dict(config.output_paths) | ({config.formats[0]: config.output} if config.output else {})
     override_rows = spark.createDataFrame(list(overrides.items()), "format string, override string")

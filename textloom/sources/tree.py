@@ -20,6 +20,8 @@ from ..functions.paths import LANGUAGES, glob_regex
 
 SCHEMA = "ord long, path string, size long, language string, content string"
 SHARE_BYTES = 64 << 20
+#: Folders that are never entered: version control and a run's own working folder.
+NEVER = (".git", ".textloom")
 
 
 @dataclass(frozen=True)
@@ -55,7 +57,7 @@ def ignored(path: str, is_directory: bool, rules: list[Rule]) -> bool:
 
 
 def walk(root: str, include: list[str] = (), exclude: list[str] = ()) -> Iterator[tuple[str, int]]:
-    """(relative path, size) of the files that stay, in path order. ``.git`` is never entered."""
+    """(relative path, size) of the files that stay, in path order. Those of ``NEVER`` are not entered."""
     inc, exc = ([re.compile(glob_regex(g) + r"\Z") for g in globs] for globs in (include, exclude))
 
     def below(directory: str, rules: list[Rule]) -> Iterator[tuple[str, int]]:
@@ -66,7 +68,7 @@ def walk(root: str, include: list[str] = (), exclude: list[str] = ()) -> Iterato
                 rules = rules + ignore_rules(f.read(), directory)
         for entry in sorted(os.scandir(full), key=lambda e: e.name):
             path = f"{directory}/{entry.name}" if directory else entry.name
-            if entry.is_symlink() or entry.name == ".git":
+            if entry.is_symlink() or entry.name in NEVER:
                 continue
             if entry.is_dir():
                 if not ignored(path, True, rules):
