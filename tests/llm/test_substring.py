@@ -57,3 +57,11 @@ def test_text_agrees_with_digest(edge_docs):
 
 def test_empty(empty_docs):
     assert substring.dedup_substrings(empty_docs).count() == 0
+
+
+@pytest.mark.parametrize("bucket", [1, substring.BUCKET])
+def test_two_texts_under_one_id(spark, bucket):
+    rows = [(1, "a b c d"), (2, "p q r s t u v b c d w"), (2, "short"), (2, "k l m n o e f g h i j x"), (3, "k l m z")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {(r["doc_id"], r["n_words"]): (r["n_removed"], r["text"] and bytes(r["text"])) for r in substring.dedup_substrings(df, 3, 2, bucket, with_text=True).collect()}
+    assert got == {(1, 4): (0, None), (2, 11): (3, b"p q r s t u v w"), (2, 1): (0, None), (2, 12): (0, None), (3, 4): (3, b" z")}

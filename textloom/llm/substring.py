@@ -88,36 +88,36 @@ def super_kmers(words: list[bytes], window: int = WINDOW, gram: int = GRAM) -> t
     return m[starts].view(np.int64), starts, np.diff(np.r_[starts, len(m)])
 
 
-_NUMBERS = pa.schema([("mini", pa.int64()), ("doc_id", pa.int64()), ("start", pa.int32()), ("windows", pa.int32())])
+_NUMBERS = pa.schema([("mini", pa.int64()), ("doc_id", pa.int64()), ("version", pa.int64()), ("start", pa.int32()), ("windows", pa.int32())])
 
 
 def _number_batches(window: int, gram: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in slices(batches, 1):
-        parts = [[], [], [], []]
-        for doc, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+        parts = [[], [], [], [], []]
+        for doc, text, version in zip(*(b.column(i).to_pylist() for i in range(3)), strict=True):
             mini, start, count = super_kmers(words_of(text), window, gram)
-            for p, x in zip(parts, (mini, np.full(len(mini), doc), start, count), strict=True):
+            for p, x in zip(parts, (mini, np.full(len(mini), doc), np.full(len(mini), version), start, count), strict=True):
                 p.append(x)
         yield table(_NUMBERS, [np.concatenate(p).astype(f.type.to_pandas_dtype()) if p else [] for p, f in zip(parts, _NUMBERS, strict=True)])
 
 
-_PACKED = pa.schema([("mini", pa.int64()), ("doc_id", pa.int64()), ("start", pa.int32()), ("packed", pa.binary()), ("w1", pa.int64()), ("w2", pa.int64())])
+_PACKED = pa.schema([("mini", pa.int64()), ("doc_id", pa.int64()), ("version", pa.int64()), ("start", pa.int32()), ("packed", pa.binary()), ("w1", pa.int64()), ("w2", pa.int64())])
 
 
 def _packed_batches(window: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Documents with the numbers of their surviving super-k-mers in; packed strings, or digests of single windows of hot buckets, out."""
     for b in slices(batches, 1, 2 << 20):
         rows = []
-        for doc, text, kept in zip(*(b.column(i).to_pylist() for i in range(3)), strict=True):
+        for doc, text, version, kept in zip(*(b.column(i).to_pylist() for i in range(4)), strict=True):
             words = words_of(text)
             for x in kept:
                 start, count = x["start"], x["windows"]
                 if x["hot"]:
                     for i in range(start, start + count):
                         d = xxhash.xxh3_128_digest(b" ".join(words[i : i + window]))
-                        rows.append((0, doc, i, None, int.from_bytes(d[:8], "big", signed=True), int.from_bytes(d[8:], "big", signed=True)))
+                        rows.append((0, doc, version, i, None, int.from_bytes(d[:8], "big", signed=True), int.from_bytes(d[8:], "big", signed=True)))
                 else:
-                    rows.append((x["mini"], doc, start, b" ".join(words[start : start + count + window - 1]), None, None))
+                    rows.append((x["mini"], doc, version, start, b" ".join(words[start : start + count + window - 1]), None, None))
             if len(rows) > 20_000:
                 yield table(_PACKED, list(map(list, zip(*rows, strict=True))))
                 rows = []
@@ -125,13 +125,13 @@ def _packed_batches(window: int, batches: Iterator[pa.RecordBatch]) -> Iterator[
             yield table(_PACKED, list(map(list, zip(*rows, strict=True))))
 
 
-def _repeats(group: list[tuple[int, int, bytes]], window: int) -> Iterator[tuple[int, int, int]]:
-    """(document, first window, windows) that also start in a smaller document, from one bucket's (document, start, packed) rows."""
-    found: dict[tuple[int, int], list[int]] = {}
-    distinct: dict[bytes, list[tuple[int, int]]] = {}
-    for doc, start, packed in group:
-        distinct.setdefault(packed, []).append((doc, start))
-    if len({doc for doc, _, _ in group}) < 2:
+def _repeats(group: list[tuple[int, int, int, bytes]], window: int) -> Iterator[tuple[int, int, int, int]]:
+    """(document, version, first window, windows) that also start in a smaller document, from one bucket's (document, version, start, packed) rows."""
+    found: dict[tuple[int, int, int], list[int]] = {}
+    distinct: dict[bytes, list[tuple[int, int, int]]] = {}
+    for doc, version, start, packed in group:
+        distinct.setdefault(packed, []).append((doc, version, start))
+    if len({doc for doc, _, _, _ in group}) < 2:
         return
     entries = []
     for packed, owners in distinct.items():
@@ -144,31 +144,31 @@ def _repeats(group: list[tuple[int, int, bytes]], window: int) -> Iterator[tuple
     for k, (text, first, j, packed) in enumerate(entries):
         if k == 0 or text != entries[k - 1][0]:
             least = first
-        for doc, start in distinct[packed]:
-            if doc > least:
-                found.setdefault((doc, start), []).append(j)
-    for (doc, start), js in found.items():
+        for owner in distinct[packed]:
+            if owner[0] > least:
+                found.setdefault(owner, []).append(j)
+    for (doc, version, start), js in found.items():
         js.sort()
         lo = prev = js[0]
         for j in [*js[1:], None]:
             if j is None or j != prev + 1:
-                yield doc, start + lo, prev - lo + 1
+                yield doc, version, start + lo, prev - lo + 1
                 lo = j
             prev = j
 
 
-_RUNS = pa.schema([("doc_id", pa.int64()), ("start", pa.int32()), ("windows", pa.int32())])
+_RUNS = pa.schema([("doc_id", pa.int64()), ("version", pa.int64()), ("start", pa.int32()), ("windows", pa.int32())])
 
 
 def _bucket_batches(window: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Packed rows sorted by minimiser in; runs of removed windows out."""
     mini, group, out = None, [], []
     for b in batches:
-        for m, doc, start, packed in zip(*(b.column(i).to_pylist() for i in range(4)), strict=True):
+        for m, doc, version, start, packed in zip(*(b.column(i).to_pylist() for i in range(5)), strict=True):
             if m != mini:
                 out += _repeats(group, window)
                 mini, group = m, []
-            group.append((doc, start, packed))
+            group.append((doc, version, start, packed))
         if out:
             yield table(_RUNS, list(map(list, zip(*out, strict=True))))
             out = []
@@ -176,22 +176,27 @@ def _bucket_batches(window: int, batches: Iterator[pa.RecordBatch]) -> Iterator[
         yield table(_RUNS, list(map(list, zip(*out, strict=True))))
 
 
+def _versions(docs: DataFrame) -> DataFrame:
+    """(doc_id, text, version): the version tells apart different texts under one doc_id, which alone orders documents."""
+    return texts_of(docs).withColumn("version", F.xxhash64("text"))
+
+
 def repeated_windows(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, bucket: int = BUCKET) -> DataFrame:
-    """Runs (doc_id, start, windows) of windows whose words also start a window of a document with a smaller doc_id."""
-    texts = texts_of(docs.where("doc_id is not null"))
-    numbers = materialise(texts.mapInArrow(partial(_number_batches, window, gram), "mini long, doc_id long, start int, windows int"), "superkmers")
+    """Runs (doc_id, version, start, windows) of windows whose words also start a window of a document with a smaller doc_id."""
+    texts = _versions(docs.where("doc_id is not null"))
+    numbers = materialise(texts.mapInArrow(partial(_number_batches, window, gram), "mini long, doc_id long, version long, start int, windows int"), "superkmers")
     shared = numbers.groupBy("mini").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most"), F.greatest(F.sum("windows"), F.count("*") * TYPICAL).alias("n")).where("least < most")
     shared = materialise(shared.select("mini", (F.col("n") > bucket).alias("hot")), "shared")
-    kept = numbers.join(shared, "mini").groupBy("doc_id").agg(F.collect_list(F.struct("mini", "start", "windows", "hot")).alias("kept"))
-    packed = texts.join(kept, "doc_id").select("doc_id", "text", "kept").mapInArrow(partial(_packed_batches, window), "mini long, doc_id long, start int, packed binary, w1 long, w2 long")
+    kept = numbers.join(shared, "mini").groupBy("doc_id", "version").agg(F.collect_list(F.struct("mini", "start", "windows", "hot")).alias("kept"))
+    packed = texts.join(kept, ["doc_id", "version"]).select("doc_id", "text", "version", "kept").mapInArrow(partial(_packed_batches, window), "mini long, doc_id long, version long, start int, packed binary, w1 long, w2 long")
     packed = materialise(packed, "packed")
     runs = (
-        packed.where("packed is not null").select("mini", "doc_id", "start", "packed").repartition("mini").sortWithinPartitions("mini")
-        .mapInArrow(partial(_bucket_batches, window), "doc_id long, start int, windows int")
+        packed.where("packed is not null").select("mini", "doc_id", "version", "start", "packed").repartition("mini").sortWithinPartitions("mini")
+        .mapInArrow(partial(_bucket_batches, window), "doc_id long, version long, start int, windows int")
     )
-    single = packed.where("packed is null").select("doc_id", "start", "w1", "w2")
+    single = packed.where("packed is null").select("doc_id", "version", "start", "w1", "w2")
     first = materialise(single.groupBy("w1", "w2").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).where("least < most").drop("most"), "first")
-    hot = single.join(first, ["w1", "w2"]).where("doc_id > least").select("doc_id", "start", F.lit(1).alias("windows"))
+    hot = single.join(first, ["w1", "w2"]).where("doc_id > least").select("doc_id", "version", "start", F.lit(1).alias("windows"))
     return runs.unionByName(hot)
 
 
@@ -240,10 +245,9 @@ def dedup_substrings(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, bu
     """One row per document: doc_id, n_words, n_removed, kept_sha256 and, if asked for, the cut text (binary; null if uncut).
 
     A null or empty text has no word. A null doc_id can't be ordered: such a row is returned uncut. Rows that repeat a doc_id
-    count as one document's: none of their windows removes another of the same doc_id, and each row is cut by the runs of all of
-    them only if its text has those windows, so ids should be unique. An empty table gives no rows; other columns are ignored.
+    count as one document's: none of their windows removes another of the same doc_id, and each row is cut by the runs of its own
+    text alone. An empty table gives no rows; other columns are ignored.
     """
-    runs = repeated_windows(docs, window, gram, bucket).groupBy("doc_id").agg(F.collect_list(F.struct("start", "windows")).alias("runs"))
-    texts = texts_of(docs)
-    out = texts.join(runs, "doc_id", "left").select("doc_id", "text", "runs").mapInArrow(partial(_cut_batches, window, with_text), "doc_id long, n_words long, n_removed long, kept_sha256 string, text binary")
+    runs = repeated_windows(docs, window, gram, bucket).groupBy("doc_id", "version").agg(F.collect_list(F.struct("start", "windows")).alias("runs"))
+    out = _versions(docs).join(runs, ["doc_id", "version"], "left").select("doc_id", "text", "runs").mapInArrow(partial(_cut_batches, window, with_text), "doc_id long, n_words long, n_removed long, kept_sha256 string, text binary")
     return out if with_text else out.drop("text")
