@@ -9,18 +9,24 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from textloom.llm import packing, secret_scan, simhash, substring, toxicity
-from textloom.llm.common import documents, shared_dir
+from textloom.llm.common import documents, shared_dir, text_digest
 from textloom.llm.queries import tokenizer_path
 
 
-#: A column name that no input has.
-_CHANGE = "_textloom_change"
+#: Column names that no input has.
+_CHANGE, _ID, _TEXT = "_textloom_change", "_textloom_id", "_textloom_text"
+
+
+def _decided(docs: DataFrame, decisions: DataFrame, how: str) -> DataFrame:
+    """``docs`` joined to decisions (doc_id, text_sha256 and others) about rows: each row meets those of its own id, null too, and text alone."""
+    decisions = decisions.dropDuplicates(["doc_id", "text_sha256"]).withColumnsRenamed({"doc_id": _ID, "text_sha256": _TEXT})
+    return docs.join(decisions, docs["doc_id"].eqNullSafe(decisions[_ID]) & (text_digest(docs["text"]) == decisions[_TEXT]), how)
 
 
 def _retext(docs: DataFrame, changed: DataFrame) -> DataFrame:
-    """``docs`` with the texts of ``changed`` (doc_id, new_text, emptied). Rows without a new text stay as they are, emptied ones go."""
-    changed = changed.dropDuplicates(["doc_id"]).select("doc_id", F.struct("new_text", "emptied").alias(_CHANGE))
-    out = docs.join(changed, "doc_id", "left").where(~F.coalesce(F.col(_CHANGE)["emptied"], F.lit(False)))
+    """``docs`` with the texts of ``changed`` (doc_id, text_sha256, new_text, emptied). Rows without a new text stay as they are, emptied ones go."""
+    changed = changed.select("doc_id", "text_sha256", F.struct("new_text", "emptied").alias(_CHANGE))
+    out = _decided(docs, changed, "left").where(~F.coalesce(F.col(_CHANGE)["emptied"], F.lit(False)))
     new = F.col(_CHANGE)["new_text"]
     count = F.when(new.isNull(), F.col("n_chars")).otherwise(F.char_length(new).cast("long"))
     return out.select(*[F.coalesce(new, "text").alias("text") if c == "text" else count.alias("n_chars") if c == "n_chars" else F.col(c) for c in docs.columns])
@@ -28,27 +34,31 @@ def _retext(docs: DataFrame, changed: DataFrame) -> DataFrame:
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that aren't predicted to be toxic."""
-    scores = toxicity.score(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    toxic = scores.where("predicted = 1").select("doc_id").distinct()
-    return docs.join(toxic, "doc_id", "left_anti").select(*docs.columns)
+    scores = toxicity.score(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"), keyed=True)
+    toxic = scores.where("predicted = 1").select("doc_id", "text_sha256")
+    return _decided(docs, toxic, "left_anti").select(*docs.columns)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group: the one of the smallest doc_id. Documents without an id stay."""
-    gone = simhash.near_duplicates(docs).where("doc_id <> component_id").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    """One document of each group: the one of the smallest doc_id. Documents without an id stay.
+
+    Texts under one doc_id are one node of the near links: if one of them is a near copy of an earlier document, so are the others.
+    Only texts of equal fingerprints are told apart.
+    """
+    gone = simhash.near_duplicates(docs, keyed=True).where("doc_id <> component_id").select("doc_id", "text_sha256")
+    return _decided(docs, gone, "left_anti").select(*docs.columns)
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without the windows that an earlier document has. A document of which nothing is left goes."""
     cut = substring.dedup_substrings(docs, with_text=True).where("n_removed > 0")
-    return _retext(docs, cut.select("doc_id", F.col("text").cast("string").alias("new_text"), (F.col("n_removed") == F.col("n_words")).alias("emptied")))
+    return _retext(docs, cut.select("doc_id", "text_sha256", F.col("text").cast("string").alias("new_text"), (F.col("n_removed") == F.col("n_words")).alias("emptied")))
 
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts with every secret's value replaced by a mark."""
     found = secret_scan.scan(docs, with_text=True).where("redacted is not null")
-    return _retext(docs, found.select("doc_id", F.col("redacted").alias("new_text"), F.lit(False).alias("emptied")))
+    return _retext(docs, found.select("doc_id", "text_sha256", F.col("redacted").alias("new_text"), F.lit(False).alias("emptied")))
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

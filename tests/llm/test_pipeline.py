@@ -56,3 +56,30 @@ def test_edges(spark, edge_docs, empty_docs, sf):
             docs = stage(spark, docs, sf)
             assert docs.columns == columns
         assert docs.where("doc_id = 0").count() == docs.where("doc_id is not null").limit(1).count()
+
+
+def test_every_row_gets_its_own_decision(spark, corpus, sf):
+    scores = toxicity.score(corpus, spark.read.parquet(f"{sf}/labels.parquet"))
+    text = {r["doc_id"]: r["text"] for r in corpus.collect()}
+    toxic = min((r["doc_id"] for r in scores.where("predicted = 1").collect()))
+    clean = min((r["doc_id"] for r in scores.where("predicted = 0").collect()))
+    added = [(None, text[toxic]), (None, text[clean]), (clean, text[toxic]), (toxic, text[clean])]
+    docs = corpus.select("doc_id", "text").unionByName(spark.createDataFrame(added, "doc_id long, text string"))
+    kept = [(r["doc_id"], r["text"]) for r in corpus_pipeline.drop_toxic(spark, docs, sf).collect()]
+    assert [kept.count(x) for x in added] == [0, 1, 0, 1]
+    assert kept.count((toxic, text[toxic])) == 0 and kept.count((clean, text[clean])) == 1
+
+    secret = "password = hunter2hunter2 end"
+    rows = [(None, secret), (None, "no id"), (None, None), (5, secret), (5, "clean words"), (5, "token: abcdefgh1"), (6, secret), (6, secret)]
+    docs = spark.createDataFrame([(d, t, len(t or "")) for d, t in rows], "doc_id long, text string, n_chars long")
+    got = sorted((tuple(r) for r in corpus_pipeline.redact_secrets(spark, docs, sf).collect()), key=str)
+    new = {secret: "password = [SECRET] end", "token: abcdefgh1": "token: [SECRET]"}
+    assert got == sorted(((d, t, len(t or "")) for d, t in ((d, new.get(t, t)) for d, t in rows)), key=str)
+
+    words = " ".join(f"w{i}" for i in range(60))
+    rows = [(1, words), (2, "head " + words), (2, "other text"), (3, words), (3, "another one")]
+    docs = spark.createDataFrame([(d, t, len(t)) for d, t in rows], "doc_id long, text string, n_chars long")
+    assert sorted((r["doc_id"], r["text"]) for r in corpus_pipeline.cut_repeats(spark, docs, sf).collect()) == [(1, words), (2, "head"), (2, "other text"), (3, "another one")]
+    rows = [(1, "a b c d e f g"), (2, "a b c d e f g"), (2, words)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted(tuple(r) for r in corpus_pipeline.drop_near_duplicates(spark, docs, sf).collect()) == [rows[0], rows[2]]

@@ -61,6 +61,11 @@ def binary_text(column: str = "text") -> F.Column:
     return F.coalesce(F.col(column).cast("binary"), F.lit(b"")).alias("text")
 
 
+def text_digest(text: F.Column) -> F.Column:
+    """SHA-256 of a text's UTF-8 bytes, as hexadecimal; null counts as empty."""
+    return F.sha2(F.coalesce(text.cast("binary"), F.lit(b"")), 256)
+
+
 class Memo(dict):
     """Remembers what ``compute`` gave for recent keys: two generations of ``size`` keys, so that common ones stay and memory is bounded."""
 

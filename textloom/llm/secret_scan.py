@@ -171,7 +171,7 @@ def redact(text: str, spans: list[tuple[int, int, int, int]], mark: str = "[SECR
     return "".join([*out, text[at:]])
 
 
-_SCANNED = pa.schema([("doc_id", pa.int64()), ("n_assign", pa.int64()), ("n_access", pa.int64()), ("n_hex", pa.int64()), ("n_random", pa.int64()), ("base_sha256", pa.string()), ("spans", pa.string()), ("redacted", pa.string())])
+_SCANNED = pa.schema([("doc_id", pa.int64()), ("n_assign", pa.int64()), ("n_access", pa.int64()), ("n_hex", pa.int64()), ("n_random", pa.int64()), ("base_sha256", pa.string()), ("spans", pa.string()), ("redacted", pa.string()), ("text_sha256", pa.string())])
 
 
 def _scan_batches(table_: np.ndarray, with_text: bool, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -182,17 +182,17 @@ def _scan_batches(table_: np.ndarray, with_text: bool, batches: Iterator[pa.Reco
             spans = secret_spans(text, table_)
             n = Counter(k for _, k, _, _ in spans)
             base = listed([s for s in spans if s[1] < 3])
-            rows.append((doc, n[0], n[1], n[2], n[3], hashlib.sha256(base.encode()).hexdigest(), listed(spans), redact(text, spans) if with_text and spans else None))
+            rows.append((doc, n[0], n[1], n[2], n[3], hashlib.sha256(base.encode()).hexdigest(), listed(spans), redact(text, spans) if with_text and spans else None, hashlib.sha256(raw).hexdigest() if with_text else None))
         yield table(_SCANNED, list(map(list, zip(*rows, strict=True))) if rows else [[]] * len(_SCANNED))
 
 
 def scan(docs: DataFrame, ratios: np.ndarray | None = None, with_text: bool = False) -> DataFrame:
-    """One row per document: doc_id, n_assign, n_access, n_hex, n_random, base_sha256, spans and, if asked for, the redacted text (null if nothing was found).
+    """One row per document: doc_id, n_assign, n_access, n_hex, n_random, base_sha256, spans and, if asked for, the redacted text (null if nothing was found) and text_sha256 of the text before.
 
     A null text is empty: counts 0, no spans. Repeated rows each come back, a null doc_id stays null, other columns are ignored, an
     empty table gives no rows. ``ratios`` is a trained table; without it one is trained on a bounded sample of ``docs``.
     """
     ratios = train(docs) if ratios is None else ratios
     texts = texts_of(docs)
-    out = texts.mapInArrow(partial(_scan_batches, ratios, with_text), "doc_id long, n_assign long, n_access long, n_hex long, n_random long, base_sha256 string, spans string, redacted string")
-    return out if with_text else out.drop("redacted")
+    out = texts.mapInArrow(partial(_scan_batches, ratios, with_text), "doc_id long, n_assign long, n_access long, n_hex long, n_random long, base_sha256 string, spans string, redacted string, text_sha256 string")
+    return out if with_text else out.drop("redacted", "text_sha256")

@@ -11,6 +11,7 @@ found, which has fewer edges than members. Buckets with more than ``BLOCK`` stor
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 from functools import partial
 from itertools import combinations
@@ -51,17 +52,19 @@ def fingerprint(text: bytes | None) -> int:
     return int(np.packbits(2 * counts > len(shingles)).view(">i8")[0])
 
 
-_FINGERPRINTS = pa.schema([("doc_id", pa.int64()), ("fp", pa.int64())])
+_FINGERPRINTS = pa.schema([("doc_id", pa.int64()), ("fp", pa.int64()), ("text_sha256", pa.string())])
 
 
-def _fingerprint_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _fingerprint_batches(keyed: bool, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in slices(batches, 1):
-        yield table(_FINGERPRINTS, [b.column(0), [fingerprint(t) for t in b.column(1).to_pylist()]])
+        texts = b.column(1).to_pylist()
+        yield table(_FINGERPRINTS, [b.column(0), [fingerprint(t) for t in texts], [hashlib.sha256(t).hexdigest() if keyed else None for t in texts]])
 
 
-def fingerprints(docs: DataFrame) -> DataFrame:
-    """(doc_id, fp) of documents with columns doc_id and text. A null text is empty; its fingerprint is 0."""
-    return texts_of(docs).mapInArrow(_fingerprint_batches, "doc_id long, fp long")
+def fingerprints(docs: DataFrame, keyed: bool = False) -> DataFrame:
+    """(doc_id, fp) and, if ``keyed``, text_sha256 of documents with columns doc_id and text. A null text is empty; its fingerprint is 0."""
+    out = texts_of(docs).mapInArrow(partial(_fingerprint_batches, keyed), "doc_id long, fp long, text_sha256 string")
+    return out if keyed else out.drop("text_sha256")
 
 
 def segment_bounds(segments: int = SEGMENTS) -> list[tuple[int, int]]:
@@ -204,16 +207,16 @@ def near_links(fps: DataFrame, max_bits: int = MAX_BITS, segments: int = SEGMENT
     return rows.mapInArrow(partial(_link_batches, max_bits), "a long, b long")
 
 
-def near_duplicates(docs: DataFrame, max_bits: int = MAX_BITS, segments: int = SEGMENTS) -> DataFrame:
-    """One row per document: doc_id, fp, component_id (smallest doc_id reachable over links of at most ``max_bits`` bits).
+def near_duplicates(docs: DataFrame, max_bits: int = MAX_BITS, segments: int = SEGMENTS, keyed: bool = False) -> DataFrame:
+    """One row per document: doc_id, fp, component_id (smallest doc_id reachable over links of at most ``max_bits`` bits) and, if ``keyed``, text_sha256.
 
     Null and empty texts have fingerprint 0 and link like any other. Rows that repeat a doc_id each come back. Rows with a null
     doc_id keep a null component of their own. Columns besides doc_id and text are ignored. An empty table gives no rows.
     """
-    marked = materialise(fingerprints(docs), "fingerprints")
+    marked = materialise(fingerprints(docs, keyed), "fingerprints")
     distinct = materialise(marked.where("doc_id is not null").groupBy("fp").agg(F.min("doc_id").alias("rep")), "distinct")
     found = connected_components(near_links(distinct, max_bits, segments))
     named = distinct.join(found, distinct["rep"] == found["node"], "left").select("fp", F.coalesce("component", "rep").alias("component_id"))
     named = materialise(named, "named")
     out = marked.join(named, "fp", "left")
-    return out.select("doc_id", "fp", F.when(F.col("doc_id").isNotNull(), F.col("component_id")).alias("component_id"))
+    return out.select("doc_id", "fp", F.when(F.col("doc_id").isNotNull(), F.col("component_id")).alias("component_id"), *["text_sha256"] * keyed)

@@ -221,7 +221,7 @@ def cut_text(text: bytes, gone: np.ndarray) -> bytes:
     return b"".join(out)
 
 
-_SUMMARY = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept_sha256", pa.string()), ("text", pa.binary())])
+_SUMMARY = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept_sha256", pa.string()), ("text", pa.binary()), ("text_sha256", pa.string())])
 
 
 def _cut_batches(window: int, with_text: bool, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -237,17 +237,17 @@ def _cut_batches(window: int, with_text: bool, batches: Iterator[pa.RecordBatch]
             cut = None
             if with_text and n_removed:
                 cut = cut_text(text, gone)
-            rows.append((doc, n_words, n_removed, hashlib.sha256(b" ".join(kept)).hexdigest(), cut))
-        yield table(_SUMMARY, list(map(list, zip(*rows, strict=True))) if rows else [[]] * 5)
+            rows.append((doc, n_words, n_removed, hashlib.sha256(b" ".join(kept)).hexdigest(), cut, hashlib.sha256(text).hexdigest() if with_text else None))
+        yield table(_SUMMARY, list(map(list, zip(*rows, strict=True))) if rows else [[]] * len(_SUMMARY))
 
 
 def dedup_substrings(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, bucket: int = BUCKET, with_text: bool = False) -> DataFrame:
-    """One row per document: doc_id, n_words, n_removed, kept_sha256 and, if asked for, the cut text (binary; null if uncut).
+    """One row per document: doc_id, n_words, n_removed, kept_sha256 and, if asked for, the cut text (binary; null if uncut) and text_sha256 of the text before.
 
     A null or empty text has no word. A null doc_id can't be ordered: such a row is returned uncut. Rows that repeat a doc_id
     count as one document's: none of their windows removes another of the same doc_id, and each row is cut by the runs of its own
     text alone. An empty table gives no rows; other columns are ignored.
     """
     runs = repeated_windows(docs, window, gram, bucket).groupBy("doc_id", "version").agg(F.collect_list(F.struct("start", "windows")).alias("runs"))
-    out = _versions(docs).join(runs, ["doc_id", "version"], "left").select("doc_id", "text", "runs").mapInArrow(partial(_cut_batches, window, with_text), "doc_id long, n_words long, n_removed long, kept_sha256 string, text binary")
-    return out if with_text else out.drop("text")
+    out = _versions(docs).join(runs, ["doc_id", "version"], "left").select("doc_id", "text", "runs").mapInArrow(partial(_cut_batches, window, with_text), "doc_id long, n_words long, n_removed long, kept_sha256 string, text binary, text_sha256 string")
+    return out if with_text else out.drop("text", "text_sha256")

@@ -10,6 +10,7 @@ Function words of the grammar are fixed; the insult lexicon (words and stems) an
 
 from __future__ import annotations
 
+import hashlib
 import math
 import re
 from collections import Counter
@@ -300,23 +301,24 @@ def train(docs: DataFrame, labels: DataFrame) -> tuple[dict[str, float], list[fl
     return weights, logistic(x, y).tolist()
 
 
-_SCORES = pa.schema([("doc_id", pa.int64()), ("score", pa.float64()), ("matches", pa.int64())])
+_SCORES = pa.schema([("doc_id", pa.int64()), ("score", pa.float64()), ("matches", pa.int64()), ("text_sha256", pa.string())])
 
 
-def _score_batches(terms: dict[str, float], weights: list[float], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _score_batches(terms: dict[str, float], weights: list[float], keyed: bool, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     lexicon, w = Lexicon(terms), np.array(weights)
     for b in slices(batches, 1):
         x = np.array([features(t.decode("utf-8", "replace"), lexicon) for t in b.column(1).to_pylist()]).reshape(-1, N_FEATURES)
-        yield table(_SCORES, [b.column(0), 1 / (1 + np.exp(-np.clip(x @ w[:-1] + w[-1], -30, 30))), x[:, -1].astype(int)])
+        digests = [hashlib.sha256(t).hexdigest() if keyed else None for t in b.column(1).to_pylist()]
+        yield table(_SCORES, [b.column(0), 1 / (1 + np.exp(-np.clip(x @ w[:-1] + w[-1], -30, 30))), x[:, -1].astype(int), digests])
 
 
-def score(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """One row per document: doc_id, held_out, score, predicted (score >= 0.3), matches (1 if any clause matched).
+def score(docs: DataFrame, labels: DataFrame, keyed: bool = False) -> DataFrame:
+    """One row per document: doc_id, held_out, score, predicted (score >= 0.3), matches (1 if any clause matched) and, if ``keyed``, text_sha256.
 
     A null or empty text gets the score of a text without a match. A null doc_id stays null, as does its held_out. Repeated rows each
     come back; other columns are ignored; an empty table gives no rows. Without labels of both kinds a fixed lexicon and weights serve.
     """
     terms, weights = train(docs, labels)
     texts = texts_of(docs)
-    out = texts.mapInArrow(partial(_score_batches, terms, weights), "doc_id long, score double, matches long")
-    return out.select("doc_id", (fold("doc_id", HELD_OUT_PARTS) == HELD_OUT).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"), "matches")
+    out = texts.mapInArrow(partial(_score_batches, terms, weights, keyed), "doc_id long, score double, matches long, text_sha256 string")
+    return out.select("doc_id", (fold("doc_id", HELD_OUT_PARTS) == HELD_OUT).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"), "matches", *["text_sha256"] * keyed)
