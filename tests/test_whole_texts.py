@@ -1,0 +1,12 @@
+from textloom.plans import catalog
+
+
+def test_text_beyond_the_prefix_is_read(spark, tmp_path):
+    tail = "x" * 90 + " ``` use tabs and use spaces, see `lib/far.rs` "
+    docs = [(i, tail, "en", "src0", len(tail)) for i in (11, 13)] + [(17, None, "en", "src0", 0)]
+    spark.createDataFrame(docs, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    run = lambda name: catalog.QUERIES[name](spark, str(tmp_path)).collect()
+    rules = {r["format"].split(":")[1]: r for r in run("whole_content_rules")}
+    assert rules["13"]["fence_open"] and rules["13"]["contradiction"] and rules["11"]["contradiction"] and "17" in rules
+    assert sorted(r["format"].split(":")[1] for r in run("whole_path_refs") if r["ref"] == "lib/far.rs") == ["11", "13"]
+    assert not any(r["ref"] == "lib/far.rs" for r in run("path_refs"))

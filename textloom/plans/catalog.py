@@ -7,6 +7,7 @@ artifacts. Where a rule needs text that the tables lack (fences, style words, pa
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import partial
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -180,23 +181,27 @@ _RENDERED = """r as (select doc_id, (['cursor','claude','copilot','windsurf','ai
   || case when doc_id % 3 = 0 then ' see `src0/doc' || (doc_id % 40) || '.py` or lib/none' || doc_id || '.rs, http://a/b.c and v1.2/x.y Kotlin kotlin KOTLIN' else '' end as content from documents)"""
 
 
-def _rendered(spark, sf):
+#: The same with the whole text of every document, and a quote style in most rows.
+_WHOLE = _RENDERED.replace("case when doc_id % 11 = 0 then ' ' else left(text, 80) end", "coalesce(text, '')").replace("camelCase ' else '' end", "camelCase ' else 'snake_case, single quotes ' end")
+
+
+def _rendered(spark, sf, whole=False):
     d = F.col("doc_id")
     kinds = F.element_at(F.array(*map(F.lit, ("cursor", "claude", "copilot", "windsurf", "aider", "generic"))), (d % 6 + 1).cast("int"))
     content = F.concat(
         F.when(d % 7 == 0, "---\ndescription: x\n---\n").when(d % 7 == 1, "---\n").otherwise(""),
         F.when(d % 5 == 0, "# Title\n").when(d % 5 == 1, "```\n").when(d % 5 == 2, "Use tabs. ").otherwise(""),
-        F.when(d % 4 == 0, "use spaces, 4 space indent, single quotes ").when(d % 4 == 1, "line length: 100 and snake_case, double quotes; omit semicolons. ").when(d % 4 == 2, "always use semicolons, camelCase ").otherwise(""),
-        F.when(d % 11 == 0, " ").otherwise(F.left("text", F.lit(80))),
+        F.when(d % 4 == 0, "use spaces, 4 space indent, single quotes ").when(d % 4 == 1, "line length: 100 and snake_case, double quotes; omit semicolons. ").when(d % 4 == 2, "always use semicolons, camelCase ").otherwise("snake_case, single quotes " if whole else ""),
+        F.coalesce("text", F.lit("")) if whole else F.when(d % 11 == 0, " ").otherwise(F.left("text", F.lit(80))),
         F.when(d % 3 == 0, F.concat(F.lit(" see `src0/doc"), (d % 40).cast("string"), F.lit(".py` or lib/none"), d.cast("string"), F.lit(".rs, http://a/b.c and v1.2/x.y Kotlin kotlin KOTLIN"))).otherwise(""),
     )
     return _table(spark, sf, "documents").select("doc_id", F.concat(kinds, F.lit(":"), d.cast("string")).alias("format"), content.alias("content"))
 
 
 @query(f"with {_RENDERED} select format, ((len(content) - len(replace(content, '```', ''))) // 3) % 2 = 1 as fence_open, trim(regexp_replace(content, '\\s+', ' ', 'g')) = '' as is_empty, contains(content, '# ') as has_heading, regexp_matches(content, '(?i)\\buse\\s+tabs\\b') and regexp_matches(content, '(?i)\\buse\\s+spaces\\b') as contradiction from r")
-def content_rules(spark, sf):
+def content_rules(spark, sf, whole=False):
     c = F.col("content")
-    return _rendered(spark, sf).select("format", text.fence_unbalanced(c).alias("fence_open"), validate.empty(c).alias("is_empty"), c.contains("# ").alias("has_heading"), validate.contradiction(c).alias("contradiction"))
+    return _rendered(spark, sf, whole).select("format", text.fence_unbalanced(c).alias("fence_open"), validate.empty(c).alias("is_empty"), c.contains("# ").alias("has_heading"), validate.contradiction(c).alias("contradiction"))
 
 
 _KIND = "split_part(format, ':', 1)"
@@ -208,8 +213,8 @@ union all select format, 'error', 'schema', 'frontmatter is not closed' from k w
 union all select format, 'warning', 'schema', 'frontmatter has no description' from k where format = 'cursor' and instr(b, '---') > 0 and not contains(substr(b, 1, instr(b, '---') - 1), 'description:')
 union all select format, 'error', 'schema', 'no heading' from k where format = 'claude' and not contains(content, '# ') union all select format, 'error', 'schema', 'content is empty' from k where e and format in ('copilot', 'windsurf', 'aider', 'generic'))
 select format, severity, layer, message, count(*) as n from f group by all""")
-def syntax_findings(spark, sf):
-    rows = _rendered(spark, sf).select(F.split_part("format", F.lit(":"), F.lit(1)).alias("format"), "content")
+def syntax_findings(spark, sf, whole=False):
+    rows = _rendered(spark, sf, whole).select(F.split_part("format", F.lit(":"), F.lit(1)).alias("format"), "content")
     return validate.syntax(rows).groupBy("format", "severity", "layer", "message").agg(F.count("*").alias("n"))
 
 
@@ -218,14 +223,14 @@ refs as (select * from x where not (starts_with(ref, 'http') or starts_with(ref,
 
 
 @query(f"with {_REFS} select format, ref from refs")
-def path_refs(spark, sf):
-    return validate.path_references(_rendered(spark, sf))
+def path_refs(spark, sf, whole=False):
+    return validate.path_references(_rendered(spark, sf, whole))
 
 
 @query(f"with {_REFS}, files as (select distinct source || '/doc' || doc_id || '.py' as path from documents where lang = 'en') select format, ref from refs where not exists (select 1 from files where path = ref or ends_with(ref, path) or ends_with(path, ref))")
-def dangling_refs(spark, sf):
+def dangling_refs(spark, sf, whole=False):
     files = _files(spark, sf).where("language = 'python'")
-    return validate.dangling(validate.path_references(_rendered(spark, sf)), files)
+    return validate.dangling(validate.path_references(_rendered(spark, sf, whole)), files)
 
 
 _CONV = """c as (select format, case when regexp_matches(content, '(?i)\\buse\\s+tabs\\b') then 'tabs' when regexp_matches(content, '(?i)\\buse\\s+spaces\\b') then 'spaces' end as indentation_style, try_cast(nullif(regexp_extract(content, '(?i)\\b(\\d+)[ -]*(?:space|indent)', 1), '') as int) as indent_width,
@@ -235,13 +240,13 @@ s as (select * exclude (ll), case when ll between 40 and 500 then ll end as line
 
 
 @query(f"with {_RENDERED}, {_CONV} select format, indentation_style, indent_width, naming, line_length, semicolons, quote_style from s")
-def convention_extraction(spark, sf):
-    return validate.conventions(_rendered(spark, sf))
+def convention_extraction(spark, sf, whole=False):
+    return validate.conventions(_rendered(spark, sf, whole))
 
 
 @query(f"with {_RENDERED}, {_CONV}, l as (" + " union all ".join(f"select format, '{n}' as name, {n}::varchar as value from s" for n in validate.CONFLICTING) + ") select name, sha256(string_agg(format || '=' || value, ', ' order by encode(format || '=' || value))) as stated from l where value is not null group by name having count(distinct value) > 1")
-def cross_format_conflicts(spark, sf):
-    out = validate.conflicts(validate.conventions(_rendered(spark, sf)))
+def cross_format_conflicts(spark, sf, whole=False):
+    out = validate.conflicts(validate.conventions(_rendered(spark, sf, whole)))
     return out.select("name", F.sha2(F.col("stated").cast("binary"), 256).alias("stated"))
 
 
@@ -253,8 +258,8 @@ def cross_format_missing(spark, sf):
 
 
 @query(f"with {_RENDERED} select format, 'kotlin' as language, ((len(content) - len(regexp_replace(lower(content), '\\bkotlin\\b', '', 'g'))) // 6)::bigint as mentions from r where regexp_matches(lower(content), '\\bkotlin\\b.*\\bkotlin\\b.*\\bkotlin\\b')")
-def language_reality(spark, sf):
-    return validate.language_mentions(_rendered(spark, sf), _files(spark, sf))
+def language_reality(spark, sf, whole=False):
+    return validate.language_mentions(_rendered(spark, sf, whole), _files(spark, sf))
 
 
 @query("""with j as (select event_id, case event_id % 6 when 0 then props when 1 then props || ' x' when 2 then '{}' when 3 then 'null' when 4 then '[' || props || ']' else '{"a": ' end as c from events)
@@ -408,15 +413,15 @@ def existing_not_generated(spark, sf):
 
 @query(f"""with {_RENDERED}, k as (select format, (trim(regexp_replace(content, '\\s+', ' ', 'g')) = '')::bigint as e, (((len(content) - len(replace(content, '```', ''))) // 3) % 2 = 1)::bigint as o from r)
 select format, e + (1 - e) * o = 0 as passed, e + (1 - e) * o as errors, 0::bigint as warnings from k""")
-def validation_results(spark, sf):
-    rows = _rendered(spark, sf)
+def validation_results(spark, sf, whole=False):
+    rows = _rendered(spark, sf, whole)
     return validate.results(rows, validate.syntax(rows))
 
 
 @query(f"with {_REFS}, files as (select distinct source || '/doc' || doc_id || '.py' as path from documents where lang = 'en') select format, 'warning' as severity, 'path is not in the corpus' as message, ref as location from refs where not exists (select 1 from files where path = ref or ends_with(ref, path) or ends_with(path, ref)) union all select format, 'warning', 'tabs and spaces are both prescribed', null from r where regexp_matches(content, '(?i)\\buse\\s+tabs\\b') and regexp_matches(content, '(?i)\\buse\\s+spaces\\b')")
-def smoke_findings(spark, sf):
+def smoke_findings(spark, sf, whole=False):
     files = _files(spark, sf).where("language = 'python'")
-    return validate.smoke(_rendered(spark, sf), files).select("format", "severity", "message", "location")
+    return validate.smoke(_rendered(spark, sf, whole), files).select("format", "severity", "message", "location")
 
 
 _LISTED = "select page_id, 'm' || page_id as model, case page_id % 4 when 0 then '0.000003' when 1 then '0.5' when 2 then 'free' end as i, case page_id % 3 when 0 then '0.25' when 1 then '' end as o from pages"
@@ -443,3 +448,10 @@ def models_installed(spark, sf):
     pages = _table(spark, sf, "pages")
     listing = pages.select(F.to_json(F.struct(F.array(F.struct(F.concat(name, tag).alias("name"))).alias("models"))).alias("body"))
     return models.installed(pages.select(name.alias("model")), listing)
+
+
+#: Queries whose SQL is bound to the first 80 characters; whole_... reads whole texts.
+_CUT = ("content_rules", "syntax_findings", "path_refs", "dangling_refs", "convention_extraction", "cross_format_conflicts", "language_reality", "validation_results", "smoke_findings")
+for _name in _CUT:
+    QUERIES[f"whole_{_name}"] = partial(QUERIES[_name], whole=True)
+    ORACLE_SQL[f"whole_{_name}"] = ORACLE_SQL[_name].replace(_RENDERED, _WHOLE)
