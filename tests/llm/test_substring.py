@@ -65,3 +65,26 @@ def test_two_texts_under_one_id(spark, bucket):
     df = spark.createDataFrame(rows, "doc_id long, text string")
     got = {(r["doc_id"], r["n_words"]): (r["n_removed"], r["text"] and bytes(r["text"])) for r in substring.dedup_substrings(df, 3, 2, bucket, with_text=True).collect()}
     assert got == {(1, 4): (0, None), (2, 11): (3, b"p q r s t u v w"), (2, 1): (0, None), (2, 12): (0, None), (3, 4): (3, b" z")}
+
+
+@pytest.mark.parametrize("bucket", [300, substring.BUCKET])
+def test_a_passage_that_a_third_of_the_documents_share(spark, bucket):
+    """Its buckets hold a string of its own for each document, where the passage meets other text; small blocks must agree across."""
+    import random
+
+    draw = random.Random(4)
+    prose = lambda n: " ".join(str(draw.randrange(3000)) for _ in range(n))
+    passage = prose(90)
+    texts = {i: f"{prose(draw.randrange(30))} {passage} {prose(draw.randrange(30))}" if i % 3 == 0 else prose(60) for i in range(5, 1500)}
+    texts |= {i + 2000: texts[i] for i in range(5, 200)}  # pairs that share more than the passage
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(8)
+    got = {r["doc_id"]: (r["n_words"], r["n_removed"], r["kept_sha256"]) for r in substring.dedup_substrings(df, bucket=bucket).collect()}
+    assert got == plain(texts)
+
+
+def test_rows_of_equal_text_and_id(spark):
+    words = " ".join(f"w{i}" for i in range(60))
+    rows = [(2, words)] * 5 + [(1, words)] * 3 + [(None, words)] * 2
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted(((r["doc_id"] or 0, r["n_removed"]) for r in substring.dedup_substrings(df).collect()))
+    assert got == [(0, 0)] * 2 + [(1, 0)] * 3 + [(2, 60)] * 5

@@ -3,13 +3,15 @@
 A window's minimiser is the smallest hash of its ``GRAM``-word grams. Consecutive windows of a document that share a minimiser form
 a super-k-mer. Equal windows have equal minimisers, so all copies of a window meet in its minimiser's bucket.
 
-1. Each document emits its super-k-mers as bare numbers (minimiser, document, first window, windows). A minimiser that only one
-   document has can't hold a repeat, so its super-k-mers stop here: only those that may repeat travel as text.
-2. A surviving super-k-mer travels once, as one packed string, to its bucket, where the windows are sorted and equal neighbours
-   give each window's smallest document. Words are compared, not hashes.
-3. A bucket with more than ``BUCKET`` windows (a passage that very many documents share) isn't gathered. Its windows are
-   counted one by one under 128-bit digests, with partial aggregation before the shuffle.
-4. Removed windows return to their document, whose words are then cut.
+1. Each document emits its super-k-mers as bare numbers: minimiser, document, first window, windows, and a 128-bit digest of the
+   super-k-mer's words. A minimiser that only one document has can't hold a repeat, so its super-k-mers stop here.
+2. Super-k-mers of equal words are one string, however many documents have it: an aggregation keeps its smallest document. Each
+   string travels once, packed, from that document to its bucket.
+3. A bucket is dealt to blocks of about ``BUCKET`` windows by the string's digest, one block for all but the largest. A block sorts
+   the windows of its strings by their words, and equal neighbours give each window's smallest document.
+4. Blocks of one bucket exchange their distinct windows, as 128-bit digests with the smallest document; a block gets back those
+   that a smaller document has elsewhere. So a passage that very many documents share costs a row a block, not a row a copy.
+5. Runs of windows return to the super-k-mers that have the string, and from there to their documents, whose words are then cut.
 """
 
 from __future__ import annotations
@@ -28,9 +30,9 @@ from .common import materialise, slices, table, texts_of, words_of
 
 WINDOW = 50
 GRAM = 8
-#: Windows that one bucket may gather in a task.
+#: Windows that one block of a bucket gathers in a task.
 BUCKET = 50_000
-#: Windows that a super-k-mer counts for at least, so that a bucket's rows are bounded too (by BUCKET / TYPICAL).
+#: Windows that a super-k-mer counts for at least, so that a block's rows are bounded too (by BUCKET / TYPICAL).
 TYPICAL = 50
 #: Windows of one super-k-mer; a longer run (repetitive text) is cut.
 LONGEST = 256
@@ -88,91 +90,127 @@ def super_kmers(words: list[bytes], window: int = WINDOW, gram: int = GRAM) -> t
     return m[starts].view(np.int64), starts, np.diff(np.r_[starts, len(m)])
 
 
-_NUMBERS = pa.schema([("mini", pa.int64()), ("doc_id", pa.int64()), ("version", pa.int64()), ("start", pa.int32()), ("windows", pa.int32())])
+def digests(words: list[bytes], start: np.ndarray, count: np.ndarray, window: int = WINDOW) -> np.ndarray:
+    """128-bit digests of the words of super-k-mers, as two signed columns."""
+    text = memoryview(b" ".join(words))
+    ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1)
+    lo = np.r_[0, ends][start].tolist()
+    hi = (ends[start + count + window - 2] - 1).tolist() if len(start) else []
+    return np.frombuffer(b"".join(xxhash.xxh3_128_digest(text[x:y]) for x, y in zip(lo, hi, strict=True)), ">i8").reshape(-1, 2)
+
+
+_NUMBERS = pa.schema([("mini", pa.int64()), ("s1", pa.int64()), ("s2", pa.int64()), ("doc_id", pa.int64()), ("version", pa.int64()), ("start", pa.int32()), ("windows", pa.int32())])
 
 
 def _number_batches(window: int, gram: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in slices(batches, 1):
-        parts = [[], [], [], [], []]
+        parts: list[list[np.ndarray]] = [[] for _ in _NUMBERS]
         for doc, text, version in zip(*(b.column(i).to_pylist() for i in range(3)), strict=True):
-            mini, start, count = super_kmers(words_of(text), window, gram)
-            for p, x in zip(parts, (mini, np.full(len(mini), doc), np.full(len(mini), version), start, count), strict=True):
-                p.append(x)
+            words = words_of(text)
+            mini, start, count = super_kmers(words, window, gram)
+            if len(mini):
+                same = digests(words, start, count, window)
+                for p, x in zip(parts, (mini, same[:, 0], same[:, 1], np.full(len(mini), doc), np.full(len(mini), version), start, count), strict=True):
+                    p.append(x)
         yield table(_NUMBERS, [np.concatenate(p).astype(f.type.to_pandas_dtype()) if p else [] for p, f in zip(parts, _NUMBERS, strict=True)])
 
 
-_PACKED = pa.schema([("mini", pa.int64()), ("doc_id", pa.int64()), ("version", pa.int64()), ("start", pa.int32()), ("packed", pa.binary()), ("w1", pa.int64()), ("w2", pa.int64())])
+_PACKED = pa.schema([("mini", pa.int64()), ("block", pa.int32()), ("blocks", pa.int32()), ("s1", pa.int64()), ("s2", pa.int64()), ("least", pa.int64()), ("most", pa.int64()), ("packed", pa.binary())])
+_PACKED_DDL = "mini long, block int, blocks int, s1 long, s2 long, least long, most long, packed binary"
 
 
 def _packed_batches(window: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Documents with the numbers of their surviving super-k-mers in; packed strings, or digests of single windows of hot buckets, out."""
+    """Documents with the numbers of the strings that they are the first to have in; packed strings out."""
     for b in slices(batches, 1, 2 << 20):
         rows = []
-        for doc, text, version, kept in zip(*(b.column(i).to_pylist() for i in range(4)), strict=True):
+        for doc, text, wanted in zip(*(b.column(i).to_pylist() for i in range(3)), strict=True):
             words = words_of(text)
-            for x in kept:
-                start, count = x["start"], x["windows"]
-                if x["hot"]:
-                    for i in range(start, start + count):
-                        d = xxhash.xxh3_128_digest(b" ".join(words[i : i + window]))
-                        rows.append((0, doc, version, i, None, int.from_bytes(d[:8], "big", signed=True), int.from_bytes(d[8:], "big", signed=True)))
-                else:
-                    rows.append((x["mini"], doc, version, start, b" ".join(words[start : start + count + window - 1]), None, None))
-            if len(rows) > 20_000:
+            for x in wanted:
+                lo = x["start"]
+                rows.append((x["mini"], x["block"], x["blocks"], x["s1"], x["s2"], doc, x["most"], b" ".join(words[lo : lo + x["windows"] + window - 1])))
+            if len(rows) > 5000:
                 yield table(_PACKED, list(map(list, zip(*rows, strict=True))))
                 rows = []
         if rows:
             yield table(_PACKED, list(map(list, zip(*rows, strict=True))))
 
 
-def _repeats(group: list[tuple[int, int, int, bytes]], window: int) -> Iterator[tuple[int, int, int, int]]:
-    """(document, version, first window, windows) that also start in a smaller document, from one bucket's (document, version, start, packed) rows."""
-    found: dict[tuple[int, int, int], list[int]] = {}
-    distinct: dict[bytes, list[tuple[int, int, int]]] = {}
-    for doc, version, start, packed in group:
-        distinct.setdefault(packed, []).append((doc, version, start))
-    if len({doc for doc, _, _, _ in group}) < 2:
-        return
-    entries = []
-    for packed, owners in distinct.items():
-        first = min(owners)[0]
-        spaces = [-1, *(i for i, c in enumerate(packed) if c == 32), len(packed)]
-        for j in range(len(spaces) - window):
-            entries.append((packed[spaces[j] + 1 : spaces[j + window]], first, j, packed))
-    entries.sort(key=lambda e: e[:2])
-    least = None
-    for k, (text, first, j, packed) in enumerate(entries):
-        if k == 0 or text != entries[k - 1][0]:
-            least = first
-        for owner in distinct[packed]:
-            if owner[0] > least:
-                found.setdefault(owner, []).append(j)
-    for (doc, version, start), js in found.items():
-        js.sort()
-        lo = prev = js[0]
-        for j in [*js[1:], None]:
-            if j is None or j != prev + 1:
-                yield doc, version, start + lo, prev - lo + 1
-                lo = j
-            prev = j
-
-
-_RUNS = pa.schema([("doc_id", pa.int64()), ("version", pa.int64()), ("start", pa.int32()), ("windows", pa.int32())])
-
-
-def _bucket_batches(window: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Packed rows sorted by minimiser in; runs of removed windows out."""
-    mini, group, out = None, [], []
+def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[list[tuple]]:
+    """The rows of each block, from rows sorted by (mini, block)."""
+    key, rows = None, []
     for b in batches:
-        for m, doc, version, start, packed in zip(*(b.column(i).to_pylist() for i in range(5)), strict=True):
-            if m != mini:
-                out += _repeats(group, window)
-                mini, group = m, []
-            group.append((doc, version, start, packed))
-        if out:
+        for row in zip(*(b.column(i).to_pylist() for i in range(b.num_columns)), strict=True):
+            if row[:2] != key:
+                if rows:
+                    yield rows
+                key, rows = row[:2], []
+            rows.append(row)
+    if rows:
+        yield rows
+
+
+def _windows(packed: bytes, window: int) -> list[bytes]:
+    spaces = [-1, *(i for i, c in enumerate(packed) if c == 32), len(packed)]
+    return [packed[spaces[j] + 1 : spaces[j + window]] for j in range(len(spaces) - window)]
+
+
+def _least(strings: list[tuple[int, bytes]], window: int) -> Iterator[tuple[bytes, int, list[tuple[int, int]]]]:
+    """Each distinct window of (least document, packed) strings with its least document and (string, position) places, by sorting."""
+    entries = sorted((text, least, k, j) for k, (least, packed) in enumerate(strings) for j, text in enumerate(_windows(packed, window)))
+    lo = 0
+    for hi in range(1, len(entries) + 1):
+        if hi == len(entries) or entries[hi][0] != entries[lo][0]:
+            yield entries[lo][0], entries[lo][1], [e[2:] for e in entries[lo:hi]]
+            lo = hi
+
+
+def _window_digest(text: bytes) -> tuple[int, int]:
+    d = xxhash.xxh3_128_digest(text)
+    return int.from_bytes(d[:8], "big", signed=True), int.from_bytes(d[8:], "big", signed=True)
+
+
+_SEEN = pa.schema([("mini", pa.int64()), ("block", pa.int32()), ("w1", pa.int64()), ("w2", pa.int64()), ("least", pa.int64())])
+
+
+def _seen_batches(window: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Strings sorted by block in; each block's distinct windows with their least document out."""
+    for rows in _blocks(batches):
+        out = [(*rows[0][:2], *_window_digest(text), least) for text, least, _ in _least([(r[4], r[6]) for r in rows], window)]
+        yield table(_SEEN, list(map(list, zip(*out, strict=True))))
+
+
+_RUNS = pa.schema([("mini", pa.int64()), ("s1", pa.int64()), ("s2", pa.int64()), ("at", pa.int32()), ("windows", pa.int32()), ("least", pa.int64())])
+
+
+def _answers(rows: list[tuple], window: int) -> Iterator[tuple[int, int, int, int, int, int]]:
+    """Runs (minimiser, string, position, windows, least document) of a block's windows that a smaller document may have than some owner of the string."""
+    elsewhere = {(r[2], r[3]): r[4] for r in rows if r[6] is None}
+    strings = list({(r[2], r[3]): r for r in rows if r[6] is not None}.values())
+    least = [[r[4]] * (r[6].count(b" ") + 2 - window) for r in strings]
+    if len(strings) > 1 or elsewhere:
+        for text, first, places in _least([(r[4], r[6]) for r in strings], window):
+            if elsewhere:
+                first = min(first, elsewhere.get(_window_digest(text), first))
+            for k, j in places:
+                least[k][j] = first
+    for (mini, _, s1, s2, _, most, _), of in zip(strings, least, strict=True):
+        lo = 0
+        for hi in range(1, len(of) + 1):
+            if hi == len(of) or of[hi] != of[lo]:
+                if of[lo] < most:
+                    yield mini, s1, s2, lo, hi - lo, of[lo]
+                lo = hi
+
+
+def _answer_batches(window: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Strings, and windows that other blocks have from a smaller document, sorted by block in; runs out."""
+    out: list[tuple] = []
+    for rows in _blocks(batches):
+        out += _answers(rows, window)
+        if len(out) > 5000:
             yield table(_RUNS, list(map(list, zip(*out, strict=True))))
             out = []
-    if out := list(_repeats(group, window)):
+    if out:
         yield table(_RUNS, list(map(list, zip(*out, strict=True))))
 
 
@@ -184,20 +222,24 @@ def _versions(docs: DataFrame) -> DataFrame:
 def repeated_windows(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, bucket: int = BUCKET) -> DataFrame:
     """Runs (doc_id, version, start, windows) of windows whose words also start a window of a document with a smaller doc_id."""
     texts = _versions(docs.where("doc_id is not null"))
-    numbers = materialise(texts.mapInArrow(partial(_number_batches, window, gram), "mini long, doc_id long, version long, start int, windows int"), "superkmers")
-    shared = numbers.groupBy("mini").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most"), F.greatest(F.sum("windows"), F.count("*") * TYPICAL).alias("n")).where("least < most")
-    shared = materialise(shared.select("mini", (F.col("n") > bucket).alias("hot")), "shared")
-    kept = numbers.join(shared, "mini").groupBy("doc_id", "version").agg(F.collect_list(F.struct("mini", "start", "windows", "hot")).alias("kept"))
-    packed = texts.join(kept, ["doc_id", "version"]).select("doc_id", "text", "version", "kept").mapInArrow(partial(_packed_batches, window), "mini long, doc_id long, version long, start int, packed binary, w1 long, w2 long")
-    packed = materialise(packed, "packed")
-    runs = (
-        packed.where("packed is not null").select("mini", "doc_id", "version", "start", "packed").repartition("mini").sortWithinPartitions("mini")
-        .mapInArrow(partial(_bucket_batches, window), "doc_id long, version long, start int, windows int")
-    )
-    single = packed.where("packed is null").select("doc_id", "version", "start", "w1", "w2")
-    first = materialise(single.groupBy("w1", "w2").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).where("least < most").drop("most"), "first")
-    hot = single.join(first, ["w1", "w2"]).where("doc_id > least").select("doc_id", "version", "start", F.lit(1).alias("windows"))
-    return runs.unionByName(hot)
+    numbers = materialise(texts.mapInArrow(partial(_number_batches, window, gram), "mini long, s1 long, s2 long, doc_id long, version long, start int, windows int"), "superkmers")
+    load = F.greatest(F.sum("windows"), F.count("*") * TYPICAL)
+    shared = numbers.groupBy("mini").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most"), F.ceil(load / bucket).cast("int").alias("blocks")).where("least < most")
+    kept = materialise(numbers.join(shared.select("mini", "blocks"), "mini"), "kept")
+    strings = kept.groupBy("mini", "s1", "s2", "windows", "blocks").agg(F.min(F.struct("doc_id", "version", "start")).alias("first"), F.max("doc_id").alias("most"))
+    block = F.pmod("s1", F.col("blocks").cast("long")).cast("int").alias("block")
+    wanted = strings.select("first.*", F.struct("mini", block, "blocks", "s1", "s2", "most", "first.start", "windows").alias("string")).groupBy("doc_id", "version").agg(F.collect_list("string").alias("wanted"))
+    packed = materialise(texts.join(wanted, ["doc_id", "version"]).select("doc_id", "text", "wanted").mapInArrow(partial(_packed_batches, window), _PACKED_DDL), "packed")
+
+    def dealt(rows: DataFrame) -> DataFrame:
+        return rows.select("mini", "block", "s1", "s2", "least", "most", "packed").repartition("mini", "block").sortWithinPartitions("mini", "block")
+
+    seen = materialise(dealt(packed.where("blocks > 1")).mapInArrow(partial(_seen_batches, window), "mini long, block int, w1 long, w2 long, least long"), "seen")
+    first = seen.groupBy("w1", "w2").agg(F.min("least").alias("first"), F.count("*").alias("n")).where("n > 1")
+    elsewhere = seen.join(first, ["w1", "w2"]).where("first < least").select("mini", "block", F.col("w1").alias("s1"), F.col("w2").alias("s2"), F.col("first").alias("least"), F.lit(None).cast("long").alias("most"), F.lit(None).cast("binary").alias("packed"))
+    answers = dealt(packed.drop("blocks").unionByName(elsewhere)).mapInArrow(partial(_answer_batches, window), "mini long, s1 long, s2 long, at int, windows int, least long")
+    owners = kept.select("mini", "s1", "s2", "doc_id", "version", "start")
+    return owners.join(answers, ["mini", "s1", "s2"]).where("doc_id > least").select("doc_id", "version", (F.col("start") + F.col("at")).alias("start"), "windows")
 
 
 def covered(runs: list[dict], n: int, window: int = WINDOW) -> np.ndarray:
