@@ -56,6 +56,15 @@ def fold(column: str, parts: int) -> F.Column:
     return F.crc32(F.col(column).cast("string").cast("binary")) % F.lit(parts)
 
 
+def spread(rows: DataFrame) -> DataFrame:
+    """Rows dealt to all cores where their source has less than half as many splits as there are cores: a few small files, or one row
+    group. Larger inputs are read as they are, without a shuffle."""
+    spark = rows.sparkSession
+    cores = spark.sparkContext.defaultParallelism
+    size = int(str(rows._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return rows.repartition(cores) if 2 * size < cores * spark._jsparkSession.sessionState().conf().filesMaxPartitionBytes() else rows
+
+
 def binary_text(column: str = "text") -> F.Column:
     """The UTF-8 bytes of a text; null counts as empty."""
     return F.coalesce(F.col(column).cast("binary"), F.lit(b"")).alias("text")
@@ -99,7 +108,7 @@ def small_batches(spark: SparkSession) -> None:
 def texts_of(docs: DataFrame) -> DataFrame:
     """(doc_id, text as UTF-8 bytes) of documents, in small batches for Python."""
     small_batches(docs.sparkSession)
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), binary_text())
+    return spread(docs).select(F.col("doc_id").cast("long").alias("doc_id"), binary_text())
 
 
 def slices(batches: Iterator[pa.RecordBatch], column: int, limit: int = 2 << 20) -> Iterator[pa.RecordBatch]:
