@@ -1,8 +1,10 @@
 """Secret scans: base patterns, and character Markov models compared by log-likelihood ratio.
 
 Two order-2 character models are trained from labelled samples: random strings (values that the base patterns caught in a bounded
-sample of documents, and strings drawn from a seeded generator) and ordinary identifiers (words of the same documents, and words
-joined as identifiers are). A long run of token characters is a secret if the random model explains it much better.
+sample of documents, and strings drawn from a seeded generator) and ordinary identifiers (words and numbers of the same documents,
+words joined as identifiers are, and fillers such as one repeated character). Every run of token characters outside the base spans
+is scored, whatever characters it has. A stretch of it is a secret if the random model explains it much better than the other: the
+stretch of the greatest ratio, then the same again on either side of it. So a key behind a long path or name is still found.
 """
 
 from __future__ import annotations
@@ -34,13 +36,15 @@ _KEYWORDS = ("passw", "secret", "token", "apikey", "api_key")
 SAMPLE_ROWS = 2000
 #: Strings drawn for the random model, and the seed.
 DRAWN, SEED = 4000, 20240
-#: Shortest run of token characters that is scored, and the ratio (nats) from which it is a secret: in all and for each character.
-LEAST_RUN, LEAST_RATIO, LEAST_MEAN = 20, 14.0, 0.45
+#: Shortest run of token characters that is scored, shortest stretch of it that may be a secret (its ends may look ordinary), and the
+#: ratio (nats) from which it is one: in all and for each character.
+LEAST_RUN, LEAST_STRETCH, LEAST_RATIO, LEAST_MEAN = 16, 12, 14.0, 0.7
 _RUN = re.compile(rf"[A-Za-z0-9+/_=-]{{{LEAST_RUN},}}")
 
 ALPHABET = string.ascii_letters + string.digits + "+/_=-"
 _INDEX = {c: i + 1 for i, c in enumerate(ALPHABET)}
 STATES = len(ALPHABET) + 1  # 0 stands for the start
+_NUMBERED = bytes(_INDEX.get(chr(i), 0) for i in range(256))
 
 
 def base_spans(text: str) -> list[tuple[int, int, int, int]]:
@@ -80,6 +84,12 @@ def joined_words(words: list[str]) -> list[str]:
     return out
 
 
+def fillers() -> list[str]:
+    """Runs that are no word and no secret: one character again and again, the alphabet and the digits in order."""
+    ordered = (string.ascii_lowercase, string.ascii_uppercase, string.digits)
+    return [c * 64 for c in ALPHABET] + [x * 2 for x in ordered] + [x[::-1] * 2 for x in ordered]
+
+
 _COUNTS = pa.schema([("label", pa.int32()), ("a", pa.int32()), ("b", pa.int32()), ("c", pa.int32()), ("n", pa.int64())])
 
 
@@ -93,8 +103,9 @@ def _count_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
             counts[1].update(transitions(text[v:end] for _, _, end, v in spans))
             for start, _, end, _ in reversed(spans):
                 text = text[:start] + " " + text[end:]
-            words = [w for w in re.findall(r"[A-Za-z]{2,}", text)]
+            words = re.findall(r"[A-Za-z]{2,}", text)
             counts[0].update(transitions(words))
+            counts[0].update(transitions(re.findall(r"(?<![A-Za-z0-9])[0-9]{1,15}(?![A-Za-z0-9])", text)))
             counts[0].update(transitions(joined_words(words)))
     rows = [(label, *k, n) for label in (0, 1) for k, n in counts[label].items()]
     if rows:
@@ -129,26 +140,43 @@ def train(docs: DataFrame, sample_rows: int = SAMPLE_ROWS) -> np.ndarray:
         counts[r["label"]][r["a"], r["b"], r["c"]] += r["n"]
     if not counts[0]:
         counts[0].update(transitions(joined_words("the quick brown fox jumps over the lazy dog".split())))
+    counts[0].update(transitions(fillers()))
     return log_ratios(*counts)
 
 
-def ratio(run: str, table_: np.ndarray) -> float:
-    x = np.array([0, 0, *(_INDEX[c] for c in run)])
-    return float(table_[x[:-2], x[1:-1], x[2:]].sum())
+def ratios_of(run: str, table_: np.ndarray) -> np.ndarray:
+    """The log ratio of each character of a run, given the two before it."""
+    x = np.frombuffer(b"\0\0" + run.encode("ascii").translate(_NUMBERED), np.uint8)
+    return table_[x[:-2], x[1:-1], x[2:]]
 
 
-def secret_spans(text: str, table_: np.ndarray) -> list[tuple[int, int, int, int]]:
-    """Base spans, and random runs that overlap none of them, as (start, kind, end, start of the value)."""
-    base = base_spans(text)
-    more = []
-    for m in _RUN.finditer(text):
-        run = m.group()
-        if run.isalpha() and run.islower() or any(s < m.end() and m.start() < e for s, _, e, _ in base):
+def best_stretches(r: np.ndarray) -> list[tuple[int, int]]:
+    """Stretches (start, end) of a run that are secrets by its log ratios: the one of the greatest sum, then the same on either side."""
+    out, todo = [], [(0, len(r))]
+    while todo:
+        lo, hi = todo.pop()
+        if hi - lo < LEAST_STRETCH or np.maximum(r[lo:hi], 0).sum() < LEAST_RATIO:
             continue
-        if not any(c.isalpha() for c in run):
+        total = np.r_[0.0, np.cumsum(r[lo:hi], dtype=np.float64)]
+        gain = total - np.minimum.accumulate(total)
+        end = int(np.argmax(gain))
+        start = int(np.argmin(total[: end + 1]))
+        if gain[end] < LEAST_RATIO:
             continue
-        if (r := ratio(run, table_)) >= LEAST_RATIO and r >= LEAST_MEAN * len(run):
-            more.append((m.start(), 3, m.end(), m.start()))
+        if end - start >= LEAST_STRETCH and gain[end] >= LEAST_MEAN * (end - start):
+            out.append((lo + start, lo + end))
+        todo += [(lo, lo + start), (lo + end, hi)]
+    return sorted(out)
+
+
+def secret_spans(text: str, table_: np.ndarray) -> list[tuple[int, int, int, int]]:
+    """Base spans, and random stretches between them, as (start, kind, end, start of the value)."""
+    base = base_spans(text)
+    more, at = [], 0
+    for start, _, end, _ in [*base, (len(text), 0, len(text), 0)]:
+        for m in _RUN.finditer(text, at, max(at, start)):
+            more += [(m.start() + lo, 3, m.start() + hi, m.start() + lo) for lo, hi in best_stretches(ratios_of(m.group(), table_))]
+        at = max(at, end)
     return sorted(base + more)
 
 
