@@ -148,7 +148,8 @@ def train(docs: DataFrame, labels: DataFrame) -> dict | None:
     # Another order than that of the positives, so that the sample doesn't follow theirs.
     others = ids.where(usable).orderBy(F.xxhash64("doc_id", F.lit(7)), "doc_id").limit(SAMPLE_UNLABELLED).distinct().select("doc_id", F.lit(0).alias("group"))
     texts = texts_of(docs)
-    rows = texts.join(F.broadcast(trusted.unionByName(others)), "doc_id").select("group", "text").mapInArrow(_stat_batches, "group int, f array<double>").collect()
+    # At most SAMPLE_POSITIVE + SAMPLE_UNLABELLED rows, sorted so that sums of floats don't depend on how rows were dealt.
+    rows = sorted(texts.join(F.broadcast(trusted.unionByName(others)), "doc_id").select("group", "text").mapInArrow(_stat_batches, "group int, f array<double>").collect())
     x, group = np.array([r["f"] for r in rows]).reshape(-1, N_STATISTICS), np.array([r["group"] for r in rows])
     if not (group == 1).any() or not (group == 0).any():
         return None
@@ -164,7 +165,7 @@ _SCORES = pa.schema([("doc_id", pa.int64()), ("score", pa.float64())])
 def _score_batches(model: dict | None, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in slices(batches, 1):
         x = np.array([statistics(t.decode("utf-8", "replace")) for t in b.column(1).to_pylist()]).reshape(-1, N_STATISTICS)
-        p = np.full(len(x), 0.5) if model is None else _sigmoid(expand(x, model["mean"], model["scale"]) @ model["w"])
+        p = np.full(len(x), 0.5) if model is None else _sigmoid((expand(x, model["mean"], model["scale"]) * model["w"]).sum(1))
         yield table(_SCORES, [b.column(0), p])
 
 
