@@ -1,6 +1,7 @@
 import hashlib
 import random
 import re
+import string
 
 import numpy as np
 import pytest
@@ -40,6 +41,23 @@ def test_every_rule_order_gives_the_same_verdict(corpus):
     assert {n for n, _ in quality_rules.ordered(corpus)} == {n for n, _ in quality_rules.RULES}
 
 
+def test_a_document_stops_at_the_first_rule_that_rejects_it(spark):
+    """The order changes the work and not the verdict: a rule that must not be reached fails the job if it is."""
+    docs = spark.createDataFrame([(i, " ".join(f"word{i}x{j}" for j in range(60 + i % 2))) for i in range(40)], "doc_id long, text string")
+    every, odd, never = ("every", "n_words > 0"), ("odd", "n_words % 2 = 1"), ("never", "cast(raise_error('reached') as boolean)")
+    assert quality_rules.judge(docs, [every, never]).where("kept").count() == 0
+    with pytest.raises(Exception, match="reached"):
+        quality_rules.judge(docs, [odd, never]).collect()
+    dear = ("dear", r"char_length(regexp_replace(repeat(text, 20), '[a-z]+[0-9]', 'x')) < 0")
+    for given in ((dear, odd), (odd, dear)):
+        assert [n for n, _ in quality_rules.ordered(docs, given)] == ["odd", "dear"]
+    both = ("both", dear[1] + " or n_words > 0")  # rejects twice as many at far more than twice the cost
+    for given in ((both, odd), (odd, both)):
+        assert [n for n, _ in quality_rules.ordered(docs, given)] == ["odd", "both"]
+    assert [(n, k) for n, k, _ in quality_rules.estimated(docs, (odd, every))] == [("odd", 20), ("every", 40)]
+    assert quality_rules.ordered(docs.limit(0), (dear, odd)) == [dear, odd]
+
+
 def test_rules_follow_quality(spark, corpus, sf):
     judged = quality_rules.judge(corpus).where("n_words >= 50").join(spark.read.parquet(f"{sf}/labels.parquet"), "doc_id")
     n = {(r["quality"], r["kept"]): r["count"] for r in judged.groupBy("quality", "kept").count().collect()}
@@ -48,16 +66,46 @@ def test_rules_follow_quality(spark, corpus, sf):
 
 
 def test_licenses(spark):
+    mit, bsd = licenses._MIT, licenses._BSD_3
+    wrapped = bsd.replace("1. ", "* ").replace("2. ", "* ").replace("3. ", "* ").replace(" THE ", "\nTHE ").replace(" copyright ", "\ncopyright ")
     docs = [
-        (1, "MIT License\n\nCopyright (c) 2020 Some One\n\n" + licenses._MIT),
-        (2, "Copyright 2019, A. Person\n" + licenses._MIT.upper().replace("SUBLICENSE", "sub-licence")),
-        (3, "intro\nreleased under the  mit LICENCE!\nmore\nAll rights reserved.\n"),
-        (4, None),
-        (5, ""),
-        (6, "All rights reserved."),
+        (1, "MIT License\n\nCopyright (c) 2020 Some One\n\n" + mit, "MIT", 0, ""),
+        (2, "Copyright 2019, A. Person\n" + mit.upper().replace("SUBLICENSE", "sub-licence"), "MIT", 0, ""),
+        (3, "intro\nreleased under the  mit LICENCE!\nmore\nAll rights reserved.\n", None, 2, "MIT,all-rights-reserved"),
+        (4, None, None, 0, ""),
+        (5, "", None, 0, ""),
+        (6, "All rights reserved.", None, 1, "all-rights-reserved"),
+        (7, "BSD 3-Clause License\n\nCopyright (c) 2020, X\nAll rights reserved.\n\n" + bsd, "BSD-3-Clause", 1, "all-rights-reserved"),
+        (8, "Copyright (c) Facebook, Inc. and its affiliates.\n\n" + mit, "MIT", 0, ""),
+        (9, "Copyright (c) X. All rights reserved.\n" + wrapped, "BSD-3-Clause", 0, ""),
+        (10, "The Unlicense\n\n" + licenses._UNLICENSE, "Unlicense", 0, ""),
+        (11, mit.replace("Permission", "No permission"), None, 0, ""),
+        (12, "# SPDX-License-Identifier: AGPL-3.0-or-later\ncode", None, 1, "AGPL-3.0-or-later"),
+        (13, mit + "\nmore", None, 0, ""),
+        (14, "\u00a9 2021 Y\n\n" + licenses._ZLIB.replace("acknowledgment", "acknowledgement"), "Zlib", 0, ""),
+        (15, "Licensed under the Apache License,\tVersion 2.0", "Apache-2.0", 1, "Apache-2.0"),
     ]
-    got = {r["doc_id"]: (r["license"], r["n_notices"], r["notices"]) for r in licenses.scan(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
-    assert got == {1: ("MIT", 0, ""), 2: ("MIT", 0, ""), 3: (None, 2, "MIT,all-rights-reserved"), 4: (None, 0, ""), 5: (None, 0, ""), 6: ("all-rights-reserved", 1, "all-rights-reserved")}
+    table = spark.createDataFrame([d[:2] for d in docs], "doc_id long, text string")
+    got = {r["doc_id"]: (r["license"], r["n_notices"], r["notices"]) for r in licenses.scan(table).collect()}
+    assert got == {d[0]: d[2:] for d in docs}
+    assert rows_of(licenses.scan(table), ["doc_id", "license", "notices"]) == sorted(((r[0], r[1], r[3]) for r in by_sql(table, licenses.oracle()).fetchall()))
+    words = spark.createDataFrame([("licence licence  Licences; sub-licence sub licence and/or as-is as is",)], "text string").select(licenses.canonical(F.col("text"))).first()[0]
+    assert words == "license license licenses sublicense sublicense andor asis asis"
+
+
+def test_published_licenses(spark):
+    """Full texts as they stand on this machine, if it has them: as they are, upper case and rewrapped."""
+    from pathlib import Path
+
+    home = Path("/usr/share/common-licenses")
+    names = {"Apache-2.0": "Apache-2.0", "GPL-2": "GPL-2.0", "GPL-3": "GPL-3.0", "LGPL-2.1": "LGPL-2.1", "LGPL-3": "LGPL-3.0", "MPL-2.0": "MPL-2.0", "CC0-1.0": "CC0-1.0"}
+    texts = {n: (home / f).read_text() for f, n in names.items() if (home / f).exists()}
+    rows = [(n, t) for n, t in texts.items()] + [(n, t.upper()) for n, t in texts.items()] + [(n, t.replace("\n\n", "\n \n").replace("  ", " ")) for n, t in texts.items()]
+    rows += [(n, t.split("END OF TERMS AND CONDITIONS")[0] + "END OF TERMS AND CONDITIONS") for n, t in texts.items() if "END OF TERMS" in t]
+    if not rows:
+        pytest.skip("no licence texts here")
+    assert all(r["doc_id"] == r["license"] for r in licenses.scan(spark.createDataFrame(rows, "doc_id string, text string")).collect())
+    assert licenses.scan(spark.createDataFrame([(n, t.replace("terms", "rules", 1)) for n, t in texts.items()], "doc_id string, text string")).where("license is not null").count() == 0
 
 
 def plain_spans(text):
@@ -93,15 +141,52 @@ def test_secrets(spark, corpus, edge_docs, empty_docs):
         assert [r["n_assign"], r["n_access"], r["n_hex"]] == [base.count(k) for k in ("assign:", "access:", "hex:")]
         assert ",".join(s for s in r["spans"].split(",") if s and not s.startswith("random")) == base
         assert (r["redacted"] is None) == (r["spans"] == "")
-    assert rows[10**9 + 3]["n_random"] == 1 and "sk_live" not in rows[10**9 + 3]["redacted"]
+    assert rows[10**9 + 3]["n_random"] == 1 and "9aQ2xKz81LmPq7RtY3uWv" not in rows[10**9 + 3]["redacted"] and "theQuickBrownFoxJumpsOver" in rows[10**9 + 3]["redacted"]
     assert secret_scan.scan(empty_docs, ratios).count() == 0
+    found = lambda s: secret_scan.best_stretches(secret_scan.ratios_of(s, ratios))
     draw = random.Random(77)
-    random_strings = ["".join(draw.choices("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789", k=32)) for _ in range(200)]
-    assert np.mean([secret_scan.ratio(s, ratios) > secret_scan.LEAST_MEAN * 32 for s in random_strings]) > 0.97
+    lower, upper, digits = string.ascii_lowercase, string.ascii_uppercase, string.digits
+    for alphabet in (lower, upper, upper + "234567", lower + upper + digits + "-_", lower + upper + digits, "0123456789ABCDEF"):  # most aren't among those that the model is trained on
+        assert np.mean([bool(found("".join(draw.choices(alphabet, k=32)))) for _ in range(200)]) > 0.97
+        assert np.mean([bool(found("".join(draw.choices(alphabet, k=20)))) for _ in range(200)]) > 0.85
+    path = "usr/local/share/configuration/some_module_name/"
+    for _ in range(50):  # the key alone is found, however long the path before it is
+        got = found(path + "".join(draw.choices(lower + upper + digits, k=32)))
+        assert got[0][0] >= len(path) - 3 and sum(hi - lo for lo, hi in got) >= 24
+    assert not any(map(found, ["-" * 40, "=" * 100, "x" * 5000, lower * 2, digits * 3, "aaaaaaaabbbbbbbbcccccccc"]))
+    words = [w for t in texts.values() for w in re.findall("[A-Za-z]{3,9}", t)]
+    names = ["_".join(draw.choices(words, k=4)) for _ in range(500)] + ["".join(w.capitalize() for w in draw.choices(words, k=4)) for _ in range(500)]
+    assert np.mean([bool(found(s)) for s in names]) <= 0.02
     clean = sum(r["n_random"] for d, r in rows.items() if d < 10**9)
     assert clean <= 0.005 * len(texts)
 
 
+def test_secret_stretches_against_every_stretch():
+    """The first stretch is the one of the greatest sum of all, and spans neither overlap each other nor base spans."""
+    draw = np.random.default_rng(6)
+    for _ in range(60):
+        r = draw.normal(0.3, 2, draw.integers(12, 60))
+        sums = {(i, j): r[i:j].sum() for i in range(len(r)) for j in range(i + 1, len(r) + 1)}
+        (lo, hi), most = max(sums.items(), key=lambda x: x[1])
+        got = secret_scan.best_stretches(r)
+        if most >= secret_scan.LEAST_RATIO and hi - lo >= secret_scan.LEAST_STRETCH and most >= secret_scan.LEAST_MEAN * (hi - lo):
+            assert (lo, hi) in got
+        assert all(a[1] <= b[0] for a, b in zip(got, got[1:], strict=False)) and all(sums[x] >= secret_scan.LEAST_RATIO for x in got)
+    table = np.full((secret_scan.STATES,) * 3, 2.0, np.float32)
+    text = "k0k0k0k0k0k0k0k0k0 password=abcdefgh12345678/" + "Z" * 30 + " token: " + "q" * 40 + "é" + "y" * 20
+    spans = secret_scan.secret_spans(text, table)
+    assert [secret_scan.KINDS[k] for _, k, _, _ in spans] == ["random", "assign", "assign", "random"]
+    assert all(a[2] <= b[0] for a, b in zip(spans, spans[1:], strict=False))
+
+
+def test_very_long_text_of_secrets_takes_linear_time():
+    import time
+
+    began = time.perf_counter()
+    assert len(secret_scan.secret_spans("token=abcdef123 averyordinaryidentifier " * 20_000, np.zeros((secret_scan.STATES,) * 3, np.float32))) == 20_000
+    assert time.perf_counter() - began < 10
+
+
 def held_out(scores, labels, column, parts_hold):
     rows = scores.where("held_out").join(labels, "doc_id").select("predicted", column, "score").collect()
     hit = np.mean([r["predicted"] == r[column] for r in rows])
@@ -134,13 +219,118 @@ def test_labels_of_the_held_out_fold_are_never_read(spark, corpus, sf):
 
 def test_grammar():
     lexicon = toxicity.Lexicon({"zorg*": 2.0})
-    kinds = lambda t: [k for _, k in toxicity.GRAMMAR.matches([lexicon[x][0] for x in toxicity._TOKEN.findall(t.lower())])]
-    assert kinds("a plain idiot") == [0]
-    assert kinds("you are an idiot. some idiot") == [1, 0]
-    assert kinds("not an idiot, but this one is an idiot") == [2, 0]
-    assert kinds('he said "you idiot" to an idiot') == [3, 1]
-    assert kinds("i will kill you") == [4] and kinds("they kill. time") == [4] and kinds("to kill. you") == []
-    assert kinds("zorgel zorg") == [0]
+
+    def clauses(text):
+        return [(toxicity.LABELS[k], w) for k, w in toxicity.GRAMMAR.clauses([lexicon[x] for x in toxicity._TOKEN.findall(text.lower())])]
+
+    assert clauses("a plain idiot") == [("plain", 3.0)]
+    assert clauses("you are an idiot. some idiot") == [("aimed", 3.0), ("plain", 3.0)]
+    assert clauses("an idiot, you zorgel") == [("aimed", 5.0)]
+    assert clauses("not an idiot. you are never a zorgel") == [("negated", 3.0), ("negated", 2.0)]
+    assert clauses("not an idiot, but this one is an idiot") == [("plain", 6.0)]
+    assert clauses('it said "you idiot"') == [("reported", 3.0)] and clauses('it said "idiot. moron" idiot') == [("reported", 3.0), ("plain", 6.0)]
+    assert clauses("i will kill you") == [("threat", 1.0)] and clauses("they kill. time") == [("threat", 1.0)] and clauses("to kill. you") == []
+    assert clauses("i will not kill you") == [("negated", 1.0)] and clauses("it said i will kill you") == [("reported", 1.0)]
+    assert clauses("zorgel zorg") == [("plain", 2.0)] and clauses("") == [] and clauses("said. not you") == []
+
+
+def test_composition_is_the_machines_one_after_another():
+    draw = random.Random(12)
+    for _ in range(500):
+        symbols = [draw.randrange(8) for _ in range(draw.randrange(1, 60))]
+        want = symbols
+        for machine in toxicity.MACHINES:
+            state, out = 0, []
+            for x in want:
+                state, y = machine.step(state, x)
+                out.append(y)
+            want = out
+        state, got = 0, []
+        for x in symbols:
+            got.append(toxicity.GRAMMAR.writes[state][x])
+            state = toxicity.GRAMMAR.next[state][x]
+        assert got == want
+
+
+@pytest.fixture(scope="module")
+def labelled(spark, sf):
+    return spark.read.parquet(f"{sf}/labels.parquet").where("toxic is not null")
+
+
+def test_term_counts_against_plain_counts(spark, corpus, labelled):
+    sample = corpus.join(labelled, "doc_id").select(F.col("text").cast("binary").alias("text"), F.col("toxic").alias("label")).where("text is not null").repartition(5)
+    docs, times, around = {}, {}, {}
+    for r in sample.collect():
+        terms = list(toxicity._terms(toxicity._TOKEN.findall(r["text"].decode().lower())))
+        for t, bit in terms:
+            times[t, r["label"]] = times.get((t, r["label"]), 0) + 1
+            if r["label"]:
+                around.setdefault(t, set()).add(bit)
+        for t in {t for t, _ in terms}:
+            docs[t, r["label"]] = docs.get((t, r["label"]), 0) + 1
+    got = {r["term"]: tuple(r)[1:] for r in toxicity.term_counts(sample).collect()}
+    assert got == {t: (docs.get((t, 1), 0), docs.get((t, 0), 0), times.get((t, 1), 0), times.get((t, 0), 0), len(around.get(t, ()))) for t in {t for t, _ in docs}}
+
+
+@pytest.mark.parametrize("module", [toxicity, quality_pu])
+def test_scores_do_not_depend_on_batches(spark, corpus, sf, module):
+    labels = spark.read.parquet(f"{sf}/labels.parquet")
+    key, want = "spark.sql.execution.arrow.maxRecordsPerBatch", None
+    before = spark.conf.get(key)
+    try:
+        for rows, parts in ((500, 1), (7, 8), (1, 3)):
+            spark.conf.set(key, str(rows))
+            got = rows_of(module.score(corpus.repartition(parts), labels.repartition(parts)), ["doc_id", "score"])
+            assert want is None or got == want
+            want = got
+    finally:
+        spark.conf.set(key, before)
+
+
+@pytest.mark.parametrize("module", [toxicity, quality_pu])
+def test_scores_of_empty_and_very_long_texts(spark, corpus, sf, module):
+    labels = spark.read.parquet(f"{sf}/labels.parquet")
+    long = corpus.agg(F.array_join(F.slice(F.array_sort(F.collect_list("text")), 1, 200), " ")).first()[0]
+    rows = [(10**9, None), (10**9 + 1, ""), (10**9 + 2, " \n "), (10**9 + 3, long), (10**9 + 3, long), (None, long), (10**9 + 4, "x" * 200_000)]
+    docs = corpus.select("doc_id", "text").unionByName(spark.createDataFrame(rows, "doc_id long, text string"))
+    got = [r for r in module.score(docs, labels).collect() if r["doc_id"] is None or r["doc_id"] >= 10**9]
+    by = {}
+    for r in got:
+        by.setdefault(r["doc_id"], []).append(r)
+    assert len(got) == len(rows) and all(0 <= r["score"] <= 1 and r["predicted"] == (r["score"] >= 0.3) for r in got)
+    assert by[10**9][0]["score"] == by[10**9 + 1][0]["score"] and by[None][0]["held_out"] is None
+    assert by[10**9 + 3][0]["score"] == by[10**9 + 3][1]["score"] == by[None][0]["score"]
+
+
+def test_statistics_against_their_definition():
+    text = "Aa bb aa! aa bb\nAa bb aa! aa bb\n\n x, 12 y? | z."
+    words = text.split()
+    trigrams = list(zip(words, words[1:], words[2:], strict=False))
+    chars = len(text) - text.count(" ")
+    n, distinct = len(words), len(set(words))
+    twice = sum(a == b for a, b in zip(words, words[1:], strict=False)) / (n - 1)
+    want = [np.log(n), sum(map(len, words)) / n, distinct / n, np.log(distinct) / np.log(n + 1), 1 - len(set(trigrams)) / len(trigrams), twice, 1 / 3, 2 / chars, 0.0]
+    want += [2 / n, 1 / n, 1 / n, 1 / n, 1 / n, 2 / chars, 3 / 20]
+    got = quality_pu.statistics(text)
+    assert got[8] == 1 / chars and np.allclose([*got[:8], 0.0, *got[9:]], want)
+    assert quality_pu.statistics(" \n ") == [0.0] * quality_pu.N_STATISTICS
+
+
+def test_positive_unlabelled_risk():
+    """On two known clouds the prior is estimated, and no nearby weights have a lower non-negative risk."""
+    draw = np.random.default_rng(8)
+    cloud = lambda n, at: np.c_[draw.normal(at, 1, (n, 2)), np.ones(n)]
+    positive, unlabelled = cloud(3000, 1.5), np.r_[cloud(2400, 1.5), cloud(3600, -1.5)]
+    assert abs(quality_pu.estimate_prior(positive, unlabelled) - 0.4) < 0.06
+    w = quality_pu.non_negative_risk(positive, unlabelled, 0.4)
+
+    def risk(w):
+        p, u = positive @ w, unlabelled @ w
+        bad = np.logaddexp(0, u).mean() - 0.4 * np.logaddexp(0, p).mean()
+        return 0.4 * np.logaddexp(0, -p).mean() + max(0.0, bad) + quality_pu.RIDGE / 2 * (w[:-1] ** 2).sum()
+
+    assert all(risk(w) <= risk(w + step) + 2e-3 for step in draw.normal(0, 0.3, (200, 3)))
+    assert ((cloud(500, 1.5) @ w > 0).mean() + (cloud(500, -1.5) @ w < 0).mean()) / 2 > 0.95
 
 
 def test_nearest(spark, sf):

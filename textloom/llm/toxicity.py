@@ -1,11 +1,13 @@
 """Toxicity by a weighted finite-state pattern grammar.
 
-Words become symbols (insult, threat, target, negation, reported speech, quotation mark, boundary, other). Small transducers read the
-symbols: the insult and threat transducers emit matches, the target, negation and reported-speech ones emit the state that a match
-stands in. Their composition is one deterministic table. A clause is scored by what the composed machine emits in it, so an insult
-that is negated or quoted weighs differently from a plain or an aimed one.
-
-Function words of the grammar are fixed; the insult lexicon (words and stems) and the weights are learned from labelled documents.
+Words become symbols (insult, threat, target, negation, reported speech, quotation mark, boundary, other). Five transducers are
+composed, each reading what the one before writes: negation and reported speech mark the insults and threats in their reach, target
+marks the end of a clause that names someone, threat and insult remember the strongest of theirs and write one label for the clause
+at its end. The composition is one deterministic table.
+
+A clause's score is the weight of its path, the sum of its insults' and threats' weights, under its label; a word by itself has
+none. A document is scored by the clause scores of each label. Function words of the grammar are fixed; the insult lexicon (words
+and stems) and the weights are learned from labelled documents.
 """
 
 from __future__ import annotations
@@ -45,84 +47,102 @@ REPORTS = "said says say quoted claims claimed wrote writes reported called call
 THREATS = "kill hurt destroy beat stab shoot strangle burn töten umbringen verletzen schlagen tuer frapper détruire matar golpear destruir".split()
 INSULTS = "idiot moron stupid loser scum pathetic worthless disgusting trash clown".split()
 
+#: Symbols that text is read as.
 OTHER, BREAK, QUOTE, INSULT, THREAT, TARGET, NEGATION, REPORT = range(8)
+#: Symbols that transducers write for each other: marked words, and clause ends that know more.
+NEGATED_INSULT, NEGATED_THREAT, REPORTED_INSULT, REPORTED_THREAT, AIMED_END, NEGATED_END, REPORTED_END, THREAT_END = range(8, 16)
+#: Labels of clauses, which the last one writes.
+LABELS = ("plain", "aimed", "negated", "reported", "threat")
+PLAIN, AIMED, NEGATED, REPORTED, THREATENED = range(16, 21)
 _FIXED = {w: s for words, s in ((INSULTS, INSULT), (THREATS, THREAT), (REPORTS, REPORT), (NEGATIONS, NEGATION), (TARGETS, TARGET)) for w in words}
 _MARKS = {c: BREAK for c in ".!?;\n"} | {c: QUOTE for c in '"“”«»„'}
 _TOKEN = re.compile(r"[^\W\d_]+(?:['’][^\W\d_]+)*|[.!?;\n\"“”«»„]")
 
 
 class Transducer:
-    """States from 0; an arc (state, symbol) -> (state, output). A symbol without an arc keeps the state and emits nothing."""
+    """States from 0; an arc (state, symbol) -> (state, symbol written). A symbol without an arc keeps the state and is passed on."""
 
-    def __init__(self, arcs: dict[tuple[int, int], tuple[int, str | None]]) -> None:
+    def __init__(self, arcs: dict[tuple[int, int], tuple[int, int]]) -> None:
         self.arcs = arcs
 
-    def step(self, state: int, symbol: int) -> tuple[int, str | None]:
-        return self.arcs.get((state, symbol), (state, None))
+    def step(self, state: int, symbol: int) -> tuple[int, int]:
+        return self.arcs.get((state, symbol), (state, symbol))
 
 
-def _insult() -> Transducer:
-    return Transducer({(0, INSULT): (0, "insult")})
+def negation(reach: int = 3) -> Transducer:
+    """States 1 to ``reach``: so many words more are negated."""
+    arcs: dict = {(s, NEGATION): (reach, OTHER) for s in range(reach + 1)}
+    for s in range(1, reach + 1):
+        arcs |= {(s, x): (s - 1, x) for x in (OTHER, TARGET, REPORT)} | {(s, INSULT): (s - 1, NEGATED_INSULT), (s, THREAT): (s - 1, NEGATED_THREAT), (s, BREAK): (0, BREAK)}
+    return Transducer(arcs)
 
 
-def _threat() -> Transducer:
-    """A threat needs someone to aim at in the same clause, before or after it."""
-    return Transducer({(0, TARGET): (1, None), (1, THREAT): (1, "threat"), (0, THREAT): (2, None), (2, TARGET): (1, "threat"), (1, BREAK): (0, None), (2, BREAK): (0, None)})
+def reported() -> Transducer:
+    """State 1: a speech word has come; 2: its quotation is open. A clause's end closes 1 only."""
+    arcs: dict = {(0, REPORT): (1, OTHER), (1, REPORT): (1, OTHER), (2, REPORT): (2, OTHER), (0, QUOTE): (0, OTHER), (1, QUOTE): (2, OTHER), (2, QUOTE): (0, OTHER), (1, BREAK): (0, BREAK)}
+    return Transducer(arcs | {(s, x): (s, y) for s in (1, 2) for x, y in ((INSULT, REPORTED_INSULT), (THREAT, REPORTED_THREAT))})
 
 
-def _target() -> Transducer:
-    """State 1: the clause has named someone."""
-    return Transducer({(0, TARGET): (1, None), (1, BREAK): (0, None)})
+def target() -> Transducer:
+    """State 1: the clause has named someone, before or after the rest."""
+    return Transducer({(0, TARGET): (1, OTHER), (1, TARGET): (1, OTHER), (1, BREAK): (0, AIMED_END)})
 
 
-def _negation(reach: int = 3) -> Transducer:
-    """States 1 to ``reach``: so many words more are negated."""
-    arcs: dict = {(s, NEGATION): (reach, None) for s in range(reach + 1)}
-    for s in range(1, reach + 1):
-        arcs |= {(s, x): (s - 1, None) for x in (OTHER, INSULT, THREAT, TARGET, REPORT)} | {(s, BREAK): (0, None)}
-    return Transducer(arcs)
+def _strongest(symbols: tuple[int, int, int]) -> dict:
+    """States 0 to 3: the clause has none, a negated, a reported, a plain one of these words at best."""
+    return {(s, x): (max(s, k), OTHER) for s in range(4) for k, x in enumerate(symbols, 1)}
 
 
-def _reported() -> Transducer:
-    """State 1: a speech word has come; 2: its quotation is open. A clause's end closes 1 only."""
-    return Transducer({(0, REPORT): (1, None), (1, QUOTE): (2, None), (2, QUOTE): (0, None), (1, BREAK): (0, None)})
+def threat() -> Transducer:
+    """A threat needs someone to aim at in its clause."""
+    arcs = _strongest((NEGATED_THREAT, REPORTED_THREAT, THREAT))
+    return Transducer(arcs | {(s, BREAK): (0, BREAK) for s in range(4)} | {(s, AIMED_END): (0, (AIMED_END, NEGATED_END, REPORTED_END, THREAT_END)[s]) for s in range(4)})
+
 
+def insult() -> Transducer:
+    """Writes the label of a clause at its end; an end without a label stays a boundary."""
+    arcs = _strongest((NEGATED_INSULT, REPORTED_INSULT, INSULT))
+    for end, known, most in ((BREAK, 0, PLAIN), (AIMED_END, 0, AIMED), (NEGATED_END, 1, AIMED), (REPORTED_END, 2, AIMED)):
+        arcs |= {(s, end): (0, (BREAK, NEGATED, REPORTED, most)[max(s, known)]) for s in range(4)}
+    return Transducer(arcs | {(s, THREAT_END): (0, THREATENED) for s in range(4)})
 
-FEATURES = ("plain", "aimed", "negated", "reported", "threat")
+
+MACHINES = (negation(), reported(), target(), threat(), insult())
 
 
 class Grammar:
-    """The composition of the five transducers: from a state and a symbol, the next state and the kind of match emitted (-1: none)."""
+    """The composition of transducers: from a state and a symbol, the next state and what the last one writes."""
 
-    def __init__(self) -> None:
-        machines = (_insult(), _threat(), _target(), _negation(), _reported())
-        number, todo = {(0,) * len(machines): 0}, [(0,) * len(machines)]
+    def __init__(self, machines: tuple[Transducer, ...] = MACHINES) -> None:
+        start = (0,) * len(machines)
+        number, todo = {start: 0}, [start]
         self.next: list[list[int]] = []
-        self.emits: list[list[int]] = []
-        for state in todo:
+        self.writes: list[list[int]] = []
+        for states in todo:
             ahead, out = [], []
             for symbol in range(8):
-                steps = [m.step(s, symbol) for m, s in zip(machines, state, strict=True)]
-                to = tuple(s for s, _ in steps)
-                if to not in number:
-                    number[to] = len(number)
-                    todo.append(to)
-                ahead.append(number[to])
-                _, _, aimed, negated, reported = state
-                kind = -1
-                if steps[0][1] or steps[1][1]:
-                    kind = 2 if negated else 3 if reported else 4 if steps[1][1] else 1 if aimed else 0
-                out.append(kind)
+                to = []
+                for machine, state in zip(machines, states, strict=True):
+                    state, symbol = machine.step(state, symbol)
+                    to.append(state)
+                if (key := tuple(to)) not in number:
+                    number[key] = len(number)
+                    todo.append(key)
+                ahead.append(number[key])
+                out.append(symbol)
             self.next.append(ahead)
-            self.emits.append(out)
-
-    def matches(self, symbols: list[int]) -> list[tuple[int, int]]:
-        """(position, kind) of each match."""
-        state, out = 0, []
-        for i, s in enumerate(symbols):
-            if (kind := self.emits[state][s]) >= 0:
-                out.append((i, kind))
-            state = self.next[state][s]
+            self.writes.append(out)
+
+    def clauses(self, read: list[tuple[int, float]]) -> list[tuple[int, float]]:
+        """(label, score) of each clause that matches, from (symbol, weight) of its words."""
+        state, weight, out = 0, 0.0, []
+        for symbol, w in [*read, (BREAK, 0.0)]:
+            weight += w
+            if symbol == BREAK:
+                if (label := self.writes[state][symbol] - PLAIN) >= 0:
+                    out.append((label, weight))
+                weight = 0.0
+            state = self.next[state][symbol]
         return out
 
 
@@ -145,7 +165,7 @@ class Lexicon(dict):
         elif token in self.words:
             found = INSULT, self.words[token]
         elif token in _FIXED:
-            found = _FIXED[token], 1.0
+            found = _FIXED[token], float(_FIXED[token] == THREAT)
         else:
             weight = max((self.stems[token[:n]] for n in STEMS if len(token) > n and token[:n] in self.stems), default=None)
             found = (OTHER, 0.0) if weight is None else (INSULT, weight)
@@ -154,19 +174,17 @@ class Lexicon(dict):
 
 
 def features(text: str, lexicon: Lexicon) -> list[float]:
-    """Of each kind of match, log(1 + weight over all clauses), then the weight a hundred words and whether there is any match."""
-    tokens = _TOKEN.findall(text.lower())
-    read = list(map(lexicon.__getitem__, tokens))
-    mass = [0.0] * len(FEATURES)
-    symbols = [s for s, _ in read]
-    if INSULT in symbols or THREAT in symbols:
-        for i, kind in GRAMMAR.matches(symbols):
-            mass[kind] += read[i][1]
+    """Of each label, log(1 + scores of its clauses), then the score a hundred words and whether any clause matches."""
+    read = list(map(lexicon.__getitem__, _TOKEN.findall(text.lower())))
+    mass = [0.0] * len(LABELS)
+    if any(symbol in (INSULT, THREAT) for symbol, _ in read):
+        for label, score in GRAMMAR.clauses(read):
+            mass[label] += score
     total = sum(mass)
-    return [*map(math.log1p, mass), math.log1p(100 * total / max(1, len(tokens))), float(total > 0)]
+    return [*map(math.log1p, mass), math.log1p(100 * total / max(1, len(read))), float(total > 0)]
 
 
-N_FEATURES = len(FEATURES) + 2
+N_FEATURES = len(LABELS) + 2
 #: Weights (bias last) without any label to learn from.
 PRIOR = [1.0, 1.2, 0.4, 0.5, 1.2, 0.5, 1.0, -3.0]
 
@@ -188,6 +206,7 @@ _TERM = pa.schema([("term", pa.string()), ("pos", pa.int64()), ("neg", pa.int64(
 
 
 def _term_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Partial counts of every term of labelled documents, whatever the batches: their sums alone say which are candidates."""
     for b in slices(batches, 0):
         n: tuple[Counter, Counter] = (Counter(), Counter())
         times: tuple[Counter, Counter] = (Counter(), Counter())
@@ -200,8 +219,8 @@ def _term_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
                 if label:
                     bits[t] = bits.get(t, 0) | 1 << bit
             n[label].update(own)
-        terms = list(bits)  # a term without a toxic document is no candidate
-        signed = [x - (1 << 64) if (x := bits[t]) >> 63 else x for t in terms]
+        terms = list(n[0] | n[1])
+        signed = [x - (1 << 64) if (x := bits.get(t, 0)) >> 63 else x for t in terms]
         yield table(_TERM, [terms, [n[1][t] for t in terms], [n[0][t] for t in terms], [times[1][t] for t in terms], [times[0][t] for t in terms], signed])
 
 
@@ -280,6 +299,12 @@ def sampled(docs: DataFrame, labels: DataFrame, column: str, usable: F.Column, c
     return texts.join(F.broadcast(chosen), "doc_id").groupBy(F.sha2("text", 256).alias("digest")).agg(F.first("text").alias("text"), F.max("label").alias("label")).select("text", "label")
 
 
+def term_counts(sample: DataFrame) -> DataFrame:
+    """(term, pos, neg, pos_times, neg_times, contexts) of every term of (text, label) rows: documents and occurrences by label, hashed neighbours in toxic ones."""
+    terms = sample.mapInArrow(_term_batches, "term string, pos long, neg long, pos_times long, neg_times long, bits long").groupBy("term")
+    return terms.agg(*[F.sum(c).alias(c) for c in ("pos", "neg", "pos_times", "neg_times")], F.expr("bit_count(bit_or(bits))").alias("contexts"))
+
+
 def train(docs: DataFrame, labels: DataFrame) -> tuple[dict[str, float], list[float]]:
     """(insult terms with weights, weights of the features), from labelled documents outside the held-out fold."""
     sample = sampled(docs, labels, "toxic", fold("doc_id", HELD_OUT_PARTS) != HELD_OUT, {1: SAMPLE_TOXIC, 0: SAMPLE_CLEAN})
@@ -287,16 +312,15 @@ def train(docs: DataFrame, labels: DataFrame) -> tuple[dict[str, float], list[fl
     n = dict(sample.groupBy("label").count().collect())
     if not n.get(1) or not n.get(0):
         return {}, PRIOR
-    terms = sample.mapInArrow(_term_batches, "term string, pos long, neg long, pos_times long, neg_times long, bits long").groupBy("term")
-    terms = terms.agg(*[F.sum(c).alias(c) for c in ("pos", "neg", "pos_times", "neg_times")], F.expr("bit_count(bit_or(bits))").alias("contexts"))
-    terms = terms.where((F.col("pos") >= LEAST_DOCS) & (F.col("contexts") >= LEAST_CONTEXTS) & (F.col("neg_times") * n[1] <= MOST_CLEAN * F.col("pos_times") * n[0]))
+    terms = term_counts(sample).where((F.col("pos") >= LEAST_DOCS) & (F.col("contexts") >= LEAST_CONTEXTS) & (F.col("neg_times") * n[1] <= MOST_CLEAN * F.col("pos_times") * n[0]))
     rows = terms.orderBy(F.desc("contexts"), F.desc("pos"), "term").limit(CANDIDATES).collect()
     found = [(r["term"], r["pos"], r["neg"], r["contexts"]) for r in rows]
     odds = {r["term"]: math.log((r["pos_times"] + 0.5) / (n[1] + 1) * (n[0] + 1) / (r["neg_times"] + 0.5)) for r in rows}
     index = {c[0]: i for i, c in enumerate(found)}
     hits = [r["hits"] for r in sample.where("label = 1").mapInArrow(partial(_hit_batches, index), "hits array<int>").collect()]
     weights = {found[c][0]: max(0.5, odds[found[c][0]]) for c in cover(found, hits, n[1] / n[0])}
-    rows = sample.mapInArrow(partial(_feature_batches, weights), "label int, f array<double>").collect()
+    # At most SAMPLE_TOXIC + SAMPLE_CLEAN rows, sorted so that sums of floats don't depend on how rows were dealt.
+    rows = sorted(sample.mapInArrow(partial(_feature_batches, weights), "label int, f array<double>").collect())
     x, y = np.array([r["f"] for r in rows]), np.array([r["label"] for r in rows], float)
     return weights, logistic(x, y).tolist()
 
@@ -309,7 +333,7 @@ def _score_batches(terms: dict[str, float], weights: list[float], keyed: bool, b
     for b in slices(batches, 1):
         x = np.array([features(t.decode("utf-8", "replace"), lexicon) for t in b.column(1).to_pylist()]).reshape(-1, N_FEATURES)
         digests = [hashlib.sha256(t).hexdigest() if keyed else None for t in b.column(1).to_pylist()]
-        yield table(_SCORES, [b.column(0), 1 / (1 + np.exp(-np.clip(x @ w[:-1] + w[-1], -30, 30))), x[:, -1].astype(int), digests])
+        yield table(_SCORES, [b.column(0), 1 / (1 + np.exp(-np.clip((x * w[:-1]).sum(1) + w[-1], -30, 30))), x[:, -1].astype(int), digests])
 
 
 def score(docs: DataFrame, labels: DataFrame, keyed: bool = False) -> DataFrame:
