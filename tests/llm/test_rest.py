@@ -149,12 +149,12 @@ def test_secrets(spark, corpus, edge_docs, empty_docs):
     for alphabet in (lower, upper, upper + "234567", lower + upper + digits + "-_", lower + upper + digits, "0123456789ABCDEF"):  # most aren't among those that the model is trained on
         assert np.mean([bool(found("".join(draw.choices(alphabet, k=32)))) for _ in range(200)]) > 0.97
         assert np.mean([bool(found("".join(draw.choices(alphabet, k=20)))) for _ in range(200)]) > 0.85
-    path = "usr/local/share/configuration/some_module_name/"
+    words = [w for t in texts.values() for w in re.findall("[A-Za-z]{3,9}", t)]
+    path = "/".join(words[:8]) + "/" + "_".join(words[8:12]) + "/"
     for _ in range(50):  # the key alone is found, however long the path before it is
         got = found(path + "".join(draw.choices(lower + upper + digits, k=32)))
         assert got[0][0] >= len(path) - 3 and sum(hi - lo for lo, hi in got) >= 24
     assert not any(map(found, ["-" * 40, "=" * 100, "x" * 5000, lower * 2, digits * 3, "aaaaaaaabbbbbbbbcccccccc"]))
-    words = [w for t in texts.values() for w in re.findall("[A-Za-z]{3,9}", t)]
     names = ["_".join(draw.choices(words, k=4)) for _ in range(500)] + ["".join(w.capitalize() for w in draw.choices(words, k=4)) for _ in range(500)]
     assert np.mean([bool(found(s)) for s in names]) <= 0.02
     clean = sum(r["n_random"] for d, r in rows.items() if d < 10**9)
