@@ -1,8 +1,12 @@
-"""Validation of rendered formats in three layers, as tables of findings (format, severity, layer, message, location)."""
+"""Validation of rendered formats in three layers, as tables of findings (format, severity, layer, message, location).
+
+A format's name may be followed by a colon and a project: "cursor:12" is the cursor format of project 12. So the rules of many
+projects are validated at once; what compares formats with each other compares those of one project.
+"""
 
 from __future__ import annotations
 
-from functools import reduce
+from collections.abc import Mapping
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -13,12 +17,28 @@ from ..functions.text import fence_unbalanced
 #: A path in prose: after a start, blank, backtick or quote and before one of those or punctuation. Both ends are consumed.
 PATH = r"(?:^|[\s`\"'])([A-Za-z0-9_./-]+\.[A-Za-z0-9]+)(?:[\s`\"',;:)]|\z)"
 PLAIN = ("copilot", "windsurf", "aider", "generic")
+#: Kinds of formats that there are rules for; another kind is an error.
+KINDS = ("cursor", "claude", *PLAIN, "json")
+CROSS = "cross-format"
 
 FINDING = "format string, severity string, layer string, message string, location string"
 
+# How conventions are worded (first group: the number, if there is one).
+TABS, SPACES = r"(?i)\buse\s+tabs\b", r"(?i)\buse\s+spaces\b"
+INDENT_WIDTH = r"(?i)(\d+)[\s-]*(?:space|indent)"
+CAMEL, SNAKE = r"(?i)\bcamel\s*case\b", r"(?i)\bsnake\s*[_\s]?case\b"
+LINE_LENGTH = r"(?i)(?:max(?:imum)?|line)\s*(?:line\s*)?(?:length|width|chars?)\s*(?:of\s*|:\s*|=\s*)?(\d+)"
+SEMICOLONS, NO_SEMICOLONS = r"(?i)\b(?:always\s+use|require|use)\s+semicolons?\b", r"(?i)\b(?:no|omit|avoid|don'?t\s+use)\s+semicolons?\b"
+SINGLE, DOUBLE = r"(?i)\bsingle\s+quotes?\b", r"(?i)\bdouble\s+quotes?\b"
+LEAST_LENGTH, MOST_LENGTH, MOST_NUMBER = 40, 500, 2**32 - 1
+
+
+def kind(format_: Column) -> Column:
+    return F.split_part(format_, F.lit(":"), F.lit(1))
+
 
-def _finding(rows: DataFrame, bad: Column, severity: str, layer: str, message: Column | str, location: Column | None = None) -> DataFrame:
-    return rows.where(bad).select("format", F.lit(severity).alias("severity"), F.lit(layer).alias("layer"), (F.lit(message) if isinstance(message, str) else message).alias("message"), (F.lit(None).cast("string") if location is None else location).alias("location"))
+def project(format_: Column) -> Column:
+    return F.split_part(format_, F.lit(":"), F.lit(2))
 
 
 def empty(content: Column) -> Column:
@@ -34,24 +54,29 @@ def json_problem(content: Column) -> Column:
 
 
 def syntax(rendered: DataFrame) -> DataFrame:
-    """Findings of the syntax and schema layers for (format, content)."""
-    c, f = F.col("content"), F.col("format")
-    text = rendered.where(f != "json")
-    body = F.when(c.startswith("---"), F.expr("substring(content, 4)"))
+    """Findings of the syntax and schema layers for (format, content). A null content couldn't be rendered, which is a finding too."""
+    c, f = F.col("content"), kind(F.col("format"))
+    blank, body = empty(c), F.when(c.startswith("---"), F.expr("substring(content, 4)"))
     close = F.locate("---", body)
     front = F.substring(body, F.lit(1), close - 1)
-    found = [
-        _finding(text, empty(c), "error", "syntax", "content is empty"),
-        _finding(text, ~empty(c) & fence_unbalanced(c), "error", "syntax", "code fence is not closed"),
-        _finding(text.where(f == "cursor"), body.isNotNull() & (close == 0), "error", "schema", "frontmatter is not closed"),
-        _finding(text.where(f == "cursor"), body.isNotNull() & (close > 0) & ~front.contains("description:"), "warning", "schema", "frontmatter has no description"),
-        _finding(text.where(f == "claude"), ~c.contains("# "), "error", "schema", "no heading"),
-        _finding(text.where(f.isin(*PLAIN)), empty(c), "error", "schema", "content is empty"),
-    ]
     problem = json_problem(c)
-    found.append(_finding(rendered.where(f == "json"), problem.isNotNull(), "error", "schema", F.concat(F.lit("json "), problem)))
-    found[-1] = found[-1].withColumn("layer", F.when(F.col("message") == "json syntax", "syntax").otherwise("schema"))
-    return reduce(DataFrame.unionByName, found)
+    text = c.isNotNull() & (f != "json") & f.isin(*KINDS)
+    rules = [
+        (~f.isin(*KINDS), "error", "schema", F.lit("no rules for this format")),
+        (c.isNull(), "error", "schema", F.lit("format was not rendered")),
+        (text & blank, "error", "syntax", F.lit("content is empty")),
+        (text & ~blank & fence_unbalanced(c), "error", "syntax", F.lit("code fence is not closed")),
+        ((f == "cursor") & body.isNotNull() & (close == 0), "error", "schema", F.lit("frontmatter is not closed")),
+        ((f == "cursor") & body.isNotNull() & (close > 0) & ~front.contains("description:"), "warning", "schema", F.lit("frontmatter has no description")),
+        ((f == "claude") & ~c.contains("# "), "error", "schema", F.lit("no heading")),
+        (f.isin(*PLAIN) & blank, "error", "schema", F.lit("content is empty")),
+        ((f == "json") & (problem == "syntax"), "error", "syntax", F.lit("json syntax")),
+        ((f == "json") & (problem == "schema"), "error", "schema", F.lit("json schema")),
+    ]
+    # One pass over the texts: each row carries what is wrong with it.
+    wrong = F.array_compact(F.array(*[F.when(F.coalesce(bad, F.lit(False)), F.struct(F.lit(severity).alias("severity"), F.lit(layer).alias("layer"), message.alias("message"))) for bad, severity, layer, message in rules]))
+    out = rendered.select("format", F.explode(wrong).alias("w"))
+    return out.select("format", "w.severity", "w.layer", "w.message", F.lit(None).cast("string").alias("location"))
 
 
 def path_references(rendered: DataFrame) -> DataFrame:
@@ -77,7 +102,7 @@ def dangling(refs: DataFrame, files: DataFrame) -> DataFrame:
 
 
 def contradiction(content: Column) -> Column:
-    return content.rlike(r"(?i)\buse\s+tabs\b") & content.rlike(r"(?i)\buse\s+spaces\b")
+    return content.rlike(TABS) & content.rlike(SPACES)
 
 
 def language_mentions(rendered: DataFrame, files: DataFrame, least: int = 3) -> DataFrame:
@@ -93,19 +118,19 @@ def language_mentions(rendered: DataFrame, files: DataFrame, least: int = 3) ->
 
 
 def conventions(rendered: DataFrame) -> DataFrame:
-    """format and the conventions its content states: the first match of each kind, or null."""
+    """format and the conventions its content states, null or empty where it states none. The first match of a number counts."""
     c = F.col("content")
-    has = lambda p: c.rlike("(?i)" + p)
-    number = lambda p: F.expr("null") if p is None else F.regexp_extract(c, "(?i)" + p, 1).try_cast("int")
-    length = number(r"\b(?:max|maximum|line)\s+(?:line\s+)?(?:length|width|chars?)\s*(?:of|:|=)?\s*(\d+)")
+    number = lambda p: F.regexp_extract(c, p, 1).try_cast("long")
+    either = lambda a, x, b, y: F.when(c.rlike(a), x).when(c.rlike(b), y)
+    width, length = number(INDENT_WIDTH), number(LINE_LENGTH)
     return rendered.select(
         "format",
-        F.when(has(r"\buse\s+tabs\b"), "tabs").when(has(r"\buse\s+spaces\b"), "spaces").alias("indentation_style"),
-        number(r"\b(\d+)[ -]*(?:space|indent)").alias("indent_width"),
-        F.when(has(r"camel[ _]?case"), "camelCase").when(has(r"snake[ _]?case"), "snake_case").alias("naming"),
-        F.when(length.between(40, 500), length).alias("line_length"),
-        F.when(has(r"\b(?:always use|require|use)\s+semicolons?\b"), "always").when(has(r"\b(?:no|omit|avoid|don't use)\s+semicolons?\b"), "never").alias("semicolons"),
-        F.when(has(r"single\s+quotes?"), "single").when(has(r"double\s+quotes?"), "double").alias("quote_style"),
+        either(TABS, "tabs", SPACES, "spaces").alias("indentation_style"),
+        F.when(width <= MOST_NUMBER, width).alias("indent_width"),
+        F.concat_ws(",", F.when(c.rlike(CAMEL), "camelCase"), F.when(c.rlike(SNAKE), "snake_case")).alias("naming"),
+        F.when(length.between(LEAST_LENGTH, MOST_LENGTH), length).alias("line_length"),
+        either(SEMICOLONS, "use", NO_SEMICOLONS, "no").alias("semicolons"),
+        either(SINGLE, "single", DOUBLE, "double").alias("quote_style"),
     )
 
 
@@ -115,50 +140,73 @@ REQUIRED = ("indentation_style", "quote_style")
 
 def _long_form(stated: DataFrame, names: tuple[str, ...]) -> DataFrame:
     pairs = F.explode(F.array(*[F.struct(F.lit(n).alias("name"), F.col(n).cast("string").alias("value")) for n in names])).alias("p")
-    return stated.select("format", pairs).select("format", "p.name", "p.value")
+    return stated.select("format", project(F.col("format")).alias("project"), pairs).select("format", "project", "p.name", "p.value")
 
 
 def conflicts(stated: DataFrame) -> DataFrame:
-    """name, stated: conventions of which two formats state different values."""
+    """project, name, stated: conventions of which two formats of a project state different values. A project has a row for each kind of format."""
     values = _long_form(stated, CONFLICTING).where("value is not null")
     listed = F.array_join(F.array_sort(F.collect_list(F.concat("format", F.lit("="), "value"))), ", ")
-    return values.groupBy("name").agg(F.count_distinct("value").alias("n"), listed.alias("stated")).where("n > 1").drop("n")
+    return values.groupBy("project", "name").agg(F.min("value").alias("lo"), F.max("value").alias("hi"), listed.alias("stated")).where("lo <> hi").select("project", "name", "stated")
 
 
 def missing(stated: DataFrame) -> DataFrame:
-    """name, without: conventions that over half of the formats state and some don't."""
+    """project, name, without: conventions that over half of a project's formats state and some don't."""
     values = _long_form(stated, REQUIRED)
     without = F.array_join(F.array_sort(F.collect_list(F.when(F.col("value").isNull(), F.col("format")))), ", ")
-    out = values.groupBy("name").agg(F.count("*").alias("n"), F.count("value").alias("have"), without.alias("without"))
-    return out.where("n >= 2 and have > n div 2 and have < n").select("name", "without")
+    out = values.groupBy("project", "name").agg(F.count("*").alias("n"), F.count("value").alias("have"), without.alias("without"))
+    return out.where("n >= 2 and have > n div 2 and have < n").select("project", "name", "without")
+
 
+def loose_paths(rendered: DataFrame, files: DataFrame) -> DataFrame:
+    return dangling(path_references(rendered), files).select("format", F.lit("warning").alias("severity"), F.lit("semantic").alias("layer"), F.lit("path is not in the corpus").alias("message"), F.col("ref").alias("location"))
 
-def semantic(rendered: DataFrame, files: DataFrame) -> DataFrame:
-    """Findings of the semantic layer."""
-    loose = dangling(path_references(rendered), files).select("format", F.lit("warning").alias("severity"), F.lit("semantic").alias("layer"), F.lit("path is not in the corpus").alias("message"), F.col("ref").alias("location"))
-    both = _finding(rendered, contradiction(F.col("content")), "error", "semantic", "tabs and spaces are both prescribed")
-    unreal = language_mentions(rendered, files).select("format", F.lit("warning").alias("severity"), F.lit("semantic").alias("layer"), F.lit("language has no file").alias("message"), F.col("language").alias("location"))
-    return loose.unionByName(both).unionByName(unreal)
+
+def contradictions(rendered: DataFrame) -> DataFrame:
+    return rendered.where(contradiction(F.col("content"))).select("format", F.lit("error").alias("severity"), F.lit("semantic").alias("layer"), F.lit("tabs and spaces are both prescribed").alias("message"), F.lit(None).cast("string").alias("location"))
+
+
+def unreal_languages(rendered: DataFrame, files: DataFrame) -> DataFrame:
+    return language_mentions(rendered, files).select("format", F.lit("warning").alias("severity"), F.lit("semantic").alias("layer"), F.lit("language has no file").alias("message"), F.col("language").alias("location"))
 
 
 def smoke(rules: DataFrame, files: DataFrame) -> DataFrame:
     """The check after finalising: missing paths and contradictions only, all as warnings."""
-    return semantic(rules, files).where("message <> 'language has no file'").withColumn("severity", F.lit("warning"))
+    return loose_paths(rules, files).unionByName(contradictions(rules)).withColumn("severity", F.lit("warning"))
 
 
 def cross_format(rendered: DataFrame) -> DataFrame:
-    """Findings over all formats together. Both kinds are errors."""
-    stated = conventions(rendered)
-    row = lambda df, message, at: df.select(F.lit("cross-format").alias("format"), F.lit("error").alias("severity"), F.lit("semantic").alias("layer"), F.concat(F.lit(message), "name").alias("message"), F.col(at).alias("location"))
-    return row(conflicts(stated), "conflicting ", "stated").unionByName(row(missing(stated), "missing ", "without"))
+    """Findings over all formats of a project together. Both kinds are errors."""
+    stated = conventions(rendered.where("content is not null"))
+
+    def rows(found: DataFrame, message: str, at: str) -> DataFrame:
+        name = F.when(F.col("project") == "", F.lit(CROSS)).otherwise(F.concat(F.lit(f"{CROSS}:"), "project"))
+        return found.select(name.alias("format"), F.lit("error").alias("severity"), F.lit("semantic").alias("layer"), F.concat(F.lit(message), "name").alias("message"), F.col(at).alias("location"))
+
+    return rows(conflicts(stated), "conflicting ", "stated").unionByName(rows(missing(stated), "missing ", "without"))
+
+
+#: Checks of the semantic layer, which are switched one by one.
+CHECKS = ("paths", "contradictions", "reality", "consistency")
 
 
-def findings(rendered: DataFrame, files: DataFrame) -> DataFrame:
-    return syntax(rendered).unionByName(semantic(rendered, files)).unionByName(cross_format(rendered))
+def findings(rendered: DataFrame, files: DataFrame, overrides: Mapping[str, Mapping[str, bool]] | None = None, defaults: Mapping[str, bool] | None = None) -> DataFrame:
+    """All findings. ``defaults`` switches the semantic checks (all on), ``overrides`` does so for single formats. Consistency runs over
+    all formats if any of them has it on."""
+    on = dict.fromkeys(CHECKS, True) | dict(defaults or {})
+    switches = {k: on | dict((overrides or {}).get(k, {})) for k in KINDS}
+    rows = rendered.where(F.col("content").isNotNull())
+    checked = lambda name: rows.where(kind(F.col("format")).isin(*[k for k in KINDS if switches[k][name]]))
+    out = syntax(rendered)
+    for name, check in (("paths", lambda r: loose_paths(r, files)), ("contradictions", contradictions), ("reality", lambda r: unreal_languages(r, files))):
+        if any(s[name] for s in switches.values()):
+            out = out.unionByName(check(checked(name)))
+    return out.unionByName(cross_format(rows)) if any(s["consistency"] for s in switches.values()) else out
 
 
 def results(rendered: DataFrame, found: DataFrame) -> DataFrame:
-    """format, passed, errors, warnings of each rendered format."""
+    """format, passed, errors, warnings of each rendered format, and of the formats of a project together where they have findings."""
     counts = found.groupBy("format").agg(F.count_if(F.col("severity") == "error").alias("errors"), F.count_if(F.col("severity") == "warning").alias("warnings"))
-    out = rendered.select("format").join(counts, "format", "left").na.fill(0, ["errors", "warnings"])
+    names = rendered.select("format").unionByName(found.where(kind(F.col("format")) == CROSS).select("format").distinct())
+    out = names.join(counts, "format", "left").na.fill(0, ["errors", "warnings"])
     return out.select("format", (F.col("errors") == 0).alias("passed"), "errors", "warnings")

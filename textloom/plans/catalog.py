@@ -7,7 +7,6 @@ artifacts. Where a rule needs text that the tables lack (fences, style words, pa
 from __future__ import annotations
 
 from collections.abc import Callable
-from functools import partial
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -173,94 +172,100 @@ def include_exclude(spark, sf):
     return _paths(spark, sf).where(paths.kept_path(F.col("path"), ["**/*.{ts,py,go}", "*.hpp"], ["*1.?*", "**/*3.??"]))
 
 
-_RENDERED = """r as (select doc_id, (['cursor','claude','copilot','windsurf','aider','generic'])[(doc_id % 6 + 1)::int] || ':' || doc_id as format,
+#: Rules of many projects: document d is a format of project d div 6, with marks around its whole text.
+_RENDERED = """r as (select doc_id, (['cursor','claude','copilot','windsurf','aider','generic'])[(doc_id % 6 + 1)::int] || ':' || (doc_id // 6) as format,
   case doc_id % 7 when 0 then '---' || chr(10) || 'description: x' || chr(10) || '---' || chr(10) when 1 then '---' || chr(10) else '' end
   || case doc_id % 5 when 0 then '# Title' || chr(10) when 1 then '```' || chr(10) when 2 then 'Use tabs. ' else '' end
-  || case doc_id % 4 when 0 then 'use spaces, 4 space indent, single quotes ' when 1 then 'line length: 100 and snake_case, double quotes; omit semicolons. ' when 2 then 'always use semicolons, camelCase ' else '' end
-  || case when doc_id % 11 = 0 then ' ' else left(text, 80) end
+  || case doc_id % 4 when 0 then 'use spaces, 4 space indent, single quotes ' when 1 then 'line length: 100 and snake_case, double quotes; omit semicolons. ' when 2 then 'always use semicolons, camelCase ' else 'dont use semicolons, Max width=88, single quotes' || chr(10) || '2-' || chr(10) || 'spaces ' end
+  || coalesce(text, '')
   || case when doc_id % 3 = 0 then ' see `src0/doc' || (doc_id % 40) || '.py` or lib/none' || doc_id || '.rs, http://a/b.c and v1.2/x.y Kotlin kotlin KOTLIN' else '' end as content from documents)"""
 
 
-#: The same with the whole text of every document, and a quote style in most rows.
-_WHOLE = _RENDERED.replace("case when doc_id % 11 = 0 then ' ' else left(text, 80) end", "coalesce(text, '')").replace("camelCase ' else '' end", "camelCase ' else 'snake_case, single quotes ' end")
-
-
-def _rendered(spark, sf, whole=False):
+def _rendered(spark, sf):
     d = F.col("doc_id")
     kinds = F.element_at(F.array(*map(F.lit, ("cursor", "claude", "copilot", "windsurf", "aider", "generic"))), (d % 6 + 1).cast("int"))
     content = F.concat(
         F.when(d % 7 == 0, "---\ndescription: x\n---\n").when(d % 7 == 1, "---\n").otherwise(""),
         F.when(d % 5 == 0, "# Title\n").when(d % 5 == 1, "```\n").when(d % 5 == 2, "Use tabs. ").otherwise(""),
-        F.when(d % 4 == 0, "use spaces, 4 space indent, single quotes ").when(d % 4 == 1, "line length: 100 and snake_case, double quotes; omit semicolons. ").when(d % 4 == 2, "always use semicolons, camelCase ").otherwise("snake_case, single quotes " if whole else ""),
-        F.coalesce("text", F.lit("")) if whole else F.when(d % 11 == 0, " ").otherwise(F.left("text", F.lit(80))),
+        F.when(d % 4 == 0, "use spaces, 4 space indent, single quotes ").when(d % 4 == 1, "line length: 100 and snake_case, double quotes; omit semicolons. ").when(d % 4 == 2, "always use semicolons, camelCase ").otherwise("dont use semicolons, Max width=88, single quotes\n2-\nspaces "),
+        F.coalesce("text", F.lit("")),
         F.when(d % 3 == 0, F.concat(F.lit(" see `src0/doc"), (d % 40).cast("string"), F.lit(".py` or lib/none"), d.cast("string"), F.lit(".rs, http://a/b.c and v1.2/x.y Kotlin kotlin KOTLIN"))).otherwise(""),
     )
-    return _table(spark, sf, "documents").select("doc_id", F.concat(kinds, F.lit(":"), d.cast("string")).alias("format"), content.alias("content"))
+    return _table(spark, sf, "documents").select("doc_id", F.concat(kinds, F.lit(":"), F.expr("doc_id div 6").cast("string")).alias("format"), content.alias("content"))
+
+
+_BOTH = "regexp_matches(content, '(?i)\\buse\\s+tabs\\b') and regexp_matches(content, '(?i)\\buse\\s+spaces\\b')"
 
 
-@query(f"with {_RENDERED} select format, ((len(content) - len(replace(content, '```', ''))) // 3) % 2 = 1 as fence_open, trim(regexp_replace(content, '\\s+', ' ', 'g')) = '' as is_empty, contains(content, '# ') as has_heading, regexp_matches(content, '(?i)\\buse\\s+tabs\\b') and regexp_matches(content, '(?i)\\buse\\s+spaces\\b') as contradiction from r")
-def content_rules(spark, sf, whole=False):
+@query(f"with {_RENDERED} select format, ((len(content) - len(replace(content, '```', ''))) // 3) % 2 = 1 as fence_open, trim(regexp_replace(content, '\\s+', ' ', 'g')) = '' as is_empty, contains(content, '# ') as has_heading, {_BOTH} as contradiction from r")
+def content_rules(spark, sf):
     c = F.col("content")
-    return _rendered(spark, sf, whole).select("format", text.fence_unbalanced(c).alias("fence_open"), validate.empty(c).alias("is_empty"), c.contains("# ").alias("has_heading"), validate.contradiction(c).alias("contradiction"))
+    return _rendered(spark, sf).select("format", text.fence_unbalanced(c).alias("fence_open"), validate.empty(c).alias("is_empty"), c.contains("# ").alias("has_heading"), validate.contradiction(c).alias("contradiction"))
 
 
-_KIND = "split_part(format, ':', 1)"
+_SYNTAX = """k as (select format, split_part(format, ':', 1) as kind, content, trim(regexp_replace(content, '\\s+', ' ', 'g')) = '' as e, ((len(content) - len(replace(content, '```', ''))) // 3) % 2 = 1 as o, case when starts_with(content, '---') then substr(content, 4) end as b from r),
+syn as (select format, 'error' as severity, 'syntax' as layer, 'content is empty' as message from k where e union all select format, 'error', 'syntax', 'code fence is not closed' from k where not e and o
+union all select format, 'error', 'schema', 'frontmatter is not closed' from k where kind = 'cursor' and b is not null and instr(b, '---') = 0
+union all select format, 'warning', 'schema', 'frontmatter has no description' from k where kind = 'cursor' and instr(b, '---') > 0 and not contains(substr(b, 1, instr(b, '---') - 1), 'description:')
+union all select format, 'error', 'schema', 'no heading' from k where kind = 'claude' and not contains(content, '# ') union all select format, 'error', 'schema', 'content is empty' from k where e and kind in ('copilot', 'windsurf', 'aider', 'generic'))"""
 
 
-@query(f"""with {_RENDERED}, k as (select {_KIND} as format, content, trim(regexp_replace(content, '\\s+', ' ', 'g')) = '' as e, ((len(content) - len(replace(content, '```', ''))) // 3) % 2 = 1 as o, case when starts_with(content, '---') then substr(content, 4) end as b from r),
-f as (select format, 'error' as severity, 'syntax' as layer, 'content is empty' as message from k where e union all select format, 'error', 'syntax', 'code fence is not closed' from k where not e and o
-union all select format, 'error', 'schema', 'frontmatter is not closed' from k where format = 'cursor' and b is not null and instr(b, '---') = 0
-union all select format, 'warning', 'schema', 'frontmatter has no description' from k where format = 'cursor' and instr(b, '---') > 0 and not contains(substr(b, 1, instr(b, '---') - 1), 'description:')
-union all select format, 'error', 'schema', 'no heading' from k where format = 'claude' and not contains(content, '# ') union all select format, 'error', 'schema', 'content is empty' from k where e and format in ('copilot', 'windsurf', 'aider', 'generic'))
-select format, severity, layer, message, count(*) as n from f group by all""")
-def syntax_findings(spark, sf, whole=False):
-    rows = _rendered(spark, sf, whole).select(F.split_part("format", F.lit(":"), F.lit(1)).alias("format"), "content")
-    return validate.syntax(rows).groupBy("format", "severity", "layer", "message").agg(F.count("*").alias("n"))
+@query(f"with {_RENDERED}, {_SYNTAX} select format, severity, layer, message from syn")
+def syntax_findings(spark, sf):
+    return validate.syntax(_rendered(spark, sf)).drop("location")
 
 
-_REFS = f"""{_RENDERED}, x as (select distinct format, unnest(regexp_extract_all(content, '(?:^|[\\s`"''])([A-Za-z0-9_./-]+\\.[A-Za-z0-9]+)(?:[\\s`"'',;:)]|$)', 1)) as ref from r),
-refs as (select * from x where not (starts_with(ref, 'http') or starts_with(ref, 'ftp') or contains(ref, '://') or regexp_matches(ref, '^v[012]\\.') or regexp_matches(ref, '\\.(com|org|io|dev)$')) and contains(ref, '/'))"""
+_REFS = f"""x as (select distinct format, unnest(regexp_extract_all(content, '(?:^|[\\s`"''])([A-Za-z0-9_./-]+\\.[A-Za-z0-9]+)(?:[\\s`"'',;:)]|$)', 1)) as ref from r),
+refs as (select * from x where not (starts_with(ref, 'http') or starts_with(ref, 'ftp') or contains(ref, '://') or regexp_matches(ref, '^v[012]\\.') or regexp_matches(ref, '\\.(com|org|io|dev)$')) and contains(ref, '/')),
+files as (select distinct source || '/doc' || doc_id || case lang when 'en' then '.py' when 'fr' then '.ts' when 'de' then '.rs' else '.txt' end as path from documents),
+loose as (select format, ref from refs where not exists (select 1 from files where path = ref or ends_with(ref, path) or ends_with(path, ref)))"""
 
 
-@query(f"with {_REFS} select format, ref from refs")
-def path_refs(spark, sf, whole=False):
-    return validate.path_references(_rendered(spark, sf, whole))
+@query(f"with {_RENDERED}, {_REFS} select format, ref from refs")
+def path_refs(spark, sf):
+    return validate.path_references(_rendered(spark, sf))
 
 
-@query(f"with {_REFS}, files as (select distinct source || '/doc' || doc_id || '.py' as path from documents where lang = 'en') select format, ref from refs where not exists (select 1 from files where path = ref or ends_with(ref, path) or ends_with(path, ref))")
-def dangling_refs(spark, sf, whole=False):
-    files = _files(spark, sf).where("language = 'python'")
-    return validate.dangling(validate.path_references(_rendered(spark, sf, whole)), files)
+@query(f"with {_RENDERED}, {_REFS} select format, ref from loose")
+def dangling_refs(spark, sf):
+    return validate.dangling(validate.path_references(_rendered(spark, sf)), _files(spark, sf))
 
 
-_CONV = """c as (select format, case when regexp_matches(content, '(?i)\\buse\\s+tabs\\b') then 'tabs' when regexp_matches(content, '(?i)\\buse\\s+spaces\\b') then 'spaces' end as indentation_style, try_cast(nullif(regexp_extract(content, '(?i)\\b(\\d+)[ -]*(?:space|indent)', 1), '') as int) as indent_width,
-case when regexp_matches(content, '(?i)camel[ _]?case') then 'camelCase' when regexp_matches(content, '(?i)snake[ _]?case') then 'snake_case' end as naming, try_cast(nullif(regexp_extract(content, '(?i)\\b(?:max|maximum|line)\\s+(?:line\\s+)?(?:length|width|chars?)\\s*(?:of|:|=)?\\s*(\\d+)', 1), '') as int) as ll,
-case when regexp_matches(content, '(?i)\\b(?:always use|require|use)\\s+semicolons?\\b') then 'always' when regexp_matches(content, '(?i)\\b(?:no|omit|avoid|don''t use)\\s+semicolons?\\b') then 'never' end as semicolons, case when regexp_matches(content, '(?i)single\\s+quotes?') then 'single' when regexp_matches(content, '(?i)double\\s+quotes?') then 'double' end as quote_style from r),
-s as (select * exclude (ll), case when ll between 40 and 500 then ll end as line_length from c)"""
+_CONV = r"""c as (select format, case when regexp_matches(content, '(?i)\buse\s+tabs\b') then 'tabs' when regexp_matches(content, '(?i)\buse\s+spaces\b') then 'spaces' end as indentation_style, try_cast(nullif(regexp_extract(content, '(?i)(\d+)[\s-]*(?:space|indent)', 1), '') as bigint) as iw,
+concat_ws(',', case when regexp_matches(content, '(?i)\bcamel\s*case\b') then 'camelCase' end, case when regexp_matches(content, '(?i)\bsnake\s*[_\s]?case\b') then 'snake_case' end) as naming, try_cast(nullif(regexp_extract(content, '(?i)(?:max(?:imum)?|line)\s*(?:line\s*)?(?:length|width|chars?)\s*(?:of\s*|:\s*|=\s*)?(\d+)', 1), '') as bigint) as ll,
+case when regexp_matches(content, '(?i)\b(?:always\s+use|require|use)\s+semicolons?\b') then 'use' when regexp_matches(content, '(?i)\b(?:no|omit|avoid|don''?t\s+use)\s+semicolons?\b') then 'no' end as semicolons, case when regexp_matches(content, '(?i)\bsingle\s+quotes?\b') then 'single' when regexp_matches(content, '(?i)\bdouble\s+quotes?\b') then 'double' end as quote_style from r),
+s as (select * exclude (ll, iw), case when iw <= 4294967295 then iw end as indent_width, case when ll between 40 and 500 then ll end as line_length from c)"""
 
 
 @query(f"with {_RENDERED}, {_CONV} select format, indentation_style, indent_width, naming, line_length, semicolons, quote_style from s")
-def convention_extraction(spark, sf, whole=False):
-    return validate.conventions(_rendered(spark, sf, whole))
+def convention_extraction(spark, sf):
+    return validate.conventions(_rendered(spark, sf))
+
+
+def _long(names: tuple[str, ...]) -> str:
+    return " union all ".join(f"select format, split_part(format, ':', 2) as project, '{n}' as name, {n}::varchar as value from s" for n in names)
+
+
+_CONFLICTS = f"lc as ({_long(validate.CONFLICTING)}), conflicts as (select project, name, string_agg(format || '=' || value, ', ' order by encode(format || '=' || value)) as stated from lc where value is not null group by all having count(distinct value) > 1)"
+_MISSING = f"lm as ({_long(validate.REQUIRED)}), missing as (select project, name, string_agg(format, ', ' order by encode(format)) filter (where value is null) as without from lm group by project, name having count(*) >= 2 and count(value) > count(*) // 2 and count(value) < count(*))"
 
 
-@query(f"with {_RENDERED}, {_CONV}, l as (" + " union all ".join(f"select format, '{n}' as name, {n}::varchar as value from s" for n in validate.CONFLICTING) + ") select name, sha256(string_agg(format || '=' || value, ', ' order by encode(format || '=' || value))) as stated from l where value is not null group by name having count(distinct value) > 1")
-def cross_format_conflicts(spark, sf, whole=False):
-    out = validate.conflicts(validate.conventions(_rendered(spark, sf, whole)))
-    return out.select("name", F.sha2(F.col("stated").cast("binary"), 256).alias("stated"))
+@query(f"with {_RENDERED}, {_CONV}, {_CONFLICTS} select project, name, stated from conflicts")
+def cross_format_conflicts(spark, sf):
+    return validate.conflicts(validate.conventions(_rendered(spark, sf)))
 
 
-@query(f"with {_RENDERED}, {_CONV}, q as (select * from s where split_part(format, ':', 2)::bigint % 4 <= 1 or split_part(format, ':', 2)::bigint % 20 = 3), l as (" + " union all ".join(f"select format, '{n}' as name, {n}::varchar as value from q" for n in validate.REQUIRED) + ") select name, sha256(string_agg(format, ', ' order by encode(format)) filter (where value is null)) as without from l group by name having count(*) >= 2 and count(value) > count(*) // 2 and count(value) < count(*)")
-def cross_format_missing(spark, sf, whole=False):
-    n = F.split_part("format", F.lit(":"), F.lit(2)).cast("long")
-    rows = validate.conventions(_rendered(spark, sf, whole))
-    out = validate.missing(rows if whole else rows.where((n % 4 <= 1) | (n % 20 == 3)))
-    return out.select("name", F.sha2(F.col("without").cast("binary"), 256).alias("without"))
+@query(f"with {_RENDERED}, {_CONV}, {_MISSING} select project, name, without from missing")
+def cross_format_missing(spark, sf):
+    return validate.missing(validate.conventions(_rendered(spark, sf)))
 
 
-@query(f"with {_RENDERED} select format, 'kotlin' as language, ((len(content) - len(regexp_replace(lower(content), '\\bkotlin\\b', '', 'g'))) // 6)::bigint as mentions from r where regexp_matches(lower(content), '\\bkotlin\\b.*\\bkotlin\\b.*\\bkotlin\\b')")
-def language_reality(spark, sf, whole=False):
-    return validate.language_mentions(_rendered(spark, sf, whole), _files(spark, sf))
+_UNREAL = "unreal as (select format, 'kotlin' as language, ((len(content) - len(regexp_replace(lower(content), '\\bkotlin\\b', '', 'g'))) // 6)::bigint as mentions from r where regexp_matches(lower(content), '(?s)\\bkotlin\\b.*\\bkotlin\\b.*\\bkotlin\\b'))"
+
+
+@query(f"with {_RENDERED}, {_UNREAL} select format, language, mentions from unreal")
+def language_reality(spark, sf):
+    return validate.language_mentions(_rendered(spark, sf), _files(spark, sf))
 
 
 @query("""with j as (select event_id, case event_id % 6 when 0 then props when 1 then props || ' x' when 2 then '{}' when 3 then 'null' when 4 then '[' || props || ']' else '{"a": ' end as c from events)
@@ -316,19 +321,22 @@ def format_detect(spark, sf):
     return _table(spark, sf, "pages").select("page_id", paths.packed_format(path, content).alias("kind"))
 
 
-_PACK = """select pack, ord::int as ord, source || '/' || k || '.txt' as path, t as content from (select source, doc_id % 3 as pack_kind, source || '-' || (doc_id % 3) || (['.md','.json','.xml'])[(doc_id % 3 + 1)::int] as pack, doc_id as k, regexp_replace(left(text, 200), '[^A-Za-z ]', '.', 'g') || '.' as t, row_number() over (partition by source, doc_id % 3 order by doc_id) - 1 as ord from documents)"""
+#: Packs of at most 30 whole texts. Those that Markdown fences or XML can't carry unchanged go into JSON.
+_PACK = r"""select pack, (row_number() over (partition by pack order by doc_id) - 1)::int as ord, path, content from (select doc_id, 'pack' || (doc_id // 30) || (['.md','.json','.xml'])[kind + 1] as pack, source || '/' || doc_id || '.txt' as path, content
+  from (select doc_id, source, coalesce(text, '') as content, case when regexp_matches(coalesce(text, ''), '[`\x00-\x08\x0b-\x1f\x{fffe}\x{ffff}]') then 1 else doc_id % 3 end::int as kind from documents))"""
 
 
 @query(_PACK)
 def packed_files(spark, sf):
-    d = F.col("doc_id")
-    t = F.concat(F.regexp_replace(F.left("text", F.lit(200)), "[^A-Za-z ]", "."), F.lit("."))
-    kind = (d % 3).alias("kind")
-    docs = _table(spark, sf, "documents").select("source", kind, d, F.concat("source", F.lit("/"), d.cast("string"), F.lit(".txt")).alias("path"), t.alias("t"))
-    part = F.when(F.col("kind") == 0, F.concat(F.lit("## File: "), "path", F.lit("\n\n```text\n"), "t", F.lit("```\n\n"))).when(F.col("kind") == 1, F.to_json(F.struct("path", F.col("t").alias("content")))).otherwise(F.concat(F.lit('<file path="'), "path", F.lit('">'), "t", F.lit("</file>")))
+    t = F.coalesce("text", F.lit(""))
+    kind = F.when(t.rlike(r"[`\x00-\x08\x0b-\x1f\x{fffe}\x{ffff}]"), 1).otherwise(F.col("doc_id") % 3).cast("int")
+    docs = _table(spark, sf, "documents").select("doc_id", F.expr("doc_id div 30").alias("pack"), kind.alias("kind"), F.concat("source", F.lit("/"), F.col("doc_id").cast("string"), F.lit(".txt")).alias("path"), t.alias("t"))
+    escaped = F.replace(F.replace(F.replace("t", F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&#62;"))
+    body = F.when(F.col("doc_id") % 2 == 0, escaped).when(F.col("t").contains("]]>"), escaped).otherwise(F.concat(F.lit("<![CDATA["), "t", F.lit("]]>")))
+    part = F.when(F.col("kind") == 0, F.concat(F.lit("## File: "), "path", F.lit("\n\n```text\n"), "t", F.lit("```\n\n"))).when(F.col("kind") == 1, F.to_json(F.struct("path", F.col("t").alias("content")))).otherwise(F.concat(F.lit('<file path="'), "path", F.lit('">'), body, F.lit("</file>")))
     parts = F.transform(F.array_sort(F.collect_list(F.struct("doc_id", part.alias("p")))), lambda r: r["p"])
-    packs = docs.groupBy("source", "kind").agg(parts.alias("parts"))
-    name = F.concat("source", F.lit("-"), F.col("kind").cast("string"), F.element_at(F.array(F.lit(".md"), F.lit(".json"), F.lit(".xml")), (F.col("kind") + 1).cast("int")))
+    packs = docs.groupBy("pack", "kind").agg(parts.alias("parts"))
+    name = F.concat(F.lit("pack"), F.col("pack").cast("string"), F.element_at(F.array(F.lit(".md"), F.lit(".json"), F.lit(".xml")), F.col("kind") + 1))
     content = F.when(F.col("kind") == 0, F.array_join("parts", "")).when(F.col("kind") == 1, F.concat(F.lit("["), F.array_join("parts", ","), F.lit("]"))).otherwise(F.concat(F.lit("<files>"), F.array_join("parts", ""), F.lit("</files>")))
     return packed.parsed(packs.select(name.alias("path"), content.alias("content")))
 
@@ -412,17 +420,21 @@ def existing_not_generated(spark, sf):
     return writing.not_generated(rows, spark.createDataFrame([("claude",), ("cursor",)], "format string"))
 
 
-@query(f"""with {_RENDERED}, k as (select format, (trim(regexp_replace(content, '\\s+', ' ', 'g')) = '')::bigint as e, (((len(content) - len(replace(content, '```', ''))) // 3) % 2 = 1)::bigint as o from r)
-select format, e + (1 - e) * o = 0 as passed, e + (1 - e) * o as errors, 0::bigint as warnings from k""")
-def validation_results(spark, sf, whole=False):
-    rows = _rendered(spark, sf, whole)
-    return validate.results(rows, validate.syntax(rows))
+_FOUND = f"""{_RENDERED}, {_SYNTAX}, {_REFS}, {_CONV}, {_CONFLICTS}, {_MISSING}, {_UNREAL},
+found as (select format, severity from syn union all select format, 'warning' from loose union all select format, 'error' from r where {_BOTH} union all select format, 'warning' from unreal
+union all select 'cross-format:' || project, 'error' from conflicts union all select 'cross-format:' || project, 'error' from missing)"""
+
 
+@query(f"""with {_FOUND}, n as (select format, count(*) filter (where severity = 'error') as errors, count(*) filter (where severity = 'warning') as warnings from found group by 1), f as (select format from r union all select distinct format from found where starts_with(format, 'cross-format'))
+select f.format, coalesce(errors, 0) = 0 as passed, coalesce(errors, 0)::bigint as errors, coalesce(warnings, 0)::bigint as warnings from f left join n on f.format = n.format""")
+def validation_results(spark, sf):
+    rows = _rendered(spark, sf)
+    return validate.results(rows, validate.findings(rows, _files(spark, sf)))
 
-@query(f"with {_REFS}, files as (select distinct source || '/doc' || doc_id || '.py' as path from documents where lang = 'en') select format, 'warning' as severity, 'path is not in the corpus' as message, ref as location from refs where not exists (select 1 from files where path = ref or ends_with(ref, path) or ends_with(path, ref)) union all select format, 'warning', 'tabs and spaces are both prescribed', null from r where regexp_matches(content, '(?i)\\buse\\s+tabs\\b') and regexp_matches(content, '(?i)\\buse\\s+spaces\\b')")
-def smoke_findings(spark, sf, whole=False):
-    files = _files(spark, sf).where("language = 'python'")
-    return validate.smoke(_rendered(spark, sf, whole), files).select("format", "severity", "message", "location")
+
+@query(f"with {_RENDERED}, {_REFS} select format, 'warning' as severity, 'path is not in the corpus' as message, ref as location from loose union all select format, 'warning', 'tabs and spaces are both prescribed', null from r where {_BOTH}")
+def smoke_findings(spark, sf):
+    return validate.smoke(_rendered(spark, sf), _files(spark, sf)).select("format", "severity", "message", "location")
 
 
 _LISTED = "select page_id, 'm' || page_id as model, case page_id % 4 when 0 then '0.000003' when 1 then '0.5' when 2 then 'free' end as i, case page_id % 3 when 0 then '0.25' when 1 then '' end as o from pages"
@@ -449,10 +461,3 @@ def models_installed(spark, sf):
     pages = _table(spark, sf, "pages")
     listing = pages.select(F.to_json(F.struct(F.array(F.struct(F.concat(name, tag).alias("name"))).alias("models"))).alias("body"))
     return models.installed(pages.select(name.alias("model")), listing)
-
-
-#: Queries whose SQL is bound to the first 80 characters (and, for cross_format_missing, to some ids); whole_... reads whole texts of all rows.
-_CUT = ("content_rules", "syntax_findings", "path_refs", "dangling_refs", "convention_extraction", "cross_format_conflicts", "cross_format_missing", "language_reality", "validation_results", "smoke_findings")
-for _name in _CUT:
-    QUERIES[f"whole_{_name}"] = partial(QUERIES[_name], whole=True)
-    ORACLE_SQL[f"whole_{_name}"] = ORACLE_SQL[_name].replace(_RENDERED, _WHOLE).replace("select * from s where split_part(format, ':', 2)::bigint % 4 <= 1 or split_part(format, ':', 2)::bigint % 20 = 3", "select * from s")

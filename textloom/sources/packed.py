@@ -19,7 +19,7 @@ def markdown_files(text: Column) -> Column:
 
 def xml_files(text: Column) -> Column:
     """<file path=...> elements; entities and CDATA are decoded. A file without a path makes the whole invalid (null)."""
-    inner = F.from_xml(F.concat(F.lit("<root>"), F.regexp_replace(text, r"<\?xml[^>]*\?>", ""), F.lit("</root>")), "file ARRAY<STRUCT<_path:STRING,_VALUE:STRING>>, files STRUCT<file:ARRAY<STRUCT<_path:STRING,_VALUE:STRING>>>")
+    inner = F.from_xml(F.concat(F.lit("<root>"), F.regexp_replace(text, r"<\?xml[^>]*\?>", ""), F.lit("</root>")), "file ARRAY<STRUCT<_path:STRING,_VALUE:STRING>>, files STRUCT<file:ARRAY<STRUCT<_path:STRING,_VALUE:STRING>>>", {"ignoreSurroundingSpaces": "false"})
     found = F.coalesce(inner["file"], inner["files"]["file"])
     out = F.transform(found, lambda x: F.struct(x["_path"].alias("path"), F.coalesce(x["_VALUE"], F.lit("")).alias("content")))
     return F.when(~F.exists(out, lambda x: x["path"].isNull()), out)
