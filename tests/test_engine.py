@@ -1,13 +1,17 @@
+import hashlib
 import os
 import time
 
 import pytest
 import pyspark.sql.functions as F
 
+from pyspark.sql import Row
+
+from textloom import __main__ as cli
 from textloom import config as settings
 from textloom import state
 from textloom.functions import paths, text
-from textloom.operators import analysis, chunks, corpus, finalise, structure, validate, writer
+from textloom.operators import analysis, chunks, corpus, finalise, reports, structure, validate, writer
 from textloom.plans import run as plan
 from textloom.sources import packed, tree
 from textloom.streaming.refresh import refresh
@@ -75,6 +79,39 @@ def test_chunks(spark):
     assert chunks.ChunkConfig(50_000).shared == 5000
 
 
+@pytest.mark.parametrize("config", [chunks.ChunkConfig(1000, 100), chunks.ChunkConfig(1000, 0), chunks.ChunkConfig(1000, 500), chunks.ChunkConfig(5000)])
+def test_token_chunks_cover_the_corpus(spark, config):
+    """No gap, no tail left out, none over the size; lines are whole; texts of any key are cut by their own positions."""
+    files = [("a", i, "".join(f"{i}:{j} {'é' * (j % 7)} {'w ' * (j * 13 % 40)}\n" for j in range(i % 11 * 5))) for i in range(0, 5000, 97)]
+    files += [("a", 10_000, "x" * 30_000 + "\n"), ("b", 1, "one line"), ("c", 2, "")]
+    df = spark.createDataFrame(files, "k string, i long, t string").repartition(5)
+    got = {}
+    for r in chunks.token_chunks(df, "k", "i", "t", config).collect():
+        got.setdefault(r["k"], []).append(r)
+    assert sorted(got) == ["a", "b"] and [(r["chunk_id"], r["content"], r["overlap_token_count"]) for r in got["b"]] == [(0, "one line", 0)]
+    rows = sorted(got["a"], key=lambda r: r["chunk_id"])
+    assert [r["chunk_id"] for r in rows] == list(range(len(rows)))
+    whole = "".join(t for k, _, t in sorted(files) if k == "a")
+    assert rows[0]["start"] == 0 and all(r["token_count"] == r["end"] - r["start"] <= config.size for r in rows)
+    at, covered = 0, 0
+    for r in rows:
+        assert r["start"] <= covered <= r["end"]
+        at = whole.index(r["content"], max(0, at - 4 * config.size) if r["chunk_id"] else 0)
+        assert r["chunk_id"] or at == 0
+        covered, at = r["end"], at + len(r["content"])
+    assert at == len(whole)
+    if config.shared == 0:
+        assert "".join(r["content"] for r in rows) == whole and all(r["overlap_token_count"] == 0 for r in rows)
+    else:
+        assert all(0 < r["overlap_token_count"] <= 2 * config.shared for r in rows[1:])
+
+
+def test_newline_snap(spark):
+    df = spark.createDataFrame([(1, ("ab cd\n" * 400)[:-1]), (2, "z" * 2500), (3, "\n" * 1500)], "k int, t string")
+    rows = {(r["k"], r["chunk_id"]): r for r in chunks.chunked(df, "k", "t", chunks.ChunkConfig(1000, 100), 100).collect()}
+    assert [rows[1, i]["end"] for i in range(3)] == [996, 1800, 2399] and rows[1, 0]["content"].endswith("\n") and rows[2, 0]["end"] == 1000 and rows[3, 0]["end"] == 1000
+
+
 def test_outlines():
     py = structure.outline("import os\n# note\n@deco\nclass A(B):\n    x = 1\n    def f(self, a: int = 2) -> int:\n        return a\n\ndef g():\n    pass\n", "python")
     assert "import os" in py and "class A(B):" in py and "def f(self, a: int = 2) -> int: pass" in py and "return" not in py and "@deco" in py and "# note" in py
@@ -113,46 +150,81 @@ def test_validation(spark):
     found = validate.findings(rendered, files)
     got = values(found.select("format", "severity", "message"))
     assert got == sorted([("cursor", "warning", "frontmatter has no description"), ("claude", "error", "no heading"), ("claude", "warning", "path is not in the corpus"), ("generic", "error", "code fence is not closed"), ("json", "error", "json syntax"), ("aider", "error", "content is empty"), ("aider", "error", "content is empty"), ("cross-format", "error", "conflicting indentation_style")])
-    assert {r["format"]: r["passed"] for r in validate.results(rendered, found).collect()} == {"cursor": True, "claude": False, "generic": False, "json": False, "aider": False}
+    assert {r["format"]: r["passed"] for r in validate.results(rendered, found).collect()} == {"cursor": True, "claude": False, "generic": False, "json": False, "aider": False, "cross-format": False}
 
 
 class Counting:
-    """Writes a line for each call, for tests on one machine."""
+    """Writes the prompt's digest for each call, for tests on one machine. Prompts that hold ``bad`` fail."""
 
-    def __init__(self, log, answer="# ok description: x"):
-        self.log, self.answer = log, answer
+    def __init__(self, log, answer="# ok description: x", bad=None):
+        self.log, self.answer, self.bad = log, answer, bad
 
     def __call__(self):
         return self
 
     def complete(self, prompt, options):
         with open(self.log, "a") as f:
-            f.write("call\n")
+            f.write(hashlib.sha256(prompt.encode()).hexdigest() + "\n")
+        if self.bad and self.bad in prompt:
+            raise analysis.ProviderError("refused")
         return analysis.Answer(self.answer, 10, 5)
 
+    @property
+    def asked(self):
+        return open(self.log).read().split() if os.path.exists(self.log) else []
+
     @property
     def calls(self):
-        return len(open(self.log).readlines()) if os.path.exists(self.log) else 0
+        return len(self.asked)
+
+
+FACTS = "key string, file_count int, languages string, compression_ratio double"
 
 
 def test_map_and_merge(spark, tmp_path):
     client = Counting(str(tmp_path / "log"))
     parts = spark.createDataFrame([("k", 0, "a"), ("k", 1, "b"), ("single", 0, "c")], "key string, chunk_id int, content string")
-    facts = spark.createDataFrame([("k", 2, "python", 0.5), ("single", 1, "go", 1.0)], "key string, file_count int, languages string, compression_ratio double")
-    for _ in range(2):  # the second run is answered from the store
-        answers = analysis.analysed(parts, "key", facts, client, f"{tmp_path}/store")
-        whole = values(analysis.merged(answers, "key", client, f"{tmp_path}/store"))
-        assert whole == [("k", client.answer, 30, 15), ("single", client.answer, 10, 5)]
+    facts = spark.createDataFrame([("k", 2, "python", 0.5), ("single", 1, "go", 1.0)], FACTS)
+    for _ in range(2):  # the second run is answered from the store, and its ledger is the same
+        desk = analysis.Desk(client, f"{tmp_path}/store")
+        whole = values(analysis.merged(analysis.analysed(parts, "key", facts, desk), "key", desk))
+        assert whole == [("k", client.answer), ("single", client.answer)]
         assert client.calls == 4
+        got = values(desk.ledger(spark).select("operation", "item", "attempt", "input_tokens", "output_tokens"))
+        assert got == [("analysis", "k 1", 1, 10, 5), ("analysis", "k 2", 1, 10, 5), ("analysis", "single 1", 1, 10, 5), ("merge", "k", 1, 10, 5)]
+
+
+def test_a_failing_prompt_costs_no_other_twice(spark, tmp_path):
+    parts = spark.createDataFrame([("k", i, f"part {i}.") for i in range(10)], "key string, chunk_id int, content string")
+    facts = spark.createDataFrame([("k", 2, "python", 0.5)], FACTS)
+    log = str(tmp_path / "log")
+    with pytest.raises(analysis.ProviderError, match="refused"):
+        analysis.analysed(parts, "key", facts, analysis.Desk(Counting(log, bad="part 3."), f"{tmp_path}/store", 2))
+    desk = analysis.Desk(Counting(log), f"{tmp_path}/store", 2)
+    assert analysis.analysed(parts, "key", facts, desk).count() == 10 == desk.ledger(spark).count()
+    asked = Counting(log).asked
+    assert len(set(asked)) == 10 and len(asked) == 11  # the refused one alone was asked again
+
+
+def test_waves(spark, tmp_path):
+    n = 3 * analysis.PER_TASK + 1
+    parts = spark.createDataFrame([("k", i, f"part {i}.") for i in range(n)], "key string, chunk_id int, content string")
+    client = Counting(str(tmp_path / "log"))
+    desk = analysis.Desk(client, f"{tmp_path}/store", 1)
+    out = analysis.analysed(parts, "key", spark.createDataFrame([("k", 2, "python", 0.5)], FACTS), desk)
+    assert out.count() == n == client.calls and len(os.listdir(tmp_path / "store" / "answers")) == 4
 
 
 def test_fix_loop(spark, tmp_path):
     client = Counting(str(tmp_path / "log"))
     rules = spark.createDataFrame([("claude", "bad"), ("generic", "fine")], "format string, content string")
-    out, attempts, clean = analysis.fixed(rules, validate.syntax, client, f"{tmp_path}/store")
+    out, attempts, clean = analysis.fixed(rules, validate.syntax, analysis.Desk(client, f"{tmp_path}/store"))
     assert (attempts, clean, client.calls) == (1, True, 1) and values(out) == [("claude", client.answer), ("generic", "fine")]
     still = Counting(str(tmp_path / "log2"), "no heading")
-    assert analysis.fixed(rules, validate.syntax, still, f"{tmp_path}/store2")[1:] == (3, False)
+    desk = analysis.Desk(still, f"{tmp_path}/store2")
+    assert analysis.fixed(rules, validate.syntax, desk)[1:] == (3, False)
+    cost = reports.cost_by_operation(desk.ledger(spark), 0.003, 0.015).collect()
+    assert [(r["operation"], r["operations"], r["input_tokens"], r["total_cost"]) for r in cost] == [("fix", 3, 30, pytest.approx(30 / 1000 * 0.003 + 15 / 1000 * 0.015))]
 
 
 def test_retries():
@@ -181,7 +253,9 @@ def test_template_is_filled_once(spark):
 
 def test_header_after_frontmatter(spark):
     rules = spark.createDataFrame([("cursor", "---\ndescription: x\n---\nbody"), ("json", "{}"), ("claude", "# a")], "format string, content string")
-    got = dict(values(finalise.finalised(rules, "p", "m", "t", 1, 2, 0.5)))
+    got = dict(values(finalise.finalised(rules, "p", "m", "t", (1, 2, 0.5))))
+    assert "1 + 2 tokens, $0.5000" in got["claude"]
+    assert dict(values(finalise.finalised(rules, "p", "m", "t", (1, 2, 0.5), normalise=False, header=False))) == {"cursor": "---\ndescription: x\n---\nbody", "json": "{}", "claude": "# a"}
     assert got["cursor"].startswith("---\ndescription: x\n---\n<!-- generated t") and got["json"] == "{}\n" and got["claude"].startswith("<!--")
 
 
@@ -189,13 +263,59 @@ def test_writes_and_backups(spark, tmp_path):
     (tmp_path / "CLAUDE.md").write_text("old")
     plan_rows = lambda action: spark.createDataFrame([("claude", "CLAUDE.md", action, "new")], "format string, path string, action string, content string")
     assert writer.write(plan_rows("skip"), str(tmp_path))[0].status == "skipped" and (tmp_path / "CLAUDE.md").read_text() == "old"
-    with pytest.raises(writer.WriteConflict):
-        writer.write(plan_rows("error"), str(tmp_path))
     for _ in range(7):
         assert writer.write(plan_rows("overwrite"), str(tmp_path))[0].status == "backup"
         time.sleep(0.002)
     assert len(list(tmp_path.glob("CLAUDE.md*.bak"))) == 5
-    assert writer.write(plan_rows("merge"), str(tmp_path), merge=lambda a, b: a + b)[0].status == "merged" and (tmp_path / "CLAUDE.md").read_text() == "newnew"
+    assert writer.write(plan_rows("merge"), str(tmp_path))[0].status == "merged" and (tmp_path / "CLAUDE.md").read_text() == "new"
+
+
+def test_conflicts_are_settled(spark):
+    row = lambda f, a: Row(format=f, path=f + ".md", action=a)
+    rows = [row("d", "ask"), row("a", "create"), row("b", "ask"), row("c", "ask")]
+    answers = iter(["skip", "overwrite all"])
+    assert writer.settled(rows, lambda path, format_: next(answers)) == [("a", "a.md", "create"), ("b", "b.md", "skip"), ("c", "c.md", "overwrite"), ("d", "d.md", "overwrite")]
+    with pytest.raises(writer.WriteConflict, match="stopped"):
+        writer.settled(rows, lambda path, format_: "quit")
+    for bad in (rows, [row("a", "error")]):
+        with pytest.raises(writer.WriteConflict, match="--on-conflict"):
+            writer.settled(bad)
+    with pytest.raises(ValueError):
+        writer.settled(rows, lambda path, format_: "perhaps")
+
+
+def test_questions_at_the_terminal():
+    replies = lambda *r: (lambda it: lambda question: next(it))(iter(r))
+    assert cli.chosen("p", "claude", replies("?", "O")) == "overwrite" and cli.chosen("p", "claude", replies("q")) == "quit"
+    assert cli.chosen("p", "claude", replies("all", "what", "a", "m")) == "merge all"
+
+
+@pytest.mark.parametrize("strategy", ["prompt", "smart-merge"])
+def test_conflicts_end_a_run_before_it_pays(spark, project, tmp_path, strategy):
+    (project / "CLAUDE.md").write_text("# mine\n")
+    config = settings.load({"formats": "claude,generic", "on_conflict": strategy}, {}, cwd=str(project))
+    client = Counting(str(tmp_path / "log"))
+    with pytest.raises(writer.WriteConflict):
+        plan.run(spark, str(project), config, client, str(tmp_path / "work"))
+    assert client.calls == 0 and (project / "CLAUDE.md").read_text() == "# mine\n" and not (project / "AI_RULES.md").exists()
+
+
+def test_smart_merge(spark, project, tmp_path):
+    (project / "CLAUDE.md").write_text("# mine\nkeep this\n")
+    config = settings.load({"formats": "claude,generic", "on_conflict": "smart-merge"}, {}, cwd=str(project))
+    client = Counting(str(tmp_path / "log"))
+    asked = []
+    result = plan.run(spark, str(project), config, client, str(tmp_path / "work"), "2024-01-01", confirm=lambda cost, lines: not asked.append(lines), ask=lambda path, format_: "skip")
+    assert [(w.format, w.status) for w in result.written] == [("claude", "merged"), ("generic", "new")] and client.calls == 4
+    assert len(asked) == 2 and "Smart merge of claude" in asked[1][0] and any("Tokens:" in x for x in asked[0])
+    calls = values(result.calls.groupBy("operation").count())
+    assert calls == [("analysis", 1), ("format", 2), ("smart merge", 1)]
+    total = 4 * (10 / 1000 * 0.003 + 5 / 1000 * 0.015)
+    kept = state.load(tmp_path / "work" / "state.json")
+    assert result.cost == kept.cost_spent == pytest.approx(total) and f"40 + 20 tokens, ${total:.4f}" in (project / "CLAUDE.md").read_text()
+    assert list(project.glob("CLAUDE.md.bak"))[0].read_text() == "# mine\nkeep this\n"
+    with pytest.raises(plan.Declined, match="merge"):
+        plan.run(spark, str(project), config, client, str(tmp_path / "work"), confirm=lambda cost, lines: "Smart" not in lines[0], ask=lambda path, format_: "merge")
 
 
 def test_config(tmp_path):
@@ -208,6 +328,12 @@ def test_config(tmp_path):
     for bad in ({"formats": "nope"}, {"chunk_size": 10}, {"output": "x"}):
         with pytest.raises(ValueError):
             load(bad)
+    (tmp_path / "textloom.toml").write_text("[validation]\nenabled = false\nretry_on_failure = true\n[validation.semantic]\ncheck_reality = false\n[validation.format_overrides.json]\ncheck_consistency = false\n[finalization]\ninject_metadata = false\n[providers.ollama]\nhost = 'http://h'\nmodel = 'm'\n")
+    got = load()
+    assert (got.validate, got.retry_on_validation_failure, got.checks, got.format_checks, got.header, got.normalise, got.providers) == (False, True, {"reality": False}, {"json": {"consistency": False}}, False, True, {"ollama": {"host": "http://h", "model": "m"}})
+    for bad in ({"checks": {"nothing": True}}, {"format_checks": {"nobody": {}}}, {"on_failure": "perhaps"}):
+        with pytest.raises(ValueError):
+            load(bad)
     (tmp_path / "empty").mkdir()
     assert settings.load({}, {}, cwd=str(tmp_path / "empty")).chunk_size == 100_000
 
@@ -233,6 +359,40 @@ def test_whole_run(spark, project, tmp_path):
     assert all(r["passed"] for r in result.results.collect())
 
 
+def test_switches(spark):
+    text = "use tabs and use spaces, kotlin kotlin kotlin, see `gone/b.rs`"
+    rows = spark.createDataFrame([("claude:1", "# a\n" + text), ("generic:1", "use tabs, double quotes " + text), ("generic:2", "double quotes"), ("nobody", "x"), ("aider:2", None)], "format string, content string")
+    files = spark.createDataFrame([("a.py",)], "path string")
+    both, path, unreal = "tabs and spaces are both prescribed", "path is not in the corpus", "language has no file"
+    always = [("aider:2", "format was not rendered"), ("nobody", "no rules for this format")]
+    seen = lambda *a, **k: sorted((r["format"], r["message"]) for r in validate.findings(rows, files, *a, **k).collect())
+    own = [("claude:1", both), ("claude:1", path), ("claude:1", unreal), ("generic:1", both), ("generic:1", path), ("generic:1", unreal)]
+    assert seen() == sorted(always + own)
+    assert seen(defaults={"paths": False, "reality": False}) == sorted(always + [("claude:1", both), ("generic:1", both)])
+    off = dict.fromkeys(validate.CHECKS, False)
+    assert seen(defaults=off) == sorted(always)
+    assert seen({"generic": {"paths": False}}, off) == sorted(always + [("generic:1", both), ("generic:1", unreal)])
+
+
+def test_conventions_by_hand(spark):
+    texts = [
+        "Use tabs. Max line length: 100. Single quotes.", "use  spaces, 4-space indent; camel case and snake_case", "2\n-\nspaces; dont use semicolons; line chars=88", "Omit semicolon, double quote, maximumwidth of 79",
+        "camel_case camelcased linewidth 30", "Always use semicolons, avoid semicolons, max width 501", "99999999999 spaces, snakecase", "reuse tabs, misuse spaces", "",
+    ]
+    want = [
+        ("tabs", None, "", 100, None, "single"), ("spaces", 4, "camelCase,snake_case", None, None, None), (None, 2, "", 88, "use", None), (None, None, "", 79, "no", "double"),
+        (None, None, "", None, None, None), (None, None, "", None, "use", None), (None, None, "snake_case", None, None, None), (None, None, "", None, None, None), (None, None, "", None, None, None),
+    ]
+    rows = spark.createDataFrame([(str(i), t) for i, t in enumerate(texts)], "format string, content string")
+    assert [tuple(r)[1:] for r in sorted(validate.conventions(rows).collect(), key=lambda r: int(r["format"]))] == want
+
+
+def test_consistency_by_project(spark):
+    rows = [("cursor:1", "use tabs"), ("claude:1", "use spaces"), ("aider:1", "single quotes"), ("cursor:2", "use tabs, single quotes"), ("claude:2", "single quotes"), ("aider:2", "")]
+    found = values(validate.cross_format(spark.createDataFrame(rows, "format string, content string")).select("format", "message", "location"))
+    assert found == [("cross-format:1", "conflicting indentation_style", "claude:1=spaces, cursor:1=tabs"), ("cross-format:1", "missing indentation_style", "aider:1"), ("cross-format:2", "missing quote_style", "aider:2")]
+
+
 def test_structural_ratio(spark):
     body = "\n".join(f"def f{i}(a):\n    '''doc'''\n" + "    x = a + 1\n" * 10 + "    return x" for i in range(10))
     files = spark.createDataFrame([(0, "a.py", "python", body), (1, "b.py", "python", "def ("), (2, "c.txt", None, "a  b")], "ord long, path string, language string, original_content string")

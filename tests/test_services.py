@@ -4,6 +4,7 @@ import json
 import os
 import threading
 import time
+from dataclasses import replace
 from http.server import BaseHTTPRequestHandler, HTTPServer
 
 import pyspark.sql.functions as F
@@ -12,7 +13,7 @@ import pytest
 from textloom import config as settings
 from textloom import errors, state, workspace
 from textloom.functions import tokens
-from textloom.operators import analysis, providers, writer
+from textloom.operators import analysis, providers, reports, writer
 from textloom.plans import run as plan
 from textloom.sources import models, outputs
 
@@ -95,7 +96,7 @@ def test_provider_errors(server):
 def test_provider_in_tasks(spark, server, tmp_path):
     server.replies[:] = [(200, {}, REPLIES["openai"][0])] * 2
     requests = spark.createDataFrame([(1, "a"), (2, "b"), (3, "a")], "k int, prompt string")
-    out = analysis.completed(requests, providers.HttpProvider("openai", url=server.url), f"{tmp_path}/store")
+    out = analysis.Desk(providers.HttpProvider("openai", url=server.url), f"{tmp_path}/store").completed(requests, "x", F.col("k"))
     assert sorted(tuple(r) for r in out.select("k", "text", "input_tokens").collect()) == [(1, "hi", 3), (2, "hi", 3), (3, "hi", 3)]
 
 
@@ -187,12 +188,16 @@ def test_run_with_services(spark, tmp_path):
     config = settings.load({"formats": "claude", "on_conflict": "overwrite"}, {}, cwd=str(root))
     asked = []
     with pytest.raises(plan.Declined):
-        plan.run(spark, str(root), config, Told(), str(tmp_path / "work"), confirm=lambda c: asked.append(c))
+        plan.run(spark, str(root), config, Told(), str(tmp_path / "work"), confirm=lambda c, lines: asked.append(c))
     assert asked and asked[0] > 0 and not (root / "CLAUDE.md").exists()
-    result = plan.run(spark, str(root), config, Told(), str(tmp_path / "work"), "2024-01-01", confirm=lambda c: True)
+    result = plan.run(spark, str(root), config, Told(), str(tmp_path / "work"), "2024-01-01", confirm=lambda c, lines: True)
     assert (root / "CLAUDE.md").read_text().endswith("# rules beside others\n") and result.smoke.count() == 0
     kept = state.load(tmp_path / "work" / workspace.STATE)
     assert kept.output_files == ("CLAUDE.md",) and kept.last_run == "2024-01-01" and kept.cost_spent == result.cost > 0
     strict = settings.load({"formats": "json", "no_confirm": True, "on_conflict": "overwrite"}, {}, cwd=str(root))
     with pytest.raises(plan.Declined, match="json"):
-        plan.run(spark, str(root), strict, Told(), str(tmp_path / "work2"), on_failure="cancel")
+        plan.run(spark, str(root), strict, Told(), str(tmp_path / "work2"), on_failure=lambda formats: False)
+    with pytest.raises(plan.Declined, match="json"):
+        plan.run(spark, str(root), replace(strict, on_failure="cancel"), Told(), str(tmp_path / "work2"))
+    anyway = plan.run(spark, str(root), replace(strict, on_failure="write"), Told(), str(tmp_path / "work2"), on_failure=lambda formats: False)
+    assert [w.status for w in anyway.written] == ["new"] and "json: FAILED" in reports.validation_lines(anyway.findings) and any("Cost: $" in x for x in anyway.summary)

@@ -5,14 +5,20 @@ from __future__ import annotations
 import argparse
 import logging
 import sys
+from collections.abc import Callable
+from dataclasses import replace
 from datetime import UTC, datetime
 
 from . import config as settings
 from . import errors
+from .functions.paths import PROVIDERS
+from .operators import reports
 from .operators.analysis import EchoProvider
 from .operators.providers import HttpProvider
 from .plans import run as plan
 
+log = logging.getLogger(__name__)
+
 
 def parser() -> argparse.ArgumentParser:
     p = argparse.ArgumentParser(prog="textloom", argument_default=argparse.SUPPRESS)
@@ -27,16 +33,36 @@ def parser() -> argparse.ArgumentParser:
     p.add_argument("--echo", action="store_true")
     for name in ("compress", "no-confirm", "dry-run", "retry-on-validation-failure"):
         p.add_argument(f"--{name}", action="store_true")
-    p.add_argument("--no-deconflict", dest="deconflict", action="store_false")
-    p.add_argument("--no-semantic-validation", dest="semantic_validation", action="store_false")
+    p.add_argument("--on-failure", choices=("ask", "write", "cancel"), help="what to do if formats still fail validation")
+    p.add_argument("--tokenizer", help="tokenizer file for exact token counts")
+    for flag, name in (("deconflict", "deconflict"), ("semantic-validation", "semantic_validation"), ("validation", "validate"), ("finalisation", "finalise"), ("header", "header"), ("normalisation", "normalise")):
+        p.add_argument(f"--no-{flag}", dest=name, action="store_false")
     p.add_argument("-v", dest="verbose", action="count")
     p.add_argument("-q", dest="quiet", action="store_true")
     return p
 
 
-def confirmed(cost: float) -> bool:
-    """Asks at the terminal; an empty answer is a yes. Without a terminal nothing is asked."""
-    return input(f"Expected cost ${cost:.4f}. Go on? [Y/n] ").strip().lower() in ("", "y", "yes")
+def confirmed(cost: float, lines: list[str]) -> bool:
+    """Asks at the terminal; an empty answer is a yes."""
+    print(*lines, sep="\n")
+    return input(f"${cost:.4f}. Go on? [Y/n] ").strip().lower() in ("", "y", "yes")
+
+
+def written_anyway(formats: list[str]) -> bool:
+    return input(f"{', '.join(formats)} failed validation. [c]ancel or [w]rite anyway? ").strip().lower() in ("w", "write")
+
+
+def chosen(path: str, format_: str, answers: Callable[[str], str] = input) -> str:
+    """Asks what to do about a file that exists, until an answer is understood."""
+    names = {"o": "overwrite", "s": "skip", "m": "merge", "q": "quit"} | {x: x for x in ("overwrite", "skip", "merge", "quit")}
+    while True:
+        reply = answers(f"{path} ({format_}) exists: [o]verwrite, [s]kip, [m]erge, [a]ll, [q]uit? ").strip().lower()
+        if reply in names:
+            return names[reply]
+        if reply in ("a", "all"):
+            rest = names.get(answers("For all that are left: [o]verwrite, [s]kip, [m]erge? ").strip().lower(), "")
+            if rest in ("overwrite", "skip", "merge"):
+                return f"{rest} all"
 
 
 def failed(error: Exception) -> int:
@@ -51,7 +77,9 @@ def main(argv: list[str] | None = None) -> int:
     path, explicit, echo = flags.pop("path"), flags.pop("config", None), flags.pop("echo", False)
     try:
         config = settings.load(flags, explicit=explicit, cwd=path)
-        provider = EchoProvider if echo or config.dry_run else HttpProvider.from_env(config.provider, config.model)
+        own = config.providers.get(config.provider, {})
+        config = replace(config, model=config.model or own.get("model"))
+        provider = EchoProvider if echo or config.dry_run else HttpProvider.from_env(config.provider, config.model, own.get("url") or own.get("host"), own.get("max_tokens"))
     except (ValueError, OSError) as e:
         return failed(e)
     logging.basicConfig(level=logging.ERROR if config.quiet else logging.DEBUG if config.verbose > 1 else logging.INFO if config.verbose else logging.WARNING)
@@ -59,11 +87,21 @@ def main(argv: list[str] | None = None) -> int:
 
     spark = SparkSession.builder.appName("textloom").getOrCreate()
     try:
-        result = plan.run(spark, path, config, provider, timestamp=f"{datetime.now(UTC):%Y-%m-%dT%H:%M:%SZ}", confirm=confirmed if sys.stdin.isatty() and not config.quiet else None)
+        person = sys.stdin.isatty() and not config.quiet
+        said = (lambda step: print(f"... {step}", file=sys.stderr)) if not config.quiet and sys.stderr.isatty() else log.info
+        result = plan.run(
+            spark, path, config, provider, timestamp=f"{datetime.now(UTC):%Y-%m-%dT%H:%M:%SZ}", progress=said,
+            confirm=confirmed if person else None, on_failure=written_anyway if person and not config.no_confirm else None, ask=chosen if person else None,
+        )
         if not config.quiet:
             result.report.orderBy("language").show(100, False)
+            if result.findings is not None:
+                prices = PROVIDERS[config.provider]
+                reports.cost_by_operation(result.calls, *prices[1:3]).orderBy("operation").show(100, False)
+                print(*reports.validation_lines(result.findings), *result.summary, sep="\n")
             for w in result.written:
-                print(f"{w.status:10} {w.path}" + (f" (backup {w.backup})" if w.backup else ""))
+                if w.backup:
+                    print(f"backup     {w.backup}")
         return 0
     except Exception as e:
         return failed(e)

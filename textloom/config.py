@@ -10,9 +10,12 @@ from pathlib import Path
 
 from .functions.paths import FORMATS, PROVIDERS
 from .operators.chunks import ChunkConfig
+from .operators.validate import CHECKS
 from .operators.writing import STRATEGIES
 
 FILE, PREFIX = "textloom.toml", "TEXTLOOM_"
+#: What happens if formats still fail validation: ask at a terminal (write without one), write them, or end the run.
+ON_FAILURE = ("ask", "write", "cancel")
 
 
 @dataclass(frozen=True)
@@ -34,8 +37,21 @@ class Config:
     dry_run: bool = False
     retry_on_validation_failure: bool = False
     max_retries: int = 3
-    deconflict: bool = True
+    #: Tokenizer file for exact counts; byte estimates without one.
+    tokenizer: str | None = None
+    concurrency: int = 4
+    validate: bool = True
     semantic_validation: bool = True
+    #: Semantic checks that are switched, for all formats and for single ones.
+    checks: Mapping[str, bool] = field(default_factory=dict)
+    format_checks: Mapping[str, Mapping[str, bool]] = field(default_factory=dict)
+    on_failure: str = "ask"
+    finalise: bool = True
+    deconflict: bool = True
+    normalise: bool = True
+    header: bool = True
+    #: Service -> what differs from its defaults: model, max_tokens, url.
+    providers: Mapping[str, Mapping] = field(default_factory=dict)
     on_conflict: str = "prompt"
     quiet: bool = False
     verbose: int = 0
@@ -49,6 +65,13 @@ class Config:
             object.__setattr__(self, "on_conflict", "prompt")
         if self.output and len(self.formats) != 1:
             raise ValueError("an output path needs exactly one format")
+        if self.on_failure not in ON_FAILURE:
+            raise ValueError(f"on_failure is one of {', '.join(ON_FAILURE)}")
+        for checks in (self.checks, *self.format_checks.values()):
+            if unknown := set(checks) - set(CHECKS):
+                raise ValueError(f"unknown checks {sorted(unknown)}")
+        if unknown := set(self.format_checks) - set(FORMATS):
+            raise ValueError(f"checks for unknown formats {sorted(unknown)}")
         self.chunks  # noqa: B018  (raises on bad sizes)
 
     @property
@@ -56,14 +79,20 @@ class Config:
         return ChunkConfig(self.chunk_size, self.overlap)
 
 
-#: Where a file's sections keep the fields.
+#: Where a file's sections keep the fields, by their names there.
 SECTIONS = {
-    "general": ("provider", "model", "compress", "chunk_size", "no_confirm", "rule_type", "description"),
-    "output": ("formats", "output_paths", "on_conflict"),
-    "chunking": ("chunk_size", "overlap"),
-    "validation": ("retry_on_validation_failure", "max_retries", "semantic_validation"),
-    "finalization": ("deconflict",),
+    "general": {n: n for n in ("provider", "model", "compress", "chunk_size", "no_confirm", "rule_type", "description", "tokenizer", "concurrency")},
+    "output": {n: n for n in ("formats", "output_paths", "on_conflict")},
+    "chunking": {"chunk_size": "chunk_size", "overlap": "overlap"},
+    "validation": {"enabled": "validate", "retry_on_validation_failure": "retry_on_validation_failure", "retry_on_failure": "retry_on_validation_failure", "max_retries": "max_retries", "semantic_validation": "semantic_validation", "on_failure": "on_failure"},
+    "finalization": {"enabled": "finalise", "deconflict": "deconflict", "normalize_formatting": "normalise", "inject_metadata": "header"},
 }
+#: Names of the semantic checks in a file.
+CHECK_NAMES = {"check_file_paths": "paths", "check_contradictions": "contradictions", "check_consistency": "consistency", "check_reality": "reality"}
+
+
+def _checks(table: Mapping) -> dict[str, bool]:
+    return {CHECK_NAMES.get(k, k): v for k, v in table.items()}
 
 
 def files(explicit: str | None = None, cwd: str | None = None) -> list[Path]:
@@ -76,9 +105,14 @@ def files(explicit: str | None = None, cwd: str | None = None) -> list[Path]:
 
 def from_file(path: Path) -> dict:
     data = tomllib.loads(path.read_text(encoding="utf-8"))
-    out = {k: data[k] for k in ("include", "exclude") if k in data}
+    out = {k: data[k] for k in ("include", "exclude", "providers") if k in data}
     for section, names in SECTIONS.items():
-        out |= {k: v for k, v in data.get(section, {}).items() if k in names}
+        out |= {names[k]: v for k, v in data.get(section, {}).items() if k in names}
+    validation = data.get("validation", {})
+    if "semantic" in validation:
+        out["checks"] = _checks(validation["semantic"])
+    if "format_overrides" in validation:
+        out["format_checks"] = {k: _checks(v) for k, v in validation["format_overrides"].items()}
     return out
 
 

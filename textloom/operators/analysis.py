@@ -1,20 +1,23 @@
 """Model calls over chunk tables: map, merge, format refinement, fix loop. The provider is pluggable; answers are stored once.
 
-Paid calls must not repeat when Spark runs a task again. Requests carry the digest of their prompt; answered digests are read from the
-store and skipped, answers are written before anything reads them, and costs come from the store.
+All calls go over a ``Desk``. Requests carry the digest of their prompt; answered digests are read from the store and skipped, answers
+are written before anything reads them, and every call is a row of the desk's ledger. A call that fails is a row too, so it doesn't
+take its neighbours' answers with it: the wave's answers are stored, and then the failure is raised.
 """
 
 from __future__ import annotations
 
 import random
+import re
 import time
 import uuid
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from functools import reduce
 from typing import Protocol
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.cost import FIRST_DELAY_MS, MAX_RETRIES, MOST_DELAY_MS
@@ -41,6 +44,14 @@ FIX_TEMPLATE = """The following {{format}} rules have these problems:
 Return the corrected rules in full.
 
 {{content}}"""
+SMART_MERGE_TEMPLATE = """Below are the rules that a file holds and new rules for it. Write the file anew: keep what was added by hand, take over what
+is new, replace what the new rules contradict, and say nothing twice.
+
+Existing:
+{{existing_rules}}
+
+New:
+{{new_rules}}"""
 CONFLICT_TEMPLATE = """Rules of other tools already exist. Write the {{format}} rules so that they neither repeat nor contradict them.
 
 Existing:
@@ -61,8 +72,6 @@ REQUIREMENTS = {
 
 def rendered(template: str, **values: Column) -> Column:
     """A template with its variables filled in one pass: text that comes in by one variable is never read as another."""
-    import re
-
     parts = re.split(r"\{\{(\w+)\}\}", template)
     unknown = set(parts[1::2]) - set(values)
     if unknown:
@@ -117,67 +126,99 @@ def with_retries(call: Callable[[], Answer], retries: int = MAX_RETRIES, first_m
     raise AssertionError
 
 
-def completed(requests: DataFrame, provider: Callable[[], Provider], store: str, options: Options = Options(), concurrency: int = 4) -> DataFrame:
-    """Requests (key columns, prompt) with text, input_tokens, output_tokens. Only prompts that the store lacks are sent, each once.
+#: Prompts that a task of a wave asks one after another; what a lost task asks again at most.
+PER_TASK = 8
+STORED = "digest string, text string, input_tokens long, output_tokens long, error string"
+CALL = "operation string, item string, attempt int, digest string, input_tokens long, output_tokens long"
 
-    ``store`` is a folder that all executors share; every call adds a folder to it, since Spark takes two reads of one folder for the
-    same table even if files came between them. ``provider`` makes a client on the worker, one for each partition.
-    """
-    spark = requests.sparkSession
-    requests = requests.withColumn("digest", F.sha2(F.concat(F.col("prompt"), F.lit(f"\n{options}")).cast("binary"), 256))
-    schema = "digest string, text string, input_tokens long, output_tokens long"
 
-    def stored() -> DataFrame:
+class Desk:
+    """Where a run's calls go. ``provider`` makes a client on the worker, one for each task; ``store`` is a folder that all executors
+    share. At most ``concurrency`` prompts are asked at a time, in waves of ``concurrency`` tasks."""
+
+    def __init__(self, provider: Callable[[], Provider], store: str, concurrency: int = 4) -> None:
+        self.provider, self.store, self.concurrency = provider, store, concurrency
+        self._calls: list[DataFrame] = []
+
+    def _stored(self, spark: SparkSession) -> DataFrame:
+        # Each call of ``completed`` adds folders, since Spark takes two reads of one folder for the same table even if files came between.
         try:
-            return spark.read.schema(schema).parquet(f"{store}/*")
+            return spark.read.schema(STORED).parquet(f"{self.store}/answers/*").where("error is null")
         except Exception as e:
             if "PATH_NOT_FOUND" not in str(e):
                 raise
-            return spark.createDataFrame([], schema)
-
-    def ask(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        client = provider()
-        for b in batches:
-            rows = [(d, with_retries(lambda p=p: client.complete(p, options))) for d, p in zip(b["digest"], b["prompt"], strict=True)]
-            yield pd.DataFrame([(d, a.text, a.input_tokens, a.output_tokens) for d, a in rows], columns=["digest", "text", "input_tokens", "output_tokens"])
-
-    new = requests.select("digest", "prompt").dropDuplicates(["digest"]).join(stored().select("digest"), "digest", "left_anti")
-    new.repartition(concurrency, "digest").mapInPandas(ask, schema).write.parquet(f"{store}/{uuid.uuid4().hex}")
-    answers = stored().dropDuplicates(["digest"])
-    return requests.join(answers, "digest").drop("digest", "prompt")
-
-
-def analysed(chunks: DataFrame, key: str, facts: DataFrame, provider: Callable[[], Provider], store: str, focus: str = "") -> DataFrame:
+            return spark.createDataFrame([], STORED)
+
+    def ledger(self, spark: SparkSession) -> DataFrame:
+        """A row for each call that the results rest on (operation, item, attempt, digest, input_tokens, output_tokens)."""
+        return reduce(DataFrame.unionByName, self._calls, spark.createDataFrame([], CALL))
+
+    def completed(self, requests: DataFrame, operation: str, item: Column, options: Options = Options(), attempt: int = 1) -> DataFrame:
+        """Requests (key columns, prompt) with text, input_tokens, output_tokens. Only prompts that the store lacks are sent, each once."""
+        spark, provider = requests.sparkSession, self.provider
+        mark = uuid.uuid4().hex
+        digest = F.sha2(F.concat(F.col("prompt"), F.lit(f"\n{options}")).cast("binary"), 256)
+        requests = requests.withColumn("item", item.cast("string")).withColumn("digest", digest)
+        requests.write.parquet(f"{self.store}/requests/{mark}")
+        requests = spark.read.schema(requests.schema).parquet(f"{self.store}/requests/{mark}")
+
+        def ask(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            client = provider()
+            for b in batches:
+                rows = []
+                for d, p in zip(b["digest"], b["prompt"], strict=True):
+                    try:
+                        a = with_retries(lambda p=p: client.complete(p, options))
+                        rows.append((d, a.text, a.input_tokens, a.output_tokens, None))
+                    except Exception as e:  # stored as a row, and raised by the driver
+                        rows.append((d, None, 0, 0, f"{type(e).__name__}: {e}"))
+                yield pd.DataFrame(rows, columns=["digest", "text", "input_tokens", "output_tokens", "error"])
+
+        new = requests.select("digest", "prompt").dropDuplicates(["digest"]).join(self._stored(spark).select("digest"), "digest", "left_anti")
+        waves = -(-new.count() // (self.concurrency * PER_TASK))
+        for wave in range(waves):
+            path = f"{self.store}/answers/{mark}-{wave}"
+            new.where(F.pmod(F.xxhash64("digest"), F.lit(waves)) == wave).repartition(self.concurrency, F.xxhash64("digest", F.lit(1))).mapInPandas(ask, STORED).write.parquet(path)
+            if failed := spark.read.schema(STORED).parquet(path).where("error is not null").orderBy("digest").limit(1).collect():
+                raise ProviderError(failed[0]["error"].removeprefix("ProviderError: "))
+        answers = self._stored(spark).drop("error").dropDuplicates(["digest"])
+        out = requests.join(answers, "digest")
+        out.write.parquet(f"{self.store}/calls/{mark}")
+        out = spark.read.schema(out.schema).parquet(f"{self.store}/calls/{mark}")
+        self._calls.append(out.groupBy("digest").agg(F.min("item").alias("item"), F.max("input_tokens").alias("input_tokens"), F.max("output_tokens").alias("output_tokens")).select(F.lit(operation).alias("operation"), "item", F.lit(attempt).alias("attempt"), "digest", "input_tokens", "output_tokens"))
+        return out.drop("digest", "prompt", "item")
+
+
+def analysed(chunks: DataFrame, key: str, facts: DataFrame, desk: Desk, focus: str = "") -> DataFrame:
     """(key, chunk_id, text, tokens) of each chunk (key, chunk_id, content). ``facts`` (key, file_count, languages, compression_ratio)
     describe each corpus; a prompt holds its chunk only, never the whole corpus."""
     rows = chunks.join(facts, key)
     prompt = rendered(ANALYSIS_TEMPLATE, file_count=F.col("file_count").cast("string"), languages=F.col("languages"), compression_ratio=F.format_string("%.1f", F.col("compression_ratio") * 100), focus_section=F.lit(f"Focus: {focus}\n" if focus else ""), chunk=F.col("content"))
-    return completed(rows.select(key, "chunk_id", prompt.alias("prompt")), provider, store)
+    return desk.completed(rows.select(key, "chunk_id", prompt.alias("prompt")), "analysis", F.concat(key, F.lit(" "), F.col("chunk_id") + 1))
 
 
-def merged(parts: DataFrame, key: str, provider: Callable[[], Provider], store: str) -> DataFrame:
-    """(key, analysis, input_tokens, output_tokens): one chunk's analysis as it is, several merged by one more call."""
+def merged(parts: DataFrame, key: str, desk: Desk) -> DataFrame:
+    """(key, analysis): one chunk's analysis as it is, several merged by one more call."""
     joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("chunk_id", "text"))), lambda r: r["text"]), "\n\n---\n\n")
-    groups = parts.groupBy(key).agg(F.count("*").alias("n"), joined.alias("analyses"), F.sum("input_tokens").cast("long").alias("i"), F.sum("output_tokens").cast("long").alias("o"))
-    single = groups.where("n = 1").select(key, F.col("analyses").alias("analysis"), F.col("i").alias("input_tokens"), F.col("o").alias("output_tokens"))
+    groups = parts.groupBy(key).agg(F.count("*").alias("n"), joined.alias("analyses"))
     several = groups.where("n > 1")
     prompt = rendered(MERGE_TEMPLATE, count=F.col("n").cast("string"), analyses=F.col("analyses"))
-    called = completed(several.select(key, "i", "o", prompt.alias("prompt")), provider, store, Options().for_merge())
-    return single.unionByName(called.select(key, F.col("text").alias("analysis"), (F.col("i") + F.col("input_tokens")).alias("input_tokens"), (F.col("o") + F.col("output_tokens")).alias("output_tokens")))
+    called = desk.completed(several.select(key, prompt.alias("prompt")), "merge", F.col(key), Options().for_merge())
+    return groups.where("n = 1").select(key, F.col("analyses").alias("analysis")).unionByName(called.select(key, F.col("text").alias("analysis")))
 
 
 def _requirements(format_: Column) -> Column:
     return F.coalesce(F.element_at(F.create_map(*[F.lit(x) for kv in REQUIREMENTS.items() for x in kv]), format_), F.lit(REQUIREMENTS["generic"]))
 
 
-def formatted(analyses: DataFrame, formats: DataFrame, provider: Callable[[], Provider], store: str) -> DataFrame:
+def formatted(analyses: DataFrame, formats: DataFrame, desk: Desk) -> DataFrame:
     """(format, content) for one analysis and the formats (format, rule_type, primary_language): one call each."""
     rows = formats.crossJoin(F.broadcast(analyses.select("analysis").limit(1)))  # one row
     prompt = rendered(FORMAT_TEMPLATE, format=F.col("format"), rule_type=F.col("rule_type"), primary_language=F.col("primary_language"), requirements=_requirements(F.col("format")), analysis=F.col("analysis"))
-    return completed(rows.select("format", prompt.alias("prompt")), provider, store, Options(temperature=None)).select("format", F.col("text").alias("content"))
+    return desk.completed(rows.select("format", prompt.alias("prompt")), "format", F.col("format"), Options(temperature=None)).select("format", F.col("text").alias("content"))
 
 
-def deconflicted(rules: DataFrame, existing: DataFrame, provider: Callable[[], Provider], store: str) -> DataFrame:
+def deconflicted(rules: DataFrame, existing: DataFrame, desk: Desk) -> DataFrame:
     """Rules (format, content) rewritten against the existing rules (ord, content) of other tools; as they are where there are none."""
     text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("ord", "content"))), lambda r: r["content"]), "\n\n")
     others = existing.agg(text.alias("existing")).where("existing <> ''")
@@ -185,10 +226,16 @@ def deconflicted(rules: DataFrame, existing: DataFrame, provider: Callable[[], P
         return rules.select("format", "content")
     rows = rules.crossJoin(F.broadcast(others))  # one row
     prompt = rendered(CONFLICT_TEMPLATE, format=F.col("format"), existing_rules=F.col("existing"), new_analysis=F.col("content"))
-    return completed(rows.select("format", prompt.alias("prompt")), provider, store, Options(temperature=None)).select("format", F.col("text").alias("content"))
+    return desk.completed(rows.select("format", prompt.alias("prompt")), "deconflict", F.col("format"), Options(temperature=None)).select("format", F.col("text").alias("content"))
+
+
+def smart_merged(pairs: DataFrame, desk: Desk) -> DataFrame:
+    """(format, content): new rules merged by the model with what their file holds, for (format, existing, content)."""
+    prompt = rendered(SMART_MERGE_TEMPLATE, existing_rules=F.col("existing"), new_rules=F.col("content"))
+    return desk.completed(pairs.select("format", prompt.alias("prompt")), "smart merge", F.col("format")).select("format", F.col("text").alias("content"))
 
 
-def fixed(rules: DataFrame, find: Callable[[DataFrame], DataFrame], provider: Callable[[], Provider], store: str, retries: int = MAX_RETRIES) -> tuple[DataFrame, int, bool]:
+def fixed(rules: DataFrame, find: Callable[[DataFrame], DataFrame], desk: Desk, retries: int = MAX_RETRIES) -> tuple[DataFrame, int, bool]:
     """Rules whose failed formats were sent back with their errors up to ``retries`` times: (rules, attempts, all clean).
 
     ``find`` gives findings (format, severity, message). Findings over all formats together belong to no format and aren't sent.
@@ -206,5 +253,5 @@ def fixed(rules: DataFrame, find: Callable[[DataFrame], DataFrame], provider: Ca
         rows = rules.join(errors, "format")
         prompt = rendered(FIX_TEMPLATE, format=F.col("format"), errors=F.col("errors"), requirements=_requirements(F.col("format")), content=F.col("content"))
         options = Options(temperature=min(0.7 + 0.1 * (attempts - 1), 0.9))
-        new = completed(rows.select("format", prompt.alias("prompt")), provider, store, options).select("format", F.col("text").alias("new"))
+        new = desk.completed(rows.select("format", prompt.alias("prompt")), "fix", F.col("format"), options, attempts).select("format", F.col("text").alias("new"))
         rules = rules.join(new, "format", "left").select("format", F.coalesce("new", "content").alias("content"))

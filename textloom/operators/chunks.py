@@ -2,16 +2,24 @@
 
 With chunk size C, overlap O and step E = C - O, a text of n tokens is one chunk if n <= C, else ceil(n / E) chunks: the first is
 [0, C), chunk i is [i * E - O, (i + 1) * E). The first two share twice the overlap.
+
+``chunked`` cuts single texts by characters. ``token_chunks`` cuts whole corpora by tokens and never holds one in a cell: lines get
+their place from prefix sums of tokens over files, and a chunk is put together from the lines that lie in its window.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.text import tokens_up
+
 LEAST_SIZE = 1000
+#: Tokens that an uncut piece of a line has at most (fewer if the overlap is shorter), and files whose sums are summed first.
+GRAIN, RUN = 1024, 4096
 
 
 @dataclass(frozen=True)
@@ -48,7 +56,7 @@ def windows(n: Column, config: ChunkConfig) -> Column:
 
 
 def chunked(texts: DataFrame, key: str, content: str, config: ChunkConfig, newline_within: int = 0) -> DataFrame:
-    """key, chunk_id, start, end, content, token_count, overlap_token_count, one token a character.
+    """key, chunk_id, start, end, content, token_count, overlap_token_count, one token a character. Rows carry their part of a text only.
 
     With ``newline_within`` a chunk that ends inside the text ends after the last newline of its final so many characters, if there
     is one; the next chunk's overlap still covers what was given up, provided that it is no longer than the overlap.
@@ -56,10 +64,68 @@ def chunked(texts: DataFrame, key: str, content: str, config: ChunkConfig, newli
     if newline_within > config.shared:
         raise ValueError("a newline snap beyond the overlap would leave a gap")
     n = F.char_length(content).cast("long")
-    out = texts.select(key, F.col(content).alias("whole"), n.alias("n"), F.explode(windows(n, config)).alias("w")).select(key, "whole", "n", "w.chunk_id", "w.start", "w.end")
-    if newline_within:
-        tail = F.reverse(F.substring("whole", F.greatest(F.col("end") - newline_within, F.col("start")) + 1, F.col("end") - F.greatest(F.col("end") - newline_within, F.col("start"))))
-        back = F.locate("\n", tail)
-        out = out.withColumn("end", F.when((F.col("end") < F.col("n")) & (back > 0), F.col("end") - back + 1).otherwise(F.col("end")).cast("long"))
+
+    def part(w: Column) -> Column:
+        end = w["end"]
+        if newline_within:
+            lo = F.greatest(end - newline_within, w["start"])
+            back = F.locate("\n", F.reverse(F.substring(content, lo + 1, end - lo)))
+            end = F.when((end < n) & (back > 0), end - back + 1).otherwise(end).cast("long")
+        return F.struct(w["chunk_id"].alias("chunk_id"), w["start"].alias("start"), end.alias("end"), F.substring(content, w["start"].cast("int") + 1, (end - w["start"]).cast("int")).alias("content"))
+
+    out = texts.select(key, F.explode(F.transform(windows(n, config), part)).alias("w")).select(key, "w.*")
     overlap = F.when(F.col("chunk_id") == 0, F.lit(0)).otherwise(F.least(F.lit(config.shared), F.col("end") - F.col("start"))).cast("long")
-    return out.select(key, "chunk_id", "start", "end", F.substring("whole", F.col("start").cast("int") + 1, (F.col("end") - F.col("start")).cast("int")).alias("content"), (F.col("end") - F.col("start")).alias("token_count"), overlap.alias("overlap_token_count"))
+    return out.select(key, "chunk_id", "start", "end", "content", (F.col("end") - F.col("start")).alias("token_count"), overlap.alias("overlap_token_count"))
+
+
+def prefix_sums(totals: DataFrame, key: str, order: str, value: str) -> DataFrame:
+    """key, order, before, all: the sum of ``value`` over a key's rows of a smaller (whole, unique) ``order``, and over all of them.
+
+    Runs of ``RUN`` order values are summed first, so that a key of very many rows is one task's only as a row for each run.
+    """
+    rows = totals.withColumn("run", F.floor(F.col(order) / RUN))
+    runs = rows.groupBy(key, "run").agg(F.sum(value).alias("held"))
+    whole = Window.partitionBy(key)
+    runs = runs.select(key, "run", (F.sum("held").over(whole.orderBy("run").rowsBetween(Window.unboundedPreceding, 0)) - F.col("held")).alias("base"), F.sum("held").over(whole).alias("all"))
+    inside = F.sum(value).over(Window.partitionBy(key, "run").orderBy(order).rowsBetween(Window.unboundedPreceding, 0)) - F.col(value)
+    return rows.select(key, "run", order, inside.alias("inside")).join(runs, [key, "run"]).select(key, order, (F.col("base") + F.col("inside")).cast("long").alias("before"), F.col("all").cast("long").alias("all"))
+
+
+def line_pieces(files: DataFrame, key: str, order: str, entry: str, grain: int) -> DataFrame:
+    """key, order, at, piece: the lines of each file's entry with their newline; a line of over ``grain`` // 4 characters, which
+    might have more than ``grain`` tokens, is cut."""
+    lines = F.filter(F.split(entry, r"(?<=\n)"), lambda x: x != "")
+    width = max(1, grain // 4)
+    cut = F.flatten(F.transform(lines, lambda x: F.when(F.char_length(x) <= width, F.array(x)).otherwise(F.regexp_extract_all(x, F.lit(f"(?s).{{1,{width}}}"), 0))))
+    return files.select(key, order, F.posexplode(cut).alias("at", "piece"))
+
+
+def token_chunks(files: DataFrame, key: str, order: str, entry: str, config: ChunkConfig, tokens: Callable[[Column], Column] = tokens_up) -> DataFrame:
+    """key, chunk_id, start, end, content, token_count, overlap_token_count of the corpora that files (key, order, entry) make.
+
+    Positions are sums of the tokens of lines. A chunk ends after the last line, or piece of a long line, that lies in its window
+    whole: none is over the size, and the overlap of the next covers what is left out. Without an overlap of that length chunks
+    are up to a piece shorter instead and share nothing. Every line is in a chunk; empty entries have none.
+    """
+    size, shared = config.size, config.shared
+    sharing = shared >= 4
+    grain = min(GRAIN, shared) if sharing else max(4, min(GRAIN, size // 8))
+    pieces = line_pieces(files, key, order, entry, grain).withColumn("n", tokens(F.col("piece")).cast("long"))
+    totals = pieces.groupBy(key, order).agg(F.sum("n").alias("n"))
+    placed = pieces.join(prefix_sums(totals, key, order, "n"), [key, order])
+    own = Window.partitionBy(key, order).orderBy("at").rowsBetween(Window.unboundedPreceding, 0)
+    placed = placed.withColumn("e", F.col("before") + F.sum("n").over(own)).withColumn("s", F.col("e") - F.col("n"))
+    step = size - shared if sharing else size - grain
+    first = F.floor(F.col("s") / step)
+    if sharing:
+        start = lambda i: F.when(i == 0, F.lit(0)).otherwise(i * step - shared)
+        end = lambda i: F.when(i == 0, F.lit(size)).otherwise((i + 1) * step)
+        inside = lambda i: (start(i) <= F.col("s")) & (F.col("e") <= end(i)) & ((i == 0) | ((F.col("all") > size) & (i * step < F.col("all"))))
+        ids = F.filter(F.sequence(F.greatest(first - 1, F.lit(0)), first + 2), inside)
+    else:
+        ids = F.when(F.col("all") <= size, F.array(F.lit(0).cast("long"))).otherwise(F.array(first))
+    rows = placed.select(key, order, "at", "piece", "n", "s", "e", F.explode(ids).alias("chunk_id"))
+    shares = F.when((F.col("chunk_id") > 0) & (F.col("s") < F.col("chunk_id") * step), F.col("n")).otherwise(0) if sharing else F.lit(0)
+    content = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(order, "at", "piece"))), lambda x: x["piece"]), "")
+    out = rows.groupBy(key, "chunk_id").agg(F.min("s").alias("start"), F.max("e").alias("end"), content.alias("content"), F.sum("n").alias("token_count"), F.sum(shares).cast("long").alias("overlap_token_count"))
+    return out.withColumn("chunk_id", F.col("chunk_id").cast("int"))

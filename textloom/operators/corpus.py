@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -76,6 +78,13 @@ def dry_run(files: DataFrame, formats: int, price_in: float, price_out: float) -
     return out.withColumn("estimated_cost", cost.dry_run_cost(F.col("tokens"), formats, F.lit(price_in), F.lit(price_out)))
 
 
+def token_totals(files: DataFrame, *keys: str, tokens: Callable[[Column], Column] = text.tokens_up) -> DataFrame:
+    """corpus_tokens (paths and compressed contents) and original_tokens (contents before compression) of all files, or of each key's."""
+    grouped = files.groupBy(*keys) if keys else files
+    own = F.sum(tokens(F.col("path")) + tokens(F.col("compressed_content"))), F.sum(tokens(F.col("original_content")))
+    return grouped.agg(*[F.coalesce(x, F.lit(0)).cast("long").alias(n) for x, n in zip(own, ("corpus_tokens", "original_tokens"), strict=True)])
+
+
 def formatted_corpus(files: DataFrame, key: str) -> DataFrame:
     """The formatted corpus of each value of ``key``, in file order. A value's corpus is one cell, so keys should be projects, not all of a lake."""
     entry = text.corpus_entry(F.col("path"), F.col("compressed_content"))

@@ -15,6 +15,8 @@ def with_header(format_: Column, content: Column, header: Column) -> Column:
     return F.when(format_ == "json", content).otherwise(F.concat(front, header, rest))
 
 
-def finalised(rules: DataFrame, provider: str, model: str, timestamp: str, input_tokens: int, output_tokens: int, cost: float) -> DataFrame:
-    header = F.lit(f"<!-- generated {timestamp} by {provider} {model}; {input_tokens} + {output_tokens} tokens, ${cost:.4f} -->\n")
-    return rules.select("format", with_header(F.col("format"), normalised(F.col("content")), header).alias("content"))
+def finalised(rules: DataFrame, provider: str, model: str, timestamp: str, totals: tuple[int, int, float], normalise: bool = True, header: bool = True) -> DataFrame:
+    """``totals`` are the input tokens, output tokens and cost of all calls that the rules rest on."""
+    line = F.lit(f"<!-- generated {timestamp} by {provider} {model}; {totals[0]} + {totals[1]} tokens, ${totals[2]:.4f} -->\n")
+    content = normalised(F.col("content")) if normalise else F.col("content")
+    return rules.select("format", (with_header(F.col("format"), content, line) if header else content).alias("content"))

@@ -11,7 +11,7 @@ import re
 import urllib.error
 import urllib.request
 from collections.abc import Callable
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
 from ..functions.text import REDACTIONS
 from .analysis import Answer, Options, ProviderError
@@ -91,24 +91,27 @@ class HttpProvider:
     model: str | None = None
     url: str | None = None
     key: str = field(default="", repr=False)
+    max_tokens: int | None = None
 
     def __post_init__(self) -> None:
         if self.service not in SERVICES:
             raise ValueError(f"unknown provider {self.service}")
 
     @classmethod
-    def from_env(cls, service: str, model: str | None = None, url: str | None = None) -> HttpProvider:
+    def from_env(cls, service: str, model: str | None = None, url: str | None = None, max_tokens: int | None = None) -> HttpProvider:
         """With the key of the driver's environment."""
         name = SERVICES[service].key_name if service in SERVICES else None
         if name and not os.environ.get(name):
             raise ValueError(f"{name} is not set")
-        return cls(service, model, url, os.environ[name] if name else "")
+        return cls(service, model, url, os.environ[name] if name else "", max_tokens)
 
     def __call__(self) -> HttpProvider:
         return self
 
     def complete(self, prompt: str, options: Options) -> Answer:
         s = SERVICES[self.service]
+        if self.max_tokens:
+            options = replace(options, max_tokens=self.max_tokens)
         body = json.dumps(s.body(self.model or s.model, prompt, options)).encode()
         request = urllib.request.Request((self.url or s.url) + s.path, body, {"content-type": "application/json"} | s.headers(self.key))
         try:

@@ -6,7 +6,7 @@ projects are validated at once; what compares formats with each other compares t
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Collection, Mapping
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -190,13 +190,14 @@ def cross_format(rendered: DataFrame) -> DataFrame:
 CHECKS = ("paths", "contradictions", "reality", "consistency")
 
 
-def findings(rendered: DataFrame, files: DataFrame, overrides: Mapping[str, Mapping[str, bool]] | None = None, defaults: Mapping[str, bool] | None = None) -> DataFrame:
-    """All findings. ``defaults`` switches the semantic checks (all on), ``overrides`` does so for single formats. Consistency runs over
-    all formats if any of them has it on."""
-    on = dict.fromkeys(CHECKS, True) | dict(defaults or {})
-    switches = {k: on | dict((overrides or {}).get(k, {})) for k in KINDS}
+def findings(rendered: DataFrame, files: DataFrame, overrides: Mapping[str, Mapping[str, bool]] | None = None, defaults: Mapping[str, bool] | None = None, formats: Collection[str] | None = None) -> DataFrame:
+    """All findings. ``defaults`` switches the semantic checks (all on); ``overrides`` does so for single formats, whose defaults then
+    don't count. Consistency runs over all formats if any of them has it on."""
+    every, own = dict.fromkeys(CHECKS, True), dict(overrides or {})
+    present = [k for k in KINDS if formats is None or k in formats]
+    switches = {k: every | dict(own[k] if k in own else defaults or {}) for k in present}
     rows = rendered.where(F.col("content").isNotNull())
-    checked = lambda name: rows.where(kind(F.col("format")).isin(*[k for k in KINDS if switches[k][name]]))
+    checked = lambda name: rows.where(kind(F.col("format")).isin(*[k for k in present if switches[k][name]]))
     out = syntax(rendered)
     for name, check in (("paths", lambda r: loose_paths(r, files)), ("contradictions", contradictions), ("reality", lambda r: unreal_languages(r, files))):
         if any(s[name] for s in switches.values()):

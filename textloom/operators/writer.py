@@ -8,7 +8,7 @@ from dataclasses import dataclass
 from datetime import UTC, datetime
 from pathlib import Path
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Row
 
 from .writing import KEPT_BACKUPS
 
@@ -38,28 +38,43 @@ def backup(path: Path, keep: int = KEPT_BACKUPS) -> Path:
     return target
 
 
-def write(planned: DataFrame, root: str, merge: Callable[[str, str], str] | None = None, ask: Callable[[str], str] | None = None) -> list[Written]:
-    """Planned writes (format, path, action, content) under ``root``. ``ask`` turns "ask" into overwrite, skip or merge."""
+#: Answers to a conflict; with " all" after it, one of the first three holds for all files that are left.
+CHOICES = ("overwrite", "skip", "merge", "quit")
+
+
+def settled(planned: list[Row], ask: Callable[[str, str], str] | None = None) -> list[tuple[str, str, str]]:
+    """(format, path, action) with no conflict left, before anything is paid for or written. ``ask`` (path, format) gives one of ``CHOICES``."""
+    out, always = [], None
+    for r in sorted(planned, key=lambda r: r["format"]):
+        action = r["action"]
+        if action == "ask" and ask is not None:
+            answer = always or ask(r["path"], r["format"])
+            action = answer.removesuffix(" all")
+            if action not in CHOICES:
+                raise ValueError(f"no such choice: {answer}")
+            if answer.endswith(" all"):
+                always = action
+        if action == "quit":
+            raise WriteConflict(f"stopped at {r['path']}")
+        if action in ("ask", "error"):
+            raise WriteConflict(f"{r['path']} exists and nobody can be asked (non-interactive): choose --on-conflict overwrite or skip")
+        out.append((r["format"], r["path"], action))
+    return out
+
+
+def write(planned: DataFrame, root: str) -> list[Written]:
+    """Settled writes (format, path, action, content) under ``root``, in the order of formats. The content of a merge is merged already."""
     out = []
     for r in sorted(planned.collect(), key=lambda r: r["format"]):
-        path, action, content = Path(root) / r["path"], r["action"], r["content"]
-        if action == "ask":
-            action = ask(r["path"]) if ask else "error"
-        if action == "error":
-            raise WriteConflict(f"{r['path']} exists; choose overwrite or skip")
+        path, action = Path(root) / r["path"], r["action"]
         if action == "skip":
             out.append(Written(r["format"], r["path"], "skipped"))
             continue
         kept, status = None, "new"
         if path.exists():
-            if action == "merge":
-                if merge is None:
-                    raise WriteConflict(f"{r['path']} exists and no merge is set up")
-                content, status = merge(path.read_text(encoding="utf-8"), content), "merged"
-            else:
-                status = "backup"
+            status = "merged" if action == "merge" else "backup"
             kept = str(backup(path))
         path.parent.mkdir(parents=True, exist_ok=True)
-        path.write_text(content, encoding="utf-8")
+        path.write_text(r["content"], encoding="utf-8")
         out.append(Written(r["format"], r["path"], status, kept))
     return out

@@ -129,6 +129,26 @@ def pre_run_breakdown(spark, sf):
     return ledger.pre_run(chunks.chunked(_table(spark, sf, "documents"), "doc_id", "text", CHUNKS), "doc_id", 2, PRICE_IN, PRICE_OUT)
 
 
+#: Corpora by source, in lines (pieces of at most 25 characters, since the overlap is 100 tokens), placed by the tokens before them.
+_PIECES = f"""{_F}, ent as (select source, ord, '--- ' || path || ' ---' || chr(10) || compressed_content || chr(10) || chr(10) as e from f),
+sp as (select source, ord, string_split(e, chr(10)) as ls from ent), li as (select source, ord, i, ls[i] || chr(10) as line from (select source, ord, ls, unnest(range(1, len(ls))) as i from sp) union all select source, ord, len(ls), ls[len(ls)] from sp where ls[len(ls)] <> ''),
+pc as (select source, ord, i, j, line[25 * j + 1 : 25 * j + 25] as piece from (select *, unnest(range((len(line) + 24) // 25)) as j from li)),
+ps as (select *, (strlen(piece) + 3) // 4 as n, sum((strlen(piece) + 3) // 4) over (partition by source order by ord, i, j rows unbounded preceding) as e from pc),
+pl as (select *, e - n as s, max(e) over (partition by source) as total from ps),
+ids as (select *, unnest(range(greatest((s // 900)::bigint - 1, 0), (s // 900)::bigint + 3)) as chunk_id from pl),
+held as (select * from ids where case when chunk_id = 0 then e <= 1000 else chunk_id * 900 - 100 <= s and e <= (chunk_id + 1) * 900 and total > 1000 and chunk_id * 900 < total end)"""
+
+
+@query(f"""with {_PIECES} select source, chunk_id::int as chunk_id, min(s)::bigint as start, max(e)::bigint as "end", string_agg(piece, '' order by ord, i, j) as content, sum(n)::bigint as token_count, coalesce(sum(n) filter (where chunk_id > 0 and s < chunk_id * 900), 0)::bigint as overlap_token_count from held group by 1, 2""")
+def chunk_tokens(spark, sf):
+    return chunks.token_chunks(_files(spark, sf).withColumn("entry", text.corpus_entry(F.col("path"), F.col("compressed_content"))), "source", "ord", "entry", CHUNKS)
+
+
+@query(f"with {_F} select source, sum((strlen(path) + 3) // 4 + (strlen(compressed_content) + 3) // 4)::bigint as corpus_tokens, sum((strlen(original_content) + 3) // 4)::bigint as original_tokens from f group by 1")
+def corpus_tokens(spark, sf):
+    return corpus.token_totals(_files(spark, sf), "source")
+
+
 @query("with p(provider, context_limit, i, o) as (values ('anthropic', 200000, 0.003::double, 0.015::double), ('openai', 128000, 0.0025::double, 0.010::double), ('ollama', 100000, 0.0::double, 0.0::double), ('openrouter', 128000, 0.0::double, 0.0::double)), t as (select source, (sum(strlen(text)) // 4)::bigint as tokens from documents group by 1) select source, provider, tokens, tokens > context_limit as needs_chunks, tokens::double / 1000.0::double * i + 4096.0::double / 1000.0::double * o as cost from t, p")
 def provider_cost_matrix(spark, sf):
     totals = _table(spark, sf, "documents").groupBy("source").agg(text.tokens_down(F.sum(text.byte_size(F.col("text")))).alias("tokens"))

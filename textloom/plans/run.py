@@ -3,20 +3,21 @@
 from __future__ import annotations
 
 import os
+import time
 from collections.abc import Callable
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..config import Config
-from ..functions import paths
+from ..functions import cost, paths, text, tokens
 from ..functions.cost import pricing
-from ..operators import analysis, chunks, corpus, finalise, ledger, structure, validate, writer, writing
+from ..operators import analysis, chunks, corpus, finalise, ledger, reports, structure, validate, writer, writing
 from ..operators.providers import SERVICES
 from ..sources import outputs, packed, tree
 from ..state import State
-from ..workspace import Workspace
+from ..workspace import DAY, Workspace, ensure_ignored
 
 
 @dataclass
@@ -24,9 +25,14 @@ class Result:
     report: DataFrame
     written: list[writer.Written]
     results: DataFrame | None = None
+    #: Findings of the validation, as a report.
+    findings: DataFrame | None = None
     #: Warnings of the check after finalising; they never stop a run.
     smoke: DataFrame | None = None
     cost: float = 0.0
+    #: The ledger of all model calls.
+    calls: DataFrame | None = None
+    summary: list[str] = field(default_factory=list)
 
 
 class Declined(Exception):
@@ -48,48 +54,111 @@ def compressed(spark: SparkSession, root: str, config: Config) -> DataFrame:
     return corpus.compressed(files, structure.structural(F.col("original_content"), F.col("language")) if config.compress else None)
 
 
-def run(spark: SparkSession, root: str, config: Config, provider: Callable[[], analysis.Provider] = analysis.EchoProvider, work: str | None = None, timestamp: str = "", confirm: Callable[[float], bool] | None = None, on_failure: str = "write", home: str | None = None) -> Result:
-    """``work`` is a folder that all executors share; model answers are kept there and not paid for twice. ``home`` (``work`` by
-    default) is the driver's folder for the state. ``confirm`` is asked with the expected cost unless the configuration says not to.
-    ``on_failure``: whether formats that still fail validation are written ("write") or end the run ("cancel").
+def planned(spark: SparkSession, root: str, config: Config, interactive: bool) -> DataFrame:
+    """format, path, action of each output, from the driver's look at what exists: a handful of rows."""
+    overrides = dict(config.output_paths) | ({config.formats[0]: config.output} if config.output else {})
+    known = [p for p in {*paths.FORMATS.values(), *overrides.values()} if os.path.exists(os.path.join(root, p))]
+    requests = spark.createDataFrame([(f, config.on_conflict, interactive) for f in config.formats], "format string, strategy string, interactive boolean")
+    return writing.planned_writes(requests, spark.createDataFrame(list(overrides.items()), "format string, override string"), spark.createDataFrame([(p,) for p in known], "path string"))
+
+
+def run(spark: SparkSession, root: str, config: Config, provider: Callable[[], analysis.Provider] = analysis.EchoProvider, work: str | None = None, timestamp: str = "", confirm: Callable[[float, list[str]], bool] | None = None, on_failure: Callable[[list[str]], bool] | None = None, ask: Callable[[str, str], str] | None = None, home: str | None = None, progress: Callable[[str], None] = lambda step: None) -> Result:
+    """``work`` is a folder that all executors share; stage tables and model answers are kept there, and answers aren't paid for twice.
+    ``home`` (``work`` by default) is the driver's folder for the state.
+
+    ``confirm`` is asked with the expected cost and what it is made of, unless the configuration says not to; ``on_failure`` with the
+    formats that still fail validation, whether to write them; ``ask`` what to do about a file that exists (see ``writer.CHOICES``).
+    Without them a run goes on, writes, and ends at a conflict. Conflicts are settled before anything is paid for.
     """
-    work = work or os.path.join(root, ".textloom")
+    began = time.monotonic()
+    if work is None:
+        work = os.path.join(root, ".textloom")
+        if os.path.isdir(root) and not config.dry_run:
+            ensure_ignored(root, ".textloom/")
     price = {r["provider"]: r for r in pricing(spark).collect()}[config.provider]
-    files = compressed(spark, root, config)
-    report = corpus.dry_run(files, len(config.formats), price["price_in"], price["price_out"])
+    price_in, price_out = price["price_in"], price["price_out"]
     if config.dry_run:
-        return Result(report, [])
-    facts = corpus.metadata(files).crossJoin(files.agg(F.array_join(F.array_sort(F.collect_set("language")), ", ").alias("languages"))).select(F.lit("corpus").alias("key"), F.col("total_files").alias("file_count"), "languages", "compression_ratio")
-    entry = corpus.formatted_corpus(files.withColumn("key", F.lit("corpus")), "key")
-    parts = chunks.chunked(entry, "key", "corpus", config.chunks, newline_within=min(100, config.chunks.shared)).select("key", "chunk_id", "content")
+        return Result(corpus.dry_run(compressed(spark, root, config), len(config.formats), price_in, price_out), [])
+    space, desk = Workspace(home or work, f"{work}/stages"), analysis.Desk(provider, work, config.concurrency)
+    space.clean(DAY)
+    settled = writer.settled(planned(spark, root, config, ask is not None).collect(), ask)
+
+    progress("files")
+    files = space.stage(compressed(spark, root, config), "files")
+    report = corpus.dry_run(files, len(config.formats), price_in, price_out)
+    count = (lambda c: tokens.exact_tokens(c, config.tokenizer, False)) if config.tokenizer else text.tokens_up
+    sizes = corpus.metadata(files).first()
+    if not sizes["total_files"]:
+        raise ValueError(f"no file to read in {config.packed_file or root}")
+    languages = (corpus.language_list(corpus.language_histogram(files)).first() or {"languages": ""})["languages"]
+    facts = spark.createDataFrame([("corpus", sizes["total_files"], languages, sizes["compression_ratio"])], "key string, file_count long, languages string, compression_ratio double")
+
+    progress("chunks")
+    entries = files.select(F.lit("corpus").alias("key"), "ord", text.corpus_entry(F.col("path"), F.col("compressed_content")).alias("entry"))
+    parts = space.stage(chunks.token_chunks(entries, "key", "ord", "entry", config.chunks, count), "chunks")
     if confirm and not config.no_confirm:
-        expected = ledger.pre_run(chunks.chunked(entry, "key", "corpus", config.chunks), "key", len(config.formats), price["price_in"], price["price_out"]).first()
-        if not confirm(expected["estimated_cost"]):
+        expected = ledger.pre_run(parts, "key", len(config.formats), price_in, price_out).first()
+        before = corpus.token_totals(files, tokens=count).first()["original_tokens"]
+        if expected and not confirm(expected["estimated_cost"], reports.cost_lines(expected, sizes["total_files"], languages, before, paths.PROVIDERS[config.provider][4])):
             raise Declined("the run was not confirmed")
-    answers = analysis.analysed(parts, "key", facts, provider, f"{work}/answers", config.description or "")
-    whole = analysis.merged(answers, "key", provider, f"{work}/answers")
+
+    progress("analysis")
+    whole = analysis.merged(analysis.analysed(parts.select("key", "chunk_id", "content"), "key", facts, desk, config.description or ""), "key", desk)
     formats = spark.createDataFrame([(f, "always" if f == "claude" else config.rule_type) for f in config.formats], "format string, rule_type string")
     primary = whole.select(paths.primary_language(F.col("analysis")).alias("primary_language"))
-    rules = analysis.formatted(whole, formats.crossJoin(F.broadcast(primary)), provider, f"{work}/answers")
-    find = lambda r: validate.findings(r, files) if config.semantic_validation else validate.syntax(r)
+
+    progress("formats")
+    rules = formats.select("format").join(analysis.formatted(whole, formats.crossJoin(F.broadcast(primary)), desk), "format", "left")
+
+    def find(rows: DataFrame) -> DataFrame:
+        if not config.validate:
+            return spark.createDataFrame([], validate.FINDING)
+        return validate.findings(rows, files, config.format_checks, config.checks, config.formats) if config.semantic_validation else validate.syntax(rows)
+
+    progress("validation")
     if config.retry_on_validation_failure:
-        rules, _, _ = analysis.fixed(rules, find, provider, f"{work}/answers", config.max_retries)
-    results = validate.results(rules, find(rules))
-    if on_failure == "cancel" and not results.where("not passed").isEmpty():
-        raise Declined("formats failed validation: " + ", ".join(sorted(r["format"] for r in results.where("not passed").collect())))
-    if config.deconflict:
-        rules = analysis.deconflicted(rules, outputs.of_other_tools(spark, root, formats), provider, f"{work}/answers")
-    spent = ledger.summary(whole, price["price_in"], price["price_out"]).first()
+        rules, _, _ = analysis.fixed(rules, find, desk, config.max_retries)
+    found = find(rules)
+    results = validate.results(rules, found)
+    failed = sorted(r["format"] for r in results.where("not passed").collect())
+    if failed and (config.on_failure == "cancel" or config.on_failure == "ask" and on_failure and not on_failure(failed)):
+        raise Declined("formats failed validation: " + ", ".join(failed))
+    if absent := sorted(r["format"] for r in rules.where("content is null").collect()):
+        raise ValueError("formats were not rendered: " + ", ".join(absent))
+
+    progress("finalisation")
+    if config.finalise and config.deconflict:
+        rules = analysis.deconflicted(rules, outputs.of_other_tools(spark, root, formats), desk)
+    rules = _merged_with_files(spark, root, config, rules, settled, desk, price_in, price_out, confirm)
+    spent = ledger.summary(desk.ledger(spark), price_in, price_out).first()
     author = ("echo", "without a model") if provider is analysis.EchoProvider else (config.provider, config.model or SERVICES[config.provider].model)
-    rules = finalise.finalised(rules, *author, timestamp, spent["input_tokens"], spent["output_tokens"], spent["total_cost"])
+    if config.finalise:
+        rules = finalise.finalised(rules, *author, timestamp, (spent["input_tokens"], spent["output_tokens"], spent["total_cost"]), config.normalise, config.header)
     smoke = validate.smoke(rules, files)
-    overrides = dict(config.output_paths) | ({config.formats[0]: config.output} if config.output else {})
-    override_rows = spark.createDataFrame(list(overrides.items()), "format string, override string")
-    known = [p for p in {*paths.FORMATS.values(), *overrides.values()} if os.path.exists(os.path.join(root, p))]
-    requests = formats.select("format", F.lit(config.on_conflict).alias("strategy"), F.lit(False).alias("interactive"))
-    planned = writing.planned_writes(requests, override_rows, spark.createDataFrame([(p,) for p in known], "path string")).join(rules, "format")
-    written = writer.write(planned, root)
-    sizes = corpus.metadata(files).first()
-    state = State(last_run=timestamp, file_conflict_action=config.on_conflict, output_files=tuple(w.path for w in written), cost_spent=spent["total_cost"], original_bytes=sizes["total_original_size"], compression_ratio=min(1.0, sizes["compression_ratio"]))
-    Workspace(home or work).save_state(state)
-    return Result(report, written, results, smoke, spent["total_cost"])
+
+    progress("writing")
+    written = writer.write(spark.createDataFrame(settled, "format string, path string, action string").join(rules, "format"), root)
+    space.save_state(State(last_run=timestamp, file_conflict_action=config.on_conflict, output_files=tuple(w.path for w in written), cost_spent=spent["total_cost"], original_bytes=sizes["total_original_size"], compression_ratio=min(1.0, sizes["compression_ratio"])))
+    done = [(w.format, w.path, w.status, os.path.getsize(os.path.join(root, w.path))) for w in written]
+    used = parts.agg(F.coalesce(F.sum("token_count"), F.lit(0))).first()[0]
+    summary = reports.success_lines(done, sizes["total_files"], used, sizes["compression_ratio"], spent["total_cost"], time.monotonic() - began)
+    return Result(report, written, results, reports.validation(results, found), smoke, spent["total_cost"], desk.ledger(spark), summary)
+
+
+def _merged_with_files(spark: SparkSession, root: str, config: Config, rules: DataFrame, settled: list[tuple[str, str, str]], desk: analysis.Desk, price_in: float, price_out: float, confirm) -> DataFrame:
+    """Rules with those of files that are to be merged rewritten by the model, once that is confirmed."""
+    held = {}
+    for format_, path, action in settled:
+        if action == "merge":
+            with open(os.path.join(root, path), encoding="utf-8") as f:
+                held[format_] = f.read()
+    if not held:
+        return rules
+    pairs = spark.createDataFrame(list(held.items()), "format string, existing string").join(rules, "format")
+    if confirm and not config.no_confirm:
+        e = cost.merge_estimate(text.byte_size(F.col("existing")), text.byte_size(F.col("content")), F.lit(price_in), F.lit(price_out))
+        expected = pairs.agg(F.sum(e["total_cost"])).first()[0]
+        if not confirm(expected, [f"Smart merge of {', '.join(sorted(held))}: ${expected:.4f}"]):
+            raise Declined("the merge was not confirmed")
+    new = analysis.smart_merged(pairs, desk).withColumnRenamed("content", "merged")
+    return rules.join(new, "format", "left").select("format", F.coalesce("merged", "content").alias("content"))
