@@ -14,7 +14,7 @@ from textloom.functions import paths, text
 from textloom.operators import analysis, chunks, corpus, finalise, reports, structure, validate, writer
 from textloom.plans import run as plan
 from textloom.sources import packed, tree
-from textloom.streaming.refresh import refresh
+from textloom.streaming.refresh import latest, refresh
 
 
 def values(df):
@@ -402,9 +402,14 @@ def test_structural_ratio(spark):
 
 
 def test_stream(spark, tmp_path):
-    schema = "path string, version long, content string"
-    for n, rows in enumerate([[("a", 1, "x"), ("b", 1, "y")], [("a", 3, "z"), ("a", 2, "old"), ("c", 1, "w")]]):
+    schema, target = "path string, version long, content string", f"{tmp_path}/out"
+    batches = [[("a", 1, "x"), ("b", 1, "y")], [("a", 3, "z"), ("a", 2, "old"), ("c", 1, "w")], [("d", 1, "v")], [("a", 1, "late"), ("b", 2, "u")]]
+    for rows in batches:
         spark.createDataFrame(rows, schema).write.mode("append").parquet(f"{tmp_path}/in")
         stream = spark.readStream.schema(schema).parquet(f"{tmp_path}/in")
-        refresh(stream, f"{tmp_path}/out", f"{tmp_path}/cp").awaitTermination()
-    assert values(spark.read.parquet(f"{tmp_path}/out/v=1")) == [("a", 3, "z"), ("b", 1, "y"), ("c", 1, "w")]
+        refresh(stream, target, f"{tmp_path}/cp", buckets=64).awaitTermination()
+    assert values(latest(spark, target, 3)) == [("a", 3, "z"), ("b", 2, "u"), ("c", 1, "w"), ("d", 1, "v")]
+    assert values(latest(spark, target, 2)) == [("a", 3, "z"), ("b", 1, "y"), ("c", 1, "w"), ("d", 1, "v")]
+    held = {str(p.relative_to(tmp_path / "out/data")).split("/")[0] for p in (tmp_path / "out/data").glob("v=*/bucket=*")}
+    first = [p.name for p in (tmp_path / "out/data/v=0").glob("bucket=*")]
+    assert held == {"v=0", "v=1", "v=2", "v=3"} and len(first) == 1  # the part of a that batch 1 replaced is gone, that of b is not

@@ -189,18 +189,27 @@ class Desk:
         return out.drop("digest", "prompt", "item")
 
 
+def analysis_prompt(focus: str = "") -> Column:
+    """The prompt for a chunk (content) of a corpus (file_count, languages, compression_ratio)."""
+    return rendered(ANALYSIS_TEMPLATE, file_count=F.col("file_count").cast("string"), languages=F.col("languages"), compression_ratio=F.format_string("%.1f", F.col("compression_ratio") * 100), focus_section=F.lit(f"Focus: {focus}\n" if focus else ""), chunk=F.col("content"))
+
+
 def analysed(chunks: DataFrame, key: str, facts: DataFrame, desk: Desk, focus: str = "") -> DataFrame:
     """(key, chunk_id, text, tokens) of each chunk (key, chunk_id, content). ``facts`` (key, file_count, languages, compression_ratio)
     describe each corpus; a prompt holds its chunk only, never the whole corpus."""
     rows = chunks.join(facts, key)
-    prompt = rendered(ANALYSIS_TEMPLATE, file_count=F.col("file_count").cast("string"), languages=F.col("languages"), compression_ratio=F.format_string("%.1f", F.col("compression_ratio") * 100), focus_section=F.lit(f"Focus: {focus}\n" if focus else ""), chunk=F.col("content"))
-    return desk.completed(rows.select(key, "chunk_id", prompt.alias("prompt")), "analysis", F.concat(key, F.lit(" "), F.col("chunk_id") + 1))
+    return desk.completed(rows.select(key, "chunk_id", analysis_prompt(focus).alias("prompt")), "analysis", F.concat(key, F.lit(" "), F.col("chunk_id") + 1))
+
+
+def merge_inputs(parts: DataFrame, key: str) -> DataFrame:
+    """key, n, analyses: the texts of a corpus's chunks (key, chunk_id, text) in their order. An analysis is short, and one prompt has to hold them all."""
+    joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("chunk_id", "text"))), lambda r: r["text"]), "\n\n---\n\n")
+    return parts.groupBy(key).agg(F.count("*").alias("n"), joined.alias("analyses"))
 
 
 def merged(parts: DataFrame, key: str, desk: Desk) -> DataFrame:
     """(key, analysis): one chunk's analysis as it is, several merged by one more call."""
-    joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("chunk_id", "text"))), lambda r: r["text"]), "\n\n---\n\n")
-    groups = parts.groupBy(key).agg(F.count("*").alias("n"), joined.alias("analyses"))
+    groups = merge_inputs(parts, key)
     several = groups.where("n > 1")
     prompt = rendered(MERGE_TEMPLATE, count=F.col("n").cast("string"), analyses=F.col("analyses"))
     called = desk.completed(several.select(key, prompt.alias("prompt")), "merge", F.col(key), Options().for_merge())
@@ -208,7 +217,8 @@ def merged(parts: DataFrame, key: str, desk: Desk) -> DataFrame:
 
 
 def _requirements(format_: Column) -> Column:
-    return F.coalesce(F.element_at(F.create_map(*[F.lit(x) for kv in REQUIREMENTS.items() for x in kv]), format_), F.lit(REQUIREMENTS["generic"]))
+    kinds = F.create_map(*[F.lit(x) for kv in REQUIREMENTS.items() for x in kv])
+    return F.coalesce(F.element_at(kinds, F.split_part(format_, F.lit(":"), F.lit(1))), F.lit(REQUIREMENTS["generic"]))
 
 
 def formatted(analyses: DataFrame, formats: DataFrame, desk: Desk) -> DataFrame:
@@ -235,6 +245,13 @@ def smart_merged(pairs: DataFrame, desk: Desk) -> DataFrame:
     return desk.completed(pairs.select("format", prompt.alias("prompt")), "smart merge", F.col("format")).select("format", F.col("text").alias("content"))
 
 
+def fix_requests(rules: DataFrame, found: DataFrame) -> DataFrame:
+    """format, prompt of the rules (format, content) that have errors among the findings (format, severity, message)."""
+    errors = found.where("severity = 'error'").groupBy("format").agg(F.array_join(F.array_sort(F.collect_set("message")), "\n").alias("errors"))
+    prompt = rendered(FIX_TEMPLATE, format=F.col("format"), errors=F.col("errors"), requirements=_requirements(F.col("format")), content=F.coalesce("content", F.lit("")))
+    return rules.join(errors, "format").select("format", prompt.alias("prompt"))
+
+
 def fixed(rules: DataFrame, find: Callable[[DataFrame], DataFrame], desk: Desk, retries: int = MAX_RETRIES) -> tuple[DataFrame, int, bool]:
     """Rules whose failed formats were sent back with their errors up to ``retries`` times: (rules, attempts, all clean).
 
@@ -244,14 +261,12 @@ def fixed(rules: DataFrame, find: Callable[[DataFrame], DataFrame], desk: Desk,
     attempts, spark = 0, rules.sparkSession
     while True:
         rules = spark.createDataFrame(rules.select("format", "content").collect(), "format string, content string")
-        errors = find(rules).where("severity = 'error' and format <> 'cross-format'").groupBy("format").agg(F.array_join(F.array_sort(F.collect_set("message")), "\n").alias("errors"))
-        if errors.isEmpty():
+        asked = fix_requests(rules, find(rules))
+        if asked.isEmpty():
             return rules, attempts, True
         if attempts == retries:
             return rules, attempts, False
         attempts += 1
-        rows = rules.join(errors, "format")
-        prompt = rendered(FIX_TEMPLATE, format=F.col("format"), errors=F.col("errors"), requirements=_requirements(F.col("format")), content=F.col("content"))
         options = Options(temperature=min(0.7 + 0.1 * (attempts - 1), 0.9))
-        new = desk.completed(rows.select("format", prompt.alias("prompt")), "fix", F.col("format"), options, attempts).select("format", F.col("text").alias("new"))
+        new = desk.completed(asked, "fix", F.col("format"), options, attempts).select("format", F.col("text").alias("new"))
         rules = rules.join(new, "format", "left").select("format", F.coalesce("new", "content").alias("content"))

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import cost, paths, text
-from ..operators import chunks, corpus, ledger, validate, writing
+from ..operators import analysis, chunks, corpus, finalise, ledger, validate, writing
 from ..sources import models, packed
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -115,6 +115,13 @@ def ledger_summary(spark, sf):
     return ledger.summary(_ledger(spark, sf), PRICE_IN, PRICE_OUT, "conv_id")
 
 
+@query("with l as (select conv_id, role as operation, sum(len(text))::bigint as input_tokens, sum(strlen(text) // 4)::bigint as output_tokens, count(*) as operations from conversations group by 1, 2), t as (select *, input_tokens + output_tokens as total_tokens, input_tokens::double / 1000.0::double * 0.003::double + output_tokens::double / 1000.0::double * 0.015::double as total_cost from l) select *, total_cost / operations as average_cost from t")
+def call_ledger(spark, sf):
+    """Calls of each conversation by operation, as the cost report of a run has them."""
+    calls = _table(spark, sf, "conversations").select("conv_id", F.col("role").alias("operation"), F.char_length("text").cast("long").alias("input_tokens"), text.tokens_down(text.byte_size(F.col("text"))).alias("output_tokens"))
+    return ledger.summary(calls, PRICE_IN, PRICE_OUT, "conv_id", "operation")
+
+
 _CHUNKS = """n as (select doc_id, text, len(text)::bigint as n, case when len(text) <= 1000 then 1 else ceil(len(text) / 900.0)::bigint end as k from documents),
 w as (select doc_id, text, n, i::int as chunk_id, case when i = 0 then 0 else i * 900 - 100 end::bigint as start, case when i = 0 then least(n, 1000) else least(n, (i + 1) * 900) end::bigint as "end" from (select *, unnest(range(k)) as i from n))"""
 
@@ -124,6 +131,13 @@ def chunk_text(spark, sf):
     return chunks.chunked(_table(spark, sf, "documents"), "doc_id", "text", CHUNKS)
 
 
+@query(f"""with {_CHUNKS}, t as (select *, substr(text, greatest("end" - 100, start) + 1, "end" - greatest("end" - 100, start)) as tail from w),
+z as (select *, case when "end" < n and contains(tail, chr(10)) then "end" - instr(reverse(tail), chr(10)) + 1 else "end" end::bigint as e from t)
+select doc_id, chunk_id, start, e as "end", substr(text, start + 1, e - start) as content, e - start as token_count, case when chunk_id = 0 then 0 else least(100, e - start) end::bigint as overlap_token_count from z""")
+def chunk_newlines(spark, sf):
+    return chunks.chunked(_table(spark, sf, "documents"), "doc_id", "text", CHUNKS, newline_within=100)
+
+
 @query(f"""with {_CHUNKS}, g as (select doc_id, count(*) as chunks, sum("end" - start)::bigint as chunk_tokens from w group by 1), h as (select *, (chunk_tokens + case when chunks > 1 then 10000 else 0 end + 1000)::bigint as input_tokens, (chunks * 4096 + case when chunks > 1 then 4096 else 0 end + 1000)::bigint as output_tokens from g) select *, input_tokens::double / 1000.0::double * 0.003::double + output_tokens::double / 1000.0::double * 0.015::double as estimated_cost from h""")
 def pre_run_breakdown(spark, sf):
     return ledger.pre_run(chunks.chunked(_table(spark, sf, "documents"), "doc_id", "text", CHUNKS), "doc_id", 2, PRICE_IN, PRICE_OUT)
@@ -361,17 +375,24 @@ def packed_files(spark, sf):
     return packed.parsed(packs.select(name.alias("path"), content.alias("content")))
 
 
-@query("select doc_id, case when doc_id % 6 in (0, 1, 2, 4) then true else false end as retry from documents")
+_SAID = "m as (select doc_id, coalesce(text, '') || (['Rate limit reached', 'network unreachable', 'HTTP 503', 'HTTP 404 not found', 'Server Error in model', 'invalid key'])[(doc_id % 6 + 1)::int] as t from documents)"
+
+
+@query(f"with {_SAID} select doc_id, regexp_matches(t, '(?i)rate limit|network|timed? ?out|connection') or regexp_matches(t, 'HTTP 50[0-4]|Internal Server Error|Bad Gateway|Service Unavailable|Gateway Timeout|(?i:server error)') as retry from m")
 def retryable_errors(spark, sf):
     messages = ("Rate limit reached", "network unreachable", "HTTP 503", "HTTP 404 not found", "Server Error in model", "invalid key")
-    m = F.element_at(F.array(*map(F.lit, messages)), (F.col("doc_id") % 6 + 1).cast("int"))
+    m = F.concat(F.coalesce("text", F.lit("")), F.element_at(F.array(*map(F.lit, messages)), (F.col("doc_id") % 6 + 1).cast("int")))
     return _table(spark, sf, "documents").select("doc_id", paths.retryable(m).alias("retry"))
 
 
-@query("""select doc_id, case when regexp_matches(lower(t), '\\brust\\b') then 'rust' when regexp_matches(lower(t), '\\btypescript\\b') then 'typescript' when regexp_matches(lower(t), '\\bpython\\b') then 'python' when regexp_matches(lower(t), '\\bc\\+\\+') then 'cpp' else 'text' end as primary_language, case when regexp_matches(lower(t), 'gpt-4o') then 'o200k' when regexp_matches(lower(t), 'claude') then 'anthropic' else 'cl100k' end as tokenizer
-from (select doc_id, left(text, 20) || (['Python and Rust', 'TypeScript', 'C++ code', 'gpt-4o', 'claude python', 'trusty'])[(doc_id % 6 + 1)::int] as t from (select doc_id, '' as text from documents))""")
+_NAMED = "p as (select doc_id, coalesce(text, '') || (['Python and Rust', ' TypeScript', ' C++ code', 'gpt-4o', ' claude python', ' trusty', ' golang', ' a C# file', ' JAVA', ' javascript o1'])[(doc_id % 10 + 1)::int] as t from documents)"
+
+
+@query(f"""with {_NAMED} select doc_id, case when regexp_matches(lower(t), '\\brust\\b') then 'rust' when regexp_matches(lower(t), '\\btypescript\\b') then 'typescript' when regexp_matches(lower(t), '\\bjavascript\\b') then 'javascript' when regexp_matches(lower(t), '\\bpython\\b') then 'python' when regexp_matches(lower(t), '\\b(go|golang)\\b') then 'go' when regexp_matches(lower(t), '\\bjava\\b') then 'java' when regexp_matches(lower(t), '\\bc\\+\\+') then 'cpp' when regexp_matches(lower(t), '\\bc#') then 'csharp' else 'text' end as primary_language,
+case when contains(lower(t), 'o1') or contains(lower(t), 'gpt-4o') then 'o200k' when contains(lower(t), 'claude') then 'anthropic' else 'cl100k' end as tokenizer from p""")
 def primary_language(spark, sf):
-    t = F.element_at(F.array(*map(F.lit, ("Python and Rust", "TypeScript", "C++ code", "gpt-4o", "claude python", "trusty"))), (F.col("doc_id") % 6 + 1).cast("int"))
+    names = ("Python and Rust", " TypeScript", " C++ code", "gpt-4o", " claude python", " trusty", " golang", " a C# file", " JAVA", " javascript o1")
+    t = F.concat(F.coalesce("text", F.lit("")), F.element_at(F.array(*map(F.lit, names)), (F.col("doc_id") % 10 + 1).cast("int")))
     return _table(spark, sf, "documents").select("doc_id", paths.primary_language(t).alias("primary_language"), paths.tokenizer_family(t).alias("tokenizer"))
 
 
@@ -457,6 +478,38 @@ def smoke_findings(spark, sf):
     return validate.smoke(_rendered(spark, sf), _files(spark, sf)).select("format", "severity", "message", "location")
 
 
+@query(f"""with {_RENDERED}, t as (select format, regexp_replace(regexp_replace(content, '\\r\\n?', chr(10), 'g'), '[ \\t]+(\\n|$)', '\\1', 'g') as t from r), n as (select format, case when t = '' then t when t like '%' || chr(10) || chr(10) then left(t, len(t) - 1) when t like '%' || chr(10) then t else t || chr(10) end as t from t),
+f as (select *, regexp_extract(t, '(?s)^(---\\n.*?\\n---\\n)', 1) as front from n) select format, front || '<!-- generated 2024-01-01 by p m; 7 + 5 tokens, $0.1235 -->' || chr(10) || substr(t, len(front) + 1) as content from f""")
+def metadata_header(spark, sf):
+    return finalise.finalised(_rendered(spark, sf), "p", "m", "2024-01-01", (7, 5, 0.12345))
+
+
+_NEEDS = "case split_part(r.format, ':', 1) when 'cursor' then 'Begin with frontmatter that has a description.' when 'claude' then 'Use Markdown with headings.' when 'copilot' then 'Write plain Markdown instructions.' when 'windsurf' then 'Write short plain rules.' when 'aider' then 'Write conventions as plain text.' else 'Write Markdown for any tool.' end"
+
+
+@query(f"""with {_FOUND}, e as (select format, string_agg(distinct message, chr(10) order by encode(message)) as errors from (select format, message from syn where severity = 'error' union all select format, 'tabs and spaces are both prescribed' from r where {_BOTH}) group by 1)
+select r.format, sha256('The following ' || r.format || ' rules have these problems:' || chr(10) || errors || chr(10) || {_NEEDS} || chr(10) || 'Return the corrected rules in full.' || chr(10) || chr(10) || content) as prompt from r join e on r.format = e.format""")
+def fix_requests(spark, sf):
+    """Prompts of the formats that failed, with their errors; those that passed are asked nothing."""
+    rows = _rendered(spark, sf)
+    prompts = analysis.fix_requests(rows, validate.syntax(rows).unionByName(validate.contradictions(rows)))
+    return prompts.select("format", F.sha2(F.col("prompt").cast("binary"), 256).alias("prompt"))
+
+
+@query(f"""with {_F}, a as (select source as key, count(*) as n, string_agg(original_content, chr(10) || chr(10) || '---' || chr(10) || chr(10) order by ord) as analyses from f group by source, ord // 20) select key, n, sha256(analyses) as analyses from a""")
+def merge_inputs(spark, sf):
+    """Analyses of twenty chunks at most, in the order of the chunks, as they are put to the model."""
+    parts = _files(spark, sf).select(F.concat("source", F.lit("/"), F.expr("ord div 20").cast("string")).alias("key"), F.col("ord").alias("chunk_id"), F.col("original_content").alias("text"))
+    return analysis.merge_inputs(parts, "key").select(F.regexp_extract("key", r"(?s)^(.*)/", 1).alias("key"), "n", F.sha2(F.col("analyses").cast("binary"), 256).alias("analyses"))
+
+
+@query(f"""with {_F} select ord, sha256('You describe the conventions of a code base for an assistant.' || chr(10) || 'Files: 3. Languages: ' || coalesce(language, '{{{{chunk}}}}') || '. Size after compression: 50.0 % of the original.' || chr(10) || 'Focus: x' || chr(10) || 'State naming, layout, error handling, testing and style rules that the following part shows.' || chr(10) || chr(10) || compressed_content) as prompt from f""")
+def analysis_prompts(spark, sf):
+    """One pass over the template: a variable's name in a value stays text."""
+    rows = _files(spark, sf).select("ord", F.lit(3).alias("file_count"), F.coalesce("language", F.lit("{{chunk}}")).alias("languages"), F.lit(0.5).alias("compression_ratio"), F.col("compressed_content").alias("content"))
+    return rows.select("ord", F.sha2(analysis.analysis_prompt("x").cast("binary"), 256).alias("prompt"))
+
+
 _LISTED = "select page_id, 'm' || page_id as model, case page_id % 4 when 0 then '0.000003' when 1 then '0.5' when 2 then 'free' end as i, case page_id % 3 when 0 then '0.25' when 1 then '' end as o from pages"
 
 
