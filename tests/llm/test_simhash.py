@@ -50,8 +50,8 @@ def test_spark_hash_agrees(spark):
     assert h & (1 << 64) - 1 == xxhash.xxh64_intdigest(b"a b c d", 42)
 
 
-@pytest.mark.parametrize("block", [7, 2048])
-def test_buckets_in_blocks(spark, block):
+@pytest.mark.parametrize("block, segments", [(7, None), (2048, None), (7, 2), (2048, 2), (2048, 4)])
+def test_buckets_in_blocks(spark, block, segments):
     """A dense cloud of fingerprints, split over a grid of small blocks, has the components of all pairs."""
     draw = np.random.default_rng(3)
     centre = draw.integers(0, 2**63, 3)
@@ -66,7 +66,7 @@ def test_buckets_in_blocks(spark, block):
         distinct.setdefault(x, i)
     signed = lambda x: x - (1 << 64) if x >> 63 else x
     df = spark.createDataFrame([(signed(x), i) for x, i in distinct.items()], "fp long, rep long")
-    edges = simhash.near_links(df, block=block)
+    edges = simhash.near_links(df, segments=segments, block=block)
     got = {r["node"]: r["component"] for r in connected_components(edges).collect()}
     want = plain_components({i: x for x, i in distinct.items()})
     assert {i: got.get(i, i) for i in want} == want

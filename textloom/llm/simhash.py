@@ -1,8 +1,8 @@
 """SimHash near-duplicates by multi-index hashing.
 
 Fingerprints are 64 bits over 4-word shingles. Two fingerprints within ``MAX_BITS`` differing bits link. For the search each
-fingerprint is cut into ``SEGMENTS`` segments; by the pigeonhole principle, one segment of a linked pair differs in at most
-``MAX_BITS // SEGMENTS`` bits. Each distinct fingerprint is stored in one table for each segment under that segment's exact
+fingerprint is cut into segments (three, or two for very many fingerprints); by the pigeonhole principle, one segment of a linked
+pair differs in at most ``MAX_BITS`` // segments bits. Each distinct fingerprint is stored in one table for each segment under that segment's exact
 value, and probes every value in the small Hamming ball around its own. Matches are verified on the whole 64 bits.
 
 A bucket is never expanded into its pairs: a task verifies its bucket in blocks and passes on a spanning forest of the links it
@@ -27,7 +27,9 @@ from .components import connected_components
 
 SHINGLE = 4
 MAX_BITS = 4
-SEGMENTS = 3
+#: Segments of a fingerprint, and the distinct fingerprints up to which so many serve: shorter segments have fewer probes, but
+#: beyond that a bucket of a segment's value holds over ``BLOCK`` on average. Either number finds all links.
+SEGMENTS, MOST_DISTINCT, FEWER_SEGMENTS = 3, 1 << 32, 2
 #: Stored fingerprints of a bucket that one task compares with a block of probes.
 BLOCK = 2048
 #: Comparisons that are held in memory at once.
@@ -188,8 +190,12 @@ def _link_batches(limit: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.
         yield table(_EDGES, list(map(list, zip(*forest.edges, strict=True))))
 
 
-def near_links(fps: DataFrame, max_bits: int = MAX_BITS, segments: int = SEGMENTS, block: int = BLOCK) -> DataFrame:
-    """Edges (a, b) between ``rep`` values of distinct fingerprints (columns fp, rep), with the same components as all links have."""
+def near_links(fps: DataFrame, max_bits: int = MAX_BITS, segments: int | None = None, block: int = BLOCK) -> DataFrame:
+    """Edges (a, b) between ``rep`` values of distinct fingerprints (columns fp, rep), with the same components as all links have.
+
+    ``segments`` is chosen by the number of fingerprints unless it is given."""
+    if segments is None:
+        segments = SEGMENTS if fps.count() <= MOST_DISTINCT else FEWER_SEGMENTS
     stored, probes = _keys(fps, segments, max_bits // segments)
     hot = stored.groupBy("seg", "key").count().where(F.col("count") > block).select("seg", "key", F.ceil(F.col("count") / block).cast("int").alias("blocks"))
     hot = materialise(hot, "hot")
@@ -207,7 +213,7 @@ def near_links(fps: DataFrame, max_bits: int = MAX_BITS, segments: int = SEGMENT
     return rows.mapInArrow(partial(_link_batches, max_bits), "a long, b long")
 
 
-def near_duplicates(docs: DataFrame, max_bits: int = MAX_BITS, segments: int = SEGMENTS, keyed: bool = False) -> DataFrame:
+def near_duplicates(docs: DataFrame, max_bits: int = MAX_BITS, segments: int | None = None, keyed: bool = False) -> DataFrame:
     """One row per document: doc_id, fp, component_id (smallest doc_id reachable over links of at most ``max_bits`` bits) and, if ``keyed``, text_sha256.
 
     Null and empty texts have fingerprint 0 and link like any other. Rows that repeat a doc_id each come back. Rows with a null
