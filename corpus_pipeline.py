@@ -33,7 +33,12 @@ def _retext(docs: DataFrame, changed: DataFrame) -> DataFrame:
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that aren't predicted to be toxic."""
+    """Documents that aren't predicted to be toxic.
+
+    Each row is judged by its own id and text: a null id is like any other, rows that repeat an id with other texts are judged apart,
+    equal rows stay or go together. A null or empty text is judged as one without a match; an empty table stays empty. Without labels of both
+    kinds a fixed lexicon decides. Other columns, whatever their names, are kept as they are.
+    """
     scores = toxicity.score(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"), keyed=True)
     toxic = scores.where("predicted = 1").select("doc_id", "text_sha256")
     return _decided(docs, toxic, "left_anti").select(*docs.columns)
@@ -42,6 +47,8 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group: the one of the smallest doc_id. Documents without an id stay.
 
+    A group is what links of near fingerprints reach; its smallest doc_id is its own, so there are no ties. Null and empty texts link like
+    any other (fingerprint zero). Equal rows stay or go together, an empty table stays empty, other columns are kept as they are.
     Texts under one doc_id are one node of the near links: if one of them is a near copy of an earlier document, so are the others.
     Only texts of equal fingerprints are told apart.
     """
@@ -50,19 +57,32 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without the windows that an earlier document has. A document of which nothing is left goes."""
+    """Texts without the windows that an earlier document has. A document of which nothing is left goes.
+
+    Only a smaller doc_id is earlier, so rows of one id never cut each other, and a row without an id is neither cut nor cuts. Rows that repeat
+    an id with other texts are cut by their own windows alone, equal rows alike. Null, empty and short texts stay as they are, as do
+    other columns but n_chars, which follows a cut text. An empty table stays empty.
+    """
     cut = substring.dedup_substrings(docs, with_text=True).where("n_removed > 0")
     return _retext(docs, cut.select("doc_id", "text_sha256", F.col("text").cast("string").alias("new_text"), (F.col("n_removed") == F.col("n_words")).alias("emptied")))
 
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts with every secret's value replaced by a mark."""
+    """Texts with every secret's value replaced by a mark.
+
+    Every row is redacted by its own text, with or without an id and however often the id repeats. Overlapping values become one
+    mark. Null and empty texts stay, as do other columns but n_chars, which follows a redacted text. An empty table stays empty.
+    """
     found = secret_scan.scan(docs, with_text=True).where("redacted is not null")
     return _retext(docs, found.select("doc_id", "text_sha256", F.col("redacted").alias("new_text"), F.lit(False).alias("emptied")))
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of packed sequences, with their token ids."""
+    """Pieces of packed sequences, with their token ids.
+
+    Each row is packed, with a null id or a repeated one too; a null or empty text is its end token alone. Equal lengths are packed in the
+    order of their rows. An empty table gives no pieces. Columns besides doc_id and text don't come back.
+    """
     return packing.pack(docs, tokenizer_path("word_bpe_49k.json"), with_ids=True)
 
 
