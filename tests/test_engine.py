@@ -1,5 +1,6 @@
 import hashlib
 import os
+import subprocess
 import time
 
 import pytest
@@ -13,7 +14,7 @@ from textloom import state
 from textloom.functions import paths, text
 from textloom.operators import analysis, chunks, corpus, finalise, reports, structure, validate, writer
 from textloom.plans import run as plan
-from textloom.sources import packed, tree
+from textloom.sources import git, packed, tree
 from textloom.streaming.refresh import latest, refresh
 
 
@@ -56,6 +57,39 @@ def test_tree(spark, project):
     assert sorted(r["path"] for r in only.collect()) == ["_hidden/.x.md", "src/main.py"]
 
 
+def test_tree_errors(spark, project):
+    spark.dataSource.register(tree.TreeSource)
+    read = lambda **options: sorted(r["path"] for r in spark.read.format("tree").options(**options).load(str(project)).collect())
+    assert read(include="**/*.{py,ts},*.md") == ["_hidden/.x.md", "src/app.ts", "src/main.py"]
+    assert tree.split_globs("a, b{c,d}*,{e,f}") == ["a", "b{c,d}*", "{e,f}"]
+    with pytest.raises(Exception, match="utf-8"):
+        read(on_invalid="fail")
+    scandir = os.scandir
+    try:  # permissions don't bind everyone, so the listing is made to fail
+        os.scandir = lambda p: (_ for _ in ()).throw(PermissionError(p)) if str(p).endswith("_hidden") else scandir(p)
+        assert [p for p, _ in tree.walk(str(project))] == [".gitignore", "bin.dat", "keep.log", "src/app.ts", "src/main.py"]
+        with pytest.raises(PermissionError):
+            list(tree.walk(str(project), fail=True))
+    finally:
+        os.scandir = scandir
+
+
+def test_repositories(project, tmp_path):
+    assert git.is_repository(project) and git.root_of(project / "src") == project.resolve() and not git.is_repository(tmp_path)
+    assert git.is_remote("https://example.org/a.git") and git.is_remote("me@example.org:a/b") and not git.is_remote("a/b") and not git.is_remote("--upload-pack=x")
+    made = tmp_path / "origin"
+    run = lambda *a: subprocess.run(["git", "-c", "user.name=a", "-c", "user.email=a@b", *a], check=True, capture_output=True)
+    run("init", "-q", str(made))
+    (made / "x.py").write_text("x = 1\n")
+    run("-C", str(made), "add", ".")
+    run("-C", str(made), "commit", "-qm", "x")
+    assert (git.clone(f"file://{made}", tmp_path / "copy") / "x.py").read_text() == "x = 1\n"
+    with pytest.raises(OSError):
+        git.clone(f"file://{tmp_path}/nothing", tmp_path / "other")
+    with pytest.raises(ValueError):
+        git.clone("a/b", tmp_path / "other")
+
+
 def test_texts(spark):
     assert column(spark, text.whitespace_compressed, "  a   b\t\tc \n\n\n d", "", " \n ") == ["a b c\nd\n", "", ""]
     assert column(spark, text.normalised, "a \r\nb\rc", "a\n\n\n", "", "x\n") == ["a\nb\nc\n", "a\n\n", "", "x\n"]

@@ -5,6 +5,7 @@ from __future__ import annotations
 import argparse
 import logging
 import sys
+import tempfile
 from collections.abc import Callable
 from dataclasses import replace
 from datetime import UTC, datetime
@@ -16,13 +17,15 @@ from .operators import reports
 from .operators.analysis import EchoProvider
 from .operators.providers import HttpProvider
 from .plans import run as plan
+from .sources import git
+from .workspace import Temporary
 
 log = logging.getLogger(__name__)
 
 
 def parser() -> argparse.ArgumentParser:
     p = argparse.ArgumentParser(prog="textloom", argument_default=argparse.SUPPRESS)
-    p.add_argument("path", nargs="?", default=".")
+    p.add_argument("path", nargs="?", default=".", help="a folder, or the address of a repository for a dry run")
     for name in ("provider", "model", "output", "packed-file", "description", "rule-type", "on-conflict"):
         p.add_argument(f"--{name}")
     p.add_argument("--format", dest="formats", help="comma-separated")
@@ -75,12 +78,18 @@ def failed(error: Exception) -> int:
 def main(argv: list[str] | None = None) -> int:
     flags = vars(parser().parse_args(argv))
     path, explicit, echo = flags.pop("path"), flags.pop("config", None), flags.pop("echo", False)
+    gone = Temporary()
     try:
+        if git.is_remote(path):
+            copy = tempfile.mkdtemp(prefix="textloom-")
+            gone.add(copy)
+            path = str(git.clone(path, f"{copy}/source"))
         config = settings.load(flags, explicit=explicit, cwd=path)
         own = config.providers.get(config.provider, {})
         config = replace(config, model=config.model or own.get("model"))
         provider = EchoProvider if echo or config.dry_run else HttpProvider.from_env(config.provider, config.model, own.get("url") or own.get("host"), own.get("max_tokens"))
     except (ValueError, OSError) as e:
+        gone.clear()
         return failed(e)
     logging.basicConfig(level=logging.ERROR if config.quiet else logging.DEBUG if config.verbose > 1 else logging.INFO if config.verbose else logging.WARNING)
     from pyspark.sql import SparkSession
@@ -107,6 +116,7 @@ def main(argv: list[str] | None = None) -> int:
         return failed(e)
     finally:
         spark.stop()
+        gone.clear()
 
 
 if __name__ == "__main__":

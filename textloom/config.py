@@ -12,6 +12,8 @@ from .functions.paths import FORMATS, PROVIDERS
 from .operators.chunks import ChunkConfig
 from .operators.validate import CHECKS
 from .operators.writing import STRATEGIES
+from .sources.git import root_of
+from .sources.tree import split_globs
 
 FILE, PREFIX = "textloom.toml", "TEXTLOOM_"
 #: What happens if formats still fail validation: ask at a terminal (write without one), write them, or end the run.
@@ -98,7 +100,7 @@ def _checks(table: Mapping) -> dict[str, bool]:
 def files(explicit: str | None = None, cwd: str | None = None) -> list[Path]:
     """User directory, root of the repository, working directory, explicit path: each once, by its real path."""
     here = Path(cwd or os.getcwd())
-    root = next((p for p in (here, *here.parents) if (p / ".git").exists()), None)
+    root = root_of(here)
     found = [Path.home() / ".config" / "textloom" / FILE, *([root / FILE] if root else []), here / FILE, *([Path(explicit)] if explicit else [])]
     return list({p.resolve(): p for p in found if p.exists()})
 
@@ -124,7 +126,7 @@ def _typed(name: str, value):
         if isinstance(default, int) or name == "overlap":
             return int(value)
         if isinstance(default, tuple):
-            return tuple(x.strip() for x in value.split(",") if x.strip())
+            return tuple(split_globs(value))
     return tuple(value) if isinstance(value, list) else value
 
 

@@ -79,12 +79,15 @@ def syntax(rendered: DataFrame) -> DataFrame:
     return out.select("format", "w.severity", "w.layer", "w.message", F.lit(None).cast("string").alias("location"))
 
 
+def named_paths(content: Column) -> Column:
+    """Paths that a text names, sorted, each once, without URLs, versions, host names and bare names."""
+    bad = lambda r: r.startswith("http") | r.startswith("ftp") | r.contains("://") | r.rlike(r"^v[012]\.") | r.rlike(r"\.(com|org|io|dev)\z") | ~r.contains("/")
+    return F.array_sort(F.array_distinct(F.filter(F.regexp_extract_all(content, F.lit(PATH), 1), lambda r: ~bad(r))))
+
+
 def path_references(rendered: DataFrame) -> DataFrame:
-    """format, ref: distinct paths named in the content, without URLs, versions, host names and bare names."""
-    refs = rendered.select("format", F.explode(F.array_distinct(F.regexp_extract_all("content", F.lit(PATH), 1))).alias("ref"))
-    r = F.col("ref")
-    bad = r.startswith("http") | r.startswith("ftp") | r.contains("://") | r.rlike(r"^v[012]\.") | r.rlike(r"\.(com|org|io|dev)\z") | ~r.contains("/")
-    return refs.where(~bad)
+    """format, ref: the paths that each content names."""
+    return rendered.select("format", F.explode(named_paths(F.col("content"))).alias("ref"))
 
 
 def dangling(refs: DataFrame, files: DataFrame) -> DataFrame:

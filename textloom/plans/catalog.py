@@ -260,6 +260,12 @@ def path_refs(spark, sf):
     return validate.path_references(_rendered(spark, sf))
 
 
+@query(f"with {_RENDERED}, {_REFS} select format, string_agg(ref, ',' order by encode(ref)) as refs from refs group by 1")
+def sorted_paths(spark, sf):
+    refs = F.array_join(validate.named_paths(F.col("content")), ",")
+    return _rendered(spark, sf).select("format", refs.alias("refs")).where("refs <> ''")
+
+
 @query(f"with {_RENDERED}, {_REFS} select format, ref from loose")
 def dangling_refs(spark, sf):
     return validate.dangling(validate.path_references(_rendered(spark, sf)), _files(spark, sf))

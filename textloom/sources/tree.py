@@ -4,11 +4,14 @@
     spark.read.format("tree").option("include", "*.py,*.md").load("/path/of/tree")
 
 The driver lists directories and prunes ignored ones; executors read the files of their share. The tree must be a path that all of
-them see. Options: include, exclude (comma-separated globs over relative paths), on_invalid (quarantine, default, gives null content; or fail).
+them see. Options: include, exclude (globs over relative paths, separated by commas outside braces), on_invalid (for files that aren't
+UTF-8: quarantine, the default, gives null content; or fail), on_error (for what can't be listed or read: warn, the default, goes on
+without it; or fail, at the first one).
 """
 
 from __future__ import annotations
 
+import logging
 import os
 import re
 from collections.abc import Iterator
@@ -22,6 +25,12 @@ SCHEMA = "ord long, path string, size long, language string, content string"
 SHARE_BYTES = 64 << 20
 #: Folders that are never entered: version control and a run's own working folder.
 NEVER = (".git", ".textloom")
+log = logging.getLogger(__name__)
+
+
+def split_globs(text: str) -> list[str]:
+    """Globs of a list separated by commas; a comma inside braces belongs to its glob."""
+    return [g.strip() for g in re.split(r",(?![^{}]*\})", text) if g.strip()]
 
 
 @dataclass(frozen=True)
@@ -56,17 +65,26 @@ def ignored(path: str, is_directory: bool, rules: list[Rule]) -> bool:
     return False
 
 
-def walk(root: str, include: list[str] = (), exclude: list[str] = ()) -> Iterator[tuple[str, int]]:
-    """(relative path, size) of the files that stay, in path order. Those of ``NEVER`` are not entered."""
+def walk(root: str, include: list[str] = (), exclude: list[str] = (), fail: bool = False) -> Iterator[tuple[str, int]]:
+    """(relative path, size) of the files that stay, in path order. Those of ``NEVER`` are not entered. What can't be listed below the
+    root is left out with a warning, or ends the walk (``fail``)."""
     inc, exc = ([re.compile(glob_regex(g) + r"\Z") for g in globs] for globs in (include, exclude))
 
+    def listed(directory: str) -> list[os.DirEntry]:
+        try:
+            return sorted(os.scandir(os.path.join(root, directory)), key=lambda e: e.name)
+        except OSError as e:
+            if fail or not directory:
+                raise
+            log.warning("left out: %s", e)
+            return []
+
     def below(directory: str, rules: list[Rule]) -> Iterator[tuple[str, int]]:
-        full = os.path.join(root, directory)
-        own = os.path.join(full, ".gitignore")
+        own = os.path.join(root, directory, ".gitignore")
         if os.path.isfile(own):
             with open(own, encoding="utf-8", errors="replace") as f:
                 rules = rules + ignore_rules(f.read(), directory)
-        for entry in sorted(os.scandir(full), key=lambda e: e.name):
+        for entry in listed(directory):
             path = f"{directory}/{entry.name}" if directory else entry.name
             if entry.is_symlink() or entry.name in NEVER:
                 continue
@@ -88,12 +106,13 @@ class Share(InputPartition):
 class TreeReader(DataSourceReader):
     def __init__(self, options: dict) -> None:
         self.root = options["path"].removeprefix("file://")
-        self.include, self.exclude = ([g for g in options.get(k, "").split(",") if g] for k in ("include", "exclude"))
+        self.include, self.exclude = (split_globs(options.get(k, "")) for k in ("include", "exclude"))
         self.fail = options.get("on_invalid", "quarantine") == "fail"
+        self.abort = options.get("on_error", "warn") == "fail"
 
     def partitions(self) -> list[Share]:
         shares, size = [Share([])], 0
-        for i, (path, n) in enumerate(walk(self.root, self.include, self.exclude)):
+        for i, (path, n) in enumerate(walk(self.root, self.include, self.exclude, self.abort)):
             if size + n > SHARE_BYTES and shares[-1].files:
                 shares.append(Share([]))
                 size = 0
@@ -103,14 +122,18 @@ class TreeReader(DataSourceReader):
 
     def read(self, partition: Share) -> Iterator[tuple]:
         for i, path, n in partition.files:
-            with open(os.path.join(self.root, path), "rb") as f:
-                raw = f.read()
+            content = None
             try:
-                content = raw.decode("utf-8")
+                with open(os.path.join(self.root, path), "rb") as f:
+                    content = f.read().decode("utf-8")
             except UnicodeDecodeError:
                 if self.fail:
                     raise
-                content = None
+            except OSError as e:
+                if self.abort:
+                    raise
+                log.warning("left out: %s", e)
+                continue
             m = re.search(r"[^/]\.([^./]+)$", path)
             yield i, path, n, LANGUAGES.get(m[1]) if m else None, content
 
