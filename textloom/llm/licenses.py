@@ -84,33 +84,33 @@ KNOWN = (
     *NOTICES,
     *((name, f"SPDX-License-Identifier: {name}") for name in IDENTIFIERS),
 )
-#: SHA-256 of the canonical texts of long licences as their publishers give them: whole, and without the part on how to apply them.
+#: First word and SHA-256 of the canonical texts of long licences as their publishers give them: whole, and without the part on how to apply them.
 KNOWN_DIGESTS = (
-    ("Apache-2.0", "51085de26d90e0558673739ebd868dc7d0474550fd6e4f2962eb702a1b4ac653"),
-    ("Apache-2.0", "83b53f7b4c6dca95852ea0e4b5b9447bfd15c65c764ed048818607b024bd88ab"),
-    ("Apache-2.0", "9cb66e97ff612a35e4f0097ae504463a5a127f95c7296d4d10f43ebc1683b083"),
-    ("CC0-1.0", "877c00a42865ff0c2c3bc11b3a08fa1db220389d7885d8793171728e5964b240"),
-    ("GPL-1.0", "fbdaa6604a3a3d4d9333017936f43d7b509043ed72936cd27f6941e763258b13"),
-    ("GPL-1.0", "3d12c9dc2989c712c768ad3508b6abb2e530106d3b0abed71501eef41da8ec20"),
-    ("GPL-1.0", "52ad1d1b4e3456a70f304f7ad4847b66651c6c05ec9f23c43bff5202a5cc3a32"),
-    ("GPL-2.0", "ed4d4fd0c4fcd33b8e8a05d8391316b68d98e0bd40d2d1b8725dd95d2f301624"),
-    ("GPL-2.0", "9a4281e8772dd52ee5972b849c4123df96e36e4fb969206243d860f7cc3c5a40"),
-    ("GPL-2.0", "b61e7f8341a7d68e19143badf473eb4f02f72d02d3cda80a9093beddde98ac97"),
-    ("GPL-3.0", "ca0d5a7a35e23bc82a15550165118c444d6f9f5ede64b6210deef378cedad664"),
-    ("GPL-3.0", "502b5575da3de01064102ce458d87ef316cbb311442e5f94aa6436cd33641b68"),
-    ("GPL-3.0", "e6be321982b28297cd457b83c5b216763bd4d4ec6c069c098840f5fd60fc520e"),
-    ("LGPL-2.0", "757def95eaa0e47ad49580d84614690751e727ecbfd5a607ebc7ed6301c8307a"),
-    ("LGPL-2.0", "550e199da5eae25d6940603a484c31a0608bd18085e26630e3679c2562a45d02"),
-    ("LGPL-2.0", "328dad85228df27bf3da8b90bc2b58e800ad6eb0dcfbe11aba808087819a16df"),
-    ("LGPL-2.1", "3aa4039ab4fdedfb52d2c963c193c95b7864e4f2811bff69563fe394be9c2812"),
-    ("LGPL-2.1", "777be3aab6c8701494c2c830f14470212f7b7f53224af6e359b4f10e36fed873"),
-    ("LGPL-2.1", "4428669ad5511808eebca51e4f4c670e4195840cd525fc57342fad17a291cc9d"),
-    ("LGPL-3.0", "aa41693166276e63c9e71cfd7dc3663b36bc5fbc9ffb001af043cd6438ff0c48"),
-    ("MPL-1.1", "5e41512795ef3335aa857b8dca76f2b71663ecec720fa8774dcae58c4216fbf2"),
-    ("MPL-2.0", "7acfd5ba5d9a9d642a545a8180aaf499e2df4f526593ac56027999053bccc09a"),
-    ("GFDL-1.2", "c9ab9242d765e12183c6313d1caa46d1b64022bd74a8f9d2cb71bb25f416ef66"),
-    ("GFDL-1.3", "505109555591e4ce3a4618c2aeea12c032b26316f27d1601ea6e81331970c937"),
-    ("Artistic-1.0", "3b76f6618f28b83b2850718ba9fc1a5b0b48a39250a6bd9dfc613b7a78017ab9"),
+    ("Apache-2.0", "apache", "51085de26d90e0558673739ebd868dc7d0474550fd6e4f2962eb702a1b4ac653"),
+    ("Apache-2.0", "apache", "83b53f7b4c6dca95852ea0e4b5b9447bfd15c65c764ed048818607b024bd88ab"),
+    ("Apache-2.0", "apache", "9cb66e97ff612a35e4f0097ae504463a5a127f95c7296d4d10f43ebc1683b083"),
+    ("CC0-1.0", "creative", "877c00a42865ff0c2c3bc11b3a08fa1db220389d7885d8793171728e5964b240"),
+    ("GPL-1.0", "gnu", "fbdaa6604a3a3d4d9333017936f43d7b509043ed72936cd27f6941e763258b13"),
+    ("GPL-1.0", "gnu", "3d12c9dc2989c712c768ad3508b6abb2e530106d3b0abed71501eef41da8ec20"),
+    ("GPL-1.0", "gnu", "52ad1d1b4e3456a70f304f7ad4847b66651c6c05ec9f23c43bff5202a5cc3a32"),
+    ("GPL-2.0", "gnu", "ed4d4fd0c4fcd33b8e8a05d8391316b68d98e0bd40d2d1b8725dd95d2f301624"),
+    ("GPL-2.0", "gnu", "9a4281e8772dd52ee5972b849c4123df96e36e4fb969206243d860f7cc3c5a40"),
+    ("GPL-2.0", "gnu", "b61e7f8341a7d68e19143badf473eb4f02f72d02d3cda80a9093beddde98ac97"),
+    ("GPL-3.0", "gnu", "ca0d5a7a35e23bc82a15550165118c444d6f9f5ede64b6210deef378cedad664"),
+    ("GPL-3.0", "gnu", "502b5575da3de01064102ce458d87ef316cbb311442e5f94aa6436cd33641b68"),
+    ("GPL-3.0", "gnu", "e6be321982b28297cd457b83c5b216763bd4d4ec6c069c098840f5fd60fc520e"),
+    ("LGPL-2.0", "gnu", "757def95eaa0e47ad49580d84614690751e727ecbfd5a607ebc7ed6301c8307a"),
+    ("LGPL-2.0", "gnu", "550e199da5eae25d6940603a484c31a0608bd18085e26630e3679c2562a45d02"),
+    ("LGPL-2.0", "gnu", "328dad85228df27bf3da8b90bc2b58e800ad6eb0dcfbe11aba808087819a16df"),
+    ("LGPL-2.1", "gnu", "3aa4039ab4fdedfb52d2c963c193c95b7864e4f2811bff69563fe394be9c2812"),
+    ("LGPL-2.1", "gnu", "777be3aab6c8701494c2c830f14470212f7b7f53224af6e359b4f10e36fed873"),
+    ("LGPL-2.1", "gnu", "4428669ad5511808eebca51e4f4c670e4195840cd525fc57342fad17a291cc9d"),
+    ("LGPL-3.0", "gnu", "aa41693166276e63c9e71cfd7dc3663b36bc5fbc9ffb001af043cd6438ff0c48"),
+    ("MPL-1.1", "mozilla", "5e41512795ef3335aa857b8dca76f2b71663ecec720fa8774dcae58c4216fbf2"),
+    ("MPL-2.0", "mozilla", "7acfd5ba5d9a9d642a545a8180aaf499e2df4f526593ac56027999053bccc09a"),
+    ("GFDL-1.2", "gnu", "c9ab9242d765e12183c6313d1caa46d1b64022bd74a8f9d2cb71bb25f416ef66"),
+    ("GFDL-1.3", "gnu", "505109555591e4ce3a4618c2aeea12c032b26316f27d1601ea6e81331970c937"),
+    ("Artistic-1.0", "the", "3b76f6618f28b83b2850718ba9fc1a5b0b48a39250a6bd9dfc613b7a78017ab9"),
 )
 #: Equivalent spellings (words, one form), applied to canonical words from left to right.
 SPELLINGS = (
@@ -127,22 +127,38 @@ _BULLET = r"^[^\p{L}\p{N}\n]*(\d{1,2}|[a-z])[.)][ \t]"
 _OTHER = r"[^\p{L}\p{N}]+"
 
 
-def canonical(text: F.Column, line: bool = False) -> F.Column:
-    """``line``: a single line, of which nothing is dropped."""
+def plain(text: F.Column, line: bool = False) -> F.Column:
+    """The canonical form before spellings. ``line``: a single line, of which nothing is dropped."""
     out = F.lower(text)
     if not line:
         out = F.regexp_replace(F.regexp_replace(out, "(?dm)" + _DROPPED, ""), "(?dm)" + _BULLET, "")
+    return F.trim(F.regexp_replace(out, _OTHER, " "))
+
+
+def spelled(words: F.Column) -> F.Column:
     # Two blanks between words, so that neighbours don't share one and each is met by " word ".
-    out = F.concat(F.lit(" "), F.replace(F.trim(F.regexp_replace(out, _OTHER, " ")), F.lit(" "), F.lit("  ")), F.lit(" "))
+    out = F.concat(F.lit(" "), F.replace(words, F.lit(" "), F.lit("  ")), F.lit(" "))
     for old, new in SPELLINGS:
         out = F.replace(out, F.lit(f" {old} ".replace(" ", "  ")[1:-1]), F.lit(f" {new} "))
     return F.trim(F.replace(out, F.lit("  "), F.lit(" ")))
 
 
+def canonical(text: F.Column, line: bool = False) -> F.Column:
+    return spelled(plain(text, line))
+
+
 def digest(text: F.Column, line: bool = False) -> F.Column:
     return F.sha2(canonical(text, line).cast("binary"), 256)
 
 
+def first_words(canonical_firsts: set[str]) -> list[str]:
+    """Every word that a plain form may begin with if its canonical form begins with one of these."""
+    out = set(canonical_firsts)
+    while more := {old.split()[0] for old, new in SPELLINGS if new.split()[0] in out} - out:
+        out |= more
+    return sorted(out)
+
+
 def scan(docs: DataFrame, known: tuple = KNOWN, known_digests: tuple = KNOWN_DIGESTS) -> DataFrame:
     """One row per document: doc_id, license (of the whole text, or null), n_notices, notices (distinct licences of its lines, sorted and comma-joined).
 
@@ -154,14 +170,19 @@ def scan(docs: DataFrame, known: tuple = KNOWN, known_digests: tuple = KNOWN_DIG
     docs = spread(docs)
     rows = spark.createDataFrame(list(known), "license string, text string")
 
-    def table(line: bool) -> DataFrame:
-        """A fixed table of at most len(known) + len(known_digests) rows."""
-        found = rows.select("license", digest(F.col("text"), line).alias("digest")).where(F.col("digest") != F.sha2(F.lit("").cast("binary"), 256))
-        return F.broadcast(found.unionByName(spark.createDataFrame(list(known_digests), "license string, digest string")).dropDuplicates(["digest"]))
-
-    whole = docs.select("doc_id", digest(F.coalesce("text", F.lit(""))).alias("digest")).join(table(False), "digest", "left").select("doc_id", "license")
-    lines = docs.select("doc_id", F.explode(F.split("text", "\n")).alias("line"))
-    lines = lines.select("doc_id", digest(F.col("line"), True).alias("digest")).join(table(True), "digest")
+    def looked_up(texts: DataFrame, text: str, line: bool, how: str) -> DataFrame:
+        """``texts`` joined to the licence of each canonical text. Only those that begin as a known one does are spelled and digested."""
+        found = rows.select("license", canonical(F.col("text"), line).alias("c")).where("c <> ''")
+        starts = {r[0] for r in found.select(F.substring_index("c", " ", 1)).distinct().collect()}  # at most len(known)
+        # A fixed table of at most len(known) + len(known_digests) rows.
+        table = found.select("license", F.sha2(F.col("c").cast("binary"), 256).alias("digest"))
+        table = table.unionByName(spark.createDataFrame([(k, d) for k, _, d in known_digests], "license string, digest string")).dropDuplicates(["digest"])
+        words = plain(F.col(text), line)
+        like = F.substring_index(words, " ", 1).isin(first_words(starts | {w for _, w, _ in known_digests}))
+        return texts.select("doc_id", F.when(like, F.sha2(spelled(words).cast("binary"), 256)).alias("digest")).join(F.broadcast(table), "digest", how)
+
+    whole = looked_up(docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")), "text", False, "left").select("doc_id", "license")
+    lines = looked_up(docs.select("doc_id", F.explode(F.split("text", "\n")).alias("line")), "line", True, "inner")
     notices = lines.groupBy("doc_id").agg(F.count("*").alias("n_notices"), F.array_join(F.array_sort(F.collect_set("license")), ",").alias("notices"))
     return whole.join(notices, "doc_id", "left").select("doc_id", "license", F.coalesce("n_notices", F.lit(0)).cast("long").alias("n_notices"), F.coalesce("notices", F.lit("")).alias("notices"))
 
@@ -181,7 +202,7 @@ def _canonical_sql(text: str, line: bool = False) -> str:
 def oracle() -> str:
     """DuckDB SQL for ``scan`` over the table documents."""
     rows = ", ".join(f"({_quoted(k)}, {_quoted(t)})" for k, t in KNOWN)
-    listed = ", ".join(f"({_quoted(k)}, {_quoted(d)})" for k, d in KNOWN_DIGESTS)
+    listed = ", ".join(f"({_quoted(k)}, {_quoted(d)})" for k, _, d in KNOWN_DIGESTS)
 
     def known(line: bool) -> str:
         return f"select any_value(license) as license, d from (select license, sha256({_canonical_sql('text', line)}) as d from (values {rows}) v(license, text) union all select * from (values {listed}) w(license, d)) where d <> sha256('') group by d"
