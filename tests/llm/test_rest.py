@@ -366,6 +366,23 @@ def test_nearest(spark, sf):
     assert ann.nearest(df.limit(0), df.limit(0)).count() == 0
 
 
+def test_recall_on_a_full_block(spark):
+    """More candidates than one block has, none of whose vectors helps another's codes: random directions, the hardest case."""
+    n, draw = ann.CANDIDATE_BLOCK + 1000, np.random.default_rng(11)
+    x = draw.normal(size=(n, 64)).astype(np.float32)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<float>")
+    got = {}
+    for r in ann.nearest(df, df.where("vec_id % 400 = 0")).collect():
+        got.setdefault(r["query_id"], set()).add(r["vec_id"])
+    hits = total = 0
+    for q, found in got.items():
+        s = x.astype(np.float64) @ x[q].astype(np.float64)
+        s[q] = -np.inf
+        hits += len(found & set(np.argsort(-s)[:20].tolist()))
+        total += 20
+    assert len(got) == -(-n // 400) and hits >= 0.9 * total, hits / total
+
+
 def test_double_vectors_keep_their_digits(spark):
     x = np.random.default_rng(2).normal(size=(200, 8))
     df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
