@@ -30,6 +30,7 @@ def parser() -> argparse.ArgumentParser:
         p.add_argument(f"--{name}")
     p.add_argument("--format", dest="formats", help="comma-separated")
     p.add_argument("--config")
+    p.add_argument("--work", help="folder that driver and executors share, for stage tables and model answers; PATH/.textloom on a single machine")
     for name in ("include", "exclude"):
         p.add_argument(f"--{name}", action="append")
     p.add_argument("--chunk-size", type=int)
@@ -77,7 +78,7 @@ def failed(error: Exception) -> int:
 
 def main(argv: list[str] | None = None) -> int:
     flags = vars(parser().parse_args(argv))
-    path, explicit, echo = flags.pop("path"), flags.pop("config", None), flags.pop("echo", False)
+    path, explicit, echo, work = flags.pop("path"), flags.pop("config", None), flags.pop("echo", False), flags.pop("work", None)
     gone = Temporary()
     try:
         if git.is_remote(path):
@@ -99,7 +100,7 @@ def main(argv: list[str] | None = None) -> int:
         person = sys.stdin.isatty() and not config.quiet
         said = (lambda step: print(f"... {step}", file=sys.stderr)) if not config.quiet and sys.stderr.isatty() else log.info
         result = plan.run(
-            spark, path, config, provider, timestamp=f"{datetime.now(UTC):%Y-%m-%dT%H:%M:%SZ}", progress=said,
+            spark, path, config, provider, work, timestamp=f"{datetime.now(UTC):%Y-%m-%dT%H:%M:%SZ}", progress=said,
             confirm=confirmed if person else None, on_failure=written_anyway if person and not config.no_confirm else None, ask=chosen if person else None,
         )
         if not config.quiet:

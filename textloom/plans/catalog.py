@@ -93,9 +93,11 @@ def language_top3_other(spark, sf):
     return corpus.top_languages(_table(spark, sf, "documents").groupBy(F.col("source").alias("language")).agg(F.count("*").alias("files")))
 
 
-@query(f"with {_F} select source, sha256(string_agg('--- ' || path || ' ---' || chr(10) || compressed_content || chr(10) || chr(10), '' order by ord)) as sha256 from f group by 1")
+@query(f"with {_F} select source || '/' || ord // 100 as project, sha256(string_agg('--- ' || path || ' ---' || chr(10) || compressed_content || chr(10) || chr(10), '' order by ord)) as sha256 from f group by 1")
 def formatted_corpus(spark, sf):
-    return corpus.formatted_corpus(_files(spark, sf), "source").select("source", F.sha2(F.col("corpus").cast("binary"), 256).alias("sha256"))
+    """Projects of a hundred files at most."""
+    files = _files(spark, sf).withColumn("project", F.concat("source", F.lit("/"), F.expr("ord div 100").cast("string")))
+    return corpus.formatted_corpus(files, "project").select("project", F.sha2(F.col("corpus").cast("binary"), 256).alias("sha256"))
 
 
 _LEDGER = "l as (select conv_id, turn, len(text)::bigint as input_tokens, (strlen(text) // 4)::bigint as output_tokens from conversations)"

@@ -72,6 +72,8 @@ def run(spark: SparkSession, root: str, config: Config, provider: Callable[[], a
     """
     began = time.monotonic()
     if work is None:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("name a work folder that the driver and all executors share")
         work = os.path.join(root, ".textloom")
         if os.path.isdir(root) and not config.dry_run:
             ensure_ignored(root, ".textloom/")
