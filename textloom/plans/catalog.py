@@ -363,8 +363,8 @@ def format_detect(spark, sf):
     return _table(spark, sf, "pages").select("page_id", paths.packed_format(path, content).alias("kind"))
 
 
-#: Packs of at most 30 whole texts. Those that Markdown fences or XML can't carry unchanged go into JSON.
-_PACK = r"""select pack, (row_number() over (partition by pack order by doc_id) - 1)::int as ord, path, content from (select doc_id, 'pack' || (doc_id // 30) || (['.md','.json','.xml'])[kind + 1] as pack, source || '/' || doc_id || '.txt' as path, content
+#: Packs of at most 30 whole texts. Those that Markdown fences or XML can't carry unchanged go into JSON, in either of its forms.
+_PACK = r"""select pack, (row_number() over (partition by pack order by case when pack like '%.json' and doc_id // 30 % 2 = 1 then encode(path) end, doc_id) - 1)::int as ord, path, content from (select doc_id, 'pack' || (doc_id // 30) || (['.md','.json','.xml'])[kind + 1] as pack, source || '/' || doc_id || '.txt' as path, content
   from (select doc_id, source, coalesce(text, '') as content, case when regexp_matches(coalesce(text, ''), '[`\x00-\x08\x0b-\x1f\x{fffe}\x{ffff}]') then 1 else doc_id % 3 end::int as kind from documents))"""
 
 
@@ -375,11 +375,12 @@ def packed_files(spark, sf):
     docs = _table(spark, sf, "documents").select("doc_id", F.expr("doc_id div 30").alias("pack"), kind.alias("kind"), F.concat("source", F.lit("/"), F.col("doc_id").cast("string"), F.lit(".txt")).alias("path"), t.alias("t"))
     escaped = F.replace(F.replace(F.replace("t", F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&#62;"))
     body = F.when(F.col("doc_id") % 2 == 0, escaped).when(F.col("t").contains("]]>"), escaped).otherwise(F.concat(F.lit("<![CDATA["), "t", F.lit("]]>")))
-    part = F.when(F.col("kind") == 0, F.concat(F.lit("## File: "), "path", F.lit("\n\n```text\n"), "t", F.lit("```\n\n"))).when(F.col("kind") == 1, F.to_json(F.struct("path", F.col("t").alias("content")))).otherwise(F.concat(F.lit('<file path="'), "path", F.lit('">'), body, F.lit("</file>")))
+    part = F.when(F.col("kind") == 0, F.concat(F.lit("## File: "), "path", F.lit("\n\n```text\n"), "t", F.lit("```\n\n"))).when((F.col("kind") == 1) & (F.col("pack") % 2 == 1), F.regexp_replace(F.to_json(F.create_map("path", "t")), r"(?s)^\{(.*)\}\z", "$1")).when(F.col("kind") == 1, F.to_json(F.struct("path", F.col("t").alias("content")))).otherwise(F.concat(F.lit('<file path="'), "path", F.lit('">'), body, F.lit("</file>")))
     parts = F.transform(F.array_sort(F.collect_list(F.struct("doc_id", part.alias("p")))), lambda r: r["p"])
     packs = docs.groupBy("pack", "kind").agg(parts.alias("parts"))
     name = F.concat(F.lit("pack"), F.col("pack").cast("string"), F.element_at(F.array(F.lit(".md"), F.lit(".json"), F.lit(".xml")), F.col("kind") + 1))
-    content = F.when(F.col("kind") == 0, F.array_join("parts", "")).when(F.col("kind") == 1, F.concat(F.lit("["), F.array_join("parts", ","), F.lit("]"))).otherwise(F.concat(F.lit("<files>"), F.array_join("parts", ""), F.lit("</files>")))
+    table = F.concat(F.lit('{"files": {'), F.array_join("parts", ","), F.lit("}}"))
+    content = F.when(F.col("kind") == 0, F.array_join("parts", "")).when((F.col("kind") == 1) & (F.col("pack") % 2 == 1), table).when(F.col("kind") == 1, F.concat(F.lit("["), F.array_join("parts", ","), F.lit("]"))).otherwise(F.concat(F.lit("<files>"), F.array_join("parts", ""), F.lit("</files>")))
     return packed.parsed(packs.select(name.alias("path"), content.alias("content")))
 
 
