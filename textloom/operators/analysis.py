@@ -210,10 +210,13 @@ def merge_inputs(parts: DataFrame, key: str) -> DataFrame:
 def merged(parts: DataFrame, key: str, desk: Desk) -> DataFrame:
     """(key, analysis): one chunk's analysis as it is, several merged by one more call."""
     groups = merge_inputs(parts, key)
+    single = groups.where("n = 1").select(key, F.col("analyses").alias("analysis"))
     several = groups.where("n > 1")
+    if several.isEmpty():
+        return single
     prompt = rendered(MERGE_TEMPLATE, count=F.col("n").cast("string"), analyses=F.col("analyses"))
     called = desk.completed(several.select(key, prompt.alias("prompt")), "merge", F.col(key), Options().for_merge())
-    return groups.where("n = 1").select(key, F.col("analyses").alias("analysis")).unionByName(called.select(key, F.col("text").alias("analysis")))
+    return single.unionByName(called.select(key, F.col("text").alias("analysis")))
 
 
 def _requirements(format_: Column) -> Column:

@@ -120,8 +120,8 @@ def run(spark: SparkSession, root: str, config: Config, provider: Callable[[], a
     progress("validation")
     if config.retry_on_validation_failure:
         rules, _, _ = analysis.fixed(rules, find, desk, config.max_retries)
-    found = find(rules)
-    results = validate.results(rules, found)
+    rules, found = space.stage(rules, "rules"), space.stage(find(rules), "findings")
+    results = space.stage(validate.results(rules, found), "results")
     failed = sorted(r["format"] for r in results.where("not passed").collect())
     if failed and (config.on_failure == "cancel" or config.on_failure == "ask" and on_failure and not on_failure(failed)):
         raise Declined("formats failed validation: " + ", ".join(failed))
