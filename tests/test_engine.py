@@ -246,7 +246,7 @@ def test_waves(spark, tmp_path):
     client = Counting(str(tmp_path / "log"))
     desk = analysis.Desk(client, f"{tmp_path}/store", 1)
     out = analysis.analysed(parts, "key", spark.createDataFrame([("k", 2, "python", 0.5)], FACTS), desk)
-    assert out.count() == n == client.calls and len(os.listdir(tmp_path / "store" / "answers")) == 4
+    assert out.count() == n == client.calls and len(os.listdir(tmp_path / "store" / "answers")) == 4 + 1
 
 
 def test_fix_loop(spark, tmp_path):

@@ -142,12 +142,8 @@ class Desk:
 
     def _stored(self, spark: SparkSession) -> DataFrame:
         # Each call of ``completed`` adds folders, since Spark takes two reads of one folder for the same table even if files came between.
-        try:
-            return spark.read.schema(STORED).parquet(f"{self.store}/answers/*").where("error is null")
-        except Exception as e:
-            if "PATH_NOT_FOUND" not in str(e):
-                raise
-            return spark.createDataFrame([], STORED)
+        spark.createDataFrame([], STORED).write.mode("ignore").parquet(f"{self.store}/answers/none")
+        return spark.read.schema(STORED).parquet(f"{self.store}/answers/*").where("error is null")
 
     def ledger(self, spark: SparkSession) -> DataFrame:
         """A row for each call that the results rest on (operation, item, attempt, digest, input_tokens, output_tokens)."""
