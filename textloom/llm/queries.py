@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, bpe, licenses, packing, quality_pu, quality_rules, secret_scan, simhash, substring, toxicity
+from . import ann, bpe, hard_negatives, kdtree, licenses, packing, quality_pu, quality_rules, secret_scan, simhash, substring, toxicity
 from .common import documents
 
 
@@ -59,9 +59,20 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
+def op11_centroid_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return kdtree.cluster(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hard_negatives.mine(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_simhash, op2_quality_rules, op3_license_scan, op4_secret_scan, op5_quality_classifier, op6_byte_bpe, op7_nearest_neighbours, op8_substring_dedup, op9_packing, op10_toxicity)
+    for f in (
+        op1_simhash, op2_quality_rules, op3_license_scan, op4_secret_scan, op5_quality_classifier, op6_byte_bpe, op7_nearest_neighbours, op8_substring_dedup, op9_packing, op10_toxicity,
+        op11_centroid_clustering, op13_hard_negatives,
+    )
 }
 
 ORACLE_SQL: dict[str, str] = {"op2_quality_rules": quality_rules.ORACLE, "op3_license_scan": licenses.oracle()}
