@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, bpe, hard_negatives, kdtree, licenses, packing, quality_pu, quality_rules, secret_scan, simhash, substring, toxicity
+from . import ann, bpe, hard_negatives, kdtree, licenses, packing, quality_pu, quality_rules, secret_scan, simhash, substring, suffixes, toxicity
 from .common import documents
 
 
@@ -63,6 +63,10 @@ def op11_centroid_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kdtree.cluster(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
 
 
+def op12_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffixes.dedup_bytes(documents(spark, sf_dir))
+
+
 def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hard_negatives.mine(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
 
@@ -71,7 +75,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_simhash, op2_quality_rules, op3_license_scan, op4_secret_scan, op5_quality_classifier, op6_byte_bpe, op7_nearest_neighbours, op8_substring_dedup, op9_packing, op10_toxicity,
-        op11_centroid_clustering, op13_hard_negatives,
+        op11_centroid_clustering, op12_suffix_dedup, op13_hard_negatives,
     )
 }
 
