@@ -33,9 +33,9 @@ from .induced import Scratch, suffixes
 
 WINDOW, GRAM = 50, 16
 #: Bytes of a chunk's texts, of a shard's strings and of a shard of keys, on average; bytes of texts that are hashed at a time.
-CHUNK, SHARD, KEYS, SLICE = 8 << 20, 6 << 20, 16 << 20, 2 << 20
+CHUNK, SHARD, KEYS, SLICE = 8 << 20, 10 << 20, 16 << 20, 2 << 20
 #: Strings of a key from which on they are dealt to blocks of as many.
-HOT = 20_000
+HOT = 100_000
 #: Bytes of an Arrow batch of packed rows.
 BATCH_BYTES = 32 << 20
 MOST_BUCKETS = 100_000
@@ -47,10 +47,19 @@ def _pack(x: np.ndarray) -> bytes:
     return zstandard.compress(x.tobytes(), 1)
 
 
+def _pack_steps(x: np.ndarray) -> bytes:
+    """Numbers that mostly rise, by their differences."""
+    return _pack(np.diff(x, prepend=0))
+
+
 def _unpack(b: bytes, dtype: type) -> np.ndarray:
     return np.frombuffer(zstandard.decompress(b), dtype)
 
 
+def _unpack_steps(b: bytes) -> np.ndarray:
+    return np.cumsum(_unpack(b, np.int64))
+
+
 class _Rows:
     """Rows of one schema, given out as Arrow batches."""
 
@@ -251,8 +260,8 @@ def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[list[dict]]:
 
 # --- strings
 
-_STRING = pa.schema([("shard", pa.int64()), ("part", pa.int64()), ("size", pa.int64()), ("a", pa.binary()), ("b", pa.binary()), ("c", pa.binary()), ("d", pa.binary()), ("hot", pa.binary())])
-_STRING_DDL = "shard long, part long, size long, a binary, b binary, c binary, d binary, hot binary"
+_STRING = pa.schema([("shard", pa.int64()), ("part", pa.int64()), ("a", pa.binary()), ("b", pa.binary()), ("least", pa.binary()), ("more", pa.binary()), ("text", pa.binary()), ("hot", pa.binary())])
+_STRING_DDL = "shard long, part long, a binary, b binary, least binary, more binary, text binary, hot binary"
 
 
 def _string_batches(bits: int, shards: int, window: int, gram: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -289,9 +298,9 @@ def _string_batches(bits: int, shards: int, window: int, gram: int, batches: Ite
             cuts = [0, *(np.flatnonzero(np.diff(shard[by])) + 1).tolist(), len(by)]
             for lo, hi in zip(cuts, cuts[1:], strict=False):
                 at = by[lo:hi]
-                spans = np.stack([least[at], most[at]])
-                out.add(int(shard[at[0]]), row["part"], int(size[at].sum()), _pack(np.stack([at, size[at]]).astype(np.int32)), _pack(spans), zstandard.compress(b"".join([texts[i] for i in at.tolist()]), 1), b"", np.packbits(blocks[at] > 1).tobytes())
-            out.add(-1, row["part"], 0, _pack(start), _pack(number.astype(np.int32)), b"", b"", b"")
+                text = zstandard.compress(b"".join([texts[i] for i in at.tolist()]), 3)
+                out.add(int(shard[at[0]]), row["part"], _pack_steps(at), _pack(size[at].astype(np.int32)), _pack_steps(least[at]), _pack(most[at] - least[at]), text, np.packbits(blocks[at] > 1).tobytes())
+            out.add(-1, row["part"], _pack_steps(start), _pack_steps(number), b"", b"", b"", b"")
             yield from out.full()
 
 
@@ -358,10 +367,10 @@ def _shard_answers(rows: list[dict], window: int, scratch: Scratch) -> Iterator[
     strings: dict[bytes, int] = {}
     owner_part, owner_number, owner_string, owner_most, least, hot = [], [], [], [], [], []
     for r in rows:
-        number, size = _unpack(r["a"], np.int32).reshape(2, -1)
-        low, high = _unpack(r["b"], np.int64).reshape(2, -1)
+        number, size, low = _unpack_steps(r["a"]), _unpack(r["b"], np.int32), _unpack_steps(r["least"])
+        high = low + _unpack(r["more"], np.int64)
         dealt = np.unpackbits(np.frombuffer(r["hot"], np.uint8), count=len(size)).tolist()
-        text, ends = zstandard.decompress(r["c"]), np.cumsum(size).tolist()
+        text, ends = zstandard.decompress(r["text"]), np.cumsum(size).tolist()
         for i, (lo, hi) in enumerate(zip([0, *ends[:-1]], ends, strict=True)):
             k = strings.setdefault(text[lo:hi], len(strings))
             if k == len(least):
@@ -431,7 +440,7 @@ def _gone(chunk: _Chunk, found: list[dict], window: int) -> np.ndarray:
     edge = np.zeros(len(chunk.data) + 1, np.int32)
     owners = [f for f in found if f["kind"] == 0]
     if owners:
-        start, number = _unpack(owners[0]["a"], np.int64), _unpack(owners[0]["b"], np.int32)
+        start, number = _unpack_steps(owners[0]["a"]), _unpack_steps(owners[0]["b"])
         by = np.argsort(number, kind="stable")
         start, number = start[by], number[by]
         ids = np.array([i if i is not None else 0 for i in chunk.ids], np.int64)
