@@ -83,3 +83,9 @@ def test_every_row_gets_its_own_decision(spark, corpus, sf):
     rows = [(1, "a b c d e f g"), (2, "a b c d e f g"), (2, words)]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     assert sorted(tuple(r) for r in corpus_pipeline.drop_near_duplicates(spark, docs, sf).collect()) == [rows[0], rows[2]]
+
+    draw = np.random.default_rng(2)
+    text = [f"w{x}" for x in draw.integers(0, 10**6, 3000)]
+    rows = [(1, " ".join(text)), (5, " ".join([*text[:1500], "other", *text[1501:]])), (5, words)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted(tuple(r) for r in corpus_pipeline.drop_near_duplicates(spark, docs, sf).collect()) == [rows[0], rows[2]]

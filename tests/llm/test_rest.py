@@ -223,33 +223,142 @@ def test_grammar():
     def clauses(text):
         return [(toxicity.LABELS[k], w) for k, w in toxicity.GRAMMAR.clauses([lexicon[x] for x in toxicity._TOKEN.findall(text.lower())])]
 
-    assert clauses("a plain idiot") == [("plain", 3.0)]
-    assert clauses("you are an idiot. some idiot") == [("aimed", 3.0), ("plain", 3.0)]
-    assert clauses("an idiot, you zorgel") == [("aimed", 5.0)]
-    assert clauses("not an idiot. you are never a zorgel") == [("negated", 3.0), ("negated", 2.0)]
-    assert clauses("not an idiot, but this one is an idiot") == [("plain", 6.0)]
-    assert clauses('it said "you idiot"') == [("reported", 3.0)] and clauses('it said "idiot. moron" idiot') == [("reported", 3.0), ("plain", 6.0)]
-    assert clauses("i will kill you") == [("threat", 1.0)] and clauses("they kill. time") == [("threat", 1.0)] and clauses("to kill. you") == []
-    assert clauses("i will not kill you") == [("negated", 1.0)] and clauses("it said i will kill you") == [("reported", 1.0)]
-    assert clauses("zorgel zorg") == [("plain", 2.0)] and clauses("") == [] and clauses("said. not you") == []
+    close = lambda got, *want: [k for k, _ in got] == [k for k, _ in want] and np.allclose([w for _, w in got], [w for _, w in want])
+    assert clauses("some plain idiot") == [] and clauses("kill time") == [] and clauses("the kill") == [] and clauses("") == []
+    assert close(clauses("this is trash"), ("definite", 3.0)) and close(clauses("pathetic clown"), ("definite", 6.0))
+    assert close(clauses("you are an idiot. some idiot"), ("aimed", 4.5))
+    assert close(clauses("an idiot, you zorgel"), ("aimed", 7.5)) and close(clauses("the zorgel zorg"), ("definite", 2.0))
+    assert close(clauses("this is not an idiot. you are never a zorgel"), ("negated", 0.3), ("negated", 0.3))
+    assert close(clauses("not an idiot, but this one is an idiot"), ("definite", 3.3))
+    assert close(clauses('it said "you idiot"'), ("reported", 0.45)) and close(clauses('it said "the idiot. some moron" idiot'), ("reported", 0.3))
+    assert close(clauses("the word idiot comes from Greek"), ("reported", 0.3))
+    assert close(clauses("i will kill you"), ("threat", 4.5)) and close(clauses("they kill. time"), ("threat", 4.5)) and clauses("to kill. you") == []
+    assert close(clauses("i will not kill you"), ("negated", 0.45)) and close(clauses("it said i will kill you"), ("reported", 0.45))
+    assert close(clauses("you idiot i will kill you"), ("threat", 9.0)) and close(clauses("this idiot kills to kill"), ("definite", 3.0))
+
+
+CLEAN = "there are many plain words about rivers and roads here, and nothing else at all in them. " * 4
+
+
+def probability(text, model):
+    lexicon, weights = toxicity.Lexicon(model[0]), model[1]
+    return 1 / (1 + np.exp(-(np.dot(toxicity.features(text, lexicon), weights[:-1]) + weights[-1])))
+
+
+def test_clauses_and_not_words_decide(spark):
+    """Mentions, negated and reported insults stay below the threshold, alone and in prose; aimed ones are above it, also without labels to learn from."""
+    big = "/root/testdata/sf0.1"
+    trained = toxicity.train(spark.read.parquet(f"{big}/documents.parquet"), spark.read.parquet(f"{big}/labels.parquet"))
+    for model in (trained, ({}, toxicity.PRIOR)):
+        for text in ("idiot.", "The word idiot comes from Greek.", "You are not an idiot.", 'She said "you are an idiot".', "I will not kill you."):
+            for whole in (text, CLEAN + text, text + " " + CLEAN):
+                assert probability(whole, model) < 0.3, (text, probability(whole, model))
+        for text in ("You are an idiot.", "You worthless moron, I will kill you.", "He is pathetic and stupid."):
+            for whole in (text, CLEAN + text, text + " " + CLEAN):
+                assert probability(whole, model) >= 0.3, (text, probability(whole, model))
+
+
+def test_features_against_a_plain_reading():
+    """Clauses read word by word, without the transducers."""
+    draw = random.Random(6)
+    lexicon = toxicity.Lexicon({"zorg*": 2.0})
+    words = "idiot zorgel kill you the word said not plain river blue \" . !".split()
+    for _ in range(800):
+        tokens = draw.choices(words, k=draw.randrange(0, 40))
+        total, negated, speech, quoted = 0.0, 0, False, False
+        insults = threats = n_insults = 0.0
+        person = thing = False
+        kinds = set()
+        for t in [*tokens, "."]:
+            weight = {"idiot": 3.0, "zorgel": 2.0, "kill": 3.0}.get(t, 0.0)
+            if t in (".", "!"):
+                if person and "threat" in kinds:
+                    total += (insults + threats) * 1.5
+                elif person and kinds:
+                    total += (insults + threats) * 1.5
+                elif (thing or n_insults > 1) and kinds & {"insult", "slight insult"}:
+                    total += insults
+                insults = threats = n_insults = 0
+                person = thing = speech = False
+                negated, kinds = 0, set()
+                continue
+            if t == '"':
+                speech, quoted = False, not quoted and speech
+                continue
+            if t == "not":
+                negated = 3
+                continue
+            if weight:
+                slight = negated > 0 or speech or quoted
+                if t == "kill":
+                    threats += weight * (0.1 if slight else 1)
+                    kinds.add("slight threat" if slight else "threat")
+                else:
+                    insults += weight * (0.1 if slight else 1)
+                    n_insults += not slight
+                    kinds.add("slight insult" if slight else "insult")
+            elif t in ("word", "said"):
+                speech = speech or not quoted
+            person, thing = person or t == "you", thing or t == "the"
+            negated = max(0, negated - 1)
+        want = [np.log1p(total), np.log1p(100 * total / max(50, len(tokens)))] if {"idiot", "zorgel", "kill"} & set(tokens) else [0.0, 0.0]
+        assert np.allclose(toxicity.features(" ".join(tokens), lexicon), want), (tokens, want, toxicity.features(" ".join(tokens), lexicon))
+
+
+def test_cover_against_a_plain_greedy_choice():
+    draw = random.Random(9)
+    for _ in range(60):
+        found = [(f"t{i}", draw.randint(2, 9), draw.choice([0, 0, 1]), draw.choice([5, 9, 50])) for i in range(12)]
+        hits = [sorted(draw.sample(range(12), draw.randint(0, 4))) for _ in range(25)]
+        share = 0.2
+        want = []
+        for i in sorted((i for i in range(12) if not found[i][2] and found[i][3] >= toxicity.SURE_CONTEXTS), key=lambda i: -len(found[i][0])):
+            if not any(found[j][0].startswith(found[i][0]) and found[j][1] >= 0.9 * found[i][1] for j in want):
+                want.append(i)
+        left = [h for h in hits if not set(h) & set(want)]
+        while left:
+            gains = {i: sum(i in h for h in left) - 2 * share * found[i][2] for i in range(12)}
+            best = max(range(12), key=lambda i: (gains[i], found[i][3], found[i][1], len(found[i][0]), found[i][0]))
+            if gains[best] < (1 if found[best][3] >= toxicity.LONE_CONTEXTS else 2):
+                break
+            want.append(best)
+            left = [h for h in left if best not in h]
+        assert toxicity.cover(found, hits, share) == want
+
+
+def test_samples_keep_their_bounds_under_repeated_ids(spark):
+    """One labelled id of very many rows."""
+    docs = spark.range(30_000).selectExpr("5L as doc_id", "concat('text ', id) as text").unionByName(spark.createDataFrame([(6, "other"), (7, None)], "doc_id long, text string"))
+    labels = spark.createDataFrame([(5, 1, 1), (6, 0, 0), (7, 0, 0)], "doc_id long, toxic int, quality int")
+    assert toxicity.sampled(docs, labels, "toxic", F.lit(True), {1: 10, 0: 10}).count() == 3
+    quality_pu.train(docs, labels)
+    secret_scan.train(docs, 10)
+    assert dict((n, k) for n, k, _ in quality_rules.estimated(docs, (("every", "n_words >= 0"),), 10)) == {"every": 0}
+    from textloom.llm.common import one_each
+
+    texts = docs.select("doc_id", F.col("text").cast("binary").alias("text")).where("doc_id < 7")
+    smallest = min(hashlib.sha256(f"text {i}".encode()).hexdigest() for i in range(30_000))
+    assert sorted((r["doc_id"], r["digest"]) for r in one_each(texts).collect()) == [(5, smallest), (6, hashlib.sha256(b"other").hexdigest())]
 
 
 def test_composition_is_the_machines_one_after_another():
     draw = random.Random(12)
     for _ in range(500):
-        symbols = [draw.randrange(8) for _ in range(draw.randrange(1, 60))]
-        want = symbols
+        symbols = [draw.randrange(toxicity.READ) for _ in range(draw.randrange(1, 60))]
+        want, weights = symbols, [1.0] * len(symbols)
         for machine in toxicity.MACHINES:
             state, out = 0, []
-            for x in want:
-                state, y = machine.step(state, x)
+            for k, x in enumerate(want):
+                state, y, w = machine.step(state, x)
                 out.append(y)
+                weights[k] *= w
             want = out
-        state, got = 0, []
+        state, got, factors = 0, [], []
         for x in symbols:
             got.append(toxicity.GRAMMAR.writes[state][x])
+            factors.append(toxicity.GRAMMAR.weights[state][x])
             state = toxicity.GRAMMAR.next[state][x]
-        assert got == want
+        assert got == want and np.allclose(factors, weights)
 
 
 @pytest.fixture(scope="module")

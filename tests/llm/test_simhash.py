@@ -1,4 +1,7 @@
+import time
+
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 
@@ -80,5 +83,63 @@ def test_long_chain_and_star(spark):
     assert got == {i: 100 for i in range(100, 161)} | {i: 5 for i in [5, *range(200, 400)]}
 
 
+def test_probes_of_a_bucket_with_one_stored_row_take_linear_time_and_little_memory():
+    """Very many probes of one key: they are verified as they come."""
+    n, rows = 1_000_000, 500
+    draw = np.random.default_rng(5)
+    fps = draw.integers(0, 2**62, n)
+    near = draw.choice(n, 50, replace=False)
+    fps[near] = 12345 ^ (1 << draw.integers(0, 60, 50))
+
+    def batches(n):
+        zeros = np.zeros(rows, np.int32)
+        head = [np.zeros(1, np.int32), np.zeros(1, np.int64), np.zeros(1, np.int32), np.zeros(1, np.int32), np.zeros(1, np.int8), np.array([12345]), np.array([n])]
+        yield pa.RecordBatch.from_arrays([pa.array(x) for x in head], names=NAMES)
+        for lo in range(0, n, rows):
+            columns = [zeros, zeros.astype(np.int64), zeros, zeros, np.ones(rows, np.int8), fps[lo : lo + rows], np.arange(lo, lo + rows)]
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in columns], names=NAMES)
+
+    def taken(n):
+        began = time.perf_counter()
+        edges = [e for b in simhash._link_batches(4, batches(n)) for e in zip(*b.to_pydict().values(), strict=True)]
+        return edges, time.perf_counter() - began
+
+    edges, long = taken(n)
+    assert {x for e in edges for x in e} == {*near.tolist(), n} and len(edges) == len(set(near.tolist()))
+    _, short = taken(n // 4)
+    assert long < 8 * short + 1 and long < 60
+
+
+NAMES = ["seg", "key", "tb", "pb", "probe", "fp", "rep"]
+
+
+@pytest.mark.parametrize("probe_block", [5, 1 << 16])
+def test_probes_are_dealt_where_a_neighbour_is_stored_often(spark, probe_block):
+    """One key of very many rows beside a key of one: the probes that meet it are dealt, and its links found."""
+    draw = np.random.default_rng(7)
+    hot = {int(x) << 1 for x in draw.integers(0, 2**20, 300)}
+    distinct = sorted(hot | {1 << 45, (1 << 45) | 3})
+    df = spark.createDataFrame([(x, i) for i, x in enumerate(distinct)], "fp long, rep long")
+    stored, _ = simhash._keys(df, 3, 1)
+    dealt = simhash.dealt_keys(stored, 4, 3, 10, probe_block).collect()
+    assert max(r["tblocks"] for r in dealt) > 10 and any(r["tblocks"] == 1 and r["pblocks"] >= (60 if probe_block == 5 else 1) for r in dealt)
+    got = {r["node"]: r["component"] for r in connected_components(simhash.near_links(df, block=10, probe_block=probe_block)).collect()}
+    want = plain_components(dict(enumerate(distinct)))
+    assert {i: got.get(i, i) for i in want} == want
+
+
+def test_texts_under_one_id_are_reached_by_their_own_fingerprints(spark):
+    draw = np.random.default_rng(2)
+    words = [f"w{x}" for x in draw.integers(0, 10**6, 3000)]
+    near = " ".join([*words[:1500], "other", *words[1501:]])
+    unrelated = " ".join(f"u{x}" for x in draw.integers(0, 10**6, 200))
+    docs = spark.createDataFrame([(1, " ".join(words)), (5, near), (5, unrelated), (7, unrelated + " x"), (7, None)], "doc_id long, text string")
+    got = {(r["doc_id"], r["fp"]): r["component_id"] for r in simhash.near_duplicates(docs).collect()}
+    signed = lambda x: x - (1 << 64) if x >> 63 else x
+    f = {t: signed(plain_fingerprint(t)) for t in (" ".join(words), near, unrelated, unrelated + " x", None)}
+    links = (f[unrelated] ^ f[unrelated + " x"]).bit_count() <= 4
+    assert got == {(1, f[" ".join(words)]): 1, (5, f[near]): 1, (5, f[unrelated]): 5, (7, f[unrelated + " x"]): 5 if links else 7, (7, 0): 7}
+
+
 def test_empty(empty_docs):
     assert simhash.near_duplicates(empty_docs).count() == 0

@@ -75,6 +75,12 @@ def text_digest(text: F.Column) -> F.Column:
     return F.sha2(F.coalesce(text.cast("binary"), F.lit(b"")), 256)
 
 
+def one_each(texts: DataFrame, *keep: str) -> DataFrame:
+    """One row (doc_id, digest, text and columns that the id decides) for each id of (doc_id, text): that of the smallest digest. Partial results meet, not all rows of an id."""
+    digested = texts.withColumn("digest", F.sha2("text", 256))
+    return digested.groupBy("doc_id", *keep).agg(F.min(F.struct("digest", "text")).alias("row")).select("doc_id", *keep, "row.digest", "row.text")
+
+
 class Memo(dict):
     """Remembers what ``compute`` gave for recent keys: two generations of ``size`` keys, so that common ones stay and memory is bounded."""
 
@@ -128,5 +134,20 @@ def slices(batches: Iterator[pa.RecordBatch], column: int, limit: int = 2 << 20)
             yield batch.slice(lo)
 
 
+def gathered(batches: Iterator[pa.RecordBatch], rows: int) -> Iterator[pa.Table]:
+    """Batches put together to tables of at least so many rows, but for the last."""
+    held: list[pa.RecordBatch] = []
+    n = 0
+    for b in batches:
+        if b.num_rows:
+            held.append(b)
+            n += b.num_rows
+        if n >= rows:
+            yield pa.Table.from_batches(held)
+            held, n = [], 0
+    if held:
+        yield pa.Table.from_batches(held)
+
+
 def table(schema: pa.Schema, columns: list) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, type=f.type) for c, f in zip(columns, schema)], schema=schema)

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import fold, slices, table, texts_of
+from .common import fold, one_each, slices, table, texts_of
 
 #: Sampled documents at most: trusted positives, unlabelled ones.
 SAMPLE_POSITIVE, SAMPLE_UNLABELLED = 8000, 16000
@@ -149,7 +149,9 @@ def train(docs: DataFrame, labels: DataFrame) -> dict | None:
     others = ids.where(usable).orderBy(F.xxhash64("doc_id", F.lit(7)), "doc_id").limit(SAMPLE_UNLABELLED).distinct().select("doc_id", F.lit(0).alias("group"))
     texts = texts_of(docs)
     # At most SAMPLE_POSITIVE + SAMPLE_UNLABELLED rows, sorted so that sums of floats don't depend on how rows were dealt.
-    rows = sorted(texts.join(F.broadcast(trusted.unionByName(others)), "doc_id").select("group", "text").mapInArrow(_stat_batches, "group int, f array<double>").collect())
+    # A repeated id counts once in either group.
+    sample = one_each(texts.join(F.broadcast(trusted.unionByName(others)), "doc_id"), "group")
+    rows = sorted(sample.select("group", "text").mapInArrow(_stat_batches, "group int, f array<double>").collect())
     x, group = np.array([r["f"] for r in rows]).reshape(-1, N_STATISTICS), np.array([r["group"] for r in rows])
     if not (group == 1).any() or not (group == 0).any():
         return None

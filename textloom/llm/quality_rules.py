@@ -13,7 +13,7 @@ import time
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise, spread
+from .common import binary_text, materialise, one_each, spread
 
 #: Documents on which costs and selectivities are estimated, and how often each is judged to time a rule.
 SAMPLE_ROWS, REPEATS = 1000, 5
@@ -70,8 +70,9 @@ def estimated(docs: DataFrame, rules: tuple = RULES, sample_rows: int = SAMPLE_R
     as many trivial judgements, so that starting the job counts for nothing.
     """
     chosen = docs.select("doc_id").where("doc_id is not null").orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_rows).distinct()
-    # At most ``sample_rows`` ids are broadcast, so no text is shuffled.
-    table = materialise(measured(docs.join(F.broadcast(chosen), "doc_id", "left_semi")), "rules").where(f"not ({BASE_FAILED})")
+    # At most ``sample_rows`` ids are broadcast, so no text but theirs is shuffled. A repeated id counts once.
+    own = one_each(docs.select("doc_id", binary_text()).join(F.broadcast(chosen), "doc_id", "left_semi")).select("doc_id", F.col("text").cast("string").alias("text"))
+    table = materialise(measured(own), "rules").where(f"not ({BASE_FAILED})")
     n, *rejected = table.agg(F.count("*"), *[F.expr(f"count_if({condition})") for _, condition in rules]).first()
     again = table.withColumn("again", F.explode(F.sequence(F.lit(1), F.lit(repeats)))).coalesce(1)
 

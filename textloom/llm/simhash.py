@@ -6,7 +6,8 @@ pair differs in at most ``MAX_BITS`` // segments bits. Each distinct fingerprint
 value, and probes every value in the small Hamming ball around its own. Matches are verified on the whole 64 bits.
 
 A bucket is never expanded into its pairs: a task verifies its bucket in blocks and passes on a spanning forest of the links it
-found, which has fewer edges than members. Buckets with more than ``BLOCK`` stored fingerprints are dealt to a grid of tasks.
+found, which has fewer edges than members. Buckets with more than ``BLOCK`` stored fingerprints, or very many probes, are dealt to a
+grid of tasks.
 """
 
 from __future__ import annotations
@@ -22,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise, slices, table, texts_of, words_of
+from .common import gathered, materialise, slices, table, texts_of, words_of
 from .components import connected_components
 
 SHINGLE = 4
@@ -32,8 +33,10 @@ MAX_BITS = 4
 SEGMENTS, MOST_DISTINCT, FEWER_SEGMENTS = 3, 1 << 32, 2
 #: Stored fingerprints of a bucket that one task compares with a block of probes.
 BLOCK = 2048
-#: Comparisons that are held in memory at once.
-CHUNK = 1 << 20
+#: Probes of a bucket that one task verifies.
+PROBE_BLOCK = 1 << 16
+#: Comparisons that are held in memory at once, and rows that are looked at together.
+CHUNK, GATHERED = 1 << 20, 1 << 14
 
 _xxh64 = partial(xxhash.xxh64_intdigest, seed=42)
 
@@ -154,60 +157,69 @@ def _verify(change: np.ndarray, probe: np.ndarray, fp: np.ndarray, rep: np.ndarr
 
 
 def _link_batches(limit: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by (seg, key, tb, pb, probe) in; forest edges out. A bucket may span batches: it waits for its last row."""
-    held: list[np.ndarray] | None = None
+    """Rows sorted by (seg, key, tb, pb, probe) in; forest edges out.
+
+    A bucket may span batches: its stored rows, of which a block has no more than some thousand, are kept until its last row; probes
+    are verified as they come."""
+    stored: list[np.ndarray] | None = None
     forest = _Forest()
 
-    def changes(part: list[np.ndarray]) -> np.ndarray:
+    def check(part: list[np.ndarray]) -> list[np.ndarray] | None:
+        """Links among the rows; the stored rows of the last bucket, which may go on."""
         new = np.ones(len(part[0]), bool)
         new[1:] = np.logical_or.reduce([c[1:] != c[:-1] for c in part[: len(_KEY)]])
-        return new
-
-    def check(part: list[np.ndarray], new: np.ndarray) -> None:
         probe, fp, rep = part[len(_KEY) :]
         for pairs in _verify(new, probe.astype(bool), fp.view(np.uint64), rep, limit):
             forest.join(pairs)
-
-    for b in batches:
-        part = [b.column(i).to_numpy(zero_copy_only=False) for i in range(b.num_columns)]
-        if held is not None:
-            part = [np.concatenate([x, y]) for x, y in zip(held, part, strict=True)]
-        if not len(part[0]):
-            continue
-        new = changes(part)
-        cut = int(np.flatnonzero(new)[-1])
-        if cut:
-            check([x[:cut] for x in part], new[:cut])
-        held = [x[cut:] for x in part]
+        last = int(np.flatnonzero(new)[-1])
+        n = int((probe[last:] == 0).sum())
+        return [x[last : last + n] for x in part]
+
+    for b in gathered(batches, GATHERED):
+        part = [c.to_numpy() for c in b.columns]
+        if stored is not None:
+            part = [np.concatenate([x, y]) for x, y in zip(stored, part, strict=True)]
+        stored = check(part)
         if len(forest.edges) > 1 << 16:
             yield table(_EDGES, list(map(list, zip(*forest.edges, strict=True))))
             forest.edges = []
         if len(forest.up) > 1 << 20:
             forest.up = {}
-    if held is not None:
-        check(held, changes(held))
     if forest.edges:
         yield table(_EDGES, list(map(list, zip(*forest.edges, strict=True))))
 
 
-def near_links(fps: DataFrame, max_bits: int = MAX_BITS, segments: int | None = None, block: int = BLOCK) -> DataFrame:
+def dealt_keys(stored: DataFrame, max_bits: int, segments: int, block: int, probe_block: int) -> DataFrame:
+    """(seg, key, tb, pb): into how many blocks the stored rows and the probes of a large bucket are dealt.
+
+    Probes aren't counted one by one: a bucket has many only if a key in the ball around its own is stored often. At most 3 n / block
+    keys are, each with the ball of a segment.
+    """
+    counts = stored.groupBy("seg", "key").count().where(F.col("count") > block)
+    balls = F.array(*[F.array(*[F.lit(m).cast("long") for m in ball(w, max_bits // segments)]) for _, w in segment_bounds(segments)])
+    around = counts.select("seg", "key", "count", F.explode(F.element_at(balls, F.col("seg") + 1)).alias("mask"))
+    around = around.select("seg", F.col("key").bitwiseXOR(F.col("mask")).alias("key"), F.when(F.col("mask") == 0, F.col("count")).otherwise(0).alias("own"), "count")
+    sums = around.groupBy("seg", "key").agg(F.sum("own").alias("own"), F.sum("count").alias("probes"))
+    return sums.select("seg", "key", F.greatest(F.ceil(F.col("own") / block), F.lit(1)).cast("int").alias("tblocks"), F.ceil(F.col("probes") / probe_block).cast("int").alias("pblocks"))
+
+
+def near_links(fps: DataFrame, max_bits: int = MAX_BITS, segments: int | None = None, block: int = BLOCK, probe_block: int = PROBE_BLOCK) -> DataFrame:
     """Edges (a, b) between ``rep`` values of distinct fingerprints (columns fp, rep), with the same components as all links have.
 
     ``segments`` is chosen by the number of fingerprints unless it is given."""
     if segments is None:
         segments = SEGMENTS if fps.count() <= MOST_DISTINCT else FEWER_SEGMENTS
     stored, probes = _keys(fps, segments, max_bits // segments)
-    hot = stored.groupBy("seg", "key").count().where(F.col("count") > block).select("seg", "key", F.ceil(F.col("count") / block).cast("int").alias("blocks"))
-    hot = materialise(hot, "hot")
-    # At most 3 n / block rows; only a list of proven size is broadcast.
+    hot = materialise(dealt_keys(stored, max_bits, segments, block, probe_block), "hot")
+    # Only a list of proven size is broadcast.
     small = hot.limit(100_001).count() <= 100_000
     dealt = []
     for rows, probe in ((stored, 0), (probes, 1)):
-        rows = rows.join(F.broadcast(hot) if small else hot, ["seg", "key"], "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
-        mine = F.pmod(F.xxhash64("fp"), F.col("blocks")).cast("int")
-        other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-        names = ("tb", "pb") if probe == 0 else ("pb", "tb")
-        rows = rows.select("seg", "key", mine.alias(names[0]), other.alias(names[1]), F.lit(probe).cast("byte").alias("probe"), "fp", "rep")
+        rows = rows.join(F.broadcast(hot) if small else hot, ["seg", "key"], "left").na.fill(1, ["tblocks", "pblocks"])
+        own, others = ("tb", "pb") if probe == 0 else ("pb", "tb")
+        mine = F.pmod(F.xxhash64("fp"), F.col(f"{own}locks")).cast("int")
+        other = F.explode(F.sequence(F.lit(0), F.col(f"{others}locks") - 1))
+        rows = rows.select("seg", "key", mine.alias(own), other.alias(others), F.lit(probe).cast("byte").alias("probe"), "fp", "rep")
         dealt.append(rows.select(*_KEY, "probe", "fp", "rep"))
     rows = dealt[0].unionByName(dealt[1]).repartition(*_KEY).sortWithinPartitions(*_KEY, "probe")
     return rows.mapInArrow(partial(_link_batches, max_bits), "a long, b long")
@@ -216,13 +228,15 @@ def near_links(fps: DataFrame, max_bits: int = MAX_BITS, segments: int | None =
 def near_duplicates(docs: DataFrame, max_bits: int = MAX_BITS, segments: int | None = None, keyed: bool = False) -> DataFrame:
     """One row per document: doc_id, fp, component_id (smallest doc_id reachable over links of at most ``max_bits`` bits) and, if ``keyed``, text_sha256.
 
-    Null and empty texts have fingerprint 0 and link like any other. Rows that repeat a doc_id each come back. Rows with a null
-    doc_id keep a null component of their own. Columns besides doc_id and text are ignored. An empty table gives no rows.
+    Fingerprints link, so rows that repeat a doc_id with other texts are reached each by its own fingerprint alone; each comes back. Null and empty texts have
+    fingerprint 0 and link like any other. Rows with a null doc_id keep a null component of their own. Columns besides doc_id and text
+    are ignored. An empty table gives no rows.
     """
     marked = materialise(fingerprints(docs, keyed), "fingerprints")
-    distinct = materialise(marked.where("doc_id is not null").groupBy("fp").agg(F.min("doc_id").alias("rep")), "distinct")
-    found = connected_components(near_links(distinct, max_bits, segments))
-    named = distinct.join(found, distinct["rep"] == found["node"], "left").select("fp", F.coalesce("component", "rep").alias("component_id"))
-    named = materialise(named, "named")
+    distinct = materialise(marked.where("doc_id is not null").groupBy("fp").agg(F.min("doc_id").alias("least")), "distinct")
+    found = connected_components(near_links(distinct.select("fp", F.col("fp").alias("rep")), max_bits, segments))
+    named = distinct.join(found, distinct["fp"] == found["node"], "left").select("fp", "least", F.coalesce("component", "fp").alias("component"))
+    least = named.groupBy("component").agg(F.min("least").alias("component_id"))
+    named = materialise(named.join(least, "component").select("fp", "component_id"), "named")
     out = marked.join(named, "fp", "left")
     return out.select("doc_id", "fp", F.when(F.col("doc_id").isNotNull(), F.col("component_id")).alias("component_id"), *["text_sha256"] * keyed)

@@ -1,13 +1,14 @@
 """Toxicity by a weighted finite-state pattern grammar.
 
-Words become symbols (insult, threat, target, negation, reported speech, quotation mark, boundary, other). Five transducers are
-composed, each reading what the one before writes: negation and reported speech mark the insults and threats in their reach, target
-marks the end of a clause that names someone, threat and insult remember the strongest of theirs and write one label for the clause
-at its end. The composition is one deterministic table.
-
-A clause's score is the weight of its path, the sum of its insults' and threats' weights, under its label; a word by itself has
-none. A document is scored by the clause scores of each label. Function words of the grammar are fixed; the insult lexicon (words
-and stems) and the weights are learned from labelled documents.
+Words become symbols (insult, threat, person, referent, negation, reported speech, quotation mark, boundary, other). Five transducers
+are composed, each reading what the one before writes: negation and reported speech mark the insults and threats in their reach,
+target marks the end of a clause that names a person, speaks of something definite, says what is, or piles insults up, threat and insult remember the strongest of
+theirs and write one label for the clause at its end. The composition is one deterministic table, and so are the weights of its arcs.
+
+A match is a clause with an insult and a target, or a threat and a person; an insult or a threat without a target is none. A clause's score is the sum of its
+words' weights, each times the weight of the arcs it takes: an insult that is negated, quoted or spoken of as a word is worth a tenth, one aimed at
+a person half as much again. A document is scored by the sum of its clauses, as such and for its length, and by nothing else. Function
+words of the grammar and weights of arcs are fixed; the insult lexicon (words and stems) and the weights of both sums are learned from labelled documents.
 """
 
 from __future__ import annotations
@@ -25,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import fold, materialise, slices, table, texts_of
+from .common import fold, materialise, one_each, slices, table, texts_of
 
 #: Labelled documents that are sampled at most, by label.
 SAMPLE_TOXIC, SAMPLE_CLEAN = 4000, 8000
@@ -38,54 +39,64 @@ LONE_CONTEXTS = 8
 #: Lengths of the prefixes of longer words that may become stems.
 STEMS = range(4, 9)
 MEMO = 1 << 17
+SHORT = 50
+#: Weight of a threat, and of an insult that wasn't learned.
+THREAT_WEIGHT, INSULT_WEIGHT = 3.0, 3.0
 HELD_OUT_PARTS, HELD_OUT = 4, 2
 
 # Function words of the grammar in English, German, French and Spanish.
-TARGETS = "you your you're u they he she him her them their du dich dir ihr euch sie er tu toi te vous votre ton ta il elle ils tú ti usted ustedes vosotros él ella ellos".split()
+TARGETS = "you your you're u they he she him her them their du dich dir ihr euch er tu toi te vous votre ton ta il elle ils elles tú ti usted ustedes vosotros ella ellos".split()
+REFERENTS = "the this that these those it its is are was were der die das den dem des dieser diese dieses ist sind war le la les ce cet cette ces est sont était el los las este esta ese esa es son era".split()
 NEGATIONS = "not no never nobody isn't aren't wasn't don't doesn't didn't won't nicht kein keine keinen nie niemals pas jamais aucun non nunca jamás ni".split()
-REPORTS = "said says say quoted claims claimed wrote writes reported called calls sagte sagt schrieb dit disait écrit dijo dice escribió".split()
+REPORTS = "said says say quoted claims claimed wrote writes reported called calls word words term phrase means sagte sagt schrieb wort begriff heißt dit disait écrit mot terme signifie dijo dice escribió palabra término significa".split()
 THREATS = "kill hurt destroy beat stab shoot strangle burn töten umbringen verletzen schlagen tuer frapper détruire matar golpear destruir".split()
 INSULTS = "idiot moron stupid loser scum pathetic worthless disgusting trash clown".split()
+#: Weights of arcs: of a negated or reported word, and of a clause aimed at a person.
+SLIGHT, POINTED = 0.1, 1.5
 
 #: Symbols that text is read as.
-OTHER, BREAK, QUOTE, INSULT, THREAT, TARGET, NEGATION, REPORT = range(8)
+OTHER, BREAK, QUOTE, INSULT, THREAT, TARGET, REFERENT, NEGATION, REPORT = range(9)
 #: Symbols that transducers write for each other: marked words, and clause ends that know more.
-NEGATED_INSULT, NEGATED_THREAT, REPORTED_INSULT, REPORTED_THREAT, AIMED_END, NEGATED_END, REPORTED_END, THREAT_END = range(8, 16)
+NEGATED_INSULT, NEGATED_THREAT, REPORTED_INSULT, REPORTED_THREAT, DEFINITE_END, AIMED_END, NEGATED_END, REPORTED_END, THREAT_END = range(9, 18)
 #: Labels of clauses, which the last one writes.
-LABELS = ("plain", "aimed", "negated", "reported", "threat")
-PLAIN, AIMED, NEGATED, REPORTED, THREATENED = range(16, 21)
-_FIXED = {w: s for words, s in ((INSULTS, INSULT), (THREATS, THREAT), (REPORTS, REPORT), (NEGATIONS, NEGATION), (TARGETS, TARGET)) for w in words}
+LABELS = ("definite", "aimed", "negated", "reported", "threat")
+DEFINITE, AIMED, NEGATED, REPORTED, THREATENED = range(18, 23)
+READ = REPORT + 1
+_FIXED = {w: s for words, s in ((INSULTS, INSULT), (THREATS, THREAT), (REPORTS, REPORT), (NEGATIONS, NEGATION), (REFERENTS, REFERENT), (TARGETS, TARGET)) for w in words}
 _MARKS = {c: BREAK for c in ".!?;\n"} | {c: QUOTE for c in '"“”«»„'}
 _TOKEN = re.compile(r"[^\W\d_]+(?:['’][^\W\d_]+)*|[.!?;\n\"“”«»„]")
 
 
 class Transducer:
-    """States from 0; an arc (state, symbol) -> (state, symbol written). A symbol without an arc keeps the state and is passed on."""
+    """States from 0; an arc (state, symbol) -> (state, symbol written) and its weight, 1 unless it is given. A symbol without an arc keeps the state and is passed on."""
 
-    def __init__(self, arcs: dict[tuple[int, int], tuple[int, int]]) -> None:
-        self.arcs = arcs
+    def __init__(self, arcs: dict[tuple[int, int], tuple[int, int]], weights: dict[tuple[int, int], float] | None = None) -> None:
+        self.arcs, self.weights = arcs, weights or {}
 
-    def step(self, state: int, symbol: int) -> tuple[int, int]:
-        return self.arcs.get((state, symbol), (state, symbol))
+    def step(self, state: int, symbol: int) -> tuple[int, int, float]:
+        return *self.arcs.get((state, symbol), (state, symbol)), self.weights.get((state, symbol), 1.0)
 
 
 def negation(reach: int = 3) -> Transducer:
     """States 1 to ``reach``: so many words more are negated."""
     arcs: dict = {(s, NEGATION): (reach, OTHER) for s in range(reach + 1)}
     for s in range(1, reach + 1):
-        arcs |= {(s, x): (s - 1, x) for x in (OTHER, TARGET, REPORT)} | {(s, INSULT): (s - 1, NEGATED_INSULT), (s, THREAT): (s - 1, NEGATED_THREAT), (s, BREAK): (0, BREAK)}
-    return Transducer(arcs)
+        arcs |= {(s, x): (s - 1, x) for x in (OTHER, TARGET, REFERENT, REPORT)} | {(s, INSULT): (s - 1, NEGATED_INSULT), (s, THREAT): (s - 1, NEGATED_THREAT), (s, BREAK): (0, BREAK)}
+    return Transducer(arcs, {(s, x): SLIGHT for s in range(1, reach + 1) for x in (INSULT, THREAT)})
 
 
 def reported() -> Transducer:
     """State 1: a speech word has come; 2: its quotation is open. A clause's end closes 1 only."""
     arcs: dict = {(0, REPORT): (1, OTHER), (1, REPORT): (1, OTHER), (2, REPORT): (2, OTHER), (0, QUOTE): (0, OTHER), (1, QUOTE): (2, OTHER), (2, QUOTE): (0, OTHER), (1, BREAK): (0, BREAK)}
-    return Transducer(arcs | {(s, x): (s, y) for s in (1, 2) for x, y in ((INSULT, REPORTED_INSULT), (THREAT, REPORTED_THREAT))})
+    marked = {(s, x): (s, y) for s in (1, 2) for x, y in ((INSULT, REPORTED_INSULT), (THREAT, REPORTED_THREAT))}
+    return Transducer(arcs | marked, dict.fromkeys(marked, SLIGHT))
 
 
 def target() -> Transducer:
-    """State 1: the clause has named someone, before or after the rest."""
-    return Transducer({(0, TARGET): (1, OTHER), (1, TARGET): (1, OTHER), (1, BREAK): (0, AIMED_END)})
+    """State 2: the clause has spoken of something definite or said what is, 3: of a person, before or after the rest. A second insult says whom the
+    first one means ("worthless clown"); state 1: one has come."""
+    arcs = {(s, TARGET): (3, OTHER) for s in range(4)} | {(s, REFERENT): (max(s, 2), OTHER) for s in range(4)} | {(0, INSULT): (1, INSULT), (1, INSULT): (2, INSULT)}
+    return Transducer(arcs | {(1, BREAK): (0, BREAK), (2, BREAK): (0, DEFINITE_END), (3, BREAK): (0, AIMED_END)}, {(3, BREAK): POINTED})
 
 
 def _strongest(symbols: tuple[int, int, int]) -> dict:
@@ -94,15 +105,16 @@ def _strongest(symbols: tuple[int, int, int]) -> dict:
 
 
 def threat() -> Transducer:
-    """A threat needs someone to aim at in its clause."""
+    """A threat needs a person to aim at in its clause."""
     arcs = _strongest((NEGATED_THREAT, REPORTED_THREAT, THREAT))
-    return Transducer(arcs | {(s, BREAK): (0, BREAK) for s in range(4)} | {(s, AIMED_END): (0, (AIMED_END, NEGATED_END, REPORTED_END, THREAT_END)[s]) for s in range(4)})
+    ends = {(s, x): (0, x) for s in range(4) for x in (BREAK, DEFINITE_END)}
+    return Transducer(arcs | ends | {(s, AIMED_END): (0, (AIMED_END, NEGATED_END, REPORTED_END, THREAT_END)[s]) for s in range(4)})
 
 
 def insult() -> Transducer:
-    """Writes the label of a clause at its end; an end without a label stays a boundary."""
-    arcs = _strongest((NEGATED_INSULT, REPORTED_INSULT, INSULT))
-    for end, known, most in ((BREAK, 0, PLAIN), (AIMED_END, 0, AIMED), (NEGATED_END, 1, AIMED), (REPORTED_END, 2, AIMED)):
+    """Writes the label of a clause at its end; an end without a target, an insult or a threat stays a boundary."""
+    arcs = _strongest((NEGATED_INSULT, REPORTED_INSULT, INSULT)) | {(s, BREAK): (0, BREAK) for s in range(4)}
+    for end, known, most in ((DEFINITE_END, 0, DEFINITE), (AIMED_END, 0, AIMED), (NEGATED_END, 1, AIMED), (REPORTED_END, 2, AIMED)):
         arcs |= {(s, end): (0, (BREAK, NEGATED, REPORTED, most)[max(s, known)]) for s in range(4)}
     return Transducer(arcs | {(s, THREAT_END): (0, THREATENED) for s in range(4)})
 
@@ -111,37 +123,47 @@ MACHINES = (negation(), reported(), target(), threat(), insult())
 
 
 class Grammar:
-    """The composition of transducers: from a state and a symbol, the next state and what the last one writes."""
+    """The composition of transducers: from a state and a symbol, the next state, what the last one writes, and the product of the arcs' weights."""
 
     def __init__(self, machines: tuple[Transducer, ...] = MACHINES) -> None:
         start = (0,) * len(machines)
         number, todo = {start: 0}, [start]
         self.next: list[list[int]] = []
         self.writes: list[list[int]] = []
+        self.weights: list[list[float]] = []
+        #: Whether the clause has named a person so far.
+        self.aimed: list[bool] = []
         for states in todo:
-            ahead, out = [], []
-            for symbol in range(8):
-                to = []
+            ahead, out, weights = [], [], []
+            self.aimed.append(any(m.weights.get((s, BREAK), 1.0) == POINTED for m, s in zip(machines, states, strict=True)))
+            for symbol in range(READ):
+                to, weight = [], 1.0
                 for machine, state in zip(machines, states, strict=True):
-                    state, symbol = machine.step(state, symbol)
+                    state, symbol, w = machine.step(state, symbol)
                     to.append(state)
+                    weight *= w
                 if (key := tuple(to)) not in number:
                     number[key] = len(number)
                     todo.append(key)
                 ahead.append(number[key])
                 out.append(symbol)
+                weights.append(weight)
             self.next.append(ahead)
             self.writes.append(out)
+            self.weights.append(weights)
 
     def clauses(self, read: list[tuple[int, float]]) -> list[tuple[int, float]]:
-        """(label, score) of each clause that matches, from (symbol, weight) of its words."""
-        state, weight, out = 0, 0.0, []
+        """(label, score) of each clause that matches, from (symbol, weight) of its words. Threats count where their clause is aimed."""
+        state, insults, threats, out = 0, 0.0, 0.0, []
         for symbol, w in [*read, (BREAK, 0.0)]:
-            weight += w
-            if symbol == BREAK:
-                if (label := self.writes[state][symbol] - PLAIN) >= 0:
-                    out.append((label, weight))
-                weight = 0.0
+            if symbol == INSULT:
+                insults += w * self.weights[state][symbol]
+            elif symbol == THREAT:
+                threats += w * self.weights[state][symbol]
+            elif symbol == BREAK:
+                if (label := self.writes[state][symbol] - DEFINITE) >= 0:
+                    out.append((label, (insults + threats * self.aimed[state]) * self.weights[state][symbol]))
+                insults = threats = 0.0
             state = self.next[state][symbol]
         return out
 
@@ -154,7 +176,7 @@ class Lexicon(dict):
 
     def __init__(self, terms: dict[str, float]) -> None:
         self.terms = terms
-        self.words = {w: 3.0 for w in INSULTS} | {t: w for t, w in terms.items() if not t.endswith("*")}
+        self.words = {w: INSULT_WEIGHT for w in INSULTS} | {t: w for t, w in terms.items() if not t.endswith("*")}
         self.stems = {t[:-1]: w for t, w in terms.items() if t.endswith("*")}
 
     def __missing__(self, token: str) -> tuple[int, float]:
@@ -165,7 +187,7 @@ class Lexicon(dict):
         elif token in self.words:
             found = INSULT, self.words[token]
         elif token in _FIXED:
-            found = _FIXED[token], float(_FIXED[token] == THREAT)
+            found = _FIXED[token], THREAT_WEIGHT * (_FIXED[token] == THREAT)
         else:
             weight = max((self.stems[token[:n]] for n in STEMS if len(token) > n and token[:n] in self.stems), default=None)
             found = (OTHER, 0.0) if weight is None else (INSULT, weight)
@@ -174,19 +196,17 @@ class Lexicon(dict):
 
 
 def features(text: str, lexicon: Lexicon) -> list[float]:
-    """Of each label, log(1 + scores of its clauses), then the score a hundred words and whether any clause matches."""
+    """log(1 + sum of the scores of all clauses that match), and the same for the sum a hundred words; shorter texts count as ``SHORT`` words."""
     read = list(map(lexicon.__getitem__, _TOKEN.findall(text.lower())))
-    mass = [0.0] * len(LABELS)
-    if any(symbol in (INSULT, THREAT) for symbol, _ in read):
-        for label, score in GRAMMAR.clauses(read):
-            mass[label] += score
-    total = sum(mass)
-    return [*map(math.log1p, mass), math.log1p(100 * total / max(1, len(read))), float(total > 0)]
+    if not any(symbol in (INSULT, THREAT) for symbol, _ in read):
+        return [0.0, 0.0]
+    total = math.fsum(score for _, score in GRAMMAR.clauses(read))
+    return [math.log1p(total), math.log1p(100 * total / max(SHORT, len(read)))]
 
 
-N_FEATURES = len(LABELS) + 2
+N_FEATURES = 2
 #: Weights (bias last) without any label to learn from.
-PRIOR = [1.0, 1.2, 0.4, 0.5, 1.2, 0.5, 1.0, -3.0]
+PRIOR = [1.0, 1.0, -2.5]
 
 
 def _terms(tokens: list[str]) -> Iterator[tuple[str, int]]:
@@ -289,14 +309,15 @@ def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2, rounds: int = 60
 
 
 def sampled(docs: DataFrame, labels: DataFrame, column: str, usable: F.Column, caps: dict[int, int]) -> DataFrame:
-    """(text, label) of at most ``caps[label]`` documents of each label, those of the smallest id hashes; equal texts count once."""
+    """(text, label) of at most ``caps[label]`` rows of each label, those of the smallest id hashes; equal texts count once, and of texts under
+    one id one counts, so that a repeated id has no larger share."""
     own = labels.where(usable & F.col(column).isNotNull() & F.col("doc_id").isNotNull()).groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max(column).cast("int").alias("label"))
     picked = [own.where(F.col("label") == k).orderBy(F.xxhash64("doc_id"), "doc_id").limit(n) for k, n in caps.items()]
     chosen = picked[0]
     for p in picked[1:]:
         chosen = chosen.unionByName(p)
-    texts = texts_of(docs)
-    return texts.join(F.broadcast(chosen), "doc_id").groupBy(F.sha2("text", 256).alias("digest")).agg(F.first("text").alias("text"), F.max("label").alias("label")).select("text", "label")
+    texts = one_each(texts_of(docs).join(F.broadcast(chosen), "doc_id"), "label")
+    return texts.groupBy("digest").agg(F.first("text").alias("text"), F.max("label").alias("label")).select("text", "label")
 
 
 def term_counts(sample: DataFrame) -> DataFrame:
@@ -333,7 +354,7 @@ def _score_batches(terms: dict[str, float], weights: list[float], keyed: bool, b
     for b in slices(batches, 1):
         x = np.array([features(t.decode("utf-8", "replace"), lexicon) for t in b.column(1).to_pylist()]).reshape(-1, N_FEATURES)
         digests = [hashlib.sha256(t).hexdigest() if keyed else None for t in b.column(1).to_pylist()]
-        yield table(_SCORES, [b.column(0), 1 / (1 + np.exp(-np.clip((x * w[:-1]).sum(1) + w[-1], -30, 30))), x[:, -1].astype(int), digests])
+        yield table(_SCORES, [b.column(0), 1 / (1 + np.exp(-np.clip((x * w[:-1]).sum(1) + w[-1], -30, 30))), (x[:, 0] > 0).astype(int), digests])
 
 
 def score(docs: DataFrame, labels: DataFrame, keyed: bool = False) -> DataFrame:
