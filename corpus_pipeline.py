@@ -49,8 +49,7 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
     A group is what links of near fingerprints reach; its smallest doc_id is its own, so there are no ties. Null and empty texts link like
     any other (fingerprint zero). Equal rows stay or go together, an empty table stays empty, other columns are kept as they are.
-    Texts under one doc_id are one node of the near links: if one of them is a near copy of an earlier document, so are the others.
-    Only texts of equal fingerprints are told apart.
+    Texts under one doc_id are judged each by its own fingerprint: an unrelated one stays where a near copy of an earlier document goes.
     """
     gone = simhash.near_duplicates(docs, keyed=True).where("doc_id <> component_id").select("doc_id", "text_sha256")
     return _decided(docs, gone, "left_anti").select(*docs.columns)
