@@ -1,8 +1,12 @@
 import hashlib
+import json
 import os
+import random
 import subprocess
 import time
+from xml.sax.saxutils import escape
 
+import pandas as pd
 import pytest
 import pyspark.sql.functions as F
 
@@ -12,9 +16,9 @@ from textloom import __main__ as cli
 from textloom import config as settings
 from textloom import state
 from textloom.functions import paths, text
-from textloom.operators import analysis, chunks, corpus, finalise, reports, structure, validate, writer
+from textloom.operators import analysis, chunks, corpus, endings, finalise, reports, structure, validate, writer
 from textloom.plans import run as plan
-from textloom.sources import git, packed, tree
+from textloom.sources import git, ignored, packed, splits, tree
 from textloom.streaming.refresh import latest, refresh
 
 
@@ -113,31 +117,78 @@ def test_chunks(spark):
     assert chunks.ChunkConfig(50_000).shared == 5000
 
 
-@pytest.mark.parametrize("config", [chunks.ChunkConfig(1000, 100), chunks.ChunkConfig(1000, 0), chunks.ChunkConfig(1000, 500), chunks.ChunkConfig(5000)])
+FILES = [("a", i, "".join(f"{i}:{j} {'é✓' * (j % 7)} {'w ' * (j * 13 % 40)}\n" for j in range(i % 11 * 5))) for i in range(0, 5000, 97)]
+FILES += [("a", 10_000, " ".join(map(str, range(6000))) + "\n"), ("b", 1, "one line"), ("c", 2, ""), ("d", 1, "".join(f"{i}\U0001f600" for i in range(3000)))]
+
+
+def covered(rows, whole, start, end):
+    """No gap and no end left out: each chunk lies in the corpus where it says, and begins no later than the one before ends."""
+    at = 0
+    for r in rows:
+        lo, hi = start(r), end(r)
+        assert whole[lo:hi] == r["content"] and lo <= at <= hi
+        at = hi
+    assert at == len(whole)
+
+
+@pytest.mark.parametrize("config", [chunks.ChunkConfig(1000, 100), chunks.ChunkConfig(1000, 0), chunks.ChunkConfig(1000, 500), chunks.ChunkConfig(1000, 1), chunks.ChunkConfig(5000)])
 def test_token_chunks_cover_the_corpus(spark, config):
-    """No gap, no tail left out, none over the size; lines are whole; texts of any key are cut by their own positions."""
-    files = [("a", i, "".join(f"{i}:{j} {'é' * (j % 7)} {'w ' * (j * 13 % 40)}\n" for j in range(i % 11 * 5))) for i in range(0, 5000, 97)]
-    files += [("a", 10_000, "x" * 30_000 + "\n"), ("b", 1, "one line"), ("c", 2, "")]
-    df = spark.createDataFrame(files, "k string, i long, t string").repartition(5)
+    """No gap, no tail left out, none over the size, and one character more would be too many."""
+    df = spark.createDataFrame(FILES, "k string, i long, t string").repartition(5)
     got = {}
     for r in chunks.token_chunks(df, "k", "i", "t", config).collect():
         got.setdefault(r["k"], []).append(r)
-    assert sorted(got) == ["a", "b"] and [(r["chunk_id"], r["content"], r["overlap_token_count"]) for r in got["b"]] == [(0, "one line", 0)]
-    rows = sorted(got["a"], key=lambda r: r["chunk_id"])
-    assert [r["chunk_id"] for r in rows] == list(range(len(rows)))
-    whole = "".join(t for k, _, t in sorted(files) if k == "a")
-    assert rows[0]["start"] == 0 and all(r["token_count"] == r["end"] - r["start"] <= config.size for r in rows)
-    at, covered = 0, 0
-    for r in rows:
-        assert r["start"] <= covered <= r["end"]
-        at = whole.index(r["content"], max(0, at - 4 * config.size) if r["chunk_id"] else 0)
-        assert r["chunk_id"] or at == 0
-        covered, at = r["end"], at + len(r["content"])
-    assert at == len(whole)
-    if config.shared == 0:
-        assert "".join(r["content"] for r in rows) == whole and all(r["overlap_token_count"] == 0 for r in rows)
-    else:
-        assert all(0 < r["overlap_token_count"] <= 2 * config.shared for r in rows[1:])
+    assert sorted(got) == ["a", "b", "d"] and [(r["chunk_id"], r["content"], r["overlap_token_count"]) for r in got["b"]] == [(0, "one line", 0)]
+    count = lambda x: (len(x.encode()) + 3) // 4
+    for key in ("a", "d"):
+        rows = sorted(got[key], key=lambda r: r["chunk_id"])
+        whole = "".join(t for k, _, t in sorted(FILES) if k == key)
+        raw = whole.encode()
+        place = lambda b, raw=raw: len(raw[:b].decode())
+        assert [r["chunk_id"] for r in rows] == list(range(len(rows))) and (len(rows) > 1 or config.size == 5000)
+        covered(rows, whole, lambda r: place(r["start"]), lambda r: place(r["end"]))
+        for r in rows:
+            assert r["token_count"] == count(r["content"]) <= config.size and r["end"] - r["start"] == len(r["content"].encode())
+            more = whole[place(r["end"]) :][:1]
+            if more and config.shared:
+                assert count(r["content"] + more) > config.size
+        if config.shared == 0:
+            assert "".join(r["content"] for r in rows) == whole and all(r["overlap_token_count"] == 0 for r in rows)
+        else:
+            assert all(0 < r["overlap_token_count"] <= config.shared for r in rows[1:])
+
+
+@pytest.mark.parametrize("config", [chunks.ChunkConfig(1000, 100), chunks.ChunkConfig(1000, 0), chunks.ChunkConfig(1000, 500)])
+def test_token_chunks_by_a_tokenizer(spark, tmp_path, config):
+    """Counts are those of the chunks' own texts, none is over the size, and nothing is left out."""
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    path = str(public_tokenizers.path("byte_bpe_50k.json"))
+    own = Tokenizer.from_file(path)
+    count = lambda x: len(own.encode(x, add_special_tokens=False).ids)
+    df = spark.createDataFrame(FILES, "k string, i long, t string").repartition(3)
+    staged = []
+
+    def stage(df):
+        staged.append(1)
+        df.write.parquet(f"{tmp_path}/index")
+        return spark.read.parquet(f"{tmp_path}/index")
+
+    got = {}
+    for r in chunks.token_chunks(df, "k", "i", "t", config, path, stage).collect():
+        got.setdefault(r["k"], []).append(r)
+    assert sorted(got) == ["a", "b", "d"] and len(staged) == 1
+    for key in got:
+        rows = sorted(got[key], key=lambda r: r["chunk_id"])
+        whole = "".join(t for k, _, t in sorted(FILES) if k == key)
+        assert [r["chunk_id"] for r in rows] == list(range(len(rows)))
+        at = 0
+        for r in rows:
+            lo = whole.rfind(r["content"], 0, at + len(r["content"]))
+            assert lo >= 0 and r["token_count"] == count(r["content"]) <= config.size
+            at = max(at, lo + len(r["content"]))
+        assert at == len(whole)
 
 
 def test_newline_snap(spark):
@@ -171,6 +222,134 @@ def test_packed(spark):
     assert got == [("a.md", "x/y.py", "print(1)\n"), ("a.md", "z.md", "hi\n"), ("b.xml", "a", "1 < 2"), ("b.xml", "b", "<x>"), ("c.json", "p", "c"), ("d.json", "a", "1"), ("d.json", "q", "2"), ("e", "e", "nothing"), ("f.json", "f.json", "{broken")]
 
 
+PIECES = ["", "a\n", "## File: x\n", "x ## File: y\n\n", "\n\n## File: q\nbody", "<file path='z'>", "]]>", "<!-- c -->", 'q"uo\\te"', "\\", '{"path": "a"}', "é\n✓", "``", '", "', "}, {", ":", "</file>", "<![CDATA["]
+
+
+def written_pack(draw, kind):
+    """Files of a pack and its text, with all that looks like a boundary inside of them."""
+    held = [(f"p{draw.randint(0, 9)}/{i}", "".join(draw.choices(PIECES, k=draw.randint(0, 4)))) for i in range(draw.randint(1, 6))]
+    if kind == "markdown":
+        held = [(p, c) for p, c in held if "```" not in c and not c.endswith("`")]
+        head = draw.choice(["", "# Pack\n```\ntree\n```\n\n"])
+        return held, head + "".join(f"## File: {p}{chr(10) * draw.randint(1, 3)}```{draw.choice(['', 'py'])}\n{c}```{draw.choice(['', chr(10) * 2, ' x ' + chr(10)])}" for p, c in held)
+    if kind == "xml":
+        body = lambda c: f"<![CDATA[{c}]]>" if "]]>" not in c and draw.random() < 0.5 else escape(c)
+        return held, "<files>" + "".join(draw.choice(["\n", "", "<!-- <file path='no'> -->"]) + f'<file path="{p}">{body(c)}</file>' for p, c in held) + "</files>"
+    if kind == "array":
+        rows = [draw.choice([{"path": p, "content": c}, {"content": c, "path": p, "n": {"path": "no"}}]) for p, c in held]
+        return held, json.dumps(rows, indent=draw.choice([None, 1]), ensure_ascii=draw.random() < 0.5)
+    around = [{key: "1"} if draw.random() < 0.3 else {} for key in "vw"]
+    return held, json.dumps(around[0] | {"files": dict(held)} | around[1], indent=draw.choice([None, 1]), ensure_ascii=False)
+
+
+@pytest.mark.parametrize("kind", ["markdown", "xml", "array", "map"])
+def test_packs_are_the_same_however_they_are_split(tmp_path, kind):
+    draw, path = random.Random(kind), tmp_path / "pack"
+    for _ in range(120):
+        held, text_ = written_pack(draw, kind)
+        path.write_bytes(text_.encode())
+        for size in (draw.randint(1, 12), draw.randint(5, 60), 10**6):
+            n = path.stat().st_size
+            rows = [(f"file:{path}", n, {"array": "json", "map": "json"}.get(kind, kind), i, i * size, min(n, (i + 1) * size)) for i in range(max(1, -(-n // size)))]
+            scanned = list(splits._scan(iter([pd.DataFrame(rows, columns=["pack", "size", "kind", "i", "start", "end"])])))
+            found = [f for b in splits._parse(iter([splits._folded(pd.concat(scanned))])) for f in zip(b["path"], b["content"], strict=True)]
+            assert found == held, (size, text_)
+
+
+def test_packs_in_splits(spark, tmp_path):
+    """Kinds are told by content too; packs that can't be read are one row; no task reads a whole pack."""
+    (tmp_path / "in").mkdir()
+    texts = [(f"d/{i}.txt", f"text {i} " + "é\n" * (i % 50)) for i in range(300)]
+    table = {
+        "a.md": "".join(f"## File: {p}\n\n```\n{c}```\n" for p, c in texts), "b": "<files>" + "".join(f'<file path="{p}">{c}</file>' for p, c in texts) + "</files>",
+        "c.json": json.dumps([{"path": p, "content": c} for p, c in texts]), "d": json.dumps({"files": dict(texts)}), "e.json": "{broken", "f": "nothing at all", "g.xml": "<files><file>x</file></files>", "h": "",
+    }
+    for name, body in table.items():
+        (tmp_path / "in" / name).write_text(body)
+    got = {}
+    for r in splits.read(spark, str(tmp_path / "in"), 1000).collect():
+        got.setdefault(r["pack"].rsplit("/", 1)[1], []).append((r["ord"], r["path"].removeprefix(f"file:{tmp_path}/in/"), r["content"]))
+    whole = [(i, p, c) for i, (p, c) in enumerate(texts)]
+    assert all(sorted(got[k]) == whole for k in ("a.md", "b", "c.json", "d"))
+    assert all(got[k] == [(0, k, table[k])] for k in ("e.json", "f", "g.xml"))
+    packs = spark.read.format("binaryFile").load(str(tmp_path / "in")).select("path", "length")
+    by_range = splits.files(packs, 1000).where("pack like '%/in/c.json'").groupBy("i").count().collect()
+    assert len(by_range) > 10 and sum(r["count"] for r in by_range) == 300
+
+
+def test_ends_that_meet(spark):
+    """In one sorted pass over many ranges, against all pairs."""
+    draw = random.Random(5)
+    word = lambda: "".join(draw.choices("ab/", k=draw.randint(1, 7)))
+    for ranges in (1, 3, 40):
+        names, held = {word() for _ in range(150)}, {word() for _ in range(12)}
+        got = endings.met(spark.createDataFrame([(x,) for x in [*names, "", None]], "ref string"), spark.createDataFrame([(x,) for x in [*held, "", None]], "path string"), "ref", "path", ranges)
+        assert {r["ref"] for r in got.collect()} == {n for n in names if any(n.endswith(h) or h.endswith(n) for h in held)}
+    none = spark.createDataFrame([], "path string")
+    assert endings.met(spark.createDataFrame([("a",)], "ref string"), none, "ref", "path").collect() == []
+
+
+def test_ignore_rules_as_tables_and_by_the_walker(spark):
+    draw = random.Random(6)
+    held = ["a.log", "b/a.log", "b/c/keep.log", "build/x", "b/build/y/z", "src/a.py", "src/x/a.py", "doc/t.md", "doc/x/t.md", "[x].txt", "!odd", "#hash", "a+b.c", "deep/a/b/c/d.txt"]
+    lines = ["*.log", "!keep.log", "build/", "/src/*.py", "doc/**", "!doc/t.md", "**/y", "[ab].log", "[!a].log", "\\!odd", "\\#hash", "a+b.?", "deep/**/d.txt", "x", "x/", "/x", "!b/", "c/", "**/c/", "t.m[dx]", "# no", ""]
+    paths_ = spark.createDataFrame([(p,) for p in held], "path string")
+    for _ in range(12):
+        own = [(f, "\n".join(draw.sample(lines, draw.randint(0, 4)))) for f in draw.sample(["", "b", "doc", "src", "deep"], draw.randint(1, 3))]
+
+        def out(path, own=own):
+            parts = path.split("/")
+            for i in range(1, len(parts) + 1):
+                node = "/".join(parts[:i])
+                above = sorted((x for x in own if x[0] == "" or node.startswith(x[0] + "/")), key=lambda x: len(x[0]))
+                if tree.ignored(node, i < len(parts), [r for f, c in above for r in tree.ignore_rules(c, f)]):
+                    return True
+            return False
+
+        rules = ignored.rules(spark.createDataFrame(own, "folder string, content string"))
+        assert {r["path"] for r in ignored.ignored(paths_, rules).collect()} == {p for p in held if out(p)}, own
+    assert {r["path"] for r in ignored.kept(paths_, rules).collect()} == {p for p in held if not out(p)}
+
+
+def test_files_that_cannot_be_read(spark, project):
+    spark.dataSource.register(tree.TreeSource)
+    for option, n in (("quarantine", 6), ("fail", None)):
+        df = spark.read.format("tree").option("on_unreadable", option).load(str(project))
+        reader = tree.TreeReader({"path": str(project), "on_unreadable": option})
+        shares = reader.partitions()
+        (project / "src/main.py").rename(project / "src/main.away")
+        try:
+            if n:
+                rows = [r for s in shares for r in reader.read(s)]
+                assert len(rows) == n and [r[1] for r in rows if r[4] is None] == ["bin.dat", "src/main.py"]
+            else:
+                with pytest.raises(FileNotFoundError):
+                    [r for s in shares for r in reader.read(s)]
+        finally:
+            (project / "src/main.away").rename(project / "src/main.py")
+        assert df.count() == 6
+    with pytest.raises(ValueError):
+        tree.TreeReader({"path": str(project), "on_unreadable": "perhaps"})
+
+
+def test_without_compression_files_reach_the_prompt_byte_for_byte(spark, project, tmp_path):
+    class Keeping(Counting):
+        def complete(self, prompt, options):
+            with open(self.log + ".prompts", "a") as f:
+                f.write(prompt)
+            return super().complete(prompt, options)
+
+    body = "def f():\n    if x:\n\treturn  1   \n\n\n"
+    (project / "src/main.py").write_text(body)
+    client = Keeping(str(tmp_path / "log"))
+    result = plan.run(spark, str(project), settings.load({"formats": "claude"}, {}, cwd=str(project)), client, str(tmp_path / "work"))
+    assert f"--- src/main.py ---\n{body}\n\n" in open(client.log + ".prompts").read()
+    assert not any("Compression" in x for x in result.summary) and "Left out: 1 that aren't readable text" in result.summary
+    files = spark.createDataFrame([(0, "a.py", "python", "a  b"), (1, "b", None, "c  d"), (2, "c", None, " e ")], "ord long, path string, language string, original_content string")
+    got = values(corpus.compressed(files, F.when(F.col("language") == "python", "out"), F.col("ord") < 2).select("compressed_content", "compression_method"))
+    assert got == [(" e ", "none"), ("c d\n", "whitespace"), ("out", "structural")]
+
+
 def test_validation(spark):
     rows = [
         ("cursor", "---\nname: x\n---\nuse tabs"),

@@ -32,6 +32,8 @@ class Config:
     rule_type: str = "auto"
     include: tuple[str, ...] = ()
     exclude: tuple[str, ...] = ()
+    #: What to do about a file that is listed and can't be read: end the run, or leave it out and say so.
+    on_unreadable: str = "fail"
     compress: bool = False
     chunk_size: int = 100_000
     overlap: int | None = None
@@ -67,6 +69,8 @@ class Config:
             object.__setattr__(self, "on_conflict", "prompt")
         if self.output and len(self.formats) != 1:
             raise ValueError("an output path needs exactly one format")
+        if self.on_unreadable not in ("fail", "quarantine"):
+            raise ValueError("on_unreadable is fail or quarantine")
         if self.on_failure not in ON_FAILURE:
             raise ValueError(f"on_failure is one of {', '.join(ON_FAILURE)}")
         for checks in (self.checks, *self.format_checks.values()):
@@ -83,7 +87,7 @@ class Config:
 
 #: Where a file's sections keep the fields, by their names there.
 SECTIONS = {
-    "general": {n: n for n in ("provider", "model", "compress", "chunk_size", "no_confirm", "rule_type", "description", "tokenizer", "concurrency")},
+    "general": {n: n for n in ("provider", "model", "compress", "chunk_size", "no_confirm", "rule_type", "description", "tokenizer", "concurrency", "on_unreadable")},
     "output": {n: n for n in ("formats", "output_paths", "on_conflict")},
     "chunking": {"chunk_size": "chunk_size", "overlap": "overlap"},
     "validation": {"enabled": "validate", "retry_on_validation_failure": "retry_on_validation_failure", "retry_on_failure": "retry_on_validation_failure", "max_retries": "max_retries", "semantic_validation": "semantic_validation", "on_failure": "on_failure"},

@@ -10,15 +10,18 @@ from pyspark.sql import functions as F
 from ..functions import cost, text
 
 
-def compressed(files: DataFrame, structural: Column | None = None) -> DataFrame:
+def compressed(files: DataFrame, structural: Column | None = None, compress: Column | bool = True) -> DataFrame:
     """``files`` (ord, path, language, original_content) with compressed text, its method and both sizes in bytes.
 
-    ``structural`` gives the structurally compressed text of known languages, null where that failed; white space is the fallback.
+    ``structural`` gives the structurally compressed text of known languages, null where that failed; white space is the fallback. Where
+    ``compress`` is false the text stays as it is, with method none.
     """
-    space = text.whitespace_compressed(F.col("original_content"))
-    first = F.lit(None).cast("string") if structural is None else structural
+    wanted = compress if isinstance(compress, Column) else F.lit(compress)
+    first = F.lit(None).cast("string") if structural is None else F.when(wanted, structural)
     out = files.withColumn("structural", first)
-    out = out.withColumn("compressed_content", F.coalesce("structural", space)).withColumn("compression_method", F.when(F.col("structural").isNotNull(), "structural").otherwise("whitespace"))
+    method = F.when(~wanted, "none").when(F.col("structural").isNotNull(), "structural").otherwise("whitespace")
+    content = F.when(~wanted, F.col("original_content")).otherwise(F.coalesce("structural", text.whitespace_compressed(F.col("original_content"))))
+    out = out.withColumn("compressed_content", content).withColumn("compression_method", method)
     return out.drop("structural").withColumn("original_size", text.byte_size(F.col("original_content"))).withColumn("compressed_size", text.byte_size(F.col("compressed_content")))
 
 

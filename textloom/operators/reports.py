@@ -53,10 +53,12 @@ def validation_lines(report: DataFrame) -> list[str]:
     return [*out, f"{failed} of {len(by)} failed validation" if failed else f"all {len(by)} passed validation"]
 
 
-def success_lines(written: Iterable[tuple[str, str, str, int]], files: int, tokens: int, ratio: float, cost: float, seconds: float) -> list[str]:
-    """``written``: (format, path, status, bytes)."""
+def success_lines(written: Iterable[tuple[str, str, str, int]], files: int, tokens: int, ratio: float, cost: float, seconds: float, left_out: int = 0) -> list[str]:
+    """``written``: (format, path, status, bytes); ``left_out``: files that were listed but hold no text that can be read."""
     out = [f"{status:10} {path} ({format_}, {size(n)})" for format_, path, status, n in written]
     out += [f"Files: {files:,}", f"Tokens: {tokens:,}"]
+    if left_out:
+        out.append(f"Left out: {left_out:,} that aren't readable text")
     if 0 < ratio < 1:
         out.append(f"Compression: {int((1 - ratio) * 100)} %")
     return [*out, f"Cost: ${cost:.4f}", f"Time: {duration(seconds)}"]

@@ -6,13 +6,15 @@ projects are validated at once; what compares formats with each other compares t
 
 from __future__ import annotations
 
-from collections.abc import Collection, Mapping
+from collections.abc import Callable, Collection, Mapping
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.paths import REALITY
 from ..functions.text import fence_unbalanced
+from ..workspace import staged
+from . import endings
 
 #: A path in prose: after a start, blank, backtick or quote and before one of those or punctuation. Both ends are consumed.
 PATH = r"(?:^|[\s`\"'])([A-Za-z0-9_./-]+\.[A-Za-z0-9]+)(?:[\s`\"',;:)]|\z)"
@@ -30,6 +32,7 @@ CAMEL, SNAKE = r"(?i)\bcamel\s*case\b", r"(?i)\bsnake\s*[_\s]?case\b"
 LINE_LENGTH = r"(?i)(?:max(?:imum)?|line)\s*(?:line\s*)?(?:length|width|chars?)\s*(?:of\s*|:\s*|=\s*)?(\d+)"
 SEMICOLONS, NO_SEMICOLONS = r"(?i)\b(?:always\s+use|require|use)\s+semicolons?\b", r"(?i)\b(?:no|omit|avoid|don'?t\s+use)\s+semicolons?\b"
 SINGLE, DOUBLE = r"(?i)\bsingle\s+quotes?\b", r"(?i)\bdouble\s+quotes?\b"
+LEAST_MENTIONS = 3
 LEAST_LENGTH, MOST_LENGTH, MOST_NUMBER = 40, 500, 2**32 - 1
 
 
@@ -53,10 +56,10 @@ def json_problem(content: Column) -> Column:
     return F.when(invalid, "syntax").when((kind == "VOID") | (kind == "OBJECT<>"), "schema")
 
 
-def syntax(rendered: DataFrame) -> DataFrame:
-    """Findings of the syntax and schema layers for (format, content). A null content couldn't be rendered, which is a finding too."""
-    c, f = F.col("content"), kind(F.col("format"))
-    blank, body = empty(c), F.when(c.startswith("---"), F.expr("substring(content, 4)"))
+def problems(format_: Column, content: Column) -> Column:
+    """What the syntax and schema layers find in a content, as an array of (severity, layer, message). A null content couldn't be rendered, which is a finding too."""
+    c, f = content, kind(format_)
+    blank, body = empty(c), F.when(c.startswith("---"), F.substr(c, F.lit(4)))
     close = F.locate("---", body)
     front = F.substring(body, F.lit(1), close - 1)
     problem = json_problem(c)
@@ -73,10 +76,16 @@ def syntax(rendered: DataFrame) -> DataFrame:
         ((f == "json") & (problem == "syntax"), "error", "syntax", F.lit("json syntax")),
         ((f == "json") & (problem == "schema"), "error", "schema", F.lit("json schema")),
     ]
-    # One pass over the texts: each row carries what is wrong with it.
-    wrong = F.array_compact(F.array(*[F.when(F.coalesce(bad, F.lit(False)), F.struct(F.lit(severity).alias("severity"), F.lit(layer).alias("layer"), message.alias("message"))) for bad, severity, layer, message in rules]))
-    out = rendered.select("format", F.explode(wrong).alias("w"))
-    return out.select("format", "w.severity", "w.layer", "w.message", F.lit(None).cast("string").alias("location"))
+    return F.array_compact(F.array(*[F.when(F.coalesce(bad, F.lit(False)), F.struct(F.lit(severity).alias("severity"), F.lit(layer).alias("layer"), message.alias("message"))) for bad, severity, layer, message in rules]))
+
+
+def _listed(told: DataFrame) -> DataFrame:
+    return told.select("format", F.explode("problems").alias("w")).select("format", "w.severity", "w.layer", "w.message", F.lit(None).cast("string").alias("location"))
+
+
+def syntax(rendered: DataFrame) -> DataFrame:
+    """Findings of the syntax and schema layers for (format, content)."""
+    return _listed(rendered.select("format", problems(F.col("format"), F.col("content")).alias("problems")))
 
 
 def named_paths(content: Column) -> Column:
@@ -91,50 +100,52 @@ def path_references(rendered: DataFrame) -> DataFrame:
 
 
 def dangling(refs: DataFrame, files: DataFrame) -> DataFrame:
-    """References (format, ref) that no file (path) equals, ends with or is the end of.
-
-    An end may start at any character. Each side's ends are met with the other side by equality, so the work is linear in both
-    tables and no reference is compared with every file.
-    """
-    ends = lambda c: F.explode(F.transform(F.sequence(F.lit(1), F.char_length(c)), lambda i: F.substr(F.col(c), i)))
-    held = files.select("path").where("path <> ''").distinct()
-    names = refs.select("ref").distinct()
-    inside = names.select("ref", ends("ref").alias("path")).join(held, "path").select("ref")
-    around = held.select(ends("path").alias("ref")).join(names, "ref").select("ref")
-    return refs.join(inside.unionByName(around).distinct(), "ref", "left_anti").select("format", "ref")
+    """References (format, ref) that no file (path) equals, ends with or is the end of. An end may start at any character."""
+    return refs.join(endings.met(refs, files, "ref", "path"), "ref", "left_anti").select("format", "ref")
 
 
 def contradiction(content: Column) -> Column:
     return content.rlike(TABS) & content.rlike(SPACES)
 
 
-def language_mentions(rendered: DataFrame, files: DataFrame, least: int = 3) -> DataFrame:
-    """format, language, mentions of languages that are named ``least`` times or more though no file has an extension of theirs."""
+def mentions(content: Column) -> Column:
+    """How often a content names each language, as an array of (language, mentions)."""
     words = {k: (r"\bc#" if k == "c#" else rf"\b{k}\b") for k in REALITY}
-    counts = F.array(*[F.struct(F.lit(k).alias("language"), F.regexp_count(F.lower("content"), F.lit(w)).cast("long").alias("mentions")) for k, w in words.items()])
-    named = rendered.select("format", F.explode(counts).alias("m")).select("format", "m.language", "m.mentions").where(F.col("mentions") >= least)
+    return F.array(*[F.struct(F.lit(k).alias("language"), F.regexp_count(F.lower(content), F.lit(w)).cast("long").alias("mentions")) for k, w in words.items()])
+
+
+def _without_files(named: DataFrame, files: DataFrame) -> DataFrame:
     extensions = F.explode(F.array(*[F.struct(F.lit(k).alias("language"), F.lit(e).alias("ext")) for k, es in REALITY.items() for e in es])).alias("x")
-    spark = rendered.sparkSession
-    table = spark.range(1).select(extensions).select("x.language", "x.ext")
+    table = named.sparkSession.range(1).select(extensions).select("x.language", "x.ext")
     present = files.select(F.regexp_extract("path", r"\.([^./]+)$", 1).alias("ext")).distinct().join(F.broadcast(table), "ext").select("language").distinct()
     return named.join(present, "language", "left_anti").select("format", "language", "mentions")
 
 
-def conventions(rendered: DataFrame) -> DataFrame:
-    """format and the conventions its content states, null or empty where it states none. The first match of a number counts."""
-    c = F.col("content")
+def language_mentions(rendered: DataFrame, files: DataFrame, least: int = LEAST_MENTIONS) -> DataFrame:
+    """format, language, mentions of languages that are named ``least`` times or more though no file has an extension of theirs."""
+    named = rendered.select("format", F.explode(mentions(F.col("content"))).alias("m")).select("format", "m.language", "m.mentions").where(F.col("mentions") >= least)
+    return _without_files(named, files)
+
+
+def stated(content: Column) -> list[Column]:
+    """The conventions that a content states, null or empty where it states none. The first match of a number counts."""
+    c = content
     number = lambda p: F.regexp_extract(c, p, 1).try_cast("long")
     either = lambda a, x, b, y: F.when(c.rlike(a), x).when(c.rlike(b), y)
     width, length = number(INDENT_WIDTH), number(LINE_LENGTH)
-    return rendered.select(
-        "format",
+    return [
         either(TABS, "tabs", SPACES, "spaces").alias("indentation_style"),
         F.when(width <= MOST_NUMBER, width).alias("indent_width"),
         F.concat_ws(",", F.when(c.rlike(CAMEL), "camelCase"), F.when(c.rlike(SNAKE), "snake_case")).alias("naming"),
         F.when(length.between(LEAST_LENGTH, MOST_LENGTH), length).alias("line_length"),
         either(SEMICOLONS, "use", NO_SEMICOLONS, "no").alias("semicolons"),
         either(SINGLE, "single", DOUBLE, "double").alias("quote_style"),
-    )
+    ]
+
+
+def conventions(rendered: DataFrame) -> DataFrame:
+    """format and the conventions its content states."""
+    return rendered.select("format", *stated(F.col("content")))
 
 
 CONFLICTING = ("indentation_style", "indent_width", "line_length", "semicolons", "quote_style")
@@ -161,16 +172,20 @@ def missing(stated: DataFrame) -> DataFrame:
     return out.where("n >= 2 and have > n div 2 and have < n").select("project", "name", "without")
 
 
-def loose_paths(rendered: DataFrame, files: DataFrame) -> DataFrame:
-    return dangling(path_references(rendered), files).select("format", F.lit("warning").alias("severity"), F.lit("semantic").alias("layer"), F.lit("path is not in the corpus").alias("message"), F.col("ref").alias("location"))
+def _loose(refs: DataFrame, files: DataFrame) -> DataFrame:
+    return dangling(refs, files).select("format", F.lit("warning").alias("severity"), F.lit("semantic").alias("layer"), F.lit("path is not in the corpus").alias("message"), F.col("ref").alias("location"))
 
 
-def contradictions(rendered: DataFrame) -> DataFrame:
-    return rendered.where(contradiction(F.col("content"))).select("format", F.lit("error").alias("severity"), F.lit("semantic").alias("layer"), F.lit("tabs and spaces are both prescribed").alias("message"), F.lit(None).cast("string").alias("location"))
+def _contradicting(rows: DataFrame) -> DataFrame:
+    return rows.select("format", F.lit("error").alias("severity"), F.lit("semantic").alias("layer"), F.lit("tabs and spaces are both prescribed").alias("message"), F.lit(None).cast("string").alias("location"))
+
+
+def loose_paths(rendered: DataFrame, files: DataFrame) -> DataFrame:
+    return _loose(path_references(rendered), files)
 
 
-def unreal_languages(rendered: DataFrame, files: DataFrame) -> DataFrame:
-    return language_mentions(rendered, files).select("format", F.lit("warning").alias("severity"), F.lit("semantic").alias("layer"), F.lit("language has no file").alias("message"), F.col("language").alias("location"))
+def contradictions(rendered: DataFrame) -> DataFrame:
+    return _contradicting(rendered.where(contradiction(F.col("content"))))
 
 
 def smoke(rules: DataFrame, files: DataFrame) -> DataFrame:
@@ -178,10 +193,7 @@ def smoke(rules: DataFrame, files: DataFrame) -> DataFrame:
     return loose_paths(rules, files).unionByName(contradictions(rules)).withColumn("severity", F.lit("warning"))
 
 
-def cross_format(rendered: DataFrame) -> DataFrame:
-    """Findings over all formats of a project together. Both kinds are errors."""
-    stated = conventions(rendered.where("content is not null"))
-
+def _consistency(stated: DataFrame) -> DataFrame:
     def rows(found: DataFrame, message: str, at: str) -> DataFrame:
         name = F.when(F.col("project") == "", F.lit(CROSS)).otherwise(F.concat(F.lit(f"{CROSS}:"), "project"))
         return found.select(name.alias("format"), F.lit("error").alias("severity"), F.lit("semantic").alias("layer"), F.concat(F.lit(message), "name").alias("message"), F.col(at).alias("location"))
@@ -189,23 +201,43 @@ def cross_format(rendered: DataFrame) -> DataFrame:
     return rows(conflicts(stated), "conflicting ", "stated").unionByName(rows(missing(stated), "missing ", "without"))
 
 
+def cross_format(rendered: DataFrame) -> DataFrame:
+    """Findings over all formats of a project together. Both kinds are errors."""
+    return _consistency(conventions(rendered.where("content is not null")))
+
+
+def facts(rendered: DataFrame) -> DataFrame:
+    """All that the checks need to know of each content (format, content), from one pass over the texts."""
+    c = F.col("content")
+    often = F.filter(mentions(c), lambda m: m["mentions"] >= LEAST_MENTIONS)
+    return rendered.select("format", problems(F.col("format"), c).alias("problems"), named_paths(c).alias("refs"), contradiction(c).alias("contradicts"), often.alias("mentions"), c.isNotNull().alias("rendered"), *stated(c))
+
+
 #: Checks of the semantic layer, which are switched one by one.
 CHECKS = ("paths", "contradictions", "reality", "consistency")
 
 
-def findings(rendered: DataFrame, files: DataFrame, overrides: Mapping[str, Mapping[str, bool]] | None = None, defaults: Mapping[str, bool] | None = None, formats: Collection[str] | None = None) -> DataFrame:
+def findings(rendered: DataFrame, files: DataFrame, overrides: Mapping[str, Mapping[str, bool]] | None = None, defaults: Mapping[str, bool] | None = None, formats: Collection[str] | None = None, stage: Callable[[DataFrame, str], DataFrame] = staged) -> DataFrame:
     """All findings. ``defaults`` switches the semantic checks (all on); ``overrides`` does so for single formats, whose defaults then
-    don't count. Consistency runs over all formats if any of them has it on."""
+    don't count. Consistency runs over all formats if any of them has it on.
+
+    Texts are read once: ``stage`` writes their facts, and all checks are filters and joins of these.
+    """
     every, own = dict.fromkeys(CHECKS, True), dict(overrides or {})
     present = [k for k in KINDS if formats is None or k in formats]
     switches = {k: every | dict(own[k] if k in own else defaults or {}) for k in present}
-    rows = rendered.where(F.col("content").isNotNull())
-    checked = lambda name: rows.where(kind(F.col("format")).isin(*[k for k in present if switches[k][name]]))
-    out = syntax(rendered)
-    for name, check in (("paths", lambda r: loose_paths(r, files)), ("contradictions", contradictions), ("reality", lambda r: unreal_languages(r, files))):
-        if any(s[name] for s in switches.values()):
-            out = out.unionByName(check(checked(name)))
-    return out.unionByName(cross_format(rows)) if any(s["consistency"] for s in switches.values()) else out
+    told = stage(facts(rendered), "facts")
+    checked = lambda name: told.where(F.col("rendered") & kind(F.col("format")).isin(*[k for k in present if switches[k][name]]))
+    on = {name for name in CHECKS if any(s[name] for s in switches.values())}
+    out = _listed(told)
+    if "paths" in on:
+        out = out.unionByName(_loose(checked("paths").select("format", F.explode("refs").alias("ref")), files))
+    if "contradictions" in on:
+        out = out.unionByName(_contradicting(checked("contradictions").where("contradicts")))
+    if "reality" in on:
+        unreal = _without_files(checked("reality").select("format", F.explode("mentions").alias("m")).select("format", "m.language", "m.mentions"), files)
+        out = out.unionByName(unreal.select("format", F.lit("warning").alias("severity"), F.lit("semantic").alias("layer"), F.lit("language has no file").alias("message"), F.col("language").alias("location")))
+    return out.unionByName(_consistency(told.where("rendered"))) if "consistency" in on else out
 
 
 def results(rendered: DataFrame, found: DataFrame) -> DataFrame:

@@ -6,14 +6,16 @@ artifacts. Where a rule needs text that the tables lack (fences, style words, pa
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import cost, paths, text
 from ..operators import analysis, chunks, corpus, finalise, ledger, validate, writing
-from ..sources import models, packed
+from ..sources import ignored, models, packed, splits
+from ..workspace import shared_folder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -35,12 +37,17 @@ def _table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
-def _files(spark: SparkSession, sf: str) -> DataFrame:
+def _sources(spark: SparkSession, sf: str) -> DataFrame:
     """Documents as files."""
     ext = F.when(F.col("lang") == "en", ".py").when(F.col("lang") == "fr", ".ts").when(F.col("lang") == "de", ".rs").otherwise(".txt")
     path = F.concat("source", F.lit("/doc"), F.col("doc_id").cast("string"), ext)
     docs = _table(spark, sf, "documents").select(F.col("doc_id").alias("ord"), path.alias("path"), "source", F.coalesce("text", F.lit("")).alias("original_content"))
-    return corpus.compressed(docs.withColumn("language", paths.language(F.col("path"))))
+    return docs.withColumn("language", paths.language(F.col("path")))
+
+
+def _files(spark: SparkSession, sf: str) -> DataFrame:
+    """Documents as files, without their surplus white space."""
+    return corpus.compressed(_sources(spark, sf))
 
 
 _F = """f as (select *, strlen(original_content)::bigint as original_size, strlen(compressed_content)::bigint as compressed_size,
@@ -78,9 +85,14 @@ def language_histogram(spark, sf):
     return corpus.language_histogram(_files(spark, sf))
 
 
-@query(f"with {_F} select 'whitespace' as compression_method, count(*) as files, sum(original_size)::bigint as original_size, sum(compressed_size)::bigint as compressed_size from f")
+@query(f"""with {_F}, m as (select original_size, case when source in ('src1', 'src3') then 'none' when language = 'python' and instr(original_content, chr(10)) > 0 then 'structural' else 'whitespace' end as compression_method,
+  case when source in ('src1', 'src3') then original_size when language = 'python' and instr(original_content, chr(10)) > 0 then strlen(split_part(original_content, chr(10), 1)) else compressed_size end as compressed_size from f)
+select compression_method, count(*) as files, sum(original_size)::bigint as original_size, sum(compressed_size)::bigint as compressed_size from m group by 1""")
 def method_breakdown(spark, sf):
-    return corpus.method_breakdown(_files(spark, sf))
+    """Two projects without compression; elsewhere the first line stands for an outline, which texts of a single line don't have."""
+    c = F.col("original_content")
+    outline = F.when((F.col("language") == "python") & c.contains("\n"), F.substring_index(c, "\n", 1))
+    return corpus.method_breakdown(corpus.compressed(_sources(spark, sf), outline, ~F.col("source").isin("src1", "src3")))
 
 
 @query(f"with {_F}, t as (select coalesce(language, 'unknown') as language, path, {_TOK}::bigint as tokens, row_number() over (partition by coalesce(language, 'unknown') order by {_TOK} desc, path) as rank from f) select language, count(*) as files, sum(tokens)::bigint as tokens, string_agg(path || ':' || tokens, ',' order by rank) filter (where rank <= 3) as top_files, greatest(count(*) - 3, 0)::bigint as more from t group by 1")
@@ -145,17 +157,15 @@ def pre_run_breakdown(spark, sf):
     return ledger.pre_run(chunks.chunked(_table(spark, sf, "documents"), "doc_id", "text", CHUNKS), "doc_id", 2, PRICE_IN, PRICE_OUT)
 
 
-#: Corpora by source, in lines (pieces of at most 25 characters, since the overlap is 100 tokens), placed by the tokens before them.
-_PIECES = f"""{_F}, ent as (select source, ord, '--- ' || path || ' ---' || chr(10) || compressed_content || chr(10) || chr(10) as e from f),
-sp as (select source, ord, string_split(e, chr(10)) as ls from ent), li as (select source, ord, i, ls[i] || chr(10) as line from (select source, ord, ls, unnest(range(1, len(ls))) as i from sp) union all select source, ord, len(ls), ls[len(ls)] from sp where ls[len(ls)] <> ''),
-pc as (select source, ord, i, j, line[25 * j + 1 : 25 * j + 25] as piece from (select *, unnest(range((len(line) + 24) // 25)) as j from li)),
-ps as (select *, (strlen(piece) + 3) // 4 as n, sum((strlen(piece) + 3) // 4) over (partition by source order by ord, i, j rows unbounded preceding) as e from pc),
-pl as (select *, e - n as s, max(e) over (partition by source) as total from ps),
-ids as (select *, unnest(range(greatest((s // 900)::bigint - 1, 0), (s // 900)::bigint + 3)) as chunk_id from pl),
-held as (select * from ids where case when chunk_id = 0 then e <= 1000 else chunk_id * 900 - 100 <= s and e <= (chunk_id + 1) * 900 and total > 1000 and chunk_id * 900 < total end)"""
+#: Corpora by source, character by character with its bytes: a chunk begins with the first character from its window's start on and ends with the last that fits.
+_CHARS = f"""{_F}, ent as (select source, ord, '--- ' || path || ' ---' || chr(10) || compressed_content || chr(10) || chr(10) as e from f),
+txt as (select source, string_agg(e, '' order by ord) as t from ent group by 1), ch as (select source, j, substr(t, j::int, 1) as c from (select source, t, unnest(range(1, len(t) + 1)) as j from txt)),
+pos as (select source, j, sum(strlen(c)) over (partition by source order by j rows unbounded preceding) as e, strlen(c) as w from ch), cp as (select source, j, (e - w)::bigint as s, e::bigint as e from pos),
+win as (select source, t, n, i::bigint as i, case when i = 0 then 0 else i * 3600 - 400 end::bigint as lo from (select source, t, strlen(t) as n, unnest(range(case when strlen(t) <= 4000 then 1 else ceil(strlen(t) / 3600.0)::bigint end)) as i from txt)),
+beg as (select win.source, t, i, n, cp.j, cp.s from win asof join cp on win.source = cp.source and cp.s >= win.lo), fin as (select beg.source, i, beg.t, beg.j as a, beg.s, cp.j as b, cp.e from beg asof join cp on beg.source = cp.source and cp.e <= beg.s + 4000)"""
 
 
-@query(f"""with {_PIECES} select source, chunk_id::int as chunk_id, min(s)::bigint as start, max(e)::bigint as "end", string_agg(piece, '' order by ord, i, j) as content, sum(n)::bigint as token_count, coalesce(sum(n) filter (where chunk_id > 0 and s < chunk_id * 900), 0)::bigint as overlap_token_count from held group by 1, 2""")
+@query(f"""with {_CHARS} select source, i::int as chunk_id, s as start, e as "end", substr(t, a::int, (b - a + 1)::int) as content, ((e - s + 3) // 4)::bigint as token_count, case when i = 0 then 0 else (greatest(least(i * 3600, e) - s, 0) + 3) // 4 end::bigint as overlap_token_count from fin""")
 def chunk_tokens(spark, sf):
     return chunks.token_chunks(_files(spark, sf).withColumn("entry", text.corpus_entry(F.col("path"), F.col("compressed_content"))), "source", "ord", "entry", CHUNKS)
 
@@ -208,6 +218,29 @@ def include_exclude(spark, sf):
     return _paths(spark, sf).where(paths.kept_path(F.col("path"), ["**/*.{ts,py,go}", "*.hpp"], ["*1.?*", "**/*3.??"]))
 
 
+_ENDS = ("/a.log", "/keep.log", "/build/x.o", "/src/build.py", "/a/tmp/b/c.txt", "/d1.md", "/notes.txt", "/src/gen/z.py")
+
+
+#: Each node with the rules that match it, which are written out by hand here: five of the root, three of every site whose name begins with "blog.".
+@query(rf"""with p as (select distinct regexp_replace(url, '^[a-z]+://', '') || ({list(_ENDS)})[(page_id % 8 + 1)::int] as path from pages),
+s as (select path, string_split(path, '/') as x from p), up as (select path, array_to_string(x[1:i], '/') as node, i = len(x) as file, starts_with(path, 'blog.') as blog, x[i] as name from (select path, x, unnest(range(1, len(x) + 1)) as i from s)),
+n as (select distinct node, file, blog, name, contains(node, '/') as below from up),
+m as (select node, 0 as k, false as keep from n where name like '%.log' union all select node, 1, true from n where name = 'keep.log' union all select node, 2, false from n where not file and name = 'build'
+ union all select node, 3, false from n where regexp_matches(node, '(^|/)tmp/') union all select node, 4, false from n where regexp_matches(name, '^d[0-9][.]md$')
+ union all select node, 100, false from n where blog and below and regexp_matches(name, '^note.[.]txt$') union all select node, 101, true from n where blog and below and name = 'a.log'
+ union all select node, 102, false from n where blog and not file and regexp_matches(node, '/src/gen$')),
+v as (select node, arg_max(keep, k) as keep from m group by 1) select distinct path from up join v on up.node = v.node where not keep""")
+def ignored_paths(spark, sf):
+    """Files of many sites under the ignore files of the root and of some sites."""
+    pages = _table(spark, sf, "pages")
+    bare = F.regexp_replace("url", "^[a-z]+://", "")
+    rows = pages.select(F.concat(bare, F.element_at(F.array(*map(F.lit, _ENDS)), (F.col("page_id") % 8 + 1).cast("int"))).alias("path"))
+    site = F.split_part(bare, F.lit("/"), F.lit(1))
+    own = pages.select(site.alias("folder")).where(F.col("folder").startswith("blog.")).distinct().withColumn("content", F.lit("note?.txt\n!a.log\r\n\n**/src/gen/\n"))
+    root = spark.createDataFrame([("", "# what tools make\n*.log\n!keep.log\nbuild/\n**/tmp/**\nd[0-9].md  \n")], "folder string, content string")
+    return ignored.ignored(rows, ignored.rules(root.unionByName(own)))
+
+
 #: Rules of many projects: document d is a format of project d div 6, with marks around its whole text.
 _RENDERED = """r as (select doc_id, (['cursor','claude','copilot','windsurf','aider','generic'])[(doc_id % 6 + 1)::int] || ':' || (doc_id // 6) as format,
   case doc_id % 7 when 0 then '---' || chr(10) || 'description: x' || chr(10) || '---' || chr(10) when 1 then '---' || chr(10) else '' end
@@ -384,6 +417,40 @@ def packed_files(spark, sf):
     return packed.parsed(packs.select(name.alias("path"), content.alias("content")))
 
 
+#: Each document in a pack of every kind that can carry it unchanged.
+_SPLIT = r"""select kind, pack, (row_number() over (partition by kind, pack order by doc_id) - 1)::int as ord, path, content from (select doc_id, doc_id // 2000 as pack, source || '/' || doc_id || '.txt' as path, coalesce(text, '') as content from documents), (values ('array'), ('map'), ('markdown'), ('xml')) k(kind)
+  where kind in ('array', 'map') or kind = 'markdown' and not contains(content, '`') or kind = 'xml' and not regexp_matches(content, '[\x00-\x08\x0b-\x1f\x{fffe}\x{ffff}]')"""
+
+
+@query(_SPLIT)
+def pack_splits(spark, sf):
+    """Packs of two thousand documents, written as files and read again in ranges much shorter than a pack."""
+    t = F.coalesce("text", F.lit(""))
+    docs = _table(spark, sf, "documents").select("doc_id", F.expr("doc_id div 2000").alias("pack"), F.concat("source", F.lit("/"), F.col("doc_id").cast("string"), F.lit(".txt")).alias("path"), t.alias("t"))
+    kinds = F.explode(F.array(*map(F.lit, ("array", "map", "markdown", "xml")))).alias("kind")
+    carried = (F.col("kind").isin("array", "map")) | (F.col("kind") == "markdown") & ~F.col("t").contains("`") | (F.col("kind") == "xml") & ~F.col("t").rlike(r"[\x00-\x08\x0b-\x1f\x{fffe}\x{ffff}]")
+    docs = docs.select("*", kinds).where(carried)
+    escaped = F.replace(F.replace(F.replace("t", F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&#62;"))
+    body = F.when((F.col("doc_id") % 2 == 0) | F.col("t").contains("]]>"), escaped).otherwise(F.concat(F.lit("<![CDATA["), "t", F.lit("]]>")))
+    whole = Window.partitionBy("kind", "pack")
+    first, last = F.col("doc_id") == F.min("doc_id").over(whole), F.col("doc_id") == F.max("doc_id").over(whole)
+    comma = F.when(first, "").otherwise(",")
+    value = (
+        F.when(F.col("kind") == "array", F.concat(comma, F.to_json(F.struct("path", F.col("t").alias("content")))))
+        .when(F.col("kind") == "map", F.concat(comma, F.regexp_replace(F.to_json(F.create_map("path", "t")), r"(?s)^\{(.*)\}\z", "$1")))
+        .when(F.col("kind") == "markdown", F.concat(F.lit("## File: "), "path", F.lit("\n\n```text\n"), "t", F.lit("```\n")))
+        .otherwise(F.concat(F.lit('<file path="'), "path", F.lit('">'), body, F.lit("</file>")))
+    )
+    opening = F.when(F.col("kind") == "array", "[").when(F.col("kind") == "map", '{"files": {').when(F.col("kind") == "markdown", "# Pack").otherwise("<files>")
+    closing = F.when(F.col("kind") == "array", "]").when(F.col("kind") == "map", "}}").when(F.col("kind") == "markdown", "").otherwise("</files>")
+    lines = docs.select("kind", "pack", "doc_id", F.concat(F.when(first, F.concat(opening, F.lit("\n"))).otherwise(""), value, F.when(last, F.concat(F.lit("\n"), closing)).otherwise("")).alias("value"))
+    home = f"{shared_folder(spark)}/packs-{uuid.uuid4().hex}"
+    lines.repartition("kind", "pack").sortWithinPartitions("kind", "pack", "doc_id").drop("doc_id").write.partitionBy("kind", "pack").text(home)
+    found = splits.read(spark, f"{home}/*/*", 1 << 16)
+    at = lambda name: F.regexp_extract("pack", f"/{name}=([^/]+)/", 1)
+    return found.select(at("kind").alias("kind"), at("pack").cast("long").alias("pack"), "ord", "path", "content")
+
+
 _SAID = "m as (select doc_id, coalesce(text, '') || (['Rate limit reached', 'network unreachable', 'HTTP 503', 'HTTP 404 not found', 'Server Error in model', 'invalid key'])[(doc_id % 6 + 1)::int] as t from documents)"
 
 

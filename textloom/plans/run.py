@@ -15,7 +15,7 @@ from ..functions import cost, paths, text, tokens
 from ..functions.cost import pricing
 from ..operators import analysis, chunks, corpus, finalise, ledger, reports, structure, validate, writer, writing
 from ..operators.providers import SERVICES
-from ..sources import outputs, packed, tree
+from ..sources import outputs, splits, tree
 from ..state import State
 from ..workspace import DAY, Workspace, ensure_ignored
 
@@ -39,19 +39,22 @@ class Declined(Exception):
     """The run was called off, by its cost or by formats that failed validation."""
 
 
-def files_of(spark: SparkSession, root: str, config: Config) -> DataFrame:
-    """(ord, path, language, original_content) of a tree or a packed file; files that aren't UTF-8 are left out."""
+def files_of(spark: SparkSession, root: str, config: Config, stage: Callable[[DataFrame], DataFrame] = lambda df: df) -> DataFrame:
+    """(ord, path, language, original_content) of a tree or a packed file; the content of files that aren't UTF-8 is null."""
     if config.packed_file:
-        rows = packed.read(spark, config.packed_file)
+        rows = splits.read(spark, config.packed_file, stage=stage)
         return rows.select(F.col("ord").cast("long"), "path", paths.language(F.col("path")).alias("language"), F.col("content").alias("original_content"))
     spark.dataSource.register(tree.TreeSource)
-    reader = spark.read.format("tree").option("include", ",".join(config.include)).option("exclude", ",".join(config.exclude))
-    return reader.load(root).where("content is not null").select("ord", "path", "language", F.col("content").alias("original_content"))
+    reader = spark.read.format("tree").option("include", ",".join(config.include)).option("exclude", ",".join(config.exclude)).option("on_unreadable", config.on_unreadable)
+    return reader.load(root).select("ord", "path", "language", F.col("content").alias("original_content"))
 
 
-def compressed(spark: SparkSession, root: str, config: Config) -> DataFrame:
-    files = files_of(spark, root, config)
-    return corpus.compressed(files, structure.structural(F.col("original_content"), F.col("language")) if config.compress else None)
+def compressed(spark: SparkSession, root: str, config: Config, stage: Callable[[DataFrame], DataFrame] = lambda df: df) -> DataFrame:
+    """Files with their compressed texts. Those of a pack, and all without ``compress``, stay byte for byte what they are."""
+    files = files_of(spark, root, config, stage)
+    if config.packed_file or not config.compress:
+        return corpus.compressed(files, compress=False)
+    return corpus.compressed(files, structure.structural(F.col("original_content"), F.col("language")))
 
 
 def planned(spark: SparkSession, root: str, config: Config, interactive: bool) -> DataFrame:
@@ -80,13 +83,14 @@ def run(spark: SparkSession, root: str, config: Config, provider: Callable[[], a
     price = {r["provider"]: r for r in pricing(spark).collect()}[config.provider]
     price_in, price_out = price["price_in"], price["price_out"]
     if config.dry_run:
-        return Result(corpus.dry_run(compressed(spark, root, config), len(config.formats), price_in, price_out), [])
+        return Result(corpus.dry_run(compressed(spark, root, config).where("original_content is not null"), len(config.formats), price_in, price_out), [])
     space, desk = Workspace(home or work, f"{work}/stages"), analysis.Desk(provider, work, config.concurrency)
     space.clean(DAY)
     settled = writer.settled(planned(spark, root, config, ask is not None).collect(), ask)
 
     progress("files")
-    files = space.stage(compressed(spark, root, config), "files")
+    scanned = space.stage(compressed(spark, root, config, lambda df: space.stage(df, "pack")), "files")
+    files, left_out = scanned.where("original_content is not null"), scanned.where("original_content is null").count()
     report = corpus.dry_run(files, len(config.formats), price_in, price_out)
     count = (lambda c: tokens.exact_tokens(c, config.tokenizer, False)) if config.tokenizer else text.tokens_up
     sizes = corpus.metadata(files).first()
@@ -97,7 +101,7 @@ def run(spark: SparkSession, root: str, config: Config, provider: Callable[[], a
 
     progress("chunks")
     entries = files.select(F.lit("corpus").alias("key"), "ord", text.corpus_entry(F.col("path"), F.col("compressed_content")).alias("entry"))
-    parts = space.stage(chunks.token_chunks(entries, "key", "ord", "entry", config.chunks, count), "chunks")
+    parts = space.stage(chunks.token_chunks(entries, "key", "ord", "entry", config.chunks, config.tokenizer, lambda df: space.stage(df, "index")), "chunks")
     if confirm and not config.no_confirm:
         expected = ledger.pre_run(parts, "key", len(config.formats), price_in, price_out).first()
         before = corpus.token_totals(files, tokens=count).first()["original_tokens"]
@@ -115,7 +119,7 @@ def run(spark: SparkSession, root: str, config: Config, provider: Callable[[], a
     def find(rows: DataFrame) -> DataFrame:
         if not config.validate:
             return spark.createDataFrame([], validate.FINDING)
-        return validate.findings(rows, files, config.format_checks, config.checks, config.formats) if config.semantic_validation else validate.syntax(rows)
+        return validate.findings(rows, files, config.format_checks, config.checks, config.formats, space.stage) if config.semantic_validation else validate.syntax(rows)
 
     progress("validation")
     if config.retry_on_validation_failure:
@@ -143,7 +147,7 @@ def run(spark: SparkSession, root: str, config: Config, provider: Callable[[], a
     space.save_state(State(last_run=timestamp, file_conflict_action=config.on_conflict, output_files=tuple(w.path for w in written), cost_spent=spent["total_cost"], original_bytes=sizes["total_original_size"], compression_ratio=min(1.0, sizes["compression_ratio"])))
     done = [(w.format, w.path, w.status, os.path.getsize(os.path.join(root, w.path))) for w in written]
     used = parts.agg(F.coalesce(F.sum("token_count"), F.lit(0))).first()[0]
-    summary = reports.success_lines(done, sizes["total_files"], used, sizes["compression_ratio"], spent["total_cost"], time.monotonic() - began)
+    summary = reports.success_lines(done, sizes["total_files"], used, sizes["compression_ratio"], spent["total_cost"], time.monotonic() - began, left_out)
     return Result(report, written, results, reports.validation(results, found), smoke, spent["total_cost"], desk.ledger(spark), summary)
 
 

@@ -5,8 +5,9 @@
 
 The driver lists directories and prunes ignored ones; executors read the files of their share. The tree must be a path that all of
 them see. Options: include, exclude (globs over relative paths, separated by commas outside braces), on_invalid (for files that aren't
-UTF-8: quarantine, the default, gives null content; or fail), on_error (for what can't be listed or read: warn, the default, goes on
-without it; or fail, at the first one).
+UTF-8: quarantine, the default, gives null content; or fail), on_error (for folders that can't be listed: warn, the default, goes on
+without them; or fail, at the first one), on_unreadable (for files that were listed and can't be read, which is every file of a task that
+doesn't see the tree: fail, the default; or quarantine, which gives null content).
 """
 
 from __future__ import annotations
@@ -52,7 +53,7 @@ def ignore_rules(text: str, base: str = "") -> list[Rule]:
         directory = line.endswith("/")
         line = line.rstrip("/")
         anchored = "/" in line
-        body = "".join({"**/": "(?:.*/)?", "/**": "/.*", "**": ".*", "*": "[^/]*", "?": "[^/]"}.get(t) or (t if t.startswith("[") else re.escape(t)) for t in re.findall(r"\*\*/|/\*\*|\*\*|\*|\?|\[[^\]]+\]|\\.|[^*?\[/\\]+|/|\[", line.lstrip("/")))
+        body = "".join({"**/": "(?:.*/)?", "/**": "/.*", "**": ".*", "*": "[^/]*", "?": "[^/]"}.get(t) or (re.sub(r"^\[!", "[^", t) if t.startswith("[") else re.escape(t)) for t in re.findall(r"\*\*/|/\*\*|\*\*|\*|\?|\[[^\]]+\]|\\.|[^*?\[/\\]+|/|\[", line.lstrip("/")))
         prefix = re.escape(base + "/") if base else ""
         out.append(Rule(re.compile(prefix + ("" if anchored else "(?:.*/)?") + body + r"\Z"), keep, directory))
     return out
@@ -109,6 +110,9 @@ class TreeReader(DataSourceReader):
         self.include, self.exclude = (split_globs(options.get(k, "")) for k in ("include", "exclude"))
         self.fail = options.get("on_invalid", "quarantine") == "fail"
         self.abort = options.get("on_error", "warn") == "fail"
+        self.unreadable = options.get("on_unreadable", "fail")
+        if self.unreadable not in ("fail", "quarantine"):
+            raise ValueError("on_unreadable is fail or quarantine")
 
     def partitions(self) -> list[Share]:
         shares, size = [Share([])], 0
@@ -130,10 +134,9 @@ class TreeReader(DataSourceReader):
                 if self.fail:
                     raise
             except OSError as e:
-                if self.abort:
+                if self.unreadable == "fail":
                     raise
-                log.warning("left out: %s", e)
-                continue
+                log.warning("no content: %s", e)
             m = re.search(r"[^/]\.([^./]+)$", path)
             yield i, path, n, LANGUAGES.get(m[1]) if m else None, content
 

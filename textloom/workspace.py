@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import logging
 import shutil
+import tempfile
 import time
+import uuid
 from collections.abc import Callable, Iterable
 from dataclasses import dataclass
 from pathlib import Path
@@ -25,6 +27,24 @@ class Cleaned:
     skipped: int = 0
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that the cluster names in ``spark.checkpoint.dir``; on a single machine without one, a new folder of its own."""
+    where = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not where:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        where = tempfile.mkdtemp(prefix="textloom-")
+        spark.sparkContext.setCheckpointDir(where)
+    return where
+
+
+def staged(df: DataFrame, name: str) -> DataFrame:
+    """``df`` written to a table of its own in the shared folder and read back."""
+    path = f"{shared_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 class Workspace:
     """``shared`` is a folder that driver and executors see: stage tables and model answers go there. State stays on the driver."""
 
