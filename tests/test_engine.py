@@ -16,7 +16,7 @@ from textloom import __main__ as cli
 from textloom import config as settings
 from textloom import state
 from textloom.functions import paths, text
-from textloom.operators import analysis, chunks, corpus, endings, finalise, reports, structure, validate, writer
+from textloom.operators import analysis, chunks, corpus, endings, finalise, ledger, reports, structure, switches, validate, writer
 from textloom.plans import run as plan
 from textloom.sources import git, ignored, packed, splits, tree
 from textloom.streaming.refresh import latest, refresh
@@ -432,7 +432,7 @@ def test_fix_loop(spark, tmp_path):
     client = Counting(str(tmp_path / "log"))
     rules = spark.createDataFrame([("claude", "bad"), ("generic", "fine")], "format string, content string")
     out, attempts, clean = analysis.fixed(rules, validate.syntax, analysis.Desk(client, f"{tmp_path}/store"))
-    assert (attempts, clean, client.calls) == (1, True, 1) and values(out) == [("claude", client.answer), ("generic", "fine")]
+    assert (attempts, clean, client.calls) == (1, True, 1) and values(out) == [("claude", client.answer, 1), ("generic", "fine", 0)]
     still = Counting(str(tmp_path / "log2"), "no heading")
     desk = analysis.Desk(still, f"{tmp_path}/store2")
     assert analysis.fixed(rules, validate.syntax, desk)[1:] == (3, False)
@@ -440,6 +440,25 @@ def test_fix_loop(spark, tmp_path):
     assert [(r["operation"], r["operations"], r["input_tokens"], r["total_cost"]) for r in cost] == [("fix", 3, 30, pytest.approx(30 / 1000 * 0.003 + 15 / 1000 * 0.015))]
 
 
+def test_rounds_read_failing_rules_only(spark, tmp_path):
+    """Rules that pass are looked at once; each round looks at what failed in the one before."""
+    rows = [(f"claude:{i}", "# ok") for i in range(40)] + [("claude:90", "```"), ("claude:91", "bad ``` use tabs, use spaces"), ("cursor:92", "---\nx")]
+    seen = []
+
+    def find(rows):
+        seen.append(rows.count())
+        return validate.syntax(rows).unionByName(validate.contradictions(rows))
+
+    desk = analysis.Desk(analysis.RepairProvider, f"{tmp_path}/store")
+    out, attempts, clean = analysis.fixed(spark.createDataFrame(rows, "format string, content string"), find, desk)
+    got = {r["format"]: (r["content"], r["attempts"]) for r in out.collect()}
+    assert seen == [43, 3, 2, 1] and attempts == 3 and clean and len(got) == 43
+    assert got["claude:90"] == ("# Rules\n```\n```", 2) and got["cursor:92"] == ("\nx", 1) and got["claude:0"] == ("# ok", 0)
+    assert got["claude:91"] == ("# Rules\nbad ``` no tabs, use spaces\n```", 3)
+    assert desk.ledger(spark).count() == 6
+    assert analysis.fixed(spark.createDataFrame([], "format string, content string"), find, desk)[1:] == (0, True)
+
+
 def test_retries():
     def failing(retry):
         calls = []
@@ -483,6 +502,45 @@ def test_writes_and_backups(spark, tmp_path):
     assert writer.write(plan_rows("merge"), str(tmp_path))[0].status == "merged" and (tmp_path / "CLAUDE.md").read_text() == "new"
 
 
+def held_files(root):
+    return {str(p.relative_to(root)): p.read_text() for p in sorted(root.rglob("*")) if p.is_file()}
+
+
+def test_a_write_is_done_as_a_whole_or_not_at_all(spark, tmp_path):
+    schema = "format string, path string, action string, content string"
+    for name in ("a.md", "c.md"):
+        (tmp_path / name).write_text(f"old {name}")
+    (tmp_path / "file").write_text("not a folder")
+    before = held_files(tmp_path)
+    rows = [(c, f"{c}.md", "overwrite", f"new {c}") for c in "abcd"]
+
+    @F.udf("string")
+    def broken(content):
+        if content == "new d":
+            raise RuntimeError("a task fails")
+        return content
+
+    with pytest.raises(Exception, match="a task fails"):
+        writer.write(spark.createDataFrame(rows, schema).repartition(4).withColumn("content", broken("content")), str(tmp_path))
+    assert held_files(tmp_path) == before and not list((tmp_path / ".textloom/staged").iterdir())
+    for bad, match in ((("z", "file/x.md", "create", "x"), "irectory|exists"), (("z", "a.md", "create", "twice"), "more than one"), (("z", "../x.md", "create", "x"), "outside"), (("z", "/x.md", "create", "x"), "outside")):
+        with pytest.raises(Exception, match=match):
+            writer.write(spark.createDataFrame([*rows, bad], schema).repartition(3), str(tmp_path))
+        assert held_files(tmp_path) == before  # what was published before the failure is put back
+    done = writer.write(spark.createDataFrame(rows, schema).repartition(3), str(tmp_path))
+    assert [(w.format, w.status) for w in done] == [("a", "backup"), ("b", "new"), ("c", "backup"), ("d", "new")]
+    after = held_files(tmp_path)
+    assert after == before | {f"{c}.md": f"new {c}" for c in "abcd"} | {"a.md.bak": "old a.md", "c.md.bak": "old c.md"}
+
+
+def test_rules_of_very_many_projects_are_written(spark, tmp_path):
+    n = 10_000
+    rows = spark.range(n).selectExpr("concat('claude:', id) as format", "concat('p', id % 100, '/', id, '/CLAUDE.md') as path", "if(id % 10 = 0, 'skip', 'create') as action", "repeat(cast(id as string), 50) as content")
+    done = writer.write(rows, str(tmp_path))
+    assert len(done) == n and sum(w.status == "skipped" for w in done) == n // 10
+    assert (tmp_path / "p37/1037/CLAUDE.md").read_text() == "1037" * 50 and not (tmp_path / "p0/1000").exists() and not list((tmp_path / ".textloom/staged").iterdir())
+
+
 def test_conflicts_are_settled(spark):
     row = lambda f, a: Row(format=f, path=f + ".md", action=a)
     rows = [row("d", "ask"), row("a", "create"), row("b", "ask"), row("c", "ask")]
@@ -572,6 +630,33 @@ def test_whole_run(spark, project, tmp_path):
     assert all(r["passed"] for r in result.results.collect())
 
 
+def test_roll_up(spark):
+    rows = [("a", "x", 1, 10, 4), ("a", "x", 2, 20, 8), ("a", None, 1, 1, 0), ("b", "x", 1, 5, 4)]
+    got = values(ledger.rollup(spark.createDataFrame(rows, "project string, operation string, attempt int, input_tokens long, output_tokens long"), 1.0, 2.0, "project", "operation", "attempt").select("project", "operation", "attempt", "level", "operations", "input_tokens", "total_cost").na.fill("all"))
+    cost = lambda i, o: i / 1000 * 1.0 + o / 1000 * 2.0
+    assert got == sorted([
+        ("a", "x", "1", 0, 1, 10, cost(10, 4)), ("a", "x", "2", 0, 1, 20, cost(20, 8)), ("a", "none", "1", 0, 1, 1, cost(1, 0)), ("b", "x", "1", 0, 1, 5, cost(5, 4)),
+        ("a", "x", "all", 1, 2, 30, cost(30, 12)), ("a", "none", "all", 1, 1, 1, cost(1, 0)), ("b", "x", "all", 1, 1, 5, cost(5, 4)),
+        ("a", "all", "all", 2, 3, 31, cost(31, 12)), ("b", "all", "all", 2, 1, 5, cost(5, 4)), ("all", "all", "all", 3, 4, 36, cost(36, 16)),
+    ])
+    assert ledger.rollup(spark.createDataFrame([], "operation string, input_tokens long, output_tokens long"), 1.0, 1.0, "operation").where("operations > 0").count() == 0
+
+
+def test_layered_switches(spark):
+    """Against the switches of a run's own configuration, for every mix of layers."""
+    draw = random.Random(3)
+    some = lambda: {c: draw.choice([True, False]) for c in validate.CHECKS if draw.random() < 0.5}
+    users, projects = {"u": some(), "v": some()}, {i: some() for i in range(6)}
+    overrides = {(i, f): some() for i in range(7) for f in ("cursor", "claude") if draw.random() < 0.5}
+    formats = [("u" if i % 2 else "w" if i == 4 else "v", i, f) for i in range(7) for f in ("cursor", "claude", "aider")]
+    rows = lambda table, key: [(*(k if isinstance(k, tuple) else (k,)), *(v.get(c) for c in validate.CHECKS)) for k, v in table.items()]
+    checks = ", ".join(f"{c} boolean" for c in validate.CHECKS)
+    out = switches.resolved(spark.createDataFrame(formats, "user string, project int, format string"), spark.createDataFrame(rows(users, 1), f"user string, {checks}"), spark.createDataFrame(rows(projects, 1), f"project int, {checks}"), spark.createDataFrame(rows(overrides, 2), f"project int, format string, {checks}"))
+    every = dict.fromkeys(validate.CHECKS, True)
+    want = sorted((u, p, f, *(every | (overrides[p, f] if (p, f) in overrides else users.get(u, {}) | projects.get(p, {}))).values()) for u, p, f in formats)
+    assert values(out.select("user", "project", "format", *validate.CHECKS)) == want
+
+
 def test_switches(spark):
     text = "use tabs and use spaces, kotlin kotlin kotlin, see `gone/b.rs`"
     rows = spark.createDataFrame([("claude:1", "# a\n" + text), ("generic:1", "use tabs, double quotes " + text), ("generic:2", "double quotes"), ("nobody", "x"), ("aider:2", None)], "format string, content string")

@@ -201,3 +201,57 @@ def test_run_with_services(spark, tmp_path):
         plan.run(spark, str(root), replace(strict, on_failure="cancel"), Told(), str(tmp_path / "work2"))
     anyway = plan.run(spark, str(root), replace(strict, on_failure="write"), Told(), str(tmp_path / "work2"), on_failure=lambda formats: False)
     assert [w.status for w in anyway.written] == ["new"] and "json: FAILED" in reports.validation_lines(anyway.findings) and any("Cost: $" in x for x in anyway.summary)
+
+
+def test_rules_of_other_tools_are_asked_about(spark, tmp_path):
+    root = tmp_path / "p"
+    root.mkdir()
+    (root / "a.py").write_text("x = 1\n")
+    (root / ".windsurfrules").write_text("old rules " * 40)
+    config = settings.load({"formats": "claude", "on_conflict": "overwrite"}, {}, cwd=str(root))
+    asked = []
+
+    def choosing(answer):
+        def choose(cost, lines):
+            asked.append((cost, lines))
+            return answer
+
+        return choose
+
+    run = lambda answer, work, **more: plan.run(spark, str(root), replace(config, **more), Told(), str(tmp_path / work), "2024-01-01", confirm=lambda c, lines: True, choose=choosing(answer))
+    with pytest.raises(plan.Declined, match="other tools"):
+        run("cancel", "w1")
+    assert not (root / "CLAUDE.md").exists() and asked[0][0] > 0 and ".windsurfrules" in asked[0][1][0]
+    skipped = run("skip", "w2")
+    assert (root / "CLAUDE.md").read_text().endswith("# rules\n") and "deconflict" not in {r["operation"] for r in skipped.calls.collect()}
+    gone = run("go", "w3")
+    assert (root / "CLAUDE.md").read_text().endswith("# rules beside others\n") and "deconflict" in {r["operation"] for r in gone.calls.collect()}
+    n = len(asked)
+    run("cancel", "w4", no_confirm=True)
+    assert len(asked) == n == 3 and (root / "CLAUDE.md").read_text().endswith("# rules beside others\n")
+    with pytest.raises(ValueError, match="perhaps"):
+        run("perhaps", "w5")
+
+
+def test_a_run_reads_what_the_last_one_saved_and_clears_what_is_old(spark, tmp_path):
+    root, work = tmp_path / "p", tmp_path / "work"
+    root.mkdir()
+    (root / "a.py").write_text("x = 1\n")
+    config = settings.load({"formats": "claude", "on_conflict": "overwrite"}, {}, cwd=str(root))
+    steps = []
+    first = plan.run(spark, str(root), config, Told(), str(work), "2024-01-01")
+    assert first.previous is None and not any("Last run" in x for x in first.summary)
+    for name in ("stages/files", "calls", "requests"):
+        os.utime(work / name, (0, 0))
+    (work / "stages" / "old").mkdir()
+    os.utime(work / "stages" / "old", (0, 0))
+    second = plan.run(spark, str(root), config, Told(), str(work), "2024-01-02", progress=steps.append)
+    assert second.previous.last_run == "2024-01-01" and second.previous.cost_spent == first.cost and any(x.startswith("Last run: 2024-01-01, $") for x in second.summary)
+    assert steps[0].startswith("last run 2024-01-01") and not (work / "stages" / "old").exists() and (work / "stages" / "files").exists()
+    answers = len(list((work / "answers").iterdir()))
+    swept = workspace.sweep(spark, str(work), 0, now=time.time() + 100)
+    assert swept.deleted > 5 and swept.failed == 0 and len(list((work / "answers").iterdir())) == answers
+    assert workspace.sweep(spark, str(work), 0) == workspace.Cleaned()
+    (work / "stages" / "ahead").mkdir(parents=True)
+    os.utime(work / "stages" / "ahead", (time.time() + 1000,) * 2)
+    assert workspace.sweep(spark, str(work), 0).skipped == 1

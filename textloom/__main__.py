@@ -52,6 +52,13 @@ def confirmed(cost: float, lines: list[str]) -> bool:
     return input(f"${cost:.4f}. Go on? [Y/n] ").strip().lower() in ("", "y", "yes")
 
 
+def fitted(cost: float, lines: list[str]) -> str:
+    """Asks whether rules are fitted to those of other tools; an empty answer is a yes."""
+    print(*lines, sep="\n")
+    reply = input(f"${cost:.4f}. Go on? [Y/n/s(kip)] ").strip().lower()
+    return "go" if reply in ("", "y", "yes") else "skip" if reply in ("s", "skip") else "cancel"
+
+
 def written_anyway(formats: list[str]) -> bool:
     return input(f"{', '.join(formats)} failed validation. [c]ancel or [w]rite anyway? ").strip().lower() in ("w", "write")
 
@@ -101,13 +108,13 @@ def main(argv: list[str] | None = None) -> int:
         said = (lambda step: print(f"... {step}", file=sys.stderr)) if not config.quiet and sys.stderr.isatty() else log.info
         result = plan.run(
             spark, path, config, provider, work, timestamp=f"{datetime.now(UTC):%Y-%m-%dT%H:%M:%SZ}", progress=said,
-            confirm=confirmed if person else None, on_failure=written_anyway if person and not config.no_confirm else None, ask=chosen if person else None,
+            confirm=confirmed if person else None, on_failure=written_anyway if person and not config.no_confirm else None, ask=chosen if person else None, choose=fitted if person else None,
         )
         if not config.quiet:
             result.report.orderBy("language").show(100, False)
             if result.findings is not None:
                 prices = PROVIDERS[config.provider]
-                reports.cost_by_operation(result.calls, *prices[1:3]).orderBy("operation").show(100, False)
+                reports.cost_levels(result.calls, *prices[1:3]).orderBy("operation", "attempt").show(100, False)
                 print(*reports.validation_lines(result.findings), *result.summary, sep="\n")
             for w in result.written:
                 if w.backup:

@@ -20,7 +20,9 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.cost import FIRST_DELAY_MS, MAX_RETRIES, MOST_DELAY_MS
+from ..functions.cost import FIRST_DELAY_MS, MAX_RETRIES, MOST_DELAY_MS, cost
+from ..functions.text import byte_size, tokens_down
+from ..workspace import staged
 
 ANALYSIS_MAX_TOKENS, ANALYSIS_TEMPERATURE = 4096, 0.3
 MOST_TOKENS = 2**31 - 1
@@ -227,10 +229,22 @@ def formatted(analyses: DataFrame, formats: DataFrame, desk: Desk) -> DataFrame:
     return desk.completed(rows.select("format", prompt.alias("prompt")), "format", F.col("format"), Options(temperature=None)).select("format", F.col("text").alias("content"))
 
 
+def summed_up(existing: DataFrame) -> DataFrame:
+    """One row (existing): the rules (ord, content) of other tools as a prompt holds them; none if there are no such rules."""
+    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("ord", "content"))), lambda r: r["content"]), "\n\n")
+    return existing.agg(text.alias("existing")).where("existing <> ''")
+
+
+def deconfliction_cost(rules: DataFrame, others: DataFrame, price_in: float, price_out: float) -> DataFrame:
+    """One row (input_tokens, output_tokens, total_cost): each format's rules are read with all others', and about as much as they hold is written."""
+    sizes = rules.crossJoin(F.broadcast(others)).select(tokens_down(byte_size(F.col("existing"))).alias("held"), tokens_down(byte_size(F.coalesce("content", F.lit("")))).alias("own"))  # one row of others
+    sums = sizes.agg(F.coalesce(F.sum(F.col("held") + F.col("own")), F.lit(0)).alias("input_tokens"), F.coalesce(F.sum("own"), F.lit(0)).alias("output_tokens"))
+    return sums.withColumn("total_cost", cost(F.col("input_tokens"), F.col("output_tokens"), F.lit(price_in), F.lit(price_out)))
+
+
 def deconflicted(rules: DataFrame, existing: DataFrame, desk: Desk) -> DataFrame:
     """Rules (format, content) rewritten against the existing rules (ord, content) of other tools; as they are where there are none."""
-    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("ord", "content"))), lambda r: r["content"]), "\n\n")
-    others = existing.agg(text.alias("existing")).where("existing <> ''")
+    others = summed_up(existing)
     if others.isEmpty():
         return rules.select("format", "content")
     rows = rules.crossJoin(F.broadcast(others))  # one row
@@ -251,21 +265,42 @@ def fix_requests(rules: DataFrame, found: DataFrame) -> DataFrame:
     return rules.join(errors, "format").select("format", prompt.alias("prompt"))
 
 
-def fixed(rules: DataFrame, find: Callable[[DataFrame], DataFrame], desk: Desk, retries: int = MAX_RETRIES) -> tuple[DataFrame, int, bool]:
-    """Rules whose failed formats were sent back with their errors up to ``retries`` times: (rules, attempts, all clean).
+class RepairProvider:
+    """Takes one flaw at a time out of the rules that a fix prompt holds: deterministic, for tests and queries without a model."""
 
-    ``find`` gives findings (format, severity, message). Findings over all formats together belong to no format and aren't sent.
-    There is a row for each output format, seven at most, so each round starts from local rows and lineage doesn't grow.
+    def complete(self, prompt: str, options: Options) -> Answer:
+        head, _, content = prompt.partition("Return the corrected rules in full.\n\n")
+        if content.count("```") % 2:
+            text = content + "\n```"
+        elif head.startswith("The following claude") and "# " not in content:
+            text = "# Rules\n" + content
+        elif re.search(r"(?i)\buse\s+tabs\b", content) and re.search(r"(?i)\buse\s+spaces\b", content):
+            text = re.sub(r"(?i)\buse\s+tabs\b", "no tabs", content)
+        else:
+            text = content.removeprefix("---") or "Rules"
+        return Answer(text, len(prompt) // 4, len(text) // 4)
+
+
+def fixed(rules: DataFrame, find: Callable[[DataFrame], DataFrame], desk: Desk, retries: int = MAX_RETRIES, stage: Callable[[DataFrame, str], DataFrame] = staged) -> tuple[DataFrame, int, bool]:
+    """Rules (format, content, attempts) whose failed formats were sent back with their errors up to ``retries`` times, then the attempts made and whether all
+    are clean.
+
+    ``find`` gives findings (format, severity, message) of rules; those over all formats together belong to no format and aren't sent. The rules
+    that fail are the work set, staged each round; a round reads them alone. Rules that pass retire to tables of their own, and the
+    loop ends when the set is empty.
     """
-    attempts, spark = 0, rules.sparkSession
+    attempts, done = 0, []
+    work = rules.select("format", "content", F.lit(0).alias("attempts"))
     while True:
-        rules = spark.createDataFrame(rules.select("format", "content").collect(), "format string, content string")
-        asked = fix_requests(rules, find(rules))
-        if asked.isEmpty():
-            return rules, attempts, True
-        if attempts == retries:
-            return rules, attempts, False
+        work = stage(work, f"work-{attempts}")
+        errors = stage(find(work.select("format", "content")).where("severity = 'error'").select("format", "severity", "message"), f"errors-{attempts}")
+        failing = errors.select("format").distinct()
+        done.append(work.join(failing, "format", "left_anti"))
+        work = work.join(failing, "format")
+        clean = work.isEmpty()
+        if clean or attempts == retries:
+            return reduce(DataFrame.unionByName, [*done, work]), attempts, clean
         attempts += 1
         options = Options(temperature=min(0.7 + 0.1 * (attempts - 1), 0.9))
-        new = desk.completed(asked, "fix", F.col("format"), options, attempts).select("format", F.col("text").alias("new"))
-        rules = rules.join(new, "format", "left").select("format", F.coalesce("new", "content").alias("content"))
+        new = desk.completed(fix_requests(work, errors), "fix", F.col("format"), options, attempts)
+        work = new.select("format", F.col("text").alias("content"), F.lit(attempts).alias("attempts"))

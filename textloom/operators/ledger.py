@@ -26,6 +26,17 @@ def summary(ledger: DataFrame, price_in: float, price_out: float, *keys: str) ->
     return out.withColumn("average_cost", F.when(F.col("operations") == 0, F.lit(0.0)).otherwise(F.col("total_cost") / F.col("operations")))
 
 
+def rollup(ledger: DataFrame, price_in: float, price_out: float, *keys: str) -> DataFrame:
+    """Totals of a ledger at every level of ``keys``: of each combination, of all values of the last key together, and so on to the whole ledger.
+
+    ``level`` counts the keys that are summed over; these are null, and a key's own null is "none". Calls are summed once, by all keys; levels are made of the sums.
+    """
+    named = ledger.select(*[F.coalesce(F.col(k).cast("string"), F.lit("none")).alias(k) for k in keys], "input_tokens", "output_tokens")
+    sums = named.groupBy(*keys).agg(F.sum("input_tokens").alias("input_tokens"), F.sum("output_tokens").alias("output_tokens"), F.count("*").alias("operations"))
+    out = sums.rollup(*keys).agg(F.bit_count(F.grouping_id()).cast("int").alias("level"), *[F.sum(c).cast("long").alias(c) for c in ("operations", "input_tokens", "output_tokens")])
+    return out.withColumn("total_cost", cost(F.col("input_tokens"), F.col("output_tokens"), F.lit(price_in), F.lit(price_out)))
+
+
 def pre_run(chunks: DataFrame, key: str, formats: int, price_in: float, price_out: float) -> DataFrame:
     """Expected tokens and cost before a run: each chunk's analysis, the merge if there are several chunks, each format."""
     out = chunks.groupBy(key).agg(F.count("*").alias("chunks"), F.sum("token_count").cast("long").alias("chunk_tokens"))

@@ -15,6 +15,11 @@ def cost_by_operation(calls: DataFrame, price_in: float, price_out: float) -> Da
     return ledger.summary(calls, price_in, price_out, "operation")
 
 
+def cost_levels(calls: DataFrame, price_in: float, price_out: float) -> DataFrame:
+    """What a run cost: in all, by operation, and by attempt of each operation."""
+    return ledger.rollup(calls, price_in, price_out, "operation", "attempt")
+
+
 def validation(results: DataFrame, found: DataFrame) -> DataFrame:
     """format, passed, severity, layer, message, location: a row for each finding, and one with nulls for a format without any."""
     return results.select("format", "passed").join(found.select("format", "severity", "layer", "message", "location"), "format", "left")

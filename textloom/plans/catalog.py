@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import cost, paths, text
-from ..operators import analysis, chunks, corpus, finalise, ledger, validate, writing
+from ..operators import analysis, chunks, corpus, finalise, ledger, switches, validate, writing
 from ..sources import ignored, models, packed, splits
 from ..workspace import shared_folder
 
@@ -610,3 +610,57 @@ def models_installed(spark, sf):
     pages = _table(spark, sf, "pages")
     listing = pages.select(F.to_json(F.struct(F.array(F.struct(F.concat(name, tag).alias("name"))).alias("models"))).alias("body"))
     return models.installed(pages.select(name.alias("model")), listing)
+
+
+_LEVELS = """with l as (select (conv_id // 20)::varchar as project, coalesce(role, 'none') as operation, (turn % 3 + 1)::varchar as attempt, len(text)::bigint as i, (strlen(text) // 4)::bigint as o from conversations),
+g as (select project, operation, attempt, (grouping(project) + grouping(operation) + grouping(attempt))::int as level, count(*) as operations, sum(i)::bigint as input_tokens, sum(o)::bigint as output_tokens from l group by rollup (project, operation, attempt))
+select *, input_tokens::double / 1000.0::double * 0.003::double + output_tokens::double / 1000.0::double * 0.015::double as total_cost from g"""
+
+
+@query(_LEVELS)
+def ledger_rollup(spark, sf):
+    """Calls by project, operation and attempt, and all sums of these."""
+    calls = _table(spark, sf, "conversations").select(F.expr("conv_id div 20").alias("project"), F.col("role").alias("operation"), (F.col("turn") % 3 + 1).alias("attempt"), F.char_length("text").cast("long").alias("input_tokens"), text.tokens_down(text.byte_size(F.col("text"))).alias("output_tokens"))
+    return ledger.rollup(calls, PRICE_IN, PRICE_OUT, "project", "operation", "attempt")
+
+
+_SWITCHED = ", ".join(f"case when o.project is not null then coalesce(o.{c}, true) else coalesce(p.{c}, u.{c}, true) end as {c}" for c in validate.CHECKS)
+
+
+@query(f"""with d as (select doc_id, coalesce(source, 'nobody') as user, doc_id // 6 as project, (['cursor','claude','copilot','windsurf','aider','generic'])[(doc_id % 6 + 1)::int] as format, lang, n_chars from documents),
+u as (select user, bool_and(n_chars < 20000) as paths, null::boolean as contradictions, bool_and(lang <> 'es') as reality, null::boolean as consistency from d group by 1),
+p as (select project, bool_and(case when lang = 'de' then false end) as paths, bool_and(case when n_chars > 500 then n_chars < 3000 end) as contradictions, null::boolean as reality, bool_and(lang = 'en') as consistency from d group by 1),
+o as (select project, format, null::boolean as paths, bool_and(lang <> 'fr') as contradictions, bool_and(case when n_chars > 2000 then false end) as reality, null::boolean as consistency from d where n_chars % 5 = 0 group by 1, 2)
+select d.user, d.project, d.format, {_SWITCHED} from (select distinct user, project, format from d) d left join u on d.user = u.user left join p on d.project = p.project left join o on d.project = o.project and d.format = o.format""")
+def format_switches(spark, sf):
+    """Checks of the formats of many projects, from settings of users and projects and overrides of single formats."""
+    d = F.col("doc_id")
+    kinds = F.element_at(F.array(*map(F.lit, ("cursor", "claude", "copilot", "windsurf", "aider", "generic"))), (d % 6 + 1).cast("int"))
+    docs = _table(spark, sf, "documents").select(F.coalesce("source", F.lit("nobody")).alias("user"), F.expr("doc_id div 6").alias("project"), kinds.alias("format"), "lang", "n_chars")
+    none = F.lit(None).cast("boolean")
+    n, lang = F.col("n_chars"), F.col("lang")
+    users = docs.select("user", (n < 20000).alias("paths"), none.alias("contradictions"), (lang != "es").alias("reality"), none.alias("consistency"))
+    projects = docs.select("project", F.when(lang == "de", False).alias("paths"), F.when(n > 500, n < 3000).alias("contradictions"), none.alias("reality"), (lang == "en").alias("consistency"))
+    overrides = docs.where(n % 5 == 0).select("project", "format", none.alias("paths"), (lang != "fr").alias("contradictions"), F.when(n > 2000, False).alias("reality"), none.alias("consistency"))
+    return switches.resolved(docs.select("user", "project", "format").distinct(), users, projects, overrides)
+
+
+def _failing(c: str) -> str:
+    """SQL for whether the text in column ``c`` has an error."""
+    fence = f"((len({c}) - len(replace({c}, '```', ''))) // 3) % 2 = 1"
+    both = _BOTH.replace("content", c)
+    front = f"kind = 'cursor' and starts_with({c}, '---') and instr(substr({c}, 4), '---') = 0"
+    return f"({fence} or kind = 'claude' and not contains({c}, '# ') or {both} or {front} or trim(regexp_replace({c}, '\\s+', ' ', 'g')) = '')"
+
+
+@query(f"""with recursive {_RENDERED}, s as (select *, split_part(format, ':', 1) as kind from r), it(format, kind, content, k, bad) as (
+select format, kind, content, 0, {_failing('content')} from s union all select format, kind, c, k + 1, {_failing('c')} from (select format, kind, k, case when ((len(content) - len(replace(content, '```', ''))) // 3) % 2 = 1 then content || chr(10) || '```'
+  when kind = 'claude' and not contains(content, '# ') then '# Rules' || chr(10) || content when {_BOTH} then regexp_replace(content, '(?i)\\buse\\s+tabs\\b', 'no tabs', 'g')
+  else coalesce(nullif(case when starts_with(content, '---') then substr(content, 4) else content end, ''), 'Rules') end as c from it where bad and k < 3))
+select format, max(k)::int as attempts, sha256(arg_max(content, k)) as content from it group by format""")
+def fix_rounds(spark, sf):
+    """Rules of many projects, sent back until they pass or three attempts are over; each attempt takes out one flaw."""
+    desk = analysis.Desk(analysis.RepairProvider, f"{shared_folder(spark)}/desk-{uuid.uuid4().hex}", 8)
+    find = lambda rows: validate.syntax(rows).unionByName(validate.contradictions(rows))
+    rules, _, _ = analysis.fixed(_rendered(spark, sf), find, desk)
+    return rules.select("format", "attempts", F.sha2(F.col("content").cast("binary"), 256).alias("content"))

@@ -17,7 +17,7 @@ from ..operators import analysis, chunks, corpus, finalise, ledger, reports, str
 from ..operators.providers import SERVICES
 from ..sources import outputs, splits, tree
 from ..state import State
-from ..workspace import DAY, Workspace, ensure_ignored
+from ..workspace import DAY, Workspace, ensure_ignored, sweep
 
 
 @dataclass
@@ -33,6 +33,12 @@ class Result:
     #: The ledger of all model calls.
     calls: DataFrame | None = None
     summary: list[str] = field(default_factory=list)
+    #: What the run before saved.
+    previous: State | None = None
+
+
+#: Answers to whether rules are fitted to those of other tools.
+DECISIONS = ("go", "skip", "cancel")
 
 
 class Declined(Exception):
@@ -65,12 +71,13 @@ def planned(spark: SparkSession, root: str, config: Config, interactive: bool) -
     return writing.planned_writes(requests, spark.createDataFrame(list(overrides.items()), "format string, override string"), spark.createDataFrame([(p,) for p in known], "path string"))
 
 
-def run(spark: SparkSession, root: str, config: Config, provider: Callable[[], analysis.Provider] = analysis.EchoProvider, work: str | None = None, timestamp: str = "", confirm: Callable[[float, list[str]], bool] | None = None, on_failure: Callable[[list[str]], bool] | None = None, ask: Callable[[str, str], str] | None = None, home: str | None = None, progress: Callable[[str], None] = lambda step: None) -> Result:
+def run(spark: SparkSession, root: str, config: Config, provider: Callable[[], analysis.Provider] = analysis.EchoProvider, work: str | None = None, timestamp: str = "", confirm: Callable[[float, list[str]], bool] | None = None, on_failure: Callable[[list[str]], bool] | None = None, ask: Callable[[str, str], str] | None = None, home: str | None = None, progress: Callable[[str], None] = lambda step: None, choose: Callable[[float, list[str]], str] | None = None) -> Result:
     """``work`` is a folder that all executors share; stage tables and model answers are kept there, and answers aren't paid for twice.
     ``home`` (``work`` by default) is the driver's folder for the state.
 
     ``confirm`` is asked with the expected cost and what it is made of, unless the configuration says not to; ``on_failure`` with the
-    formats that still fail validation, whether to write them; ``ask`` what to do about a file that exists (see ``writer.CHOICES``).
+    formats that still fail validation, whether to write them; ``ask`` what to do about a file that exists (see ``writer.CHOICES``); ``choose`` whether rules are
+    fitted to those of other tools, at that cost (see ``DECISIONS``).
     Without them a run goes on, writes, and ends at a conflict. Conflicts are settled before anything is paid for.
     """
     began = time.monotonic()
@@ -86,6 +93,10 @@ def run(spark: SparkSession, root: str, config: Config, provider: Callable[[], a
         return Result(corpus.dry_run(compressed(spark, root, config).where("original_content is not null"), len(config.formats), price_in, price_out), [])
     space, desk = Workspace(home or work, f"{work}/stages"), analysis.Desk(provider, work, config.concurrency)
     space.clean(DAY)
+    sweep(spark, work, DAY)
+    previous = space.load_state()
+    if previous:
+        progress(f"last run {previous.last_run}, ${previous.cost_spent:.4f}")
     settled = writer.settled(planned(spark, root, config, ask is not None).collect(), ask)
 
     progress("files")
@@ -123,7 +134,7 @@ def run(spark: SparkSession, root: str, config: Config, provider: Callable[[], a
 
     progress("validation")
     if config.retry_on_validation_failure:
-        rules, _, _ = analysis.fixed(rules, find, desk, config.max_retries)
+        rules = analysis.fixed(rules, find, desk, config.max_retries, space.stage)[0].drop("attempts")
     rules, found = space.stage(rules, "rules"), space.stage(find(rules), "findings")
     results = space.stage(validate.results(rules, found), "results")
     failed = sorted(r["format"] for r in results.where("not passed").collect())
@@ -134,7 +145,7 @@ def run(spark: SparkSession, root: str, config: Config, provider: Callable[[], a
 
     progress("finalisation")
     if config.finalise and config.deconflict:
-        rules = analysis.deconflicted(rules, outputs.of_other_tools(spark, root, formats), desk)
+        rules = _deconflicted(rules, outputs.of_other_tools(spark, root, formats), config, desk, price_in, price_out, choose)
     rules = _merged_with_files(spark, root, config, rules, settled, desk, price_in, price_out, confirm)
     spent = ledger.summary(desk.ledger(spark), price_in, price_out).first()
     author = ("echo", "without a model") if provider is analysis.EchoProvider else (config.provider, config.model or SERVICES[config.provider].model)
@@ -147,8 +158,24 @@ def run(spark: SparkSession, root: str, config: Config, provider: Callable[[], a
     space.save_state(State(last_run=timestamp, file_conflict_action=config.on_conflict, output_files=tuple(w.path for w in written), cost_spent=spent["total_cost"], original_bytes=sizes["total_original_size"], compression_ratio=min(1.0, sizes["compression_ratio"])))
     done = [(w.format, w.path, w.status, os.path.getsize(os.path.join(root, w.path))) for w in written]
     used = parts.agg(F.coalesce(F.sum("token_count"), F.lit(0))).first()[0]
-    summary = reports.success_lines(done, sizes["total_files"], used, sizes["compression_ratio"], spent["total_cost"], time.monotonic() - began, left_out)
-    return Result(report, written, results, reports.validation(results, found), smoke, spent["total_cost"], desk.ledger(spark), summary)
+    summary = reports.success_lines(done, sizes["total_files"], used, sizes["compression_ratio"], spent["total_cost"], time.monotonic() - began, left_out) + ([f"Last run: {previous.last_run}, ${previous.cost_spent:.4f}"] if previous else [])
+    return Result(report, written, results, reports.validation(results, found), smoke, spent["total_cost"], desk.ledger(spark), summary, previous)
+
+
+def _deconflicted(rules: DataFrame, existing: DataFrame, config: Config, desk: analysis.Desk, price_in: float, price_out: float, choose: Callable[[float, list[str]], str] | None) -> DataFrame:
+    """Rules beside those of other tools, once that is paid for knowingly: it may be skipped, or called off with the run."""
+    names = [r["path"] for r in existing.select("path").orderBy("path").collect()]
+    if names and choose and not config.no_confirm:
+        expected = analysis.deconfliction_cost(rules, analysis.summed_up(existing), price_in, price_out).first()
+        lines = [f"Rules of other tools stay in the project: {', '.join(names)}", f"To fit the new ones to them: {expected['input_tokens']:,} tokens in, about {expected['output_tokens']:,} out"]
+        answer = choose(expected["total_cost"], lines)
+        if answer not in DECISIONS:
+            raise ValueError(f"no such answer: {answer}")
+        if answer == "cancel":
+            raise Declined("fitting the rules to those of other tools was called off")
+        if answer == "skip":
+            return rules.select("format", "content")
+    return analysis.deconflicted(rules, existing, desk)
 
 
 def _merged_with_files(spark: SparkSession, root: str, config: Config, rules: DataFrame, settled: list[tuple[str, str, str]], desk: analysis.Desk, price_in: float, price_out: float, confirm) -> DataFrame:

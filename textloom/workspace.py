@@ -85,6 +85,33 @@ class Workspace:
         return Cleaned(deleted, failed, skipped)
 
 
+#: Folders of a run's tables that no later run needs; answers of models are none of them.
+SWEPT = ("stages", "requests", "calls")
+
+
+def sweep(spark: SparkSession, work: str, older_than: float = DAY, now: float | None = None) -> Cleaned:
+    """Deletes stage tables, requests and calls under ``work`` that are strictly older than so many seconds, on whatever file system it is; answers stay, since
+    a later run may use them. Times that lie ahead are skipped."""
+    now = time.time() if now is None else now
+    deleted = failed = skipped = 0
+    jvm = spark._jvm
+    for name in SWEPT:
+        home = jvm.org.apache.hadoop.fs.Path(f"{work}/{name}")
+        system = home.getFileSystem(spark._jsc.hadoopConfiguration())
+        if not system.exists(home):
+            continue
+        for status in system.listStatus(home):
+            age = now - status.getModificationTime() / 1000
+            if age <= older_than:
+                skipped += 1
+            elif system.delete(status.getPath(), True):
+                deleted += 1
+            else:
+                log.warning("%s stays", status.getPath())
+                failed += 1
+    return Cleaned(deleted, failed, skipped)
+
+
 def ensure_ignored(root: str, line: str) -> bool:
     """Adds ``line`` to the project's ignore file unless a line says so already; whether it was added."""
     path = Path(root) / ".gitignore"
