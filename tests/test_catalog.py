@@ -5,7 +5,7 @@ import pytest
 from textloom.plans import catalog
 
 duckdb = pytest.importorskip("duckdb")
-TABLES = "documents pages conversations events".split()
+TABLES = "documents pages conversations events part".split()
 
 
 @pytest.fixture(scope="module")

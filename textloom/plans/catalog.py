@@ -369,30 +369,43 @@ def last_write_wins(spark, sf):
     return writing.last_write(_table(spark, sf, "events"), "user_id", "event_id", "event_type", "value")
 
 
-_REQ = "(select * from (values ('cursor', '.cursor/rules/project.mdc'), ('claude', 'CLAUDE.md'), ('copilot', '.github/copilot-instructions.md'), ('windsurf', '.windsurfrules'), ('aider', '.aider.conf.yml'), ('generic', 'AI_RULES.md'), ('json', 'AI_RULES.json')) f(format, p), (values ('prompt'), ('overwrite'), ('skip'), ('smart-merge'), ('whatever')) s(strategy), (values (true), (false)) i(interactive))"
+#: Requests by users; outputs that errors name are overridden, and those that purchases name exist.
+_REQ = """d(format, p) as (values ('cursor', '.cursor/rules/project.mdc'), ('claude', 'CLAUDE.md'), ('copilot', '.github/copilot-instructions.md'), ('windsurf', '.windsurfrules'), ('aider', '.aider.conf.yml'), ('generic', 'AI_RULES.md'), ('json', 'AI_RULES.json')),
+e as (select event_type, value, (['cursor','claude','copilot','windsurf','aider','generic','json'])[(user_id % 7 + 1)::int] as format, (['prompt','overwrite','skip','smart-merge','whatever'])[((props->>'$.k')::int % 5 + 1)::int] as strategy, coalesce(value, 0) >= 20 as interactive from events),
+o as (select format, 'docs/' || format || '.md' as override from e where event_type = 'error' and value > 30 group by 1), x as (select distinct case when value > 20 then 'docs/' || format || '.md' else p end as path from e join d using (format) where event_type = 'purchase' and value > 15),
+q as (select e.*, coalesce(override, p) as path from e join d using (format) left join o using (format))"""
 
 
-@query(f"""select format, path, e as exists, strategy, interactive, case when not e then 'create' when strategy in ('overwrite', 'skip') then strategy when not interactive then 'error' when strategy = 'smart-merge' then 'merge' else 'ask' end as action
-from (select *, case when format = 'claude' then 'docs/CLAUDE.md' else p end as path, format in ('cursor', 'claude', 'json') as e from {_REQ})""")
+@query(f"""with {_REQ}, a as (select q.*, x.path is not null as e from q left join x on q.path = x.path)
+select format, path, e as exists, strategy, interactive, case when not e then 'create' when strategy in ('overwrite', 'skip') then strategy when not interactive then 'error' when strategy = 'smart-merge' then 'merge' else 'ask' end as action, count(*) as requests from a group by all""")
 def conflict_actions(spark, sf):
-    rows = [(f, s, i) for f in paths.FORMATS for s in (*writing.STRATEGIES, "whatever") for i in (True, False)]
-    requests = spark.createDataFrame(rows, "format string, strategy string, interactive boolean")
-    overrides = spark.createDataFrame([("claude", "docs/CLAUDE.md")], "format string, override string")
-    existing = spark.createDataFrame([(paths.FORMATS["cursor"],), ("docs/CLAUDE.md",), (paths.FORMATS["json"],), ("CLAUDE.md",)], "path string")
-    return writing.planned_writes(requests, overrides, existing)
+    pick = lambda i, xs: F.element_at(F.array(*map(F.lit, xs)), (i % len(xs) + 1).cast("int"))
+    k = F.get_json_object("props", "$.k").cast("int")
+    rows = _table(spark, sf, "events").select("event_type", "value", pick(F.col("user_id"), tuple(paths.FORMATS)).alias("format"), pick(k, (*writing.STRATEGIES, "whatever")).alias("strategy"), (F.coalesce("value", F.lit(0.0)) >= 20).alias("interactive"))
+    own = F.concat(F.lit("docs/"), "format", F.lit(".md"))
+    overrides = rows.where("event_type = 'error' and value > 30").select("format", own.alias("override")).distinct()
+    existing = rows.where("event_type = 'purchase' and value > 15").select(F.when(F.col("value") > 20, own).otherwise(paths.output_path(F.col("format"), F.lit(None).cast("string"))).alias("path")).distinct()
+    planned = writing.planned_writes(rows.select("format", "strategy", "interactive"), overrides, existing)
+    return planned.groupBy(*planned.columns).agg(F.count("*").alias("requests"))
 
 
-@query("select range::int as attempt, least(1000 * pow(2, least(range, 10)), 60000)::bigint as delay_ms, least(round(0.7::double + 0.1::double * (range - 1), 6), 0.9::double) as temperature from range(13)")
+@query("select conv_id, turn, least(1000 * pow(2, least(turn, 10)), 60000)::bigint as delay_ms, least(round(0.7::double + 0.1::double * (turn - 1), 6), 0.9::double) as temperature from conversations")
 def retry_schedule(spark, sf):
-    a = F.col("id").cast("int")
-    return spark.range(13).select(a.alias("attempt"), cost.backoff_ms(a).alias("delay_ms"), cost.fix_temperature(a).alias("temperature"))
+    a = F.col("turn")
+    return _table(spark, sf, "conversations").select("conv_id", "turn", cost.backoff_ms(a).alias("delay_ms"), cost.fix_temperature(a).alias("temperature"))
 
 
-@query("select page_id, case when page_id % 5 = 0 then 'xml' when page_id % 5 = 1 then 'json' when page_id % 5 = 2 then 'xml' when page_id % 5 = 3 then 'json' else 'markdown' end as kind from pages")
+#: Pages as packs: their names end as their addresses' lengths say, and their texts hold what pages hold, with marks of packs in some.
+_MARKED = """m as (select page_id, regexp_replace(url, '[?#].*', '') || (['.xml', '.JSON', '.markdown', '', '/x', '', ''])[(len(url) % 7 + 1)::int] as path,
+  case when contains(html, '***') then replace(html, '<title>', '<file path="t">') when contains(html, '###') then chr(10) || '## File: t' || html when len(html) % 3 = 0 then '  {"h": ' || html else html end as content from pages)"""
+
+
+@query(f"""with {_MARKED}, e as (select *, lower(regexp_extract(path, '[^/]\\.([^./]+)$', 1)) as ext from m) select page_id, case when ext = 'xml' then 'xml' when ext = 'json' then 'json' when ext in ('md', 'markdown') then 'markdown'
+  when contains(content, '<file path=') then 'xml' when left(ltrim(content), 1) in ('{{', '[') then 'json' when contains(content, '## File:') then 'markdown' else 'unknown' end as kind from e""")
 def format_detect(spark, sf):
-    i = F.col("page_id") % 5
-    path = F.when(i == 0, "a/pack.xml").when(i == 1, "pack.JSON").otherwise("pack")
-    content = F.when(i == 2, '<file path="x">').when(i == 3, ' {"files": {}}').otherwise("text\n## File: x")
+    h, u = F.col("html"), F.col("url")
+    path = F.concat(F.regexp_replace(u, "[?#].*", ""), F.element_at(F.array(*map(F.lit, (".xml", ".JSON", ".markdown", "", "/x", "", ""))), (F.char_length(u) % 7 + 1).cast("int")))
+    content = F.when(h.contains("***"), F.replace(h, F.lit("<title>"), F.lit('<file path="t">'))).when(h.contains("###"), F.concat(F.lit("\n## File: t"), h)).when(F.char_length(h) % 3 == 0, F.concat(F.lit('  {"h": '), h)).otherwise(h)
     return _table(spark, sf, "pages").select("page_id", paths.packed_format(path, content).alias("kind"))
 
 
@@ -497,15 +510,14 @@ def path_normalize(spark, sf):
     return _paths(spark, sf).select("page_id", paths.normalised_path(F.translate("path", "/", "\\")).alias("normalised"))
 
 
-@query("""select page_id, (['always','auto','files','manual','auto',null])[(page_id % 6 + 1)::int] as rule_type, case when page_id % 2 = 0 then 'always' else 'auto' end as default_rule_type,
-  (['anthropic','openai','ollama','other'])[(page_id % 4 + 1)::int] as provider, ([200000, 128000, 100000, 100000])[(page_id % 4 + 1)::int]::bigint as context_limit from pages""")
+@query("""select doc_id, (['always','auto','files','manual','auto',null])[(n_chars % 6 + 1)::int] as rule_type, case when lang = 'en' then 'always' else 'auto' end as default_rule_type,
+  case lang when 'en' then 'anthropic' when 'de' then 'openai' when 'fr' then 'ollama' else 'other' end as provider, case lang when 'en' then 200000 when 'de' then 128000 else 100000 end::bigint as context_limit from documents""")
 def rule_types(spark, sf):
-    i = F.col("page_id")
-    pick = lambda n, *xs: F.element_at(F.array(*map(F.lit, xs)), (i % n + 1).cast("int"))
-    kinds = paths.rule_type(pick(6, "ALWAYS", "Auto Attached", "specific-files", "manual", "intelligent", "none"))
-    provider = pick(4, "anthropic", "openai", "ollama", "other")
-    default = paths.default_rule_type(F.when(i % 2 == 0, "claude").otherwise("cursor"))
-    return _table(spark, sf, "pages").select("page_id", kinds.alias("rule_type"), default.alias("default_rule_type"), provider.alias("provider"), paths.context_limit(provider).alias("context_limit"))
+    n, lang = F.col("n_chars"), F.col("lang")
+    names = F.element_at(F.array(*map(F.lit, ("ALWAYS", "Auto Attached", "specific-files", "manual", "intelligent", "none"))), (n % 6 + 1).cast("int"))
+    provider = F.when(lang == "en", "anthropic").when(lang == "de", "openai").when(lang == "fr", "ollama").otherwise("other")
+    default = paths.default_rule_type(F.when(lang == "en", "claude").otherwise("cursor"))
+    return _table(spark, sf, "documents").select("doc_id", paths.rule_type(names).alias("rule_type"), default.alias("default_rule_type"), provider.alias("provider"), paths.context_limit(provider).alias("context_limit"))
 
 
 @query("with t as (select conv_id, turn, len(text)::bigint as i, (strlen(text) // 4)::bigint as o from conversations) select conv_id, turn, i::double / 1000.0::double * 0.003::double as input_cost, o::double / 1000.0::double * 0.015::double as output_cost, i::double / 1000.0::double * 0.003::double + o::double / 1000.0::double * 0.015::double as total_cost from t")
@@ -525,16 +537,18 @@ def state_checks(spark, sf):
     return _table(spark, sf, "events").where("value is not null").select("event_id", cost.state_valid(F.col("value") / 100.0, F.col("value") - 50).alias("valid"))
 
 
-@query("select event_id, case when event_id % 2 = 0 then 'skipped' when event_id % 3 = 0 then 'merged' when event_id % 5 = 0 then 'new' when event_id % 7 = 0 then 'backup' else 'overwritten' end as status from events")
+@query("select event_id, case when event_type = 'error' then 'skipped' when value > 30 then 'merged' when (props->>'$.k')::int > 60 then 'new' when user_id % 2 = 1 then 'backup' else 'overwritten' end as status from events")
 def write_statuses(spark, sf):
-    n = F.col("event_id")
-    return _table(spark, sf, "events").select("event_id", writing.write_status(n % 2 == 0, n % 3 == 0, n % 5 == 0, n % 7 == 0).alias("status"))
+    k = F.get_json_object("props", "$.k").cast("int")
+    return _table(spark, sf, "events").select("event_id", writing.write_status(F.col("event_type") == "error", F.col("value") > 30, k > 60, F.col("user_id") % 2 == 1).alias("status"))
 
 
-@query(f"with {_RENDERED} select r.doc_id, split_part(format, ':', 1) as format from r where split_part(format, ':', 1) not in ('claude', 'cursor')")
+@query("select doc_id, case lang when 'en' then 'claude' when 'de' then 'cursor' when 'fr' then 'aider' else 'generic' end as format from documents where lang is null or lang not in ('en', 'de')")
 def existing_not_generated(spark, sf):
-    rows = _rendered(spark, sf).select("doc_id", F.split_part("format", F.lit(":"), F.lit(1)).alias("format"))
-    return writing.not_generated(rows, spark.createDataFrame([("claude",), ("cursor",)], "format string"))
+    """Outputs by language beside those that are being made: all formats with texts of over a thousand characters in English or German."""
+    lang = F.col("lang")
+    rows = _table(spark, sf, "documents").select("doc_id", "n_chars", F.when(lang == "en", "claude").when(lang == "de", "cursor").when(lang == "fr", "aider").otherwise("generic").alias("format"))
+    return writing.not_generated(rows, rows.where("n_chars > 1000 and format in ('claude', 'cursor')")).select("doc_id", "format")
 
 
 _FOUND = f"""{_RENDERED}, {_SYNTAX}, {_REFS}, {_CONV}, {_CONFLICTS}, {_MISSING}, {_UNREAL},
@@ -586,30 +600,32 @@ def analysis_prompts(spark, sf):
     return rows.select("ord", F.sha2(analysis.analysis_prompt("x").cast("binary"), 256).alias("prompt"))
 
 
-_LISTED = "select page_id, 'm' || page_id as model, case page_id % 4 when 0 then '0.000003' when 1 then '0.5' when 2 then 'free' end as i, case page_id % 3 when 0 then '0.25' when 1 then '' end as o from pages"
+#: Parts as models: what they cost for a token is listed as text, for some of them badly or not at all.
+_LISTED = "select p_name || ' ' || p_partkey as model, case when p_size % 5 = 0 then 'free' when p_size % 5 < 4 then '0.' || lpad((round(p_retailprice * 100))::bigint::varchar, 9, '0') end as i, case when p_size % 3 = 0 then '0.25' when p_size % 3 = 1 then '' end as o from part"
 
 
 @query(f"select model, coalesce(try_cast(i as double) * 1000, 0.0::double) as price_in, coalesce(try_cast(o as double) * 1000, 0.0::double) as price_out from ({_LISTED}) union all select 'unlisted', 0.0::double, 0.0::double")
 def model_prices(spark, sf):
-    n = F.col("page_id")
-    i = F.when(n % 4 == 0, "0.000003").when(n % 4 == 1, "0.5").when(n % 4 == 2, "free")
+    n = F.col("p_size")
+    i = F.when(n % 5 == 0, "free").when(n % 5 < 4, F.concat(F.lit("0."), F.lpad(F.round(F.col("p_retailprice") * 100).cast("long").cast("string"), 9, "0")))
     o = F.when(n % 3 == 0, "0.25").when(n % 3 == 1, "")
-    name = F.concat(F.lit("m"), n.cast("string"))
-    pages = _table(spark, sf, "pages")
+    name = F.concat("p_name", F.lit(" "), F.col("p_partkey").cast("string"))
+    parts = _table(spark, sf, "part")
     entry = F.struct(name.alias("id"), F.struct(i.alias("prompt"), o.alias("completion")).alias("pricing"))
-    listing = pages.select(F.to_json(F.struct(F.array(entry).alias("data"))).alias("body"))
-    wanted = pages.select(name.alias("model")).union(spark.createDataFrame([("unlisted",)], "model string"))
+    listing = parts.select(F.to_json(F.struct(F.array(entry).alias("data"))).alias("body"))
+    wanted = parts.select(name.alias("model")).union(spark.createDataFrame([("unlisted",)], "model string"))
     return models.priced(wanted, listing)
 
 
-@query("select 'm' || page_id as model, page_id % 3 < 2 as found from pages")
+@query("select p_name || ' ' || p_partkey as model, p_size <= 35 as found from part")
 def models_installed(spark, sf):
-    n = F.col("page_id")
-    name = F.concat(F.lit("m"), n.cast("string"))
-    tag = F.when(n % 3 == 0, "").when(n % 3 == 1, ":latest").otherwise(":7b")
-    pages = _table(spark, sf, "pages")
-    listing = pages.select(F.to_json(F.struct(F.array(F.struct(F.concat(name, tag).alias("name"))).alias("models"))).alias("body"))
-    return models.installed(pages.select(name.alias("model")), listing)
+    """Small parts are installed, plainly or as the latest; large ones under another tag."""
+    n = F.col("p_size")
+    name = F.concat("p_name", F.lit(" "), F.col("p_partkey").cast("string"))
+    tag = F.when(n <= 15, "").when(n <= 35, ":latest").otherwise(":7b")
+    parts = _table(spark, sf, "part")
+    listing = parts.select(F.to_json(F.struct(F.array(F.struct(F.concat(name, tag).alias("name"))).alias("models"))).alias("body"))
+    return models.installed(parts.select(name.alias("model")), listing)
 
 
 _LEVELS = """with l as (select (conv_id // 20)::varchar as project, coalesce(role, 'none') as operation, (turn % 3 + 1)::varchar as attempt, len(text)::bigint as i, (strlen(text) // 4)::bigint as o from conversations),
