@@ -2,6 +2,7 @@ import hashlib
 import json
 import os
 import random
+import re
 import subprocess
 import time
 from xml.sax.saxutils import escape
@@ -14,7 +15,7 @@ from pyspark.sql import Row
 
 from textloom import __main__ as cli
 from textloom import config as settings
-from textloom import state
+from textloom import progress, state, workspace
 from textloom.functions import paths, text
 from textloom.operators import analysis, chunks, corpus, endings, finalise, ledger, reports, structure, switches, validate, writer
 from textloom.plans import run as plan
@@ -53,7 +54,7 @@ def project(tmp_path):
 
 
 def test_tree(spark, project):
-    spark.dataSource.register(tree.TreeSource)
+    tree.register(spark)
     rows = {r["path"]: r for r in spark.read.format("tree").load(str(project)).collect()}
     assert sorted(rows) == [".gitignore", "_hidden/.x.md", "bin.dat", "keep.log", "src/app.ts", "src/main.py"]
     assert rows["src/main.py"]["language"] == "python" and rows["bin.dat"]["content"] is None and rows["keep.log"]["language"] is None
@@ -62,7 +63,7 @@ def test_tree(spark, project):
 
 
 def test_tree_errors(spark, project):
-    spark.dataSource.register(tree.TreeSource)
+    tree.register(spark)
     read = lambda **options: sorted(r["path"] for r in spark.read.format("tree").options(**options).load(str(project)).collect())
     assert read(include="**/*.{py,ts},*.md") == ["_hidden/.x.md", "src/app.ts", "src/main.py"]
     assert tree.split_globs("a, b{c,d}*,{e,f}") == ["a", "b{c,d}*", "{e,f}"]
@@ -311,8 +312,58 @@ def test_ignore_rules_as_tables_and_by_the_walker(spark):
     assert {r["path"] for r in ignored.kept(paths_, rules).collect()} == {p for p in held if not out(p)}
 
 
+def test_filters_reach_the_tree(spark, project, tmp_path):
+    """Files that a filter leaves out are never opened: they are made unreadable, and nobody notices."""
+    tree.register(spark)
+    every = sorted((r["path"], r["size"], r["language"], r["content"]) for r in spark.read.format("tree").load(str(project)).collect())
+    where = ["language = 'python'", "language is null and size > 3", "path like 'src/%' and language <> 'python'", "path in ('keep.log', 'bin.dat')", "language <=> null and not path like '%.dat'", "size <= 9", "path like '%.py' and content like '%def%'", "not (language = 'python')", "path > 'k' and path <= 'src/app.ts'"]
+    for condition in where:
+        kept = spark.read.format("tree").load(str(project)).where(condition)
+        want = spark.createDataFrame(every, "path string, size long, language string, content string").where(condition)
+        assert values(kept.select("path", "size", "language", "content")) == values(want), condition
+    reader = tree.TreeReader({"path": str(project)})
+    left = list(reader.pushFilters([tree.EqualTo(("language",), "python"), tree.EqualTo(("content",), "x"), tree.Not(tree.IsNull(("language",)))]))
+    assert [type(f) for f in left] == [tree.EqualTo] and left[0].attribute == ("content",)
+    assert [p for s in reader.partitions() for _, p, _ in s.files] == ["src/main.py"]
+    opened = []
+
+    class Spy:
+        def __init__(self, real):
+            self.real = real
+
+        def __call__(self, path, *a, **k):
+            if str(project) in str(path) and not str(path).endswith(".gitignore"):
+                opened.append(path)
+            return self.real(path, *a, **k)
+
+    tree.open = Spy(open)
+    try:
+        assert len([r for s in reader.partitions() for r in reader.read(s)]) == 1 and len(opened) == 1
+        names = tree.TreeReader({"path": str(project), "content": "false"})
+        assert len([r for s in names.partitions() for r in names.read(s)]) == 6 and len(opened) == 1
+    finally:
+        del tree.open
+    assert spark.read.format("tree").option("content", "false").load(str(project)).where("content is not null").count() == 0
+
+
+def test_sizes_are_observed_and_tasks_are_shown(spark, project, tmp_path):
+    """What a run reports of its tables comes with their writing; the steps say how many tasks are done."""
+    space = workspace.Workspace(str(tmp_path / "home"), f"{tmp_path}/shared")
+    staged = space.stage(spark.range(1000).repartition(3), "numbers", n=F.count("*"), total=F.sum("id"))
+    assert space.metrics["numbers"] == {"n": 1000, "total": 499500} and staged.count() == 1000
+    said = []
+    with progress.Progress(spark, said.append, 0.05) as steps:
+        steps("slow")
+        slow = F.udf(lambda x: time.sleep(0.2) or x, "long")
+        spark.range(8).repartition(8).select(slow("id")).collect()
+    assert said[0] == "slow" and any(re.fullmatch(r"slow: \d+ of \d+ tasks", x) for x in said[1:])
+    n = len(said)
+    spark.range(8).repartition(8).select(slow("id")).collect()
+    assert len(said) == n  # it ended with the block
+
+
 def test_files_that_cannot_be_read(spark, project):
-    spark.dataSource.register(tree.TreeSource)
+    tree.register(spark)
     for option, n in (("quarantine", 6), ("fail", None)):
         df = spark.read.format("tree").option("on_unreadable", option).load(str(project))
         reader = tree.TreeReader({"path": str(project), "on_unreadable": option})

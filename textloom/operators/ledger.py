@@ -39,8 +39,12 @@ def rollup(ledger: DataFrame, price_in: float, price_out: float, *keys: str) ->
 
 def pre_run(chunks: DataFrame, key: str, formats: int, price_in: float, price_out: float) -> DataFrame:
     """Expected tokens and cost before a run: each chunk's analysis, the merge if there are several chunks, each format."""
-    out = chunks.groupBy(key).agg(F.count("*").alias("chunks"), F.sum("token_count").cast("long").alias("chunk_tokens"))
+    return expected(chunks.groupBy(key).agg(F.count("*").alias("chunks"), F.sum("token_count").cast("long").alias("chunk_tokens")), formats, price_in, price_out)
+
+
+def expected(totals: DataFrame, formats: int, price_in: float, price_out: float) -> DataFrame:
+    """``pre_run`` of totals that are known: chunks and chunk_tokens."""
     several = F.when(F.col("chunks") > 1, F.lit(1)).otherwise(F.lit(0))
-    out = out.withColumn("input_tokens", (F.col("chunk_tokens") + several * MERGE_INPUT + formats * FORMAT_TOKENS).cast("long"))
+    out = totals.withColumn("input_tokens", (F.col("chunk_tokens") + several * MERGE_INPUT + formats * FORMAT_TOKENS).cast("long"))
     out = out.withColumn("output_tokens", (F.col("chunks") * ANALYSIS_TOKENS + several * ANALYSIS_TOKENS + formats * FORMAT_TOKENS).cast("long"))
     return out.withColumn("estimated_cost", cost(F.col("input_tokens"), F.col("output_tokens"), F.lit(price_in), F.lit(price_out)))

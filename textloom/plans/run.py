@@ -15,6 +15,7 @@ from ..functions import cost, paths, text, tokens
 from ..functions.cost import pricing
 from ..operators import analysis, chunks, corpus, finalise, ledger, reports, structure, validate, writer, writing
 from ..operators.providers import SERVICES
+from ..progress import Progress
 from ..sources import outputs, splits, tree
 from ..state import State
 from ..workspace import DAY, Workspace, ensure_ignored, sweep
@@ -50,7 +51,7 @@ def files_of(spark: SparkSession, root: str, config: Config, stage: Callable[[Da
     if config.packed_file:
         rows = splits.read(spark, config.packed_file, stage=stage)
         return rows.select(F.col("ord").cast("long"), "path", paths.language(F.col("path")).alias("language"), F.col("content").alias("original_content"))
-    spark.dataSource.register(tree.TreeSource)
+    tree.register(spark)
     reader = spark.read.format("tree").option("include", ",".join(config.include)).option("exclude", ",".join(config.exclude)).option("on_unreadable", config.on_unreadable)
     return reader.load(root).select("ord", "path", "language", F.col("content").alias("original_content"))
 
@@ -80,6 +81,11 @@ def run(spark: SparkSession, root: str, config: Config, provider: Callable[[], a
     fitted to those of other tools, at that cost (see ``DECISIONS``).
     Without them a run goes on, writes, and ends at a conflict. Conflicts are settled before anything is paid for.
     """
+    with Progress(spark, progress) as steps:
+        return _run(spark, root, config, provider, work, timestamp, confirm, on_failure, ask, home, steps, choose)
+
+
+def _run(spark: SparkSession, root: str, config: Config, provider, work: str | None, timestamp: str, confirm, on_failure, ask, home: str | None, progress: Progress, choose) -> Result:
     began = time.monotonic()
     if work is None:
         if not spark.sparkContext.master.startswith("local"):
@@ -96,15 +102,19 @@ def run(spark: SparkSession, root: str, config: Config, provider: Callable[[], a
     sweep(spark, work, DAY)
     previous = space.load_state()
     if previous:
-        progress(f"last run {previous.last_run}, ${previous.cost_spent:.4f}")
+        progress.say(f"last run {previous.last_run}, ${previous.cost_spent:.4f}")
     settled = writer.settled(planned(spark, root, config, ask is not None).collect(), ask)
 
     progress("files")
-    scanned = space.stage(compressed(spark, root, config, lambda df: space.stage(df, "pack")), "files")
-    files, left_out = scanned.where("original_content is not null"), scanned.where("original_content is null").count()
+    read = F.col("original_content").isNotNull()
+    total = lambda c: F.coalesce(F.sum(F.when(read, c)), F.lit(0))
+    scanned = space.stage(
+        compressed(spark, root, config, lambda df: space.stage(df, "pack")), "files", total_files=F.count_if(read), left_out=F.count_if(~read), total_original_size=total(F.col("original_size")),
+        total_compressed_size=total(F.col("compressed_size")), original_tokens=total(text.tokens_up(F.col("original_content"))),
+    )
+    files, sizes = scanned.where(read), space.metrics["files"]
+    sizes["compression_ratio"] = sizes["total_compressed_size"] / sizes["total_original_size"] if sizes["total_original_size"] else 0.0
     report = corpus.dry_run(files, len(config.formats), price_in, price_out)
-    count = (lambda c: tokens.exact_tokens(c, config.tokenizer, False)) if config.tokenizer else text.tokens_up
-    sizes = corpus.metadata(files).first()
     if not sizes["total_files"]:
         raise ValueError(f"no file to read in {config.packed_file or root}")
     languages = (corpus.language_list(corpus.language_histogram(files)).first() or {"languages": ""})["languages"]
@@ -112,11 +122,15 @@ def run(spark: SparkSession, root: str, config: Config, provider: Callable[[], a
 
     progress("chunks")
     entries = files.select(F.lit("corpus").alias("key"), "ord", text.corpus_entry(F.col("path"), F.col("compressed_content")).alias("entry"))
-    parts = space.stage(chunks.token_chunks(entries, "key", "ord", "entry", config.chunks, config.tokenizer, lambda df: space.stage(df, "index")), "chunks")
+    parts = space.stage(chunks.token_chunks(entries, "key", "ord", "entry", config.chunks, config.tokenizer, lambda df: space.stage(df, "index")), "chunks", chunks=F.count("*"), chunk_tokens=F.coalesce(F.sum("token_count"), F.lit(0)))
+    made = space.metrics["chunks"]
     if confirm and not config.no_confirm:
-        expected = ledger.pre_run(parts, "key", len(config.formats), price_in, price_out).first()
-        before = corpus.token_totals(files, tokens=count).first()["original_tokens"]
-        if expected and not confirm(expected["estimated_cost"], reports.cost_lines(expected, sizes["total_files"], languages, before, paths.PROVIDERS[config.provider][4])):
+        known = spark.range(1).select(*[F.lit(made[c]).cast("long").alias(c) for c in ("chunks", "chunk_tokens")])
+        expected = ledger.expected(known, len(config.formats), price_in, price_out).first()
+        before = sizes["original_tokens"]
+        if config.tokenizer:
+            before = files.agg(F.sum(tokens.exact_tokens(F.col("original_content"), config.tokenizer, False))).first()[0]
+        if not confirm(expected["estimated_cost"], reports.cost_lines(expected, sizes["total_files"], languages, before, paths.PROVIDERS[config.provider][4])):
             raise Declined("the run was not confirmed")
 
     progress("analysis")
@@ -157,8 +171,7 @@ def run(spark: SparkSession, root: str, config: Config, provider: Callable[[], a
     written = writer.write(spark.createDataFrame(settled, "format string, path string, action string").join(rules, "format"), root)
     space.save_state(State(last_run=timestamp, file_conflict_action=config.on_conflict, output_files=tuple(w.path for w in written), cost_spent=spent["total_cost"], original_bytes=sizes["total_original_size"], compression_ratio=min(1.0, sizes["compression_ratio"])))
     done = [(w.format, w.path, w.status, os.path.getsize(os.path.join(root, w.path))) for w in written]
-    used = parts.agg(F.coalesce(F.sum("token_count"), F.lit(0))).first()[0]
-    summary = reports.success_lines(done, sizes["total_files"], used, sizes["compression_ratio"], spent["total_cost"], time.monotonic() - began, left_out) + ([f"Last run: {previous.last_run}, ${previous.cost_spent:.4f}"] if previous else [])
+    summary = reports.success_lines(done, sizes["total_files"], made["chunk_tokens"], sizes["compression_ratio"], spent["total_cost"], time.monotonic() - began, sizes["left_out"]) + ([f"Last run: {previous.last_run}, ${previous.cost_spent:.4f}"] if previous else [])
     return Result(report, written, results, reports.validation(results, found), smoke, spent["total_cost"], desk.ledger(spark), summary, previous)
 
 

@@ -1,7 +1,9 @@
 """A source tree as a DataFrame, by a Python data source: hidden files included, ignore rules honoured, links not followed.
 
-    spark.dataSource.register(TreeSource)
-    spark.read.format("tree").option("include", "*.py,*.md").load("/path/of/tree")
+    register(spark)
+    spark.read.format("tree").option("include", "*.py,*.md").load("/path/of/tree").where("language = 'python' and size < 100000")
+
+Filters on path, size and language are pushed down: files that they leave out are never opened, and with the option content=false none is.
 
 The driver lists directories and prunes ignored ones; executors read the files of their share. The tree must be a path that all of
 them see. Options: include, exclude (globs over relative paths, separated by commas outside braces), on_invalid (for files that aren't
@@ -18,7 +20,8 @@ import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+from pyspark.sql import SparkSession
+from pyspark.sql.datasource import DataSource, DataSourceReader, EqualNullSafe, EqualTo, Filter, GreaterThan, GreaterThanOrEqual, In, InputPartition, IsNotNull, IsNull, LessThan, LessThanOrEqual, Not, StringContains, StringEndsWith, StringStartsWith
 
 from ..functions.paths import LANGUAGES, glob_regex
 
@@ -99,6 +102,39 @@ def walk(root: str, include: list[str] = (), exclude: list[str] = (), fail: bool
     yield from below("", [])
 
 
+def language_of(path: str) -> str | None:
+    m = re.search(r"[^/]\.([^./]+)$", path)
+    return LANGUAGES.get(m[1]) if m else None
+
+
+#: What a pushed filter asks of a value that isn't null.
+_ASKS = {
+    EqualTo: lambda v, f: v == f.value, EqualNullSafe: lambda v, f: v == f.value, In: lambda v, f: v in f.value, GreaterThan: lambda v, f: v > f.value, GreaterThanOrEqual: lambda v, f: v >= f.value,
+    LessThan: lambda v, f: v < f.value, LessThanOrEqual: lambda v, f: v <= f.value, StringStartsWith: lambda v, f: v.startswith(f.value), StringEndsWith: lambda v, f: v.endswith(f.value), StringContains: lambda v, f: f.value in v,
+    IsNotNull: lambda v, f: True,
+}
+
+
+def understood(f: Filter) -> bool:
+    """Whether the walk can answer a filter: one of a column that it knows."""
+    if isinstance(f, Not):
+        return understood(f.child)
+    return isinstance(f, (IsNull, *_ASKS)) and tuple(f.attribute) in (("path",), ("size",), ("language",))
+
+
+def passes(f: Filter, values: dict) -> bool | None:
+    """What a filter says of a file; None where SQL's answer is unknown."""
+    if isinstance(f, Not):
+        inner = passes(f.child, values)
+        return None if inner is None else not inner
+    value = values[f.attribute[0]]
+    if isinstance(f, IsNull):
+        return value is None
+    if value is None:
+        return f.value is None if isinstance(f, EqualNullSafe) else False if isinstance(f, IsNotNull) else None
+    return _ASKS[type(f)](value, f)
+
+
 @dataclass
 class Share(InputPartition):
     files: list[tuple[int, str, int]]
@@ -109,14 +145,26 @@ class TreeReader(DataSourceReader):
         self.root = options["path"].removeprefix("file://")
         self.include, self.exclude = (split_globs(options.get(k, "")) for k in ("include", "exclude"))
         self.fail = options.get("on_invalid", "quarantine") == "fail"
+        self.opens = options.get("content", "true").lower() != "false"
+        self.filters: list[Filter] = []
         self.abort = options.get("on_error", "warn") == "fail"
         self.unreadable = options.get("on_unreadable", "fail")
         if self.unreadable not in ("fail", "quarantine"):
             raise ValueError("on_unreadable is fail or quarantine")
 
+    def pushFilters(self, filters: list[Filter]) -> Iterator[Filter]:  # noqa: N802
+        for f in filters:
+            if understood(f):
+                self.filters.append(f)
+            else:
+                yield f
+
     def partitions(self) -> list[Share]:
         shares, size = [Share([])], 0
         for i, (path, n) in enumerate(walk(self.root, self.include, self.exclude, self.abort)):
+            values = {"path": path, "size": n, "language": language_of(path)}
+            if not all(passes(f, values) for f in self.filters):
+                continue
             if size + n > SHARE_BYTES and shares[-1].files:
                 shares.append(Share([]))
                 size = 0
@@ -127,6 +175,9 @@ class TreeReader(DataSourceReader):
     def read(self, partition: Share) -> Iterator[tuple]:
         for i, path, n in partition.files:
             content = None
+            if not self.opens:
+                yield i, path, n, language_of(path), None
+                continue
             try:
                 with open(os.path.join(self.root, path), "rb") as f:
                     content = f.read().decode("utf-8")
@@ -137,8 +188,7 @@ class TreeReader(DataSourceReader):
                 if self.unreadable == "fail":
                     raise
                 log.warning("no content: %s", e)
-            m = re.search(r"[^/]\.([^./]+)$", path)
-            yield i, path, n, LANGUAGES.get(m[1]) if m else None, content
+            yield i, path, n, language_of(path), content
 
 
 class TreeSource(DataSource):
@@ -151,3 +201,9 @@ class TreeSource(DataSource):
 
     def reader(self, schema) -> TreeReader:  # noqa: ANN001
         return TreeReader(dict(self.options))
+
+
+def register(spark: SparkSession) -> None:
+    """Makes the source known to a session and lets it take filters."""
+    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
+    spark.dataSource.register(TreeSource)

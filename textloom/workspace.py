@@ -11,7 +11,7 @@ from collections.abc import Callable, Iterable
 from dataclasses import dataclass
 from pathlib import Path
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 
 from . import state
 
@@ -51,10 +51,17 @@ class Workspace:
     def __init__(self, home: str, shared: str | None = None) -> None:
         self.home, self.shared = Path(home), shared or f"{home}/stages"
         self.home.mkdir(mode=0o700, parents=True, exist_ok=True)
-
-    def stage(self, df: DataFrame, name: str) -> DataFrame:
-        """``df`` written as the table ``name`` and read back, so that what follows starts from rows, not from a lineage."""
-        df.write.mode("overwrite").parquet(f"{self.shared}/{name}")
+        #: What was observed of each staged table.
+        self.metrics: dict[str, dict] = {}
+
+    def stage(self, df: DataFrame, name: str, **metrics: Column) -> DataFrame:
+        """``df`` written as the table ``name`` and read back, so that what follows starts from rows, not from a lineage. Aggregates of its rows are
+        observed while it is written, without a job of their own, and kept in ``metrics``."""
+        seen = Observation(f"{name}-{uuid.uuid4().hex}") if metrics else None
+        rows = df.observe(seen, *[c.alias(m) for m, c in metrics.items()]) if seen else df
+        rows.write.mode("overwrite").parquet(f"{self.shared}/{name}")
+        if seen:
+            self.metrics[name] = seen.get
         return self.read(df.sparkSession, name, df.schema)
 
     def read(self, spark: SparkSession, name: str, schema=None) -> DataFrame:
