@@ -5,6 +5,7 @@ import random
 import re
 import subprocess
 import time
+from datetime import datetime
 from xml.sax.saxutils import escape
 
 import pandas as pd
@@ -20,6 +21,7 @@ from textloom.functions import paths, text
 from textloom.operators import analysis, chunks, corpus, endings, finalise, ledger, reports, structure, switches, validate, writer
 from textloom.plans import run as plan
 from textloom.sources import git, ignored, packed, splits, tree
+from textloom.streaming import retention
 from textloom.streaming.refresh import latest, refresh
 
 
@@ -762,3 +764,31 @@ def test_stream(spark, tmp_path):
     held = {str(p.relative_to(tmp_path / "out/data")).split("/")[0] for p in (tmp_path / "out/data").glob("v=*/bucket=*")}
     first = [p.name for p in (tmp_path / "out/data/v=0").glob("bucket=*")]
     assert held == {"v=0", "v=1", "v=2", "v=3"} and len(first) == 1  # the part of a that batch 1 replaced is gone, that of b is not
+
+
+def test_retention_as_a_stream(spark, tmp_path):
+    """Late rows, restarts and repeats; the end is what a batch job over all rows expires."""
+    retention.ready(spark)
+    draw = random.Random(8)
+    rows = [(f"f{draw.randint(0, 3)}", datetime(2024, 1, 1, 0, 0, draw.randint(0, 40)), i) for i in range(120)] + [(None, datetime(2024, 1, 1), 900), ("f0", None, 901)]
+    draw.shuffle(rows)
+    schema = "file string, t timestamp, id long"
+    for part in (rows[:10], rows[10:70], rows[70:], rows[:5]):
+        spark.createDataFrame(part, schema).write.mode("append").parquet(f"{tmp_path}/in")
+        stream = spark.readStream.schema(schema).parquet(f"{tmp_path}/in")
+        out = retention.expired(stream, "file", "t", "id")
+        out.writeStream.format("parquet").option("path", f"{tmp_path}/out").option("checkpointLocation", f"{tmp_path}/cp").trigger(availableNow=True).start().awaitTermination()
+    got = {(r["file"], r["id"]) for r in spark.read.parquet(f"{tmp_path}/out").collect()}
+    want = set()
+    for f in {f for f, _, _ in rows if f}:
+        own = sorted(((t, i) for g, t, i in rows if g == f and t is not None), reverse=True)
+        want |= {(f, i) for _, i in own[5:]}
+    assert got == want
+    timed = retention.expired(spark.readStream.schema(schema).parquet(f"{tmp_path}/in"), "file", "t", "id", idle_ms=3_600_000)
+    query = timed.writeStream.format("memory").queryName("timed").option("checkpointLocation", f"{tmp_path}/cp2").start()
+    for _ in range(100):
+        if spark.table("timed").count() >= len(want):
+            break
+        time.sleep(0.3)
+    query.stop()
+    assert {(r["file"], r["id"]) for r in spark.table("timed").collect()} == want

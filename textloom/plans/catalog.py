@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from ..functions import cost, paths, text
 from ..operators import analysis, chunks, corpus, finalise, ledger, switches, validate, writing
 from ..sources import ignored, models, packed, splits
+from ..streaming import retention
 from ..workspace import shared_folder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -357,6 +358,17 @@ def retention_newest5(spark, sf):
     return writing.expired_backups(_table(spark, sf, "events"), "user_id", "ts", "event_id").select("event_id", "user_id", "age_rank")
 
 
+@query("select event_id, user_id from events qualify row_number() over (partition by user_id order by ts desc, event_id desc) > 5")
+def retention_stream(spark, sf):
+    """The same as a stream: every event that a newer one of its user pushes out of the newest five."""
+    retention.ready(spark)
+    home = f"{shared_folder(spark)}/retention-{uuid.uuid4().hex}"
+    events = spark.readStream.schema(_table(spark, sf, "events").schema).parquet(f"{sf}/events.parque[t]")  # a pattern, since a plain path would have to be a folder
+    out = retention.expired(events, "user_id", "ts", "event_id")
+    out.writeStream.format("parquet").option("path", f"{home}/out").option("checkpointLocation", f"{home}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema(out.schema).parquet(f"{home}/out").select("event_id", "user_id")
+
+
 @query("with n as (select max(ts) - interval 1 hour as t from events) select count_if(t - ts > interval 24 hours)::bigint as deleted, count_if(t - ts <= interval 24 hours and ts <= t)::bigint as kept, count_if(ts > t)::bigint as skipped from events, n")
 def age_cleanup(spark, sf):
     events = _table(spark, sf, "events")
