@@ -110,7 +110,7 @@ def named(chars: np.ndarray, starts: np.ndarray, top: int, scratch: Scratch) ->
         w = w[by]
         new[open_[1:]] |= (w[1:] != w[:-1]) & (group[1:] == group[:-1])
         open_ = open_[(w & pad) != pad]
-    names = np.zeros(len(starts), np.int64)
+    names = np.zeros(len(starts), np.uint16 if new.sum() <= 1 << 16 else np.int32 if len(new) < 1 << 31 else np.int64)
     names[order] = np.cumsum(new) - 1
     return names
 
@@ -186,22 +186,20 @@ class _Queue:
     def scan(self, chars: np.ndarray, wanted: np.ndarray, ahead: np.ndarray | None) -> None:
         """Fill the slots: the suffix left of each one taken goes to the queue of its first character, if it is ``wanted``."""
         carry = np.full(len(self.head), 255, np.uint8)
-        narrow = len(self.head) <= 1 << 16
         for start, end in zip(self.edges[:-1].tolist(), self.edges[1:].tolist(), strict=True):
             if start in self.meets:
                 self.prefix[start] = common(ahead, self.at[start - 1 : start].astype(np.int64), self.at[start : start + 1].astype(np.int64), self.limit)[0]
             i, size = start, self.scratch.run
             while i < end:
-                pos = self.at[i : min(end, i + size)].astype(np.int64)
-                before = np.maximum(pos - 1, 0)
-                took = (wanted[before] & (pos > 0)).nonzero()[0]
-                c = chars[before[took]].astype(np.int64)
-                by = np.argsort(c.astype(np.uint16) if narrow else c, kind="stable")
+                before = np.asarray(self.at[i : min(end, i + size)]) - 1  # before the first suffix comes the last, which is never wanted
+                took = wanted[before].nonzero()[0]
+                c = chars[before[took]]
+                by = np.argsort(c, kind="stable")
                 sorted_c, firsts, counts, place = _groups(c, by)
                 slot = np.empty(len(by), np.int64)
                 slot[by] = self.head[sorted_c] + place
                 # The run ends before the first slot that it fills itself.
-                n = len(pos)
+                n = len(before)
                 if len(slot):
                     least = np.minimum.accumulate(slot) - i
                     after = np.empty(len(took), np.int64)
@@ -209,15 +207,16 @@ class _Queue:
                     bad = (least < after).argmax()
                     if least[bad] < after[bad]:
                         n = int(min(n, max(took[bad] + 1, least[bad])))
-                if n < len(pos):
-                    keep = int(np.searchsorted(took, n))
-                    by, took, slot = by[by < keep], took[:keep], slot[:keep]
-                    sorted_c, firsts, counts, _ = _groups(c, by)
-                if len(slot):
+                keep = len(took) if n == len(before) else int(np.searchsorted(took, n))
+                took, slot, c = took[:keep], slot[:keep], c[:keep]
+                if keep:
                     self.at[slot] = before[took]
                 if self.prefix is not None:
+                    if keep < len(by):
+                        by = by[by < keep]
+                        sorted_c, firsts, counts, _ = _groups(c, by)
                     self._prefixes(i, n, took, by, sorted_c, firsts, counts, slot, carry)
-                self.head[sorted_c[firsts]] += counts
+                self.head[c] = slot + 1  # of several of one character the last, which has the last slot
                 i += n
                 size = min(self.scratch.run, max(256, 2 * n))
 
@@ -295,7 +294,8 @@ def suffixes(chars: np.ndarray, scratch: Scratch, limit: int = 0) -> tuple[np.nd
     # The last suffix is the smallest of all and comes from no other.
     queue.at[queue.head[0]] = n - 1
     queue.head[0] += 1
-    queue.scan(chars, small & (np.arange(n) != n - 1), ahead)
+    small[-1] = False
+    queue.scan(chars, small, ahead)
     order = queue.at[::-1]
     if not limit:
         return np.ascontiguousarray(order).astype(np.int64), None

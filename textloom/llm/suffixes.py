@@ -31,11 +31,11 @@ from pyspark.sql import functions as F
 from .common import materialise, shared_dir, table, texts_of
 from .induced import Scratch, suffixes
 
-WINDOW, GRAM = 50, 16
+WINDOW, GRAM = 50, 20
 #: Bytes of a chunk's texts, of a shard's strings and of a shard of keys, on average; bytes of texts that are hashed at a time.
-CHUNK, SHARD, KEYS, SLICE = 8 << 20, 10 << 20, 16 << 20, 2 << 20
-#: Strings of a key from which on they are dealt to blocks of as many.
-HOT = 100_000
+CHUNK, SHARD, KEYS, SLICE = 8 << 20, 6 << 20, 16 << 20, 256 << 10
+#: Strings of a key from which on they are dealt to blocks of as many: about a shard of them.
+HOT = 50_000
 #: Bytes of an Arrow batch of packed rows.
 BATCH_BYTES = 32 << 20
 MOST_BUCKETS = 100_000
@@ -314,29 +314,41 @@ def least_of_windows(chars: np.ndarray, begin: np.ndarray, size: np.ndarray, lea
     """At every place of concatenated strings (each followed by a separator) the least document of the class of its window; -1 where no window starts."""
     order, prefix = suffixes(chars, scratch, window)
     n, run = len(chars), scratch.run
-    owner = scratch.zeros(n, np.int32)
-    for lo in range(0, n, run):
-        owner[lo : lo + run] = np.searchsorted(begin, np.arange(lo, min(n, lo + run)), "right") - 1
+    doc = scratch.zeros(n, np.int64)
+    _by_string(lambda lo, hi: np.repeat(least[lo:hi], size[lo:hi] + 1), doc, begin, size, run)
     classes = sum(int((prefix[lo : lo + run] < window).sum()) for lo in range(0, n, run))
     best, seen = scratch.zeros(classes, np.int64), 0
     best[:] = np.iinfo(np.int64).max
     for lo in range(0, n, run):  # the class that goes on from the run before has number seen - 1
         new = prefix[lo : lo + run] < window
         number = np.cumsum(new) + seen - 1
-        doc = least[owner[order[lo : lo + run]]]
         first = np.flatnonzero(np.r_[True, new[1:]])
-        best[number[first]] = np.minimum(best[number[first]], np.minimum.reduceat(doc, first))
+        best[number[first]] = np.minimum(best[number[first]], np.minimum.reduceat(doc[order[lo : lo + run]], first))
         seen = int(number[-1]) + 1
-    out, seen = scratch.zeros(n, np.int64), 0
+    out, seen = doc, 0
     for lo in range(0, n, run):
         number = np.cumsum(prefix[lo : lo + run] < window) + seen - 1
-        place = order[lo : lo + run]
-        own = owner[place]
-        out[place] = np.where(place + window <= begin[own] + size[own], best[number], -1)
+        out[order[lo : lo + run]] = best[number]
         seen = int(number[-1]) + 1
+    # Where fewer bytes than a window's are left, none starts.
+    tail = begin + np.maximum(size - window + 1, 0)
+    for lo in range(0, len(begin), run):
+        short = (begin + size + 1 - tail)[lo : lo + run]
+        places = np.repeat(tail[lo : lo + run] - (np.cumsum(short) - short), short) + np.arange(int(short.sum()))
+        out[places] = -1
+    out[n - 1] = -1
     return out
 
 
+def _by_string(values, out: np.ndarray, begin: np.ndarray, size: np.ndarray, run: int) -> None:
+    """Fill ``out``, place by place, with ``values`` of ranges of strings, a run at a time."""
+    lo = 0
+    while lo < len(begin):
+        hi = max(lo + 1, int(np.searchsorted(begin, begin[lo] + run, "right")))
+        out[begin[lo] : begin[hi - 1] + size[hi - 1] + 1] = values(lo, hi)
+        lo = hi
+
+
 def _runs(answer: np.ndarray, begin: np.ndarray, size: np.ndarray, most: np.ndarray, window: int, run: int) -> tuple[np.ndarray, ...]:
     """(string, first window, windows, least document) of runs whose answer is smaller than the string's largest document."""
     found: list[list[np.ndarray]] = [[], [], [], []]
