@@ -33,7 +33,7 @@ from .induced import Scratch, suffixes
 
 WINDOW, GRAM = 50, 20
 #: Bytes of a chunk's texts, of a shard's strings and of a shard of keys, on average; bytes of texts that are hashed at a time.
-CHUNK, SHARD, KEYS, SLICE = 8 << 20, 6 << 20, 16 << 20, 256 << 10
+CHUNK, SHARD, KEYS, SLICE = 4 << 20, 8 << 20, 16 << 20, 256 << 10
 #: Strings of a key from which on they are dealt to blocks of as many: about a shard of them.
 HOT = 50_000
 #: Bytes of an Arrow batch of packed rows.
