@@ -761,6 +761,8 @@ def test_stream(spark, tmp_path):
         refresh(stream, target, f"{tmp_path}/cp", buckets=64).awaitTermination()
     assert values(latest(spark, target, 3)) == [("a", 3, "z"), ("b", 2, "u"), ("c", 1, "w"), ("d", 1, "v")]
     assert values(latest(spark, target, 2)) == [("a", 3, "z"), ("b", 1, "y"), ("c", 1, "w"), ("d", 1, "v")]
+    with pytest.raises(ValueError, match="knows nothing"):
+        refresh(stream, target, f"{tmp_path}/cp-new", buckets=64)
     held = {str(p.relative_to(tmp_path / "out/data")).split("/")[0] for p in (tmp_path / "out/data").glob("v=*/bucket=*")}
     first = [p.name for p in (tmp_path / "out/data/v=0").glob("bucket=*")]
     assert held == {"v=0", "v=1", "v=2", "v=3"} and len(first) == 1  # the part of a that batch 1 replaced is gone, that of b is not

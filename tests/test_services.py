@@ -130,6 +130,11 @@ def test_exact_tokens(spark, tmp_path):
     rows = spark.createDataFrame([(1, "a b a"), (2, ""), (3, None), (4, "zz")], "k int, x string")
     got = rows.select("k", tokens.exact_tokens(F.col("x"), str(tmp_path / "t.json")).alias("n")).orderBy("k").collect()
     assert [r["n"] for r in got] == [3, 0, None, 1]
+    named = {"cl100k_base": str(tmp_path / "t.json")}
+    assert [r["n"] for r in rows.select("k", tokens.counted_by(F.col("x"), "cl100k_base", named).alias("n")).orderBy("k").collect()] == [3, 0, None, 1]
+    for name in ("p50k_base", "o200k_base"):
+        with pytest.raises(ValueError):
+            tokens.counted_by(F.col("x"), name, named)
 
 
 def test_workspace(spark, tmp_path):

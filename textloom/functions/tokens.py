@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import functools
-from collections.abc import Iterator
+from collections.abc import Iterator, Mapping
 
 import pandas as pd
 import pyarrow as pa
@@ -34,6 +34,19 @@ def exact_tokens(text: Column, path: str, special: bool = True) -> Column:
     return count(text)
 
 
+#: Encodings that go by a name.
+ENCODINGS = ("cl100k_base", "o200k_base")
+
+
+def counted_by(text: Column, encoding: str, files: Mapping[str, str]) -> Column:
+    """``exact_tokens`` with special tokens by the tokenizer file that ``files`` has for an encoding's name; another name is an error."""
+    if encoding not in ENCODINGS:
+        raise ValueError(f"unknown encoding {encoding}: one of {', '.join(ENCODINGS)}")
+    if encoding not in files:
+        raise ValueError(f"no tokenizer file for {encoding}")
+    return exact_tokens(text, files[encoding])
+
+
 def indexed(files: DataFrame, key: str, order: str, path: str) -> DataFrame:
     """Files (key, order, entry) with the number of their tokens, ``n``, and where each token begins, in characters: where the one before ends, or at the
     character that both have a part of."""

@@ -199,6 +199,13 @@ def analysed(chunks: DataFrame, key: str, facts: DataFrame, desk: Desk, focus: s
     return desk.completed(rows.select(key, "chunk_id", analysis_prompt(focus).alias("prompt")), "analysis", F.concat(key, F.lit(" "), F.col("chunk_id") + 1))
 
 
+def parsed(answers: DataFrame, provider: str, model: str, made: Column | None = None) -> DataFrame:
+    """Answers (text and others) as rules without any format yet: their columns, analysis, provider, model, made (now, if it isn't given) and formats, an
+    empty map from formats to contents. An answer is taken as it is; nothing in it can fail."""
+    empty = F.create_map().cast("map<string,string>")
+    return answers.withColumnRenamed("text", "analysis").select("*", F.lit(provider).alias("provider"), F.lit(model).alias("model"), (F.current_timestamp() if made is None else made).alias("made"), empty.alias("formats"))
+
+
 def merge_inputs(parts: DataFrame, key: str) -> DataFrame:
     """key, n, analyses: the texts of a corpus's chunks (key, chunk_id, text) in their order. An analysis is short, and one prompt has to hold them all."""
     joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("chunk_id", "text"))), lambda r: r["text"]), "\n\n---\n\n")

@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import tokens
+from ..functions.text import corpus_entry
 
 LEAST_SIZE = 1000
 #: Files whose sums are summed first.
@@ -184,3 +185,9 @@ def token_chunks(files: DataFrame, key: str, order: str, entry: str, config: Chu
     if tokenizer is None:
         return byte_chunks(files, key, order, entry, config)
     return tokenizer_chunks(files, key, order, entry, config, tokenizer, stage)
+
+
+def text_chunks(texts: DataFrame, key: str, content: str, size: int, tokenizer: str | None = None, stage: Callable[[DataFrame], DataFrame] = lambda df: df) -> DataFrame:
+    """``token_chunks`` of single texts (key, content), each a corpus of one file named "content", with the overlap that goes with ``size``."""
+    files = texts.select(key, F.lit(0).alias("ord"), corpus_entry(F.lit("content"), F.coalesce(content, F.lit(""))).alias("entry"))
+    return token_chunks(files, key, "ord", "entry", ChunkConfig(size), tokenizer, stage)

@@ -158,19 +158,34 @@ def pre_run_breakdown(spark, sf):
     return ledger.pre_run(chunks.chunked(_table(spark, sf, "documents"), "doc_id", "text", CHUNKS), "doc_id", 2, PRICE_IN, PRICE_OUT)
 
 
-#: Corpora by source, character by character with its bytes: a chunk begins with the first character from its window's start on and ends with the last that fits.
-_CHARS = f"""{_F}, ent as (select source, ord, '--- ' || path || ' ---' || chr(10) || compressed_content || chr(10) || chr(10) as e from f),
-txt as (select source, string_agg(e, '' order by ord) as t from ent group by 1), ch as (select source, j, substr(t, j::int, 1) as c from (select source, t, unnest(range(1, len(t) + 1)) as j from txt)),
-pos as (select source, j, sum(strlen(c)) over (partition by source order by j rows unbounded preceding) as e, strlen(c) as w from ch), cp as (select source, j, (e - w)::bigint as s, e::bigint as e from pos),
-win as (select source, t, n, i::bigint as i, case when i = 0 then 0 else i * 3600 - 400 end::bigint as lo from (select source, t, strlen(t) as n, unnest(range(case when strlen(t) <= 4000 then 1 else ceil(strlen(t) / 3600.0)::bigint end)) as i from txt)),
-beg as (select win.source, t, i, n, cp.j, cp.s from win asof join cp on win.source = cp.source and cp.s >= win.lo), fin as (select beg.source, i, beg.t, beg.j as a, beg.s, cp.j as b, cp.e from beg asof join cp on beg.source = cp.source and cp.e <= beg.s + 4000)"""
+def _by_characters(key: str, texts: str) -> str:
+    """SQL for chunks of the texts of ``key`` (a table or query with key and t), character by character with its bytes: a chunk begins with the first character from
+    its window's start on and ends with the last that fits."""
+    return f"""txt as ({texts}), ch as (select {key}, j, substr(t, j::int, 1) as c from (select {key}, t, unnest(range(1, len(t) + 1)) as j from txt)),
+pos as (select {key}, j, sum(strlen(c)) over (partition by {key} order by j rows unbounded preceding) as e, strlen(c) as w from ch), cp as (select {key}, j, (e - w)::bigint as s, e::bigint as e from pos),
+win as (select {key}, t, n, i::bigint as i, case when i = 0 then 0 else i * 3600 - 400 end::bigint as lo from (select {key}, t, strlen(t) as n, unnest(range(case when strlen(t) <= 4000 then 1 else ceil(strlen(t) / 3600.0)::bigint end)) as i from txt)),
+beg as (select win.{key}, t, i, n, cp.j, cp.s from win asof join cp on win.{key} = cp.{key} and cp.s >= win.lo), fin as (select beg.{key}, i, beg.t, beg.j as a, beg.s, cp.j as b, cp.e from beg asof join cp on beg.{key} = cp.{key} and cp.e <= beg.s + 4000)
+select {key}, i::int as chunk_id, s as start, e as "end", substr(t, a::int, (b - a + 1)::int) as content, ((e - s + 3) // 4)::bigint as token_count, case when i = 0 then 0 else (greatest(least(i * 3600, e) - s, 0) + 3) // 4 end::bigint as overlap_token_count from fin"""
 
 
-@query(f"""with {_CHARS} select source, i::int as chunk_id, s as start, e as "end", substr(t, a::int, (b - a + 1)::int) as content, ((e - s + 3) // 4)::bigint as token_count, case when i = 0 then 0 else (greatest(least(i * 3600, e) - s, 0) + 3) // 4 end::bigint as overlap_token_count from fin""")
+@query(f"""with {_F}, ent as (select source, ord, '--- ' || path || ' ---' || chr(10) || compressed_content || chr(10) || chr(10) as e from f), {_by_characters("source", "select source, string_agg(e, '' order by ord) as t from ent group by 1")}""")
 def chunk_tokens(spark, sf):
     return chunks.token_chunks(_files(spark, sf).withColumn("entry", text.corpus_entry(F.col("path"), F.col("compressed_content"))), "source", "ord", "entry", CHUNKS)
 
 
+@query(f"""with {_by_characters("doc_id", "select doc_id, '--- content ---' || chr(10) || coalesce(text, '') || chr(10) || chr(10) as t from documents")}""")
+def text_chunks(spark, sf):
+    """Each document cut by itself."""
+    return chunks.text_chunks(_table(spark, sf, "documents"), "doc_id", "text", CHUNKS.size)
+
+
+@query("select conv_id, turn, text as analysis, 'anthropic' as provider, 'm' as model, 0 as formats from conversations where role = 'assistant'")
+def parsed_analyses(spark, sf):
+    """Answers as rules that no format has been made of."""
+    answers = _table(spark, sf, "conversations").where("role = 'assistant'").select("conv_id", "turn", "text")
+    return analysis.parsed(answers, "anthropic", "m").drop("made").withColumn("formats", F.size("formats"))
+
+
 @query(f"with {_F} select source, sum((strlen(path) + 3) // 4 + (strlen(compressed_content) + 3) // 4)::bigint as corpus_tokens, sum((strlen(original_content) + 3) // 4)::bigint as original_tokens from f group by 1")
 def corpus_tokens(spark, sf):
     return corpus.token_totals(_files(spark, sf), "source")

@@ -26,6 +26,11 @@ def _remove(spark: SparkSession, paths: list[str]) -> None:
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def _exists(spark: SparkSession, name: str) -> bool:
+    path = spark._jvm.org.apache.hadoop.fs.Path(name)
+    return path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path)
+
+
 def latest(spark: SparkSession, target: str, n: int) -> DataFrame:
     """The table after batch ``n``, which must be the last or the one before."""
     return spark.read.parquet(*_paths(target, _current(spark, target, n)))
@@ -35,9 +40,12 @@ def refresh(versions: DataFrame, target: str, checkpoint: str, key: str = "path"
     """Each micro-batch N writes the parts that it touches to ``target``/data/v=N and then the list of valid parts to ``target``/current/n=N.
 
     A batch that is run again reads the list of the batch before and writes the same folders again. What a batch has replaced is
-    deleted by the batch after the next, when nothing can need it any more.
+    deleted by the batch after the next, when nothing can need it any more. A target that was written with another checkpoint is refused.
     """
     values = [c for c in versions.columns if c not in (key, order)]
+    spark = versions.sparkSession
+    if _exists(spark, f"{target}/current") and not _exists(spark, f"{checkpoint}/offsets"):
+        raise ValueError(f"{target} holds a table that {checkpoint} knows nothing of: batch numbers would begin again over its folders")
 
     def merge(batch: DataFrame, n: int) -> None:
         spark = batch.sparkSession
