@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions.paths import REALITY
 from ..functions.text import fence_unbalanced
-from ..workspace import staged
+from ..workspace import dealt, staged
 from . import endings
 
 #: A path in prose: after a start, blank, backtick or quote and before one of those or punctuation. Both ends are consumed.
@@ -226,7 +226,7 @@ def findings(rendered: DataFrame, files: DataFrame, overrides: Mapping[str, Mapp
     every, own = dict.fromkeys(CHECKS, True), dict(overrides or {})
     present = [k for k in KINDS if formats is None or k in formats]
     switches = {k: every | dict(own[k] if k in own else defaults or {}) for k in present}
-    told = stage(facts(rendered), "facts")
+    told = stage(facts(dealt(rendered)), "facts")
     checked = lambda name: told.where(F.col("rendered") & kind(F.col("format")).isin(*[k for k in present if switches[k][name]]))
     on = {name for name in CHECKS if any(s[name] for s in switches.values())}
     out = _listed(told)

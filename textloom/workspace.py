@@ -45,6 +45,15 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def dealt(rows: DataFrame) -> DataFrame:
+    """Rows dealt to all cores where their source has less than half as many splits as there are cores: a few small files. Larger inputs
+    are read as they are, without a shuffle."""
+    spark = rows.sparkSession
+    cores = spark.sparkContext.defaultParallelism
+    size = int(str(rows._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return rows.repartition(cores) if 2 * size < cores * spark._jsparkSession.sessionState().conf().filesMaxPartitionBytes() else rows
+
+
 class Workspace:
     """``shared`` is a folder that driver and executors see: stage tables and model answers go there. State stays on the driver."""
 
