@@ -133,7 +133,7 @@ def log_ratios(ordinary: Counter, secret: Counter) -> np.ndarray:
 def train(docs: DataFrame, sample_rows: int = SAMPLE_ROWS) -> np.ndarray:
     """Log-ratio table from a sample of ``sample_rows`` documents (those of the smallest id hashes) and drawn strings."""
     chosen = docs.select(F.col("doc_id").cast("long").alias("doc_id")).where("doc_id is not null").orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_rows)
-    texts = one_each(texts_of(docs).join(F.broadcast(chosen.distinct()), "doc_id")).select("doc_id", "text")
+    texts = one_each(texts_of(docs).join(F.broadcast(chosen.distinct()), "doc_id")).select("doc_id", "text").repartition(docs.sparkSession.sparkContext.defaultParallelism)
     rows = texts.mapInArrow(_count_batches, "label int, a int, b int, c int, n long").groupBy("label", "a", "b", "c").agg(F.sum("n").alias("n")).collect()
     counts = (Counter(), transitions(drawn_strings()))
     for r in rows:  # at most 2 * STATES ** 3
