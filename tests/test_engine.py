@@ -481,6 +481,20 @@ def test_waves(spark, tmp_path):
     assert out.count() == n == client.calls and len(os.listdir(tmp_path / "store" / "answers")) == 4 + 1
 
 
+@pytest.mark.parametrize("seconds", [60, 0])
+def test_waves_grow_while_answers_come_fast(spark, tmp_path, monkeypatch, seconds):
+    """Each wave is a job, so their number must not grow as the prompts'; where answers are slow, a task keeps to few prompts."""
+    monkeypatch.setattr(analysis, "TASK_SECONDS", seconds)
+    n = 600 if seconds else 40
+    parts = spark.createDataFrame([("k", i, f"part {i}.") for i in range(n)], "key string, chunk_id int, content string")
+    client = Counting(str(tmp_path / "log"))
+    desk = analysis.Desk(client, f"{tmp_path}/store", 1)
+    out = analysis.analysed(parts, "key", spark.createDataFrame([("k", 2, "python", 0.5)], FACTS), desk)
+    waves = len(os.listdir(tmp_path / "store" / "answers")) - 1
+    assert out.count() == n == client.calls == len(set(client.asked))
+    assert waves < 14 if seconds else waves == n // analysis.PER_TASK
+
+
 def test_fix_loop(spark, tmp_path):
     client = Counting(str(tmp_path / "log"))
     rules = spark.createDataFrame([("claude", "bad"), ("generic", "fine")], "format string, content string")

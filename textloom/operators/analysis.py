@@ -128,15 +128,20 @@ def with_retries(call: Callable[[], Answer], retries: int = MAX_RETRIES, first_m
     raise AssertionError
 
 
-#: Prompts that a task of a wave asks one after another; what a lost task asks again at most.
+#: Prompts that a task of a wave asks one after another; what a lost task asks again at most, unless answers come fast.
 PER_TASK = 8
+#: A wave may hold half as many prompts as all before it, if that is more, as long as its tasks ask for about so many seconds and bytes at most.
+TASK_SECONDS, TASK_BYTES = 60, 64 << 20
+#: Prompts lie at places drawn by their digests, so that a range of places is a wave.
+PLACES = 2**31
 STORED = "digest string, text string, input_tokens long, output_tokens long, error string"
 CALL = "operation string, item string, attempt int, digest string, input_tokens long, output_tokens long"
 
 
 class Desk:
     """Where a run's calls go. ``provider`` makes a client on the worker, one for each task; ``store`` is a folder that all executors
-    share. At most ``concurrency`` prompts are asked at a time, in waves of ``concurrency`` tasks."""
+    share. At most ``concurrency`` prompts are asked at a time, in waves of ``concurrency`` tasks. Waves grow while answers come fast,
+    so their number grows as the logarithm of the prompts', and each reads its own prompts only."""
 
     def __init__(self, provider: Callable[[], Provider], store: str, concurrency: int = 4) -> None:
         self.provider, self.store, self.concurrency = provider, store, concurrency
@@ -172,13 +177,22 @@ class Desk:
                         rows.append((d, None, 0, 0, f"{type(e).__name__}: {e}"))
                 yield pd.DataFrame(rows, columns=["digest", "text", "input_tokens", "output_tokens", "error"])
 
-        new = requests.select("digest", "prompt").dropDuplicates(["digest"]).join(self._stored(spark).select("digest"), "digest", "left_anti")
-        waves = -(-new.count() // (self.concurrency * PER_TASK))
-        for wave in range(waves):
-            path = f"{self.store}/answers/{mark}-{wave}"
-            new.where(F.pmod(F.xxhash64("digest"), F.lit(waves)) == wave).repartition(self.concurrency, F.xxhash64("digest", F.lit(1))).mapInPandas(ask, STORED).write.parquet(path)
+        fresh = requests.select("digest", "prompt").dropDuplicates(["digest"]).join(self._stored(spark).select("digest"), "digest", "left_anti")
+        fresh = fresh.withColumn("place", F.pmod(F.xxhash64("digest"), F.lit(PLACES))).sortWithinPartitions("place")
+        fresh.write.parquet(f"{self.store}/requests/{mark}-new")
+        fresh = spark.read.schema(fresh.schema).parquet(f"{self.store}/requests/{mark}-new")
+        n, held = fresh.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("prompt")), F.lit(0))).first()
+        least = self.concurrency * PER_TASK
+        size, done, wave = least, 0, 0
+        while done < n:
+            path, started = f"{self.store}/answers/{mark}-{wave}", time.monotonic()
+            here = (F.col("place") >= PLACES * done // n) & (F.col("place") < PLACES * min(n, done + size) // n)
+            fresh.where(here).select("digest", "prompt").repartition(self.concurrency, F.xxhash64("digest", F.lit(1))).mapInPandas(ask, STORED).write.parquet(path)
             if failed := spark.read.schema(STORED).parquet(path).where("error is not null").orderBy("digest").limit(1).collect():
                 raise ProviderError(failed[0]["error"].removeprefix("ProviderError: "))
+            done, wave = done + size, wave + 1
+            fast = int(size * TASK_SECONDS / (time.monotonic() - started))
+            size = max(least, min(done // 2, fast, TASK_BYTES * self.concurrency * n // max(1, held)))
         answers = self._stored(spark).drop("error").dropDuplicates(["digest"])
         out = requests.join(answers, "digest")
         out.write.parquet(f"{self.store}/calls/{mark}")
