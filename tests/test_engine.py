@@ -280,6 +280,23 @@ def test_packs_in_splits(spark, tmp_path):
     assert len(by_range) > 10 and sum(r["count"] for r in by_range) == 300
 
 
+def test_ranges_are_dealt_to_all_cores(spark, tmp_path):
+    """Rows that name ranges are small, and would all be put into one task by their size."""
+    (tmp_path / "c.json").write_text(json.dumps([{"path": f"{i}", "content": "x" * 50} for i in range(400)]))
+    packs = spark.read.format("binaryFile").load(str(tmp_path)).select("path", "length")
+    tasks = splits.files(packs, 500).select(F.spark_partition_id().alias("t")).distinct().count()
+    assert tasks >= spark.sparkContext.defaultParallelism
+
+
+def test_a_range_reads_little_beyond_its_end(tmp_path):
+    path = tmp_path / "pack"
+    path.write_bytes(b"<file path='a'>" + b"x" * 3_000_000)
+    with splits._opened(f"file:{path}") as file:
+        span = splits.Span(file, 0, 1000, path.stat().st_size)
+        assert span.more() and len(span.data) < 100_000
+        assert span.found(lambda d: len(d) > 1_000_000) and len(span.data) < 2_200_000
+
+
 def test_ends_that_meet(spark):
     """In one sorted pass over many ranges, against all pairs."""
     draw = random.Random(5)

@@ -16,7 +16,7 @@ from ..functions import cost, paths, text
 from ..operators import analysis, chunks, corpus, finalise, ledger, switches, validate, writing
 from ..sources import ignored, models, packed, splits
 from ..streaming import retention
-from ..workspace import shared_folder
+from ..workspace import shared_folder, staged
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -469,11 +469,11 @@ def pack_splits(spark, sf):
     docs = _table(spark, sf, "documents").select("doc_id", F.expr("doc_id div 2000").alias("pack"), F.concat("source", F.lit("/"), F.col("doc_id").cast("string"), F.lit(".txt")).alias("path"), t.alias("t"))
     kinds = F.explode(F.array(*map(F.lit, ("array", "map", "markdown", "xml")))).alias("kind")
     carried = (F.col("kind").isin("array", "map")) | (F.col("kind") == "markdown") & ~F.col("t").contains("`") | (F.col("kind") == "xml") & ~F.col("t").rlike(r"[\x00-\x08\x0b-\x1f\x{fffe}\x{ffff}]")
-    docs = docs.select("*", kinds).where(carried)
+    docs = docs.repartition("pack").select("*", kinds).where(carried)  # before texts are there four times
     escaped = F.replace(F.replace(F.replace("t", F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&#62;"))
     body = F.when((F.col("doc_id") % 2 == 0) | F.col("t").contains("]]>"), escaped).otherwise(F.concat(F.lit("<![CDATA["), "t", F.lit("]]>")))
-    whole = Window.partitionBy("kind", "pack")
-    first, last = F.col("doc_id") == F.min("doc_id").over(whole), F.col("doc_id") == F.max("doc_id").over(whole)
+    whole = Window.partitionBy("kind", "pack").orderBy("doc_id")
+    first, last = F.lag("doc_id").over(whole).isNull(), F.lead("doc_id").over(whole).isNull()
     comma = F.when(first, "").otherwise(",")
     value = (
         F.when(F.col("kind") == "array", F.concat(comma, F.to_json(F.struct("path", F.col("t").alias("content")))))
@@ -485,8 +485,8 @@ def pack_splits(spark, sf):
     closing = F.when(F.col("kind") == "array", "]").when(F.col("kind") == "map", "}}").when(F.col("kind") == "markdown", "").otherwise("</files>")
     lines = docs.select("kind", "pack", "doc_id", F.concat(F.when(first, F.concat(opening, F.lit("\n"))).otherwise(""), value, F.when(last, F.concat(F.lit("\n"), closing)).otherwise("")).alias("value"))
     home = f"{shared_folder(spark)}/packs-{uuid.uuid4().hex}"
-    lines.repartition("kind", "pack").sortWithinPartitions("kind", "pack", "doc_id").drop("doc_id").write.partitionBy("kind", "pack").text(home)
-    found = splits.read(spark, f"{home}/*/*", 1 << 16)
+    lines.sortWithinPartitions("kind", "pack", "doc_id").drop("doc_id").write.partitionBy("kind", "pack").text(home)
+    found = splits.read(spark, f"{home}/*/*", 1 << 16, lambda df: staged(df, "parsed"))
     at = lambda name: F.regexp_extract("pack", f"/{name}=([^/]+)/", 1)
     return found.select(at("kind").alias("kind"), at("pack").cast("long").alias("pack"), "ord", "path", "content")
 

@@ -26,7 +26,9 @@ from pyspark.sql import functions as F
 
 from ..functions.paths import packed_format
 
-RANGE, MORE = 32 << 20, 1 << 20
+RANGE = 32 << 20
+#: Bytes that are read on behind a range at first; twice as many each time.
+MORE = 1 << 16
 STATES = 3
 _HEADING = re.compile(rb"## File: ([^\n]+)\n+```[^\n]*\n")
 _OPEN_HEADING = re.compile(rb"## File: [^\n]+\n+\Z")
@@ -47,7 +49,7 @@ class Span:
     def __init__(self, file: pa.NativeFile, start: int, end: int, size: int) -> None:
         self.file, self.start, self.size = file, start, size
         self.limit = min(end, size) - start
-        self.data = b""
+        self.data, self.step = b"", MORE
         self._read(self.limit)
 
     def _read(self, n: int) -> None:
@@ -57,7 +59,8 @@ class Span:
     def more(self) -> bool:
         if self.start + len(self.data) >= self.size:
             return False
-        self._read(max(MORE, len(self.data)))
+        self._read(self.step)
+        self.step *= 2
         return True
 
     def found(self, look: Callable[[bytes], object]) -> object:
@@ -321,10 +324,12 @@ def _json_files(span: Span, state: int, depth: int, escaped: bool, array: bool)
                     yield span.start + lo, None, None
 
 
-_FILES = "pack string, i long, at long, path string, content string"
+_FILES = "pack string, i long, at long, k int, path string, content string"
 
 
 def _parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    made = lambda rows: pd.DataFrame(rows, columns=[c.split()[0] for c in _FILES.split(", ")])
+    rows, held = [], 0  # of many ranges, since each table handed to Spark has its own cost
     for b in batches:
         for r in b.itertuples():
             with _opened(r.pack) as file:
@@ -337,15 +342,14 @@ def _parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                     found = _json_files(span, r.state, r.depth, bool(r.state) and _escaped(file, span.start), array)
                 else:
                     found = (_markdown_files if r.kind == "markdown" else _xml_files)(span, r.state)
-                rows, held = [], 0
-                for at, path, content in found:
-                    rows.append((r.pack, r.i, at, path, content))
-                    held += len(content or "")
+                for k, (at, path, content) in enumerate(found):
+                    rows.append((r.pack, r.i, at, k, path, content))
+                    held += len(content or "") + 100
                     if held > 8 << 20:
-                        yield pd.DataFrame(rows, columns=["pack", "i", "at", "path", "content"])
+                        yield made(rows)
                         rows, held = [], 0
-                if rows:
-                    yield pd.DataFrame(rows, columns=["pack", "i", "at", "path", "content"])
+    if rows:
+        yield made(rows)
 
 
 def ranges(packs: DataFrame, size: int = RANGE) -> DataFrame:
@@ -357,19 +361,23 @@ def ranges(packs: DataFrame, size: int = RANGE) -> DataFrame:
 
 
 def files(packs: DataFrame, size: int = RANGE) -> DataFrame:
-    """(pack, i, at, path, content) of packs (path, length): the files of all ranges; ``at`` is the byte where a file begins. One that can't be read has no path."""
-    spread = lambda df: df.repartition(F.col("pack"), F.col("i"))
+    """(pack, i, at, k, path, content) of packs (path, length): the files of all ranges; ``at`` is the byte where a file begins, ``k`` its number in the range. One that
+    can't be read has no path."""
+    spark = packs.sparkSession
+    # By number: a range is a few bytes here however long it is there, so Spark would put thousands of them into one task.
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 2 * spark.sparkContext.defaultParallelism)
+    spread = lambda df: df.repartition(tasks, F.col("pack"), F.col("i"))
     scanned = spread(ranges(packs, size)).mapInPandas(_scan, _SCANNED)
     placed = scanned.groupBy("pack").applyInPandas(_folded, _PLACED)
     return spread(placed).mapInPandas(_parse, _FILES)
 
 
-def numbered(found: DataFrame) -> DataFrame:
-    """``ord`` of every file in its pack, from 0: files are counted by range, and only these counts are put in order over a pack."""
-    counts = found.groupBy("pack", "i").agg(F.count("*").alias("n"))
-    before = F.sum("n").over(Window.partitionBy("pack").orderBy("i")) - F.col("n")
-    inside = F.row_number().over(Window.partitionBy("pack", "i").orderBy("at")) - 1
-    return found.withColumn("k", inside).join(counts.select("pack", "i", before.alias("before")), ["pack", "i"]).withColumn("ord", (F.col("before") + F.col("k")).cast("int"))
+def places(found: DataFrame) -> DataFrame:
+    """(pack, i, before) of the ranges that hold files of a pack without an invalid one: how many of its files come before the range. Only counts of
+    ranges are put in order over a pack."""
+    counts = found.groupBy("pack", "i").agg(F.count("*").alias("n"), F.max(F.col("path").isNull()).alias("bad"))
+    pack = Window.partitionBy("pack")
+    return counts.select("pack", "i", (F.sum("n").over(pack.orderBy("i")) - F.col("n")).alias("before"), F.max("bad").over(pack).alias("bad")).where("not bad").drop("bad")
 
 
 def read(spark: SparkSession, path: str, size: int = RANGE, stage: Callable[[DataFrame], DataFrame] = lambda df: df) -> DataFrame:
@@ -379,9 +387,10 @@ def read(spark: SparkSession, path: str, size: int = RANGE, stage: Callable[[Dat
     """
     packs = spark.read.format("binaryFile").load(path).select("path", "length")
     found = stage(files(packs, size))
-    good = found.groupBy("pack").agg(F.max(F.col("path").isNull()).alias("bad")).where("not bad").select("pack")
+    placed = places(found)
+    good = placed.select("pack").distinct()
     raw = [r["path"] for r in packs.join(good, packs["path"] == good["pack"], "left_anti").select("path").collect()]  # a name for each pack that can't be read
-    out = numbered(found.join(good, "pack", "left_semi")).select("pack", "ord", "path", "content")
+    out = found.join(placed.hint("shuffle_hash"), ["pack", "i"]).select("pack", (F.col("before") + F.col("k")).cast("int").alias("ord"), "path", "content")
     if raw:
         whole = spark.read.text(raw, wholetext=True).select(F.col("_metadata.file_path").alias("pack"), F.lit(0).alias("ord"), F.col("_metadata.file_path").alias("path"), F.col("value").alias("content"))
         out = out.unionByName(whole)
