@@ -82,6 +82,24 @@ def test_a_passage_that_a_third_of_the_documents_share(spark, bucket):
     assert got == plain(texts)
 
 
+def test_blocks_exchange_few_windows_where_a_passage_meets_other_text(spark, monkeypatch):
+    """Nearly all windows of these buckets are a document's own; each was a row of the exchange."""
+    import random
+
+    draw = random.Random(7)
+    prose = lambda n: " ".join(str(draw.randrange(10**6)) for _ in range(n))
+    passage = prose(60)
+    texts = {i: f"{prose(60)} {passage} {prose(60)}" for i in range(200)}
+    made = {}
+    write = substring.materialise
+    monkeypatch.setattr(substring, "materialise", lambda df, name: made.setdefault(name, write(df, name)))
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(8)
+    got = {r["doc_id"]: (r["n_words"], r["n_removed"], r["kept_sha256"]) for r in substring.dedup_substrings(df, bucket=300).collect()}
+    assert got == plain(texts)
+    windows = sum(bytes(r["packed"]).count(b" ") - 48 for r in made["packed"].where("blocks > 1").select("packed").collect())
+    assert windows > 4000 and 0 < made["seen"].count() < windows / 2
+
+
 def test_rows_of_equal_text_and_id(spark):
     words = " ".join(f"w{i}" for i in range(60))
     rows = [(2, words)] * 5 + [(1, words)] * 3 + [(None, words)] * 2

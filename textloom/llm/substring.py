@@ -9,8 +9,9 @@ a super-k-mer. Equal windows have equal minimisers, so all copies of a window me
    string travels once, packed, from that document to its bucket.
 3. A bucket is dealt to blocks of about ``BUCKET`` windows by the string's digest, one block for all but the largest. A block sorts
    the windows of its strings by their words, and equal neighbours give each window's smallest document.
-4. Blocks of one bucket exchange their distinct windows, as 128-bit digests with the smallest document; a block gets back those
-   that a smaller document has elsewhere. So a passage that very many documents share costs a row a block, not a row a copy.
+4. Blocks of one bucket exchange distinct windows, as 128-bit digests with the smallest document; a block gets back those
+   that a smaller document has elsewhere. So a passage that very many documents share costs a row a block, not a row a copy. Where
+   it meets text of their own, most windows are left out first: the minimisers of a window's halves must be in another block too.
 5. Runs of windows return to the super-k-mers that have the string, and from there to their documents, whose words are then cut.
 """
 
@@ -154,9 +155,9 @@ def _windows(packed: bytes, window: int) -> list[bytes]:
     return [packed[spaces[j] + 1 : spaces[j + window]] for j in range(len(spaces) - window)]
 
 
-def _least(strings: list[tuple[int, bytes]], window: int) -> Iterator[tuple[bytes, int, list[tuple[int, int]]]]:
-    """Each distinct window of (least document, packed) strings with its least document and (string, position) places, by sorting."""
-    entries = sorted((text, least, k, j) for k, (least, packed) in enumerate(strings) for j, text in enumerate(_windows(packed, window)))
+def _least(strings: list[tuple[int, list[bytes]]]) -> Iterator[tuple[bytes, int, list[tuple[int, int]]]]:
+    """Each distinct window of strings (least document, windows) with its least document and (string, position) places, by sorting."""
+    entries = sorted((text, least, k, j) for k, (least, windows) in enumerate(strings) for j, text in enumerate(windows))
     lo = 0
     for hi in range(1, len(entries) + 1):
         if hi == len(entries) or entries[hi][0] != entries[lo][0]:
@@ -169,13 +170,32 @@ def _window_digest(text: bytes) -> tuple[int, int]:
     return int.from_bytes(d[:8], "big", signed=True), int.from_bytes(d[8:], "big", signed=True)
 
 
+_HALVES = pa.schema([("mini", pa.int64()), ("halves", pa.int64()), ("block", pa.int32()), ("s1", pa.int64()), ("s2", pa.int64()), ("at", pa.int32()), ("windows", pa.int32())])
+
+
+def _half_batches(window: int, gram: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Strings (mini, block, s1, s2, packed) in; runs of their windows out whose first halves share a minimiser, and whose last halves do."""
+    half = max(1, window // 2)
+    for b in slices(batches, 4):
+        rows = []
+        for mini, block, s1, s2, packed in zip(*(b.column(i).to_pylist() for i in range(5)), strict=True):
+            m = minimisers(packed.split(b" "), half, gram)
+            n = len(m) - (window - half)
+            both = (m[:n] * np.uint64(_MIX) + m[window - half :]).view(np.int64)
+            starts = np.flatnonzero(np.r_[True, both[1:] != both[:-1]])
+            rows += [(mini, h, block, s1, s2, at, k) for h, at, k in zip(both[starts].tolist(), starts.tolist(), np.diff(np.r_[starts, n]).tolist(), strict=True)]
+        if rows:
+            yield table(_HALVES, list(map(list, zip(*rows, strict=True))))
+
+
 _SEEN = pa.schema([("mini", pa.int64()), ("block", pa.int32()), ("w1", pa.int64()), ("w2", pa.int64()), ("least", pa.int64())])
 
 
 def _seen_batches(window: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Strings sorted by block in; each block's distinct windows with their least document out."""
+    """Strings with runs of their windows, sorted by block, in; the distinct windows of each block's runs with their least document out."""
     for rows in _blocks(batches):
-        out = [(*rows[0][:2], *_window_digest(text), least) for text, least, _ in _least([(r[4], r[6]) for r in rows], window)]
+        strings = [(r[4], [w for run in r[7] for w in _windows(r[6], window)[run["at"] : run["at"] + run["windows"]]]) for r in rows]
+        out = [(*rows[0][:2], *_window_digest(text), least) for text, least, _ in _least(strings)]
         yield table(_SEEN, list(map(list, zip(*out, strict=True))))
 
 
@@ -188,7 +208,7 @@ def _answers(rows: list[tuple], window: int) -> Iterator[tuple[int, int, int, in
     strings = list({(r[2], r[3]): r for r in rows if r[6] is not None}.values())
     least = [[r[4]] * (r[6].count(b" ") + 2 - window) for r in strings]
     if len(strings) > 1 or elsewhere:
-        for text, first, places in _least([(r[4], r[6]) for r in strings], window):
+        for text, first, places in _least([(r[4], _windows(r[6], window)) for r in strings]):
             if elsewhere:
                 first = min(first, elsewhere.get(_window_digest(text), first))
             for k, j in places:
@@ -231,10 +251,14 @@ def repeated_windows(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, bu
     wanted = strings.select("first.*", F.struct("mini", block, "blocks", "s1", "s2", "most", "first.start", "windows").alias("string")).groupBy("doc_id", "version").agg(F.collect_list("string").alias("wanted"))
     packed = materialise(texts.join(wanted, ["doc_id", "version"]).select("doc_id", "text", "wanted").mapInArrow(partial(_packed_batches, window), _PACKED_DDL), "packed")
 
-    def dealt(rows: DataFrame) -> DataFrame:
-        return rows.select("mini", "block", "s1", "s2", "least", "most", "packed").repartition("mini", "block").sortWithinPartitions("mini", "block")
+    def dealt(rows: DataFrame, *more: str) -> DataFrame:
+        return rows.select("mini", "block", "s1", "s2", "least", "most", "packed", *more).repartition("mini", "block").sortWithinPartitions("mini", "block")
 
-    seen = materialise(dealt(packed.where("blocks > 1")).mapInArrow(partial(_seen_batches, window), "mini long, block int, w1 long, w2 long, least long"), "seen")
+    large = packed.where("blocks > 1")
+    halves = materialise(large.select("mini", "block", "s1", "s2", "packed").mapInArrow(partial(_half_batches, window, gram), "mini long, halves long, block int, s1 long, s2 long, at int, windows int"), "halves")
+    across = halves.groupBy("mini", "halves").agg(F.min("block").alias("lo"), F.max("block").alias("hi")).where("lo < hi").select("mini", "halves")
+    runs = halves.join(across, ["mini", "halves"]).groupBy("mini", "s1", "s2").agg(F.collect_list(F.struct("at", "windows")).alias("runs"))
+    seen = materialise(dealt(large.join(runs, ["mini", "s1", "s2"]), "runs").mapInArrow(partial(_seen_batches, window), "mini long, block int, w1 long, w2 long, least long"), "seen")
     first = seen.groupBy("w1", "w2").agg(F.min("least").alias("first"), F.count("*").alias("n")).where("n > 1")
     elsewhere = seen.join(first, ["w1", "w2"]).where("first < least").select("mini", "block", F.col("w1").alias("s1"), F.col("w2").alias("s2"), F.col("first").alias("least"), F.lit(None).cast("long").alias("most"), F.lit(None).cast("binary").alias("packed"))
     answers = dealt(packed.drop("blocks").unionByName(elsewhere)).mapInArrow(partial(_answer_batches, window), "mini long, s1 long, s2 long, at int, windows int, least long")
