@@ -7,6 +7,7 @@ projects are validated at once; what compares formats with each other compares t
 from __future__ import annotations
 
 from collections.abc import Callable, Collection, Mapping
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -45,7 +46,12 @@ def project(format_: Column) -> Column:
 
 
 def empty(content: Column) -> Column:
-    return F.trim(F.regexp_replace(content, r"\s+", " ")) == ""
+    return ~content.rlike(r"\S")
+
+
+def _held(content: Column, *words: str) -> Column:
+    """Whether a content holds one of some lower-case words, in any case: a search of bytes, which spares most texts the patterns that need one."""
+    return reduce(Column.__or__, [F.lower(content).contains(w) for w in words])
 
 
 def json_problem(content: Column) -> Column:
@@ -62,7 +68,7 @@ def problems(format_: Column, content: Column) -> Column:
     blank, body = empty(c), F.when(c.startswith("---"), F.substr(c, F.lit(4)))
     close = F.locate("---", body)
     front = F.substring(body, F.lit(1), close - 1)
-    problem = json_problem(c)
+    problem = F.when(f == "json", json_problem(c))
     text = c.isNotNull() & (f != "json") & f.isin(*KINDS)
     rules = [
         (~f.isin(*KINDS), "error", "schema", F.lit("no rules for this format")),
@@ -91,7 +97,8 @@ def syntax(rendered: DataFrame) -> DataFrame:
 def named_paths(content: Column) -> Column:
     """Paths that a text names, sorted, each once, without URLs, versions, host names and bare names."""
     bad = lambda r: r.startswith("http") | r.startswith("ftp") | r.contains("://") | r.rlike(r"^v[012]\.") | r.rlike(r"\.(com|org|io|dev)\z") | ~r.contains("/")
-    return F.array_sort(F.array_distinct(F.filter(F.regexp_extract_all(content, F.lit(PATH), 1), lambda r: ~bad(r))))
+    found = F.array_sort(F.array_distinct(F.filter(F.regexp_extract_all(content, F.lit(PATH), 1), lambda r: ~bad(r))))
+    return F.when(content.contains("/"), found).when(content.isNotNull(), F.array().cast("array<string>"))
 
 
 def path_references(rendered: DataFrame) -> DataFrame:
@@ -105,13 +112,14 @@ def dangling(refs: DataFrame, files: DataFrame) -> DataFrame:
 
 
 def contradiction(content: Column) -> Column:
-    return content.rlike(TABS) & content.rlike(SPACES)
+    return _held(content, "tabs") & content.rlike(TABS) & content.rlike(SPACES)
 
 
 def mentions(content: Column) -> Column:
     """How often a content names each language, as an array of (language, mentions)."""
     words = {k: (r"\bc#" if k == "c#" else rf"\b{k}\b") for k in REALITY}
-    return F.array(*[F.struct(F.lit(k).alias("language"), F.regexp_count(F.lower(content), F.lit(w)).cast("long").alias("mentions")) for k, w in words.items()])
+    count = lambda k, w: F.when(_held(content, k), F.regexp_count(F.lower(content), F.lit(w)).cast("long")).when(content.isNotNull(), F.lit(0).cast("long"))
+    return F.array(*[F.struct(F.lit(k).alias("language"), count(k, w).alias("mentions")) for k, w in words.items()])
 
 
 def _without_files(named: DataFrame, files: DataFrame) -> DataFrame:
@@ -130,16 +138,16 @@ def language_mentions(rendered: DataFrame, files: DataFrame, least: int = LEAST_
 def stated(content: Column) -> list[Column]:
     """The conventions that a content states, null or empty where it states none. The first match of a number counts."""
     c = content
-    number = lambda p: F.regexp_extract(c, p, 1).try_cast("long")
-    either = lambda a, x, b, y: F.when(c.rlike(a), x).when(c.rlike(b), y)
-    width, length = number(INDENT_WIDTH), number(LINE_LENGTH)
+    said = lambda p, *words: _held(c, *words) & c.rlike(p)
+    number = lambda p, *words: F.when(_held(c, *words), F.regexp_extract(c, p, 1).try_cast("long"))
+    width, length = number(INDENT_WIDTH, "space", "indent"), number(LINE_LENGTH, "length", "width", "char")
     return [
-        either(TABS, "tabs", SPACES, "spaces").alias("indentation_style"),
+        F.when(said(TABS, "tabs"), "tabs").when(said(SPACES, "spaces"), "spaces").alias("indentation_style"),
         F.when(width <= MOST_NUMBER, width).alias("indent_width"),
-        F.concat_ws(",", F.when(c.rlike(CAMEL), "camelCase"), F.when(c.rlike(SNAKE), "snake_case")).alias("naming"),
+        F.concat_ws(",", F.when(said(CAMEL, "camel"), "camelCase"), F.when(said(SNAKE, "snake"), "snake_case")).alias("naming"),
         F.when(length.between(LEAST_LENGTH, MOST_LENGTH), length).alias("line_length"),
-        either(SEMICOLONS, "use", NO_SEMICOLONS, "no").alias("semicolons"),
-        either(SINGLE, "single", DOUBLE, "double").alias("quote_style"),
+        F.when(said(SEMICOLONS, "semicolon"), "use").when(said(NO_SEMICOLONS, "semicolon"), "no").alias("semicolons"),
+        F.when(said(SINGLE, "single"), "single").when(said(DOUBLE, "double"), "double").alias("quote_style"),
     ]
 
 
