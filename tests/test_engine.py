@@ -6,6 +6,7 @@ import re
 import subprocess
 import time
 from datetime import datetime
+from pathlib import Path
 from xml.sax.saxutils import escape
 
 import pandas as pd
@@ -19,6 +20,7 @@ from textloom import config as settings
 from textloom import progress, state, workspace
 from textloom.functions import paths, text
 from textloom.operators import analysis, chunks, corpus, endings, finalise, ledger, reports, structure, switches, validate, writer
+from textloom.plans import catalog
 from textloom.plans import run as plan
 from textloom.sources import git, ignored, packed, splits, tree
 from textloom.streaming import retention
@@ -288,6 +290,46 @@ def test_ranges_are_dealt_to_all_cores(spark, tmp_path):
     assert tasks >= spark.sparkContext.defaultParallelism
 
 
+def test_no_text_of_a_pack_is_staged(spark, tmp_path):
+    """Only ranges and their counts are; a pack with an invalid file, and one whose only file begins in a late range, are told by them too."""
+    (tmp_path / "in").mkdir()
+    for name, body in {"a.xml": "<files>" + "<file path='p'>x</file>" * 40 + "<file>no path</file></files>", "b.md": "-\n" * 300 + "## File: p\n\n```\nx\n```\n"}.items():
+        (tmp_path / "in" / name).write_text(body)
+    seen = []
+    found = splits.read(spark, str(tmp_path / "in"), 100, lambda df: seen.append(df) or df).collect()
+    assert sorted((r["pack"][-5:], r["ord"], r["content"][:2]) for r in found) == [("/b.md", 0, "x\n"), ("a.xml", 0, "<f")]
+    assert [df.columns[-2:] for df in seen] == [["n", "bad"]] and not {"path", "content"} & set(seen[0].columns)
+
+
+def test_packs_go_in_waves(spark, tmp_path, monkeypatch):
+    """Packs of one wave are there at a time, they and all shuffles are deleted, and a text from four packs takes the room of one."""
+    draw = random.Random(4)
+    rows = [(2000 * p + i, "".join(draw.choices("abcdefgh ", k=20_000)), "s") for p in (0, 1, 5, 6, 90, 91) for i in range(5)]
+    spark.createDataFrame(rows, "doc_id long, text string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    shared, there, held = Path(catalog.shared_folder(spark)), [], catalog.removed
+    tables = set(shared.iterdir())
+    monkeypatch.setattr(catalog, "LEAST_PACKS", 2)
+    monkeypatch.setattr(catalog, "removed", lambda s, home: (there.append(len(list(Path(home).glob("*/*")))), held(s, home)))
+    found = catalog.QUERIES["pack_splits"](spark, str(tmp_path))
+    assert there == [8, 8, 8]
+    made = set(shared.iterdir()) - tables
+    assert not [p for p in made if p.name.startswith("packs-")]
+    assert sum(f.stat().st_size for p in made for f in p.rglob("*.parquet")) < sum(len(t) for _, t, _ in rows)
+    assert spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled") == "false"
+    kinds = ("array", "map", "markdown", "xml")
+    assert sorted(map(tuple, found.collect())) == sorted((k, d // 2000, d % 2000, f"s/{d}.txt", t) for d, t, _ in rows for k in kinds)
+
+
+@pytest.mark.parametrize("ids", [[], [None, None], [-4001, -1, 0, 1999, 2000, None], list(range(0, 90_000, 700)), [0] * 500, [*range(50), 10**9, 10**9 + 2000, 10**9 + 4000, 10**12], list(range(-60_000, 40_000, 900))])
+def test_every_document_is_in_one_wave(spark, monkeypatch, ids):
+    monkeypatch.setattr(catalog, "LEAST_PACKS", 1)
+    docs = spark.createDataFrame([(i,) for i in ids], "doc_id long").repartition(3).withColumn("pack", F.expr("doc_id div 2000"))
+    waves = [{tuple(r) for r in docs.where(w).collect()} for w in catalog._waves(docs, 2000)]
+    assert sum(map(len, waves)) == len(set(ids)) and {d for w in waves for d, _ in w} == set(ids)
+    packs = [{p for _, p in w} for w in waves]
+    assert sum(map(len, packs)) == len(set().union(*packs)) and (all(packs) or not ids)
+
+
 def test_a_range_reads_little_beyond_its_end(tmp_path):
     path = tmp_path / "pack"
     path.write_bytes(b"<file path='a'>" + b"x" * 3_000_000)

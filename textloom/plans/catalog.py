@@ -6,17 +6,19 @@ artifacts. Where a rule needs text that the tables lack (fences, style words, pa
 
 from __future__ import annotations
 
+import functools
+import itertools
 import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import cost, paths, text
 from ..operators import analysis, chunks, corpus, finalise, ledger, switches, validate, writing
 from ..sources import ignored, models, packed, splits
 from ..streaming import retention
-from ..workspace import shared_folder, staged
+from ..workspace import removed, shared_folder, shuffles_dropped, staged
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -462,11 +464,44 @@ _SPLIT = r"""select kind, pack, (row_number() over (partition by kind, pack orde
   where kind in ('array', 'map') or kind = 'markdown' and not contains(content, '`') or kind = 'xml' and not regexp_matches(content, '[\x00-\x08\x0b-\x1f\x{fffe}\x{ffff}]')"""
 
 
+#: Packs of all kinds hold texts four times, as they are, and so take several times the disk of a compressed table. They are written and read in so many parts at most, each of so
+#: many packs at least; those of a part are deleted when it has been read.
+WAVES, LEAST_PACKS = 8, 8
+
+
+def _waves(docs: DataFrame, size: int) -> list[Column]:
+    """Which documents are in each part: whole packs of ``size`` ids, in order of ids, so that a table in that order is read once in all."""
+    d, pack = F.col("doc_id"), F.expr(f"doc_id div {size}")
+    n, last = docs.agg(F.countDistinct(pack), F.max(pack)).first()
+    waves = min(WAVES, n // LEAST_PACKS)
+    found = docs.agg(F.percentile_approx(pack, [i / waves for i in range(1, waves)])).first()[0] if waves > 1 else []
+    bounds = sorted({(b + 1) * size for b in found if 0 <= b < last})  # below zero "div" isn't a floor; no part is empty
+    if not bounds:
+        return [F.lit(True)]
+    return [d.isNull() | (d < bounds[0]), *[(d >= a) & (d < b) for a, b in itertools.pairwise(bounds)], d >= bounds[-1]]
+
+
 @query(_SPLIT)
 def pack_splits(spark, sf):
     """Packs of two thousand documents, written as files and read again in ranges much shorter than a pack."""
+    docs, done = _table(spark, sf, "documents"), []
+    with shuffles_dropped(spark):
+        for held in _waves(docs, 2000):
+            home = f"{shared_folder(spark)}/packs-{uuid.uuid4().hex}"
+            _packs(docs.where(held), 2000).write.partitionBy("kind", "pack").text(home)
+            found = splits.read(spark, f"{home}/*/*", 1 << 16, lambda df: staged(df, "ranges"))
+            at = lambda name: F.regexp_extract("pack", f"/{name}=([^/]+)/", 1)
+            rows = found.select(at("kind").alias("kind"), at("pack").cast("long").alias("pack"), "ord", "path", "content")
+            # The same text from packs of all kinds stands side by side, and takes little more room than once.
+            done.append(staged(rows.repartition("path").sortWithinPartitions("path"), "parsed", compression="zstd"))
+            removed(spark, home)
+    return functools.reduce(DataFrame.unionByName, done)
+
+
+def _packs(docs: DataFrame, size: int) -> DataFrame:
+    """(kind, pack, value): the lines of packs, in order."""
     t = F.coalesce("text", F.lit(""))
-    docs = _table(spark, sf, "documents").select("doc_id", F.expr("doc_id div 2000").alias("pack"), F.concat("source", F.lit("/"), F.col("doc_id").cast("string"), F.lit(".txt")).alias("path"), t.alias("t"))
+    docs = docs.select("doc_id", F.expr(f"doc_id div {size}").alias("pack"), F.concat("source", F.lit("/"), F.col("doc_id").cast("string"), F.lit(".txt")).alias("path"), t.alias("t"))
     kinds = F.explode(F.array(*map(F.lit, ("array", "map", "markdown", "xml")))).alias("kind")
     carried = (F.col("kind").isin("array", "map")) | (F.col("kind") == "markdown") & ~F.col("t").contains("`") | (F.col("kind") == "xml") & ~F.col("t").rlike(r"[\x00-\x08\x0b-\x1f\x{fffe}\x{ffff}]")
     docs = docs.repartition("pack").select("*", kinds).where(carried)  # before texts are there four times
@@ -484,11 +519,7 @@ def pack_splits(spark, sf):
     opening = F.when(F.col("kind") == "array", "[").when(F.col("kind") == "map", '{"files": {').when(F.col("kind") == "markdown", "# Pack").otherwise("<files>")
     closing = F.when(F.col("kind") == "array", "]").when(F.col("kind") == "map", "}}").when(F.col("kind") == "markdown", "").otherwise("</files>")
     lines = docs.select("kind", "pack", "doc_id", F.concat(F.when(first, F.concat(opening, F.lit("\n"))).otherwise(""), value, F.when(last, F.concat(F.lit("\n"), closing)).otherwise("")).alias("value"))
-    home = f"{shared_folder(spark)}/packs-{uuid.uuid4().hex}"
-    lines.sortWithinPartitions("kind", "pack", "doc_id").drop("doc_id").write.partitionBy("kind", "pack").text(home)
-    found = splits.read(spark, f"{home}/*/*", 1 << 16, lambda df: staged(df, "parsed"))
-    at = lambda name: F.regexp_extract("pack", f"/{name}=([^/]+)/", 1)
-    return found.select(at("kind").alias("kind"), at("pack").cast("long").alias("pack"), "ord", "path", "content")
+    return lines.sortWithinPartitions("kind", "pack", "doc_id").drop("doc_id")
 
 
 _SAID = "m as (select doc_id, coalesce(text, '') || (['Rate limit reached', 'network unreachable', 'HTTP 503', 'HTTP 404 not found', 'Server Error in model', 'invalid key'])[(doc_id % 6 + 1)::int] as t from documents)"

@@ -1,8 +1,9 @@
 """Packed corpora read in byte ranges: one pack is many tasks' work, and no cell is larger than a file of it.
 
-What a byte means depends on what came before: it may be inside a fence, a CDATA section or a string. So ranges are read twice. First each
-says, for every state in which it may begin, in which one it ends; folding these in order gives the state at the start of each range. Then each range gives the files that
-begin in it, reading on behind its end for the last one.
+What a byte means depends on what came before: it may be inside a fence, a CDATA section or a string. So ranges are read three times. First each
+says, for every state in which it may begin, in which one it ends; folding these in order gives the state at the start of each range. Then each range counts the files that
+begin in it, reading on behind its end for the last one, and says whether all are valid; these counts give every file's place in its pack. At last each range gives its
+files. So what is shuffled or staged is a few numbers for each range, and no text.
 
     Markdown  0 text, 1 after a file's heading, 2 in its fence; ranges are moved to the next line
     XML       0 elements and text, 1 CDATA, 2 comment
@@ -324,6 +325,29 @@ def _json_files(span: Span, state: int, depth: int, escaped: bool, array: bool)
                     yield span.start + lo, None, None
 
 
+def _files_in(r) -> Iterator[tuple[int, str | None, str | None]]:
+    """(at, path, content) of the files that begin in a range whose state is known."""
+    with _opened(r.pack) as file:
+        span = _span(file, r.kind, r.start, r.end, r.size)
+        if span.limit <= 0:
+            return
+        if r.kind == "json":
+            file.seek(0)
+            array = file.read(1 << 12).lstrip()[:1] == b"["
+            yield from _json_files(span, r.state, r.depth, bool(r.state) and _escaped(file, span.start), array)
+        else:
+            yield from (_markdown_files if r.kind == "markdown" else _xml_files)(span, r.state)
+
+
+_COUNTED = f"{_PLACED}, n long, bad boolean"
+
+
+def _count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for b in batches:
+        valid = [[path is not None for _, path, _ in _files_in(r)] for r in b.itertuples()]
+        yield b.assign(n=[len(v) for v in valid], bad=[not all(v) for v in valid])
+
+
 _FILES = "pack string, i long, at long, k int, path string, content string"
 
 
@@ -332,26 +356,25 @@ def _parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     rows, held = [], 0  # of many ranges, since each table handed to Spark has its own cost
     for b in batches:
         for r in b.itertuples():
-            with _opened(r.pack) as file:
-                span = _span(file, r.kind, r.start, r.end, r.size)
-                if span.limit <= 0:
-                    continue
-                if r.kind == "json":
-                    file.seek(0)
-                    array = file.read(1 << 12).lstrip()[:1] == b"["
-                    found = _json_files(span, r.state, r.depth, bool(r.state) and _escaped(file, span.start), array)
-                else:
-                    found = (_markdown_files if r.kind == "markdown" else _xml_files)(span, r.state)
-                for k, (at, path, content) in enumerate(found):
-                    rows.append((r.pack, r.i, at, k, path, content))
-                    held += len(content or "") + 100
-                    if held > 8 << 20:
-                        yield made(rows)
-                        rows, held = [], 0
+            for k, (at, path, content) in enumerate(_files_in(r)):
+                rows.append((r.pack, r.i, at, k, path, content))
+                held += len(content or "") + 100
+                if held > 8 << 20:
+                    yield made(rows)
+                    rows, held = [], 0
     if rows:
         yield made(rows)
 
 
+def _ordered(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """The files of ranges that say how many files of their pack come before them."""
+    for b in batches:
+        before = dict(zip(zip(b["pack"], b["i"], strict=True), b["before"], strict=True))
+        for found in _parse(iter([b])):
+            found["ord"] = found["k"] + [before[key] for key in zip(found["pack"], found["i"], strict=True)]
+            yield found[["pack", "ord", "path", "content"]]
+
+
 def ranges(packs: DataFrame, size: int = RANGE) -> DataFrame:
     """(pack, size, kind, i, start, end) of packs (path, length); the kind by the name, null if it says nothing."""
     kind = packed_format(F.col("path"), F.lit(""))
@@ -360,37 +383,44 @@ def ranges(packs: DataFrame, size: int = RANGE) -> DataFrame:
     return out.withColumn("start", F.col("i") * size).withColumn("end", F.least("size", (F.col("i") + 1) * size))
 
 
+def spread(rows: DataFrame, *keys: str) -> DataFrame:
+    """Ranges dealt by number: one is a few bytes here however long it is there, so Spark would put thousands of them into one task."""
+    spark = rows.sparkSession
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 2 * spark.sparkContext.defaultParallelism)
+    return rows.repartition(tasks, *keys)
+
+
+def placed(packs: DataFrame, size: int = RANGE) -> DataFrame:
+    """The ranges of packs (path, length) with the state that each begins in."""
+    scanned = spread(ranges(packs, size), "pack", "i").mapInPandas(_scan, _SCANNED)
+    return spread(spread(scanned, "pack").groupBy("pack").applyInPandas(_folded, _PLACED), "pack", "i")
+
+
 def files(packs: DataFrame, size: int = RANGE) -> DataFrame:
     """(pack, i, at, k, path, content) of packs (path, length): the files of all ranges; ``at`` is the byte where a file begins, ``k`` its number in the range. One that
     can't be read has no path."""
-    spark = packs.sparkSession
-    # By number: a range is a few bytes here however long it is there, so Spark would put thousands of them into one task.
-    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 2 * spark.sparkContext.defaultParallelism)
-    spread = lambda df: df.repartition(tasks, F.col("pack"), F.col("i"))
-    scanned = spread(ranges(packs, size)).mapInPandas(_scan, _SCANNED)
-    placed = scanned.groupBy("pack").applyInPandas(_folded, _PLACED)
-    return spread(placed).mapInPandas(_parse, _FILES)
+    return placed(packs, size).mapInPandas(_parse, _FILES)
 
 
-def places(found: DataFrame) -> DataFrame:
-    """(pack, i, before) of the ranges that hold files of a pack without an invalid one: how many of its files come before the range. Only counts of
-    ranges are put in order over a pack."""
-    counts = found.groupBy("pack", "i").agg(F.count("*").alias("n"), F.max(F.col("path").isNull()).alias("bad"))
+def places(counted: DataFrame) -> DataFrame:
+    """The ranges that hold files of a pack without an invalid one, and how many of its files come ``before`` each. Only counts of ranges are put in order
+    over a pack."""
     pack = Window.partitionBy("pack")
-    return counts.select("pack", "i", (F.sum("n").over(pack.orderBy("i")) - F.col("n")).alias("before"), F.max("bad").over(pack).alias("bad")).where("not bad").drop("bad")
+    before = counted.withColumn("before", F.sum("n").over(pack.orderBy("i")) - F.col("n")).withColumn("bad", F.max("bad").over(pack))
+    return before.where("n > 0 and not bad").drop("n", "bad")
 
 
 def read(spark: SparkSession, path: str, size: int = RANGE, stage: Callable[[DataFrame], DataFrame] = lambda df: df) -> DataFrame:
     """(pack, ord, path, content) of the packs at ``path``, in the order of each pack. One that is of no known kind, invalid or empty gives one row, its whole text.
 
-    ``stage`` may write and reread what was parsed, which is used three times. In the map form of JSON no member but ``files`` may be an object.
+    ``stage`` may write and reread the ranges with their counts, which are used twice: a row of numbers for each. In the map form of JSON no member but ``files`` may be
+    an object.
     """
     packs = spark.read.format("binaryFile").load(path).select("path", "length")
-    found = stage(files(packs, size))
-    placed = places(found)
-    good = placed.select("pack").distinct()
+    held = places(stage(placed(packs, size).mapInPandas(_count, _COUNTED)))
+    good = held.select("pack").distinct()
     raw = [r["path"] for r in packs.join(good, packs["path"] == good["pack"], "left_anti").select("path").collect()]  # a name for each pack that can't be read
-    out = found.join(placed.hint("shuffle_hash"), ["pack", "i"]).select("pack", (F.col("before") + F.col("k")).cast("int").alias("ord"), "path", "content")
+    out = spread(held, "pack", "i").mapInPandas(_ordered, "pack string, ord int, path string, content string")
     if raw:
         whole = spark.read.text(raw, wholetext=True).select(F.col("_metadata.file_path").alias("pack"), F.lit(0).alias("ord"), F.col("_metadata.file_path").alias("path"), F.col("value").alias("content"))
         out = out.unionByName(whole)

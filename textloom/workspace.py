@@ -7,7 +7,8 @@ import shutil
 import tempfile
 import time
 import uuid
-from collections.abc import Callable, Iterable
+from collections.abc import Callable, Iterable, Iterator
+from contextlib import contextmanager
 from dataclasses import dataclass
 from pathlib import Path
 
@@ -38,13 +39,31 @@ def shared_folder(spark: SparkSession) -> str:
     return where
 
 
-def staged(df: DataFrame, name: str) -> DataFrame:
-    """``df`` written to a table of its own in the shared folder and read back."""
+def staged(df: DataFrame, name: str, **options: str) -> DataFrame:
+    """``df`` written to a table of its own in the shared folder and read back; ``options`` are the writer's."""
     path = f"{shared_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.options(**options).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def removed(spark: SparkSession, name: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(name)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+@contextmanager
+def shuffles_dropped(spark: SparkSession) -> Iterator[None]:
+    """What is written or collected within leaves no shuffle files behind. Otherwise they stay until the driver's JVM happens to collect their plans. A frame
+    isn't to be run twice within, for its second run would miss them."""
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(name, "false")
+    spark.conf.set(name, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def dealt(rows: DataFrame) -> DataFrame:
     """Rows dealt to all cores where their source has less than half as many splits as there are cores: a few small files. Larger inputs
     are read as they are, without a shuffle."""
